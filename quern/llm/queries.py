@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import simhash
+from quern.llm import simhash, substring
 from quern.session import table
 
 
@@ -14,8 +14,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_simhash": op6_simhash,
+    "op9_substring": op9_substring,
 }
 
 SQL: dict[str, str] = {}
