@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import multi_index, simhash, substring
+from quern.llm import mixing, multi_index, simhash, substring
 from quern.session import table
 
 
@@ -18,6 +18,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op6_simhash": op6_simhash,
+    "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
 }
 
