@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, multi_index, simhash, substring
+from quern.llm import bitplane, mixing, multi_index, packing, simhash, substring
 from quern.session import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end=0)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane.read(bitplane.write(table(spark, sf_dir, "documents"), tokenizer_path(), end=2))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -28,7 +42,9 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_multi_index": op1_multi_index,
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_bitplane": op7_bitplane,
     "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
 }
