@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bitplane, mixing, multi_index, packing, simhash, substring
+from quern.llm import bitplane, language, mixing, multi_index, packing, simhash, substring, toxicity
 from quern.session import table
 
 
@@ -15,10 +15,31 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(doc_id: str = "doc_id"):
+    """crc32 of doc_id as text, mod 3; null for a null doc_id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
+
+
+def held_out(df: DataFrame) -> DataFrame:
+    return df.withColumn("held_out", F.coalesce(remainder() == 1, F.lit(False)))
+
+
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(remainder() != 1))
+    return held_out(toxicity.scored(docs, model)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.fit(docs.where(remainder() != 1))
+    return held_out(language.predicted(docs, profiles)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end=0)
 
@@ -42,6 +63,8 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_multi_index": op1_multi_index,
+    "op2_toxicity": op2_toxicity,
+    "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_bitplane": op7_bitplane,
