@@ -126,13 +126,16 @@ def write(docs: DataFrame, path: str, end: int = 2, shard_ids: int = 1 << 21, ch
 
     def encode(batches):
         ids = encoder(path)
+        kind = np.dtype("<u2" if max(ids.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [ids(t) + tail for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "width": np.int8(kind.itemsize),
+                                "ids": [np.frombuffer(ids(t) + tail, "<u4").astype(kind).tobytes() for t in pdf["text"]]})
 
-    coded = staged(narrow.mapInPandas(encode, "doc_id long, ids binary").withColumn("n", F.length("ids") / 4), "ids")
-    total = coded.agg(F.sum("n")).first()[0] or 0
+    coded = narrow.mapInPandas(encode, "doc_id long, width byte, ids binary")
+    # About four characters make an id; only the number of ranges depends on it.
+    total = (narrow.agg(F.sum(F.length("text"))).first()[0] or 0) // 4
     count = int(min(1 << 16, max(1, -(-total // shard_ids))))  # larger ranges are written as several parts
-    bounds = [] if count == 1 else sorted({int(x) for x in coded.approxQuantile("doc_id", [i / count for i in range(1, count)], 1 / (8 * count))})
+    bounds = [] if count == 1 else sorted({int(x) for x in narrow.approxQuantile("doc_id", [i / count for i in range(1, count)], 1 / (8 * count))})
     edges = np.array(bounds, np.int64)
 
     @F.pandas_udf("int")
@@ -145,7 +148,8 @@ def write(docs: DataFrame, path: str, end: int = 2, shard_ids: int = 1 << 21, ch
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "ids"], na_position="first", kind="stable")
         rows, held, docs_, size = [], [], [], 0
-        for doc, ids in zip(pdf["doc_id"], pdf["ids"]):
+        for doc, ids, width in zip(pdf["doc_id"], pdf["ids"], pdf["width"]):
+            ids = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
             docs_.append(None if pd.isna(doc) else int(doc))
             held.append(ids)
             size += len(ids) // 4
@@ -157,7 +161,7 @@ def write(docs: DataFrame, path: str, end: int = 2, shard_ids: int = 1 << 21, ch
         return pd.DataFrame([(int(pdf["shard"].iloc[0]), part, write_shard(d, h, chunk), len(d), n) for part, (d, h, n) in enumerate(rows)],
                             columns=["shard", "part", "file", "documents", "ids"])
 
-    return staged(coded.withColumn("shard", shard.cast("int")).select("shard", "doc_id", "ids").groupBy("shard")
+    return staged(coded.withColumn("shard", shard.cast("int")).select("shard", "doc_id", "width", "ids").groupBy("shard")
                   .applyInPandas(pack, "shard int, part int, file binary, documents long, ids long"), "shards")
 
 
