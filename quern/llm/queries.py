@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bitplane, language, mixing, multi_index, packing, simhash, substring, toxicity
+from quern.llm import bitplane, language, licenses, mixing, mpeg_audio, multi_index, packing, simhash, substring, toxicity
 from quern.session import table
 
 
@@ -34,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out(toxicity.scored(docs, model)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language.fit(docs.where(remainder() != 1))
@@ -61,15 +65,22 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = mpeg_audio.stored(table(spark, sf_dir, "documents"))
+    return mpeg_audio.probed(media).drop("frame_offsets")
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_bitplane": op7_bitplane,
     "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
+    "op10_mpeg_audio": op10_mpeg_audio,
 }
 
 SQL: dict[str, str] = {}
