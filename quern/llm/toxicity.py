@@ -20,8 +20,10 @@ from quern.llm.common import doc_columns
 from quern.llm.grams import chunks, codes, grams, mix
 
 BUCKETS = 1 << 18
-SIZES = (3, 4, 5)
-SEGMENT = 8
+SIZES = (3, 4, 5, 6)
+SEGMENT = 4
+#: Subwords of fewer training texts keep a zero vector, so that noise in labels is not learned by heart.
+LEAST_TEXTS = 4
 
 
 def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,23 +80,34 @@ class Model:
         return out
 
 
-def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 24, rate: float = 0.6, seed: int = 3) -> Model:
+def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 10, rate: float = 0.6, seed: int = 3) -> Model:
     """The joint training. Without both labels the score is the share of toxic texts."""
     toxic = np.asarray(toxic, np.int64)
     prior = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < prior < 1:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))), prior)
-    parts = [(first, *bags(held)) for first, held in chunks(texts)]
+    parts, texts_with = [], np.zeros(BUCKETS, np.int64)
+    for first, held in chunks(texts):
+        r, b, o = bags(held)
+        if len(b):
+            parts.append((first, r.astype(np.int32), b, o))
+            text_of = np.repeat(o, np.diff(np.append(b, len(r))))
+            texts_with += np.bincount(np.unique(text_of * BUCKETS + r) & (BUCKETS - 1), minlength=BUCKETS)
+    if not parts:
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, prior)
     row = np.concatenate([p[1] for p in parts])
     begin, owner, base = [], [], 0
     for first, r, b, o in parts:
         begin.append(b + base)
         owner.append(o + first)
         base += len(r)
+    parts.clear()
     begin, owner = np.concatenate(begin), np.concatenate(owner)
     size = np.diff(np.append(begin, len(row)))
     rng = np.random.default_rng(seed)
+    common = texts_with >= min(LEAST_TEXTS, 1 + len(toxic) // 100)
     vectors = (rng.uniform(-1, 1, (BUCKETS, dim)) / dim).astype(np.float32)
+    vectors[~common] = 0
     softmax, bias = np.zeros((dim, 2)), np.zeros(2)
     softmax[:, 1] = rng.uniform(-1, 1, dim)
     power_v, power_s, power_b = np.full(BUCKETS, 1e-3, np.float32), np.full((dim, 2), 1e-3), np.full(2, 1e-3)
@@ -131,15 +144,16 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 24, r
             power_b += grad_b**2
             softmax -= rate * 0.3 * grad_s / np.sqrt(power_s)
             bias -= rate * 0.3 * grad_b / np.sqrt(power_b)
-            used, inverse = np.unique(flat, return_inverse=True)
-            share = np.repeat(to_mean / n[:, None], n, axis=0)
+            live = common[flat]
+            used, inverse = np.unique(flat[live], return_inverse=True)
+            share = np.repeat(to_mean / n[:, None], n, axis=0)[live]
             grad = np.stack([np.bincount(inverse, weights=share[:, k], minlength=len(used)) for k in range(dim)], axis=1)
             power_v[used] += (grad**2).mean(axis=1)
             vectors[used] -= rate * grad / np.sqrt(power_v[used])[:, None]
     return Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]), prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_each: int = 3000, most_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_each: int = 2000, most_chars: int = 6_000) -> Model:
     """Trains on at most ``most_each`` texts of each label, drawn by a hash of doc_id from
     labels (doc_id, toxic), of at most ``most_chars`` characters each. Rows with a null doc_id
     or label are not used."""
