@@ -146,10 +146,11 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; the columns stay as they are."""
-    dealt = copies(docs, weights, cap).groupBy("doc_id", "salt").agg(F.max("copies").alias("quern_copies"))
-    keyed = docs.withColumn("quern_salt", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(dealt.select(F.col("doc_id").alias("quern_id"), F.col("salt").alias("quern_key"), "quern_copies"),
-                        F.equal_null("doc_id", "quern_id") & (F.col("quern_salt") == F.col("quern_key")))
-    return (joined.where("quern_copies > 0")
-            .withColumn("quern_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quern_copies")))).select(docs.columns))
+    """docs with each row repeated as often as the mix takes it; the columns stay as they are.
+    Rows that repeat both doc_id and text are taken equally often, as the most taken of them."""
+    dealt = copies(docs, weights, cap).groupBy("doc_id", "salt").agg(F.max("copies").alias("__copies"))
+    keyed = docs.withColumn("__salt", F.xxhash64("doc_id", "text"))
+    joined = keyed.join(dealt.select(F.col("doc_id").alias("__id"), F.col("salt").alias("__key"), "__copies"),
+                        F.equal_null("doc_id", "__id") & (F.col("__salt") == F.col("__key")))
+    return (joined.where("__copies > 0")
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns))

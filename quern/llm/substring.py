@@ -246,10 +246,11 @@ def _covered(n: int, cuts, window: int) -> np.ndarray:
 
 
 def _joined(docs: DataFrame, window: int) -> DataFrame:
-    cuts = removals(docs, window).select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"), "cuts")
-    keyed = docs.withColumn("quern_hash", F.xxhash64("text"))
-    return keyed.join(cuts.hint("shuffle_hash"), (keyed["doc_id"] == cuts["cut_id"]) & (keyed["quern_hash"] == cuts["cut_hash"]), "left").drop(
-        "cut_id", "cut_hash", "quern_hash")
+    """docs with __cuts; the names of added columns cannot meet those of docs."""
+    cuts = removals(docs, window).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__cut_hash"), F.col("cuts").alias("__cuts"))
+    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    return keyed.join(cuts.hint("shuffle_hash"), (keyed["doc_id"] == cuts["__id"]) & (keyed["__hash"] == cuts["__cut_hash"]), "left").drop(
+        "__id", "__cut_hash", "__hash")
 
 
 def digests(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -264,7 +265,7 @@ def digests(docs: DataFrame, window: int = 50) -> DataFrame:
     def run(batches):
         for pdf in batches:
             out = []
-            for text, cuts in zip(pdf["text"], pdf["cuts"]):
+            for text, cuts in zip(pdf["text"], pdf["__cuts"]):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
                 n = len(words)
                 if cuts is not None and len(cuts):
@@ -305,8 +306,8 @@ def deduplicated(docs: DataFrame, window: int = 50) -> DataFrame:
     def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([t if c is None or t is None else cut_text(t, c, window) for t, c in zip(text, cuts)], dtype=object)
 
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cut("text", "cuts"))
+    text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(cut("text", "__cuts"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)
