@@ -124,26 +124,23 @@ def write(docs: DataFrame, path: str, end: int = 2, shard_ids: int = 1 << 21, ch
     tail = int(end).to_bytes(4, "little")
     narrow = doc_columns(docs, "doc_id", "text")
 
-    def encode(batches):
-        ids = encoder(path)
-        kind = np.dtype("<u2" if max(ids.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "width": np.int8(kind.itemsize),
-                                "ids": [np.frombuffer(ids(t) + tail, "<u4").astype(kind).tobytes() for t in pdf["text"]]})
-
-    coded = narrow.mapInPandas(encode, "doc_id long, width byte, ids binary")
     # About four characters make an id; only the number of ranges depends on it.
     total = (narrow.agg(F.sum(F.length("text"))).first()[0] or 0) // 4
     count = int(min(1 << 16, max(1, -(-total // shard_ids))))  # larger ranges are written as several parts
     bounds = [] if count == 1 else sorted({int(x) for x in narrow.approxQuantile("doc_id", [i / count for i in range(1, count)], 1 / (8 * count))})
     edges = np.array(bounds, np.int64)
 
-    @F.pandas_udf("int")
-    def ranged(doc: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, doc.to_numpy(), "right").astype(np.int32))
+    def encode(batches):
+        ids = encoder(path)
+        kind = np.dtype("<u2" if max(ids.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
+        for pdf in batches:
+            data = [np.frombuffer(ids(t) + tail, "<u4").astype(kind).tobytes() for t in pdf["text"]]
+            doc = pdf["doc_id"].astype("Int64")
+            # Null doc_ids have no order among themselves, so they are spread over files of their own.
+            shard = np.where(doc.isna(), [-1 - zlib.crc32(d) % count for d in data], np.searchsorted(edges, doc.fillna(0).to_numpy(np.int64), "right"))
+            yield pd.DataFrame({"shard": shard.astype(np.int32), "doc_id": doc, "width": np.int8(kind.itemsize), "ids": data})
 
-    # Null doc_ids have no order among themselves, so they are spread over files of their own.
-    shard = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("ids"), F.lit(count))).otherwise(ranged(F.coalesce("doc_id", F.lit(0))))
+    coded = narrow.mapInPandas(encode, "shard int, doc_id long, width byte, ids binary")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "ids"], na_position="first", kind="stable")
@@ -161,8 +158,7 @@ def write(docs: DataFrame, path: str, end: int = 2, shard_ids: int = 1 << 21, ch
         return pd.DataFrame([(int(pdf["shard"].iloc[0]), part, write_shard(d, h, chunk), len(d), n) for part, (d, h, n) in enumerate(rows)],
                             columns=["shard", "part", "file", "documents", "ids"])
 
-    return staged(coded.withColumn("shard", shard.cast("int")).select("shard", "doc_id", "width", "ids").groupBy("shard")
-                  .applyInPandas(pack, "shard int, part int, file binary, documents long, ids long"), "shards")
+    return staged(coded.groupBy("shard").applyInPandas(pack, "shard int, part int, file binary, documents long, ids long"), "shards")
 
 
 def read(files: DataFrame) -> DataFrame:

@@ -74,8 +74,11 @@ def fit(docs: DataFrame, most_each: int = 1000) -> Profiles:
     """Profiles from at most ``most_each`` documents of each language, drawn by a hash of
     doc_id from docs (doc_id, text, lang). Rows with a null doc_id, text or lang are not used."""
     usable = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
+    n = usable.groupBy("lang").agg(F.count("*").alias("all")).select(F.col("lang").alias("l"), "all")
+    # A hash lets about twice as many through, so that no window gathers a whole language.
+    likely = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("all") < 2_000_000.0 * most_each
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_each).select("doc_id", "lang")
+    drawn = usable.select("doc_id", "lang").join(n, F.col("lang") == F.col("l")).where(likely).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_each).select("doc_id", "lang")
 
     def count(batches):
         for pdf in batches:
@@ -120,5 +123,5 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
     def name(text: pd.Series) -> pd.Series:
         return pd.Series(spread.value.predict(text.tolist())[0], dtype=object)
 
-    out = docs.withColumn("quern_lang", name("text")).where(F.col("quern_lang") != UNKNOWN)
-    return out.withColumn("lang", F.coalesce("lang", "quern_lang")).select(docs.columns)
+    out = docs.withColumn("__lang", name("text")).where(F.col("__lang") != UNKNOWN)
+    return out.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)

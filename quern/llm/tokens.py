@@ -9,6 +9,10 @@ import unicodedata
 import numpy as np
 
 
+#: A run of these behind a word is one piece.
+_MARKS = ".,;:!?-_()[]{}|/*+=~^%&#@$\"'"
+
+
 def _byte_letters() -> dict[int, str]:
     """The public byte-level alphabet: printable bytes stand for themselves, the others for
     the letters from U+0100 on."""
@@ -57,21 +61,37 @@ def _ids(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def _plain(chunk: str) -> bool:
+    """Are all characters Latin letters that NFC leaves alone?"""
+    try:
+        chunk.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(chunk) < "\u0250" and chunk.lower() == chunk and unicodedata.is_normalized("NFC", chunk)
+    return True
+
+
 class _Memory(dict):
     def __init__(self, tokenizer):
         self.tokenizer, self.merges = tokenizer, tokenizer.model.tokenize
         self.letters = _byte_letters()
+        self.four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size() + 1)]
 
     def __missing__(self, chunk: str) -> bytes:
         found = None
         if chunk.isalpha():
             if chunk.isascii():
-                low = chunk.lower()
-                found = self[low] if low != chunk else b"".join([x.id.to_bytes(4, "little") for x in self.merges(chunk)])
-            elif max(chunk) < "ɐ" and chunk.lower() == chunk and unicodedata.is_normalized("NFC", chunk):
-                found = b"".join([x.id.to_bytes(4, "little") for x in self.merges("".join([self.letters[b] for b in chunk.encode()]))])
-        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha() and chunk[:-1].isalpha():
-            found = self[chunk[:-1]] + self[chunk[-1]]
+                if chunk.islower():
+                    four = self.four
+                    found = b"".join([four[x.id] for x in self.merges(chunk)])
+                else:
+                    found = self[chunk.lower()]
+            elif chunk.islower() and _plain(chunk):
+                four = self.four
+                found = b"".join([four[x.id] for x in self.merges(chunk.encode().decode("latin-1").translate(self.letters))])
+        else:
+            head = chunk.rstrip(_MARKS)
+            if head != chunk and head.isalpha():
+                found = self[head] + self[chunk[len(head):]]
         if found is None:
             found = _ids(self.tokenizer, chunk)
         self[chunk] = found
