@@ -1,5 +1,12 @@
 """Named queries and their SQL."""
 
+from __future__ import annotations
+
+from quern.plans import answering, conversation, documents, grouping, hierarchy, lifecycle, relational, retrieval, sources, streaming, text
+
+FLAGSHIP = "r02_answer_retrieval"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "r02_answer_retrieval"
+for module in (text, retrieval, relational, conversation, documents, hierarchy, grouping, lifecycle, answering, sources, streaming):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL

@@ -21,3 +21,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def checkpointed(spark: SparkSession) -> SparkSession:
+    """The session with a checkpoint folder: the shared one that is configured, or, only if
+    none is, a folder of its own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-"))
+    return spark
