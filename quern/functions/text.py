@@ -119,7 +119,7 @@ def mentions(text: Column, words: list[str]) -> Column:
 def question_parts(text: Column, most: int = 12) -> Column:
     """Parts that end in a question mark if there are several, else the whole text."""
     whole = F.trim(text)
-    parts = F.filter(F.transform(F.regexp_extract_all(whole, F.lit(r"[^?\n]*\?"), F.lit(0)), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.regexp_extract_all(whole, F.lit(r"[^?\n]*\?"), F.lit(0)), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(whole == "", F.array().cast("array<string>")).when(F.size(parts) <= 1, F.array(whole)).otherwise(F.slice(parts, 1, most))
 
 
