@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quern.plans import answering, conversation, documents, grouping, hierarchy, knowledge, lifecycle, relational, retrieval, sources, streaming, text
+from quern.plans import answering, conversation, documents, grouping, hierarchy, knowledge, lifecycle, relational, retrieval, sources, streaming, text, workflow
 
 FLAGSHIP = "r02_answer_retrieval"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (text, retrieval, relational, conversation, documents, hierarchy, grouping, lifecycle, answering, knowledge, sources, streaming):
+for module in (text, retrieval, relational, conversation, documents, hierarchy, grouping, lifecycle, answering, knowledge, workflow, sources, streaming):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
