@@ -31,8 +31,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows than Spark's 10,000, unless the session says otherwise: a
+    row here is a whole text, and batches bound the memory of JVM and Python workers alike."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(rows))
+
+
 def doc_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns cannot clash with derived ones."""
+    text_batches(df.sparkSession)
     return df.select(*[F.col(n) for n in names])
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_columns
+from quern.llm.common import doc_columns, text_batches
 from quern.llm.grams import chunks, codes, grams
 
 SIZES = (1, 2, 3, 4)
@@ -117,6 +117,7 @@ def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
 def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """docs without the documents whose language is unknown, lang being the predicted one
     where it was null. Other columns stay as they are."""
+    text_batches(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("string")
