@@ -34,20 +34,22 @@ def lexical_scores(questions: DataFrame, rows: DataFrame, text: Column, entity:
     Pairs come from shared tokens (an inverted equality join) and from entities named in the
     question; no other pair can score."""
     q = questions.select("qid", "question", t.tokens(F.col("question")).alias("qt"))
-    r = rows.select("id", t.tokens(text).alias("rt"), *([F.col(entity).alias("__entity")] if entity else []))
-    sizes = r.select("id", F.size("rt").alias("n_row"), *(["__entity"] if entity else []))
-    shared = (q.select("qid", F.explode("qt").alias("token")).join(r.select("id", F.explode("rt").alias("token")), "token")
-              .groupBy("qid", "id").agg(F.count("*").alias("shared")))
+    asked = q.select("qid", F.size("qt").alias("n_q"), F.explode("qt").alias("token"))
+    # Row sizes travel with the tokens, so that texts are read and tokenised once.
+    held = rows.select("id", t.tokens(text).alias("rt")).select("id", F.size("rt").alias("n_row"), F.explode("rt").alias("token"))
+    pairs = asked.join(held, "token").groupBy("qid", "id", "n_q", "n_row").agg(F.count("*").alias("shared"))
     if entity:
-        named = contained(q, "qid", "question", sizes.select("__entity").distinct(), "__entity")
-        same = named.join(sizes.select("id", "__entity"), "__entity").select("qid", "id").withColumn("same_model", F.lit(True))
-        shared = shared.join(same, ["qid", "id"], "full").select("qid", "id", F.coalesce("shared", F.lit(0)).alias("shared"),
-                                                                F.coalesce("same_model", F.lit(False)).alias("same_model"))
+        named = contained(q, "qid", "question", rows.select(F.col(entity).alias("__entity")).distinct(), "__entity")
+        few = rows.join(named.select(F.col("__entity").alias("__e")).distinct(), F.col(entity) == F.col("__e"), "left_semi")
+        few = few.select("id", F.col(entity).alias("__entity"), F.size(t.tokens(text)).alias("__row"))
+        same = named.join(few, "__entity").join(q.select("qid", F.size("qt").alias("__q")), "qid").select("qid", "id", "__q", "__row", F.lit(True).alias("same_model"))
+        pairs = pairs.join(same, ["qid", "id"], "full").select(
+            "qid", "id", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("n_q", "__q").alias("n_q"), F.coalesce("n_row", "__row").alias("n_row"),
+            F.coalesce("same_model", F.lit(False)).alias("same_model"))
     else:
-        shared = shared.withColumn("same_model", F.lit(False))
+        pairs = pairs.withColumn("same_model", F.lit(False))
     score = v.lexical(F.col("shared"), F.col("n_q"), F.col("n_row"), F.col("same_model"))
-    return (shared.join(q.select("qid", F.size("qt").alias("n_q")), "qid").join(sizes.select("id", "n_row"), "id")
-            .select("qid", "id", score.alias("lexical"), "same_model").where("lexical > 0"))
+    return pairs.select("qid", "id", score.alias("lexical"), "same_model").where("lexical > 0")
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -89,9 +91,8 @@ def every_term(questions: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     occurrences over words of the row."""
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
     q = questions.select("qid", F.array_distinct(words(F.col("question"))).alias("w")).where(F.size("w") > 0)
-    r = rows.select("id", F.explode(words(F.col(text))).alias("word"))
-    size = r.groupBy("id").agg(F.count("*").alias("n"))
-    tf = r.groupBy("id", "word").agg(F.count("*").alias("tf"))
-    hit = (q.select("qid", F.size("w").alias("n_q"), F.explode("w").alias("word")).join(tf, "word")
-           .groupBy("qid", "id", "n_q").agg(F.count("*").alias("m"), F.sum("tf").alias("tf")).where("m = n_q"))
-    return hit.join(size, "id").select("qid", "id", (F.col("tf") / F.col("n")).alias("rank_value"))
+    r = rows.select("id", words(F.col(text)).alias("w")).select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    hit = (q.select("qid", F.size("w").alias("n_q"), F.explode("w").alias("word")).join(r, "word")
+           .groupBy("qid", "id", "n_q", "n", "word").agg(F.count("*").alias("tf"))
+           .groupBy("qid", "id", "n_q", "n").agg(F.count("*").alias("m"), F.sum("tf").alias("tf")).where("m = n_q"))
+    return hit.select("qid", "id", (F.col("tf") / F.col("n")).alias("rank_value"))
