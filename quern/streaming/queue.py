@@ -39,3 +39,18 @@ def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete
 def claims(batch: DataFrame, done: DataFrame) -> DataFrame:
     """Jobs of a batch that are due and not done, in order of claim: queued before failed, then age, then id."""
     return batch.join(done.select("event_id"), "event_id", "left_anti").orderBy(F.col("event_type") == "error", "ts", "event_id")
+
+
+def run_jobs(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Processes all queued jobs of a stream in order of claim. Each batch overwrites its own
+    folder, so a batch that is repeated after a crash leaves one result."""
+    order = [F.col("event_type") == "error", F.col("ts"), F.col("event_id")]
+
+    def work(batch: DataFrame, number: int) -> None:
+        from pyspark.sql import Window
+
+        claimed = batch.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+        claimed.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
