@@ -1,23 +1,27 @@
-"""Substring deduplication over suffixes partitioned by variable-length prefixes.
+"""Substring deduplication with prefix-partitioned suffix trees.
 
 A suffix is a run of ``window`` words from one place of one document. The contract needs the
 tree only down to that depth, so suffixes are cut there. Each suffix has a variable-length
 prefix: its words up to the end of the least hash among its ``anchor``-word runs. That anchor
-names the group of the suffix. Equal suffixes have equal anchors, so a subtree never spans
-two groups, and neighbouring suffixes mostly share one, so a stretch of them travels as one
-row. A node at full depth with two or more documents is a repeat; neighbouring such nodes of
-one document form its maximal repeats.
+names the partition of the suffix. Equal suffixes have equal anchors, so a subtree never
+spans two partitions, and neighbouring suffixes mostly share one, so a stretch of them
+travels as one row.
 
 1. Each document names its anchors; anchors of two or more documents are the live prefixes.
 2. A bit table of fixed largest size holds the live prefixes. A second pass over the texts
-   ships the stretches of suffixes under live prefixes only. A wrong positive of the table
-   ships a stretch in vain; nothing is lost.
+   ships the places of the stretches of suffixes under live prefixes only. A wrong positive of
+   the table ships a stretch in vain; nothing is lost.
 3. Equal stretches collapse to their least document. A prefix with a single distinct stretch
-   is a chain and needs no tree; below the others, each full-depth node finds its least
-   document by a pre-aggregated minimum. No group is collected, whatever its size.
-4. Documents join what must go, and words are cut.
-
-Suffixes are told apart by 128 bits: the anchor's hash and an independent one of all words.
+   is a chain and needs no tree. For the others a third pass ships the words of one copy of
+   each stretch, and prefixes are dealt into groups that fit in memory. In each group the
+   suffixes are sorted by prefix doubling, which numbers the tree's nodes of depth 1, 2, 4,
+   ... and ``window``; each node of full depth takes the least document below it.
+4. A prefix with more stretches than a group may hold is lengthened to full depth: its suffixes
+   are grouped by all their words, and the least document is a pre-aggregated minimum.
+5. Neighbouring deep nodes of one document form its maximal repeats; documents join what must
+   go, and words are cut.
+
+Words are told apart by 64 bits, stretches and lengthened prefixes by 128.
 """
 
 from __future__ import annotations
@@ -131,12 +135,55 @@ class _Suffixes:
         return np.nonzero(within % longest == 0)[0]
 
 
-def _probe(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
-    mask = np.uint64((1 << bits) - 1)
-    return [anchors & mask, (anchors >> np.uint64(64 - bits)) & mask]
-
-
-def removals(docs: DataFrame, window: int = 50, anchor: int = 16, most_bits: int = 28) -> DataFrame:
+class _Bits:
+    """A bit table of a column of 64-bit hashes, two bits each, of at most 2^most bits, for all executors."""
+
+    def __init__(self, df: DataFrame, column: str, most: int):
+        self.bits = int(min(most, max(20, (16 * df.count()).bit_length())))
+        place = [F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1)),
+                 F.shiftrightunsigned(column, 64 - self.bits).bitwiseAND(F.lit((1 << self.bits) - 1))]
+        # At most 2^bits / 64 rows reach the driver, whatever the input.
+        cells = (df.select(F.explode(F.array(*place)).alias("p")).groupBy(F.shiftright("p", 6).alias("cell"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("set")).toPandas())
+        table = np.zeros(1 << (self.bits - 6), np.uint64)
+        table[cells["cell"].to_numpy()] = cells["set"].to_numpy().astype(np.int64).view(np.uint64)
+        self.spread = df.sparkSession.sparkContext.broadcast(table)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        table, mask = self.spread.value, np.uint64((1 << self.bits) - 1)
+        out = np.ones(len(hashes), bool)
+        for p in (hashes & mask, (hashes >> np.uint64(64 - self.bits)) & mask):
+            out &= ((table[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return out
+
+
+def _xxhash64(values: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs."""
+    import xxhash
+
+    data = values.astype("<i8").tobytes()
+    return np.fromiter((xxhash.xxh64_intdigest(data[i: i + 8], 42) for i in range(0, len(data), 8)), np.uint64)
+
+
+def _full_depth(spans: list[np.ndarray], counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(span, node) of each suffix of ``depth`` words, counts[k] of them from the start of span
+    k. Prefix doubling: the nodes of depth 2h are the pairs of nodes of depth h at i and i + h."""
+    words = np.concatenate(spans)
+    lengths = np.array([len(s) for s in spans])
+    begins = np.cumsum(lengths) - lengths
+    rank = np.unique(words, return_inverse=True)[1].astype(np.uint64)
+    h = 1
+    while h * 2 <= depth:
+        # Pairs that reach over the end of a span belong to no suffix that is asked for.
+        rank = np.unique((rank[:-h] << np.uint64(32)) | rank[h:], return_inverse=True)[1].astype(np.uint64)
+        h *= 2
+    owner = np.repeat(np.arange(len(spans)), counts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + begins[owner]
+    pair = (rank[at] << np.uint64(32)) | rank[at + depth - h]
+    return owner, np.unique(pair, return_inverse=True)[1]
+
+
+def removals(docs: DataFrame, window: int = 50, anchor: int = 16, most_bits: int = 28, group_rows: int = 2048) -> DataFrame:
     """(doc_id, text_hash, cuts array<struct<place, mask>>): bit i of mask says that the
     window that starts at word place + i also starts in a document with a smaller doc_id.
     Documents without cuts have no row. docs: doc_id, text."""
@@ -156,73 +203,84 @@ def removals(docs: DataFrame, window: int = 50, anchor: int = 16, most_bits: int
     live = staged(keyed.select("doc_id", "text").mapInPandas(anchors, "anchor long, doc_id long")
                   .groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
                   .where("low < high").select("anchor"), "prefixes")
-    bits = int(min(most_bits, max(20, (16 * live.count()).bit_length())))
-    place = [F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1)),
-             F.shiftrightunsigned("anchor", 64 - bits).bitwiseAND(F.lit((1 << bits) - 1))]
-    # At most 2^bits / 64 rows, whatever the input.
-    cells = (live.select(F.explode(F.array(*place)).alias("p"))
-             .groupBy(F.shiftright("p", 6).alias("cell"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("set")).toPandas())
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[cells["cell"].to_numpy()] = cells["set"].to_numpy().astype(np.int64).view(np.uint64)
-    spread = docs.sparkSession.sparkContext.broadcast(table)
+    prefixes = _Bits(live, "anchor", most_bits)
 
-    def stretches(batches):
-        held = spread.value
-        six, low = np.uint64(6), np.uint64(63)
+    def cut(batches, keep):
+        """Chunks of texts with their suffixes, the stretches that keep(suffixes, begins, ids) marks, and their ends and hashes."""
         for pdf in batches:
             ids, hashes = pdf["doc_id"].to_numpy(), pdf["text_hash"].to_numpy()
             for first, texts in _chunks(pdf["text"].tolist()):
                 s = _Suffixes(texts, window, anchor)
                 at = s.stretches(longest)
-                if not len(at):
-                    continue
-                ok = np.ones(len(at), bool)
-                for p in _probe(s.anchor[at], bits):
-                    ok &= ((held[p >> six] >> (p & low)) & np.uint64(1)).astype(bool)
-                if not ok.any():
+                live_ = keep(s, at) if len(at) else np.empty(0, bool)
+                if not live_.any():
                     continue
                 ends = np.append(at[1:], len(s.at))
                 deep = _rolling(s.words, window, _DEEP)[s.at]
                 with np.errstate(over="ignore"):
                     step = (np.arange(len(deep)) - np.repeat(at, ends - at)).astype(np.uint64)
                     whole = splitmix(np.add.reduceat(splitmix(deep ^ splitmix(step)), at) ^ (ends - at).astype(np.uint64))
-                data = deep.tobytes()
-                at, ends, whole = at[ok], ends[ok], whole[ok]
-                yield pd.DataFrame({
-                    "anchor": s.anchor[at].view(np.int64), "whole": whole.view(np.int64),
-                    "doc_id": ids[first + s.row[at]], "text_hash": hashes[first + s.row[at]],
-                    "place": s.place[at].astype(np.int32), "n": (ends - at).astype(np.int32),
-                    "deep": [data[8 * a: 8 * b] for a, b in zip(at.tolist(), ends.tolist())]})
-
-    shape = "anchor long, whole long, doc_id long, text_hash long, place int, n int, deep binary"
-    found = staged(keyed.mapInPandas(stretches, shape), "stretches")
-    distinct = (found.groupBy("anchor", "whole").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("deep").alias("deep")))
-    group = (found.groupBy("anchor").agg(F.min("doc_id").alias("g_low"), F.max("doc_id").alias("g_high"),
-                                         F.min("whole").alias("w_low"), F.max("whole").alias("w_high")).where("g_low < g_high"))
-    nodes = staged(distinct.join(group, "anchor").select(
-        "anchor", "whole", "low", "n", F.when(F.col("w_low") < F.col("w_high"), F.col("deep")).alias("deep")), "subtrees")
-    chains = nodes.where("deep is null").select("anchor", "whole", F.array(F.col("low")).alias("least"))
+                at, ends, whole = at[live_], ends[live_], whole[live_]
+                yield s, at, ends, whole, ids[first + s.row[at]], hashes[first + s.row[at]]
+
+    def stretches(batches):
+        for s, at, ends, whole, ids, hashes in cut(batches, lambda s, at: prefixes.has(s.anchor[at])):
+            yield pd.DataFrame({"anchor": s.anchor[at].view(np.int64), "whole": whole.view(np.int64), "doc_id": ids, "text_hash": hashes,
+                                "place": s.place[at].astype(np.int32), "n": (ends - at).astype(np.int32)})
+
+    found = staged(keyed.mapInPandas(stretches, "anchor long, whole long, doc_id long, text_hash long, place int, n int"), "stretches")
+    distinct = found.groupBy("anchor", "whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n").alias("n"))
+    group = distinct.groupBy("anchor").agg(F.min("low").alias("g_low"), F.max("high").alias("g_high"), F.count("*").alias("m")).where("g_low < g_high")
+    nodes = staged(distinct.join(group, "anchor").select("anchor", "whole", "low", "n", "m"), "subtrees")
+    chains = nodes.where("m = 1").select("anchor", "whole", F.array(F.col("low")).alias("least"))
+    branching = nodes.where("m > 1")
+    copies = _Bits(branching.select(F.col("whole").bitwiseXOR(F.xxhash64("low")).alias("key")), "key", most_bits)
+
+    def spans(batches):
+        def chosen(s, at):
+            return prefixes.has(s.anchor[at])
+
+        for s, at, ends, whole, ids, _ in cut(batches, chosen):
+            one = copies.has(whole ^ _xxhash64(ids))
+            for k in np.nonzero(one)[0].tolist():
+                begin = s.at[at[k]]
+                yield s.anchor[at[k]], whole[k], ids[k], s.words[begin: begin + ends[k] - at[k] + window - 1].tobytes()
+
+    def spans_of(batches):
+        rows = list(spans(batches))
+        for at in range(0, len(rows), 2000):
+            part = rows[at: at + 2000]
+            yield pd.DataFrame({"anchor": np.array([r[0] for r in part], np.uint64).view(np.int64), "whole": np.array([r[1] for r in part], np.uint64).view(np.int64),
+                                "low": np.array([r[2] for r in part], np.int64), "words": [r[3] for r in part]})
+
+    shipped = keyed.mapInPandas(spans_of, "anchor long, whole long, low long, words binary").groupBy("anchor", "whole", "low").agg(F.first("words").alias("words"))
+    trees = staged(branching.join(shipped, ["anchor", "whole", "low"]), "branches")
+    fits = trees.where(F.col("m") <= group_rows)
+    groups = max(1, -(-fits.count() // group_rows))
+
+    def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy()
+        owner, node = _full_depth([np.frombuffer(w, np.uint64) for w in pdf["words"]], n, window)
+        low = pdf["low"].to_numpy()[owner]
+        least = np.full(node.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node, low)
+        parts = np.split(least[node], np.cumsum(n)[:-1])
+        return pd.DataFrame({"anchor": pdf["anchor"], "whole": pdf["whole"], "least": parts})
+
+    branches = (fits.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(groups))).groupBy("bucket")
+                .applyInPandas(subtree, "anchor long, whole long, least array<long>"))
 
     def leaves(batches):
         for pdf in batches:
-            n = pdf["n"].to_numpy()
-            if not len(n):
-                continue
-            deep = np.frombuffer(b"".join(pdf["deep"]), np.int64)
-            at = np.repeat(np.arange(len(n)), n)
-            yield pd.DataFrame({
-                "anchor": pdf["anchor"].to_numpy()[at], "whole": pdf["whole"].to_numpy()[at],
-                "low": pdf["low"].to_numpy()[at], "deep": deep,
-                "i": (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)})
-
-    leaf = (nodes.where("deep is not null")
-            .mapInPandas(leaves, "anchor long, whole long, low long, deep long, i int"))
+            for anchor_, whole, low, words in zip(pdf["anchor"], pdf["whole"], pdf["low"], pdf["words"]):
+                deep = _rolling(np.frombuffer(words, np.uint64), window, _DEEP)
+                yield pd.DataFrame({"anchor": anchor_, "whole": whole, "low": low, "deep": deep.view(np.int64), "i": np.arange(len(deep), dtype=np.int32)})
+
+    leaf = trees.where(F.col("m") > group_rows).mapInPandas(leaves, "anchor long, whole long, low long, deep long, i int")
     least = leaf.groupBy("anchor", "deep").agg(F.min("low").alias("least"))
-    branches = (leaf.join(least, ["anchor", "deep"]).where("least is not null")
-                .groupBy("anchor", "whole").agg(F.sort_array(F.collect_list(F.struct("i", "least"))).alias("l"))
-                .select("anchor", "whole", F.col("l.least").alias("least")))
-    verdict = chains.unionByName(branches)
+    lengthened = (leaf.join(least, ["anchor", "deep"]).groupBy("anchor", "whole")
+                  .agg(F.sort_array(F.collect_list(F.struct("i", "least"))).alias("l")).select("anchor", "whole", F.col("l.least").alias("least")))
+    verdict = chains.unionByName(branches).unionByName(lengthened)
     mask = F.when(F.size("least") == 1, F.when(F.col("least")[0] < F.col("doc_id"),
                                                F.expr("shiftleft(1L, n) - 1")).otherwise(F.lit(0).cast("long"))) \
         .otherwise(F.expr("aggregate(transform(least, (x, i) -> if(x < doc_id, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)"))

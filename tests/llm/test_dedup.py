@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 from quern.llm import common, multi_index, simhash, substring
-from tests.llm.fixtures import documents, empty, rows, table
+from tests.llm.fixtures import documents, empty, prose, rows, table
 
 
 def test_components_and_forest(spark):
@@ -124,6 +124,27 @@ def test_substring_random_repeats(spark):
     assert got == brute_substring(data)
 
 
+def test_full_depth_nodes_by_hand():
+    rng = np.random.default_rng(1)
+    for depth in (1, 2, 3, 5, 8, 50):
+        spans = [rng.integers(0, 2, rng.integers(depth, depth + 30)).astype(np.uint64) for _ in range(40)]
+        counts = np.array([len(s) - depth + 1 for s in spans])
+        owner, node = substring._full_depth(spans, counts, depth)
+        suffixes = [tuple(s[i: i + depth]) for s in spans for i in range(len(s) - depth + 1)]
+        assert owner.tolist() == [k for k, n in enumerate(counts) for _ in range(n)]
+        names = {}
+        assert all(names.setdefault(n, s) == s for n, s in zip(node.tolist(), suffixes)) and len(names) == len(set(suffixes))
+
+
+def test_lengthened_prefixes_give_the_same_cuts(spark):
+    shared = prose(1, 70)
+    data = [(i, prose(100 + i, 20) + " " + shared + " " + prose(300 + i, 20)) for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    show = lambda r: sorted((x["doc_id"], sorted((c["place"], c["mask"]) for c in x["cuts"])) for x in r.collect())
+    whole = show(substring.removals(df))
+    assert len(whole) == 29 and whole == show(substring.removals(df, group_rows=3)) == show(substring.removals(df, most_bits=20, group_rows=1))
+
+
 def test_substring_text_keeps_the_rest(spark):
     docs = documents(spark)
     out = substring.deduplicated(docs)
