@@ -58,8 +58,7 @@ def tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-
     state = (goals.join(span, F.equal_null(goals["source"], span["source"])).drop(span["source"])
              .where((F.col("goal") > 0) & (F.col("goal") < F.col("whole") * cap * (1 - 1e-12)))
              .select("source", "goal", (F.least(F.log(F.col("goal") / F.col("whole")), F.lit(0.0)) / F.col("least")).alias("lo"),
-                     (F.lit(cap) / F.lit(1.0)).alias("hi"), "least")
-             .withColumn("hi", F.log(F.col("hi")) / F.col("least")).drop("least")
+                     (F.log(F.lit(cap)) / F.col("least")).alias("hi"))
              .withColumn("tilt", F.lit(0.0)).withColumn("done", F.lit(False)))
     state = staged(state, "tilts")
     for _ in range(most_steps):
@@ -106,17 +105,16 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) ->
         .otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0)))))
     rated = (scaled.join(tilt.withColumnRenamed("source", "k"), F.equal_null("source", "k"), "left").drop("k")
              .withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long")))
-    # One row of a source here stands for all its documents of one size.
+    # One row of a source here stands for all its documents of one size. A cell at a whole
+    # rate takes no extra copy, so it does not carry the error either.
     fold = F.sort_array(F.collect_list(F.struct("size", "n", "rate", "whole")), asc=False)
     step = """aggregate(cells, named_struct('e', 0.0D, 'out', cast(array() as array<struct<size:bigint,extra:bigint>>)),
         (a, x) -> named_struct(
-          'e', a.e + if(x.size = 0, 0.0D, x.n * (x.rate - x.whole) * x.size
+          'e', a.e + if(x.size = 0 or x.rate = x.whole, 0.0D, x.n * (x.rate - x.whole) * x.size
                  - x.size * least(x.n, greatest(0L, cast(round(a.e / x.size + x.n * (x.rate - x.whole)) as bigint)))),
           'out', concat(a.out, array(named_struct('size', x.size, 'extra',
                  if(x.size = 0 or x.rate = x.whole, 0L,
                     least(x.n, greatest(0L, cast(round(a.e / x.size + x.n * (x.rate - x.whole)) as bigint)))))))))"""
-    # A cell at a whole rate takes no extra copy, so it must not carry the error either.
-    step = step.replace("if(x.size = 0, 0.0D", "if(x.size = 0 or x.rate = x.whole, 0.0D")
     extra = (rated.groupBy("source").agg(fold.alias("cells")).select("source", F.explode(F.expr(step)["out"]).alias("x"))
              .select(F.col("source").alias("k"), F.col("x.size").alias("z"), "x.extra"))
     plan = staged(rated.join(extra, F.equal_null("source", "k") & (F.col("size") == F.col("z"))).drop("k", "z")
