@@ -20,8 +20,11 @@ def codes(texts: list[str], letters_only: bool) -> tuple[np.ndarray, np.ndarray]
     characters that belong to no word as one zero; and where each text begins."""
     joined = "\0" + "\0\0".join([t.lower() for t in texts]) + "\0"
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = _kinds(letters_only)
-    inside = np.where(raw < 0x10000, kinds[np.minimum(raw, 0xFFFF)], True)
+    inside = _kinds(letters_only)[np.minimum(raw, 0xFFFF)]
+    beyond = raw >= 0x10000
+    if beyond.any():
+        points, place = np.unique(raw[beyond], return_inverse=True)
+        inside[beyond] = np.array([chr(c).isalpha() if letters_only else chr(c).isalnum() for c in points.tolist()])[place]
     lengths = np.array([len(t.lower()) for t in texts]) + 2
     begins = np.concatenate([[0], np.cumsum(lengths)])
     keep = inside | np.concatenate([[True], inside[:-1]])

@@ -46,7 +46,7 @@ def foreign(seed, words):
 
 def test_language_by_rank_order(spark):
     data = [(i, prose(i, 60), "en") for i in range(60)] + [(100 + i, foreign(i, 60), "de") for i in range(60)]
-    data += [(500, None, "en"), (501, "", None), (502, "123 !!", None), (503, prose(7, 60), None), (None, foreign(8, 30), "de")]
+    data += [(500, None, "en"), (501, "", None), (502, "123 !! 😀😀", None), (503, prose(7, 60), None), (None, foreign(8, 30), "de")]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
     profiles = language.fit(docs.where("doc_id is null or doc_id % 3 <> 1"))
     got = language.predicted(docs, profiles).collect()
