@@ -70,7 +70,7 @@ def _(spark, sf):
     return c.merged_relations(base.unionByName(manual).unionByName(native))
 
 
-@query("c06_atomic_qa", _WITH + """, seg AS (SELECT *, sum(CASE WHEN customer AND (idx=0 OR asks) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY idx) AS position FROM roles)
+@query("c06_atomic_qa", _WITH + """, seg AS (SELECT *, CAST(sum(CASE WHEN customer AND (idx=0 OR asks) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY idx) AS BIGINT) AS position FROM roles)
  SELECT conv_id, position, trim(min(CASE WHEN customer AND (idx=0 OR asks) THEN text END)) AS question, count(*) FILTER (WHERE NOT customer AND trim(text) <> '') AS n_replies,
  count(*) FILTER (WHERE customer AND NOT (idx=0 OR asks) AND trim(text) <> '') AS n_feedback, coalesce(string_agg(trim(text), chr(10) ORDER BY idx) FILTER (WHERE NOT customer AND trim(text) <> ''), '') AS answer_text,
  CASE WHEN bool_or(customer AND NOT (idx=0 OR asks) AND good) THEN 'confirmed_resolution' WHEN count(*) FILTER (WHERE customer AND NOT (idx=0 OR asks) AND trim(text) <> '') > 0 THEN 'observed_result'

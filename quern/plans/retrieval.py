@@ -135,7 +135,7 @@ def _(spark, sf):
     return r.top(scored, ["qid"], [F.desc(F.round("lexical", 9)), F.asc("id")], 3).select("qid", "id", "rank", F.round("lexical", 6).alias("lexical"))
 
 
-@query("r06_evidence_budget", s.with_(s.BLOCKS) + """SELECT doc_id, block_no, used, too_large FROM (SELECT doc_id, block_no, length(text) AS n, sum(length(text)) OVER w AS used, row_number() OVER w = 1 AND length(text) > 600 AS too_large FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_no ROWS UNBOUNDED PRECEDING)) WHERE used <= 600 OR too_large""")
+@query("r06_evidence_budget", s.with_(s.BLOCKS) + """SELECT doc_id, block_no, used, too_large FROM (SELECT doc_id, block_no, length(text) AS n, CAST(sum(length(text)) OVER w AS BIGINT) AS used, row_number() OVER w = 1 AND length(text) > 600 AS too_large FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_no ROWS UNBOUNDED PRECEDING)) WHERE used <= 600 OR too_large""")
 def _(spark, sf):
     return r.within_budget(overlay.blocks(spark, sf), "doc_id", [F.asc("block_no")], F.length("text"), 600).select("doc_id", "block_no", "used", "too_large")
 
