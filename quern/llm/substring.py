@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import doc_columns, splitmix, staged
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD1342543DE82EF95 | 1
 _DEEP = 0xAF251AF3B0F025B5 | 1
