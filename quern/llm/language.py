@@ -76,11 +76,14 @@ def fit(docs: DataFrame, most_each: int = 1000) -> Profiles:
     usable = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
     n = usable.groupBy("lang").agg(F.count("*").alias("all")).select(F.col("lang").alias("l"), "all")
     # One row a language; a join on lang would deal whole languages to single tasks, so it is broadcast if it is small.
-    n = F.broadcast(n) if n.count() <= 100_000 else n
+    langs = n.count()
+    n = F.broadcast(n) if langs <= 100_000 else n
     # A hash lets about twice as many through, so that no window gathers a whole language.
     likely = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("all") < 2_000_000.0 * most_each
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     drawn = usable.select("doc_id", "lang").join(n, F.col("lang") == F.col("l")).where(likely).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_each).select("doc_id", "lang")
+    # At most most_each rows a language; if that is few, texts need no shuffle to be picked.
+    drawn = F.broadcast(drawn) if langs * most_each <= 1_000_000 else drawn
 
     def count(batches):
         for pdf in batches:
