@@ -131,5 +131,7 @@ def hex_fingerprint(fp: Column) -> Column:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is not the least of its group; the columns of
     docs are kept as they are. Rows with a null doc_id stay, for they name no document."""
-    gone = (near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    gone = staged(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    # Up to a million ids (some 20 MB) are broadcast, so that texts need no shuffle; more are not.
+    gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
