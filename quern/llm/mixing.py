@@ -60,7 +60,9 @@ def tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-
              .select("source", "goal", (F.least(F.log(F.col("goal") / F.col("whole")), F.lit(0.0)) / F.col("least")).alias("lo"),
                      (F.log(F.lit(cap)) / F.col("least")).alias("hi"))
              .withColumn("tilt", F.lit(0.0)).withColumn("done", F.lit(False)))
-    state = staged(state, "tilts")
+    # One small row a source: a file or two, not one for each shuffle partition and step.
+    files = max(1, -(-goals.count() // 200_000))
+    state = staged(state.coalesce(files), "tilts")
     for _ in range(most_steps):
         rate = F.least(F.lit(cap), F.exp(F.least(F.col("tilt") * F.col("c"), F.lit(50.0))))
         keyed = state.select(F.col("source").alias("s"), "tilt")
@@ -77,7 +79,7 @@ def tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-
                  .select("source", "goal", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"),
                          F.when(done, F.col("tilt")).when((F.col("step") > F.col("lo2")) & (F.col("step") < F.col("hi2")), F.col("step"))
                          .otherwise((F.col("lo2") + F.col("hi2")) / 2).alias("tilt"), done.alias("done")))
-        state = staged(moved, "tilts")
+        state = staged(moved.coalesce(files), "tilts")
         if state.where("not done").limit(1).count() == 0:
             break
     return state.select("source", "tilt")
