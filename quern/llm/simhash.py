@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import overlap
 from quern.llm.common import components, doc_columns, staged
 
 #: Rows of one bucket that are compared in one task; larger buckets are cut into tiles.
@@ -130,8 +131,12 @@ def hex_fingerprint(fp: Column) -> Column:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is not the least of its group; the columns of
-    docs are kept as they are. Rows with a null doc_id stay, for they name no document."""
-    gone = staged(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    docs are kept as they are. Rows with a null doc_id stay, for they name no document.
+
+    Groups are those of overlap.near_duplicates: shingles of five words, Jaccard similarity of
+    0.8 or more. Fingerprints of such pairs differ in ten bits on average and in twenty at
+    times, too many for 64 bits to be a join key, so candidates come from shared shingles."""
+    gone = staged(overlap.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     # Up to a million ids (some 20 MB) are broadcast, so that texts need no shuffle; more are not.
     gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -84,6 +84,37 @@ def test_deduplicated_keeps_columns_and_one_of_each_group(spark):
     assert 1 in ids and 3 not in ids and ids.count(None) == 2
 
 
+def brute_near_copies(data):
+    """The least id of each id's group over all pairs with a 5-word Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for i, text in data:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    least = {i: i for i in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_deduplicated_against_brute_force(spark):
+    rng, data = random.Random(5), []
+    passage = prose(77, 60)
+    for group in range(12):
+        base = prose(300 + group, rng.randint(20, 160)).split() + (passage.split() if group % 2 else [])
+        for _ in range(8):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 25))):
+                words[rng.randrange(len(words))] = "changed" + str(rng.randrange(1000))
+            data.append((len(data), " ".join(words)))
+    data += [(len(data) + i, t) for i, t in enumerate([None, "", "a b", "A  b", "a b c", passage, passage + " more"])]
+    want = brute_near_copies(data)
+    assert len(set(want.values())) < len(want) - 20
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.deduplicated(docs).collect()} == set(want.values())
+
+
 def brute_substring(data, window=50):
     first = {}
     words = [(r[1] or "").encode().split() for r in data]
