@@ -23,7 +23,7 @@ def _(spark, sf):
 
 @query("h02_ancestors", _WITH + "SELECT node, ancestor, depth FROM closure WHERE depth > 0")
 def _(spark, sf):
-    return h.closure(overlay.edges(spark, sf)).where("depth > 0").select("node", "ancestor", "depth")
+    return h.closure(overlay.edges(spark, sf), 5).where("depth > 0").select("node", "ancestor", "depth")
 
 
 _MOVES = "(SELECT 'N'||(c_custkey % 25) AS parent, 'R'||(c_custkey % 5) AS child FROM customer UNION SELECT 'C'||c_custkey, 'N'||(c_custkey % 25) FROM customer)"

@@ -118,6 +118,20 @@ def test_cycles_and_moves(spark):
     assert {tuple(r) for r in hierarchy.would_cycle(tree, moves).collect()} == {("c", "a", True), ("a", "c", False)}
 
 
+def test_walks_have_no_limit_of_depth(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(11)], "parent string, child string")
+    assert {tuple(r) for r in hierarchy.subtree(chain, "n0").collect()} == {(f"n{i}", i) for i in range(12)}
+    ring = chain.unionByName(spark.createDataFrame([("n11", "n0")], "parent string, child string"))
+    assert hierarchy.cycles(ring).count() == 12 and hierarchy.subtree(ring, "n0").count() == 12
+    counts = spark.createDataFrame([("n11", 3)], "node string, n long")
+    assert {r["total"] for r in hierarchy.subtree_counts(chain, counts).collect()} == {3}
+    assert hierarchy.would_cycle(chain, spark.createDataFrame([("n11", "n0")], "parent string, child string")).first()["would_cycle"]
+    versions = spark.createDataFrame([(i, i - 1 if i else None) for i in range(9)] + [(20, 21), (21, 22), (22, 21)], "doc_id long, previous_id long")
+    want = {(i, j, i - j) for i in range(9) for j in range(i + 1)} | {(20, 20, 0), (20, 21, 1), (20, 22, 2), (21, 21, 0), (21, 22, 1), (22, 22, 0), (22, 21, 1)}
+    got = [tuple(r) for r in documents.lineage(versions).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_affected_when_a_global_section_changed(spark):
     cites = spark.createDataFrame([(1, "x"), (2, "y")], "knowledge_id long, section string")
     some = spark.createDataFrame([("x", "changed"), ("z", "added")], "section string, change string")
