@@ -68,7 +68,9 @@ def greedy(items: DataFrame, linked: DataFrame, components: DataFrame, most: int
 def complete_linkage(vectors: DataFrame, components: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(id, cluster): clusters merge while every cross pair has a cosine of the threshold; the
     closest pair first, ties by id; a cluster is named by its least id. vectors: id, vector.
-    components: node, component of the pair graph, which bounds each group."""
+    components: node, component of the pair graph, which bounds each group; a vector in none
+    is a cluster of its own."""
+    alone = vectors.join(components, F.col("id") == F.col("node"), "left_anti").select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("cluster"))
     member = components.select(F.col("node").alias("id"), "component").join(vectors.select("id", "vector"), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,7 +96,7 @@ def complete_linkage(vectors: DataFrame, components: DataFrame, threshold: float
         rows = [(ids[k], ids[min(g)]) for g, ok in zip(groups, alive) if ok for k in g]
         return pd.DataFrame(rows, columns=["id", "cluster"]).astype("int64")
 
-    return member.groupBy("component").applyInPandas(run, "id long, cluster long")
+    return member.groupBy("component").applyInPandas(run, "id long, cluster long").unionByName(alone)
 
 
 def medoids(members: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -99,6 +99,12 @@ def test_greedy_and_linkage(spark):
     assert {tuple(r) for r in grouping.complete_linkage(vec, comp, 0.85).collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
 
 
+def test_vectors_without_a_partner_are_clusters(spark):
+    vec = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "id long, vector array<double>")
+    comp = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    assert {tuple(r) for r in grouping.complete_linkage(vec, comp).collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
+
+
 def test_contexts_reset_at_the_budget(spark):
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate([4, 4, 4, 20, 1, 9])], "g long, o long, n long")
     assert [tuple(r) for r in documents.packed_contexts(df, "g", "o", "n", 10).orderBy("o").select("o", "part").collect()] == [(0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4)]
