@@ -114,18 +114,20 @@ def match_score(same_key: Column, models: Column, families: Column, jaccard: Col
     return F.round(F.when(same_key, 0.5).otherwise(0.0) + F.when(models, 0.28).otherwise(-0.18) + F.when(families, 0.12).otherwise(0.0) + 0.4 * jaccard, 4)
 
 
-def label_components(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, component): least node reachable over edges (a, b) of a few dozen steps at
-    most: minimum over the neighbours, then over the label's label, each round."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component"))
-    for _ in range(rounds):
-        seen = label.select(F.col("node").alias("b"), F.col("component").alias("c"))
-        low = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("low"))
-        near = label.join(low, "node").select("node", F.least("component", "low").alias("component"))
-        jump = near.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = near.join(jump, "component", "left").select("node", F.least(F.coalesce("next", "component"), "component").alias("component")).checkpoint()
-        if new.exceptAll(label).limit(1).count() == 0:
-            return new
-        label = new
-    return label
+def label_components(edges: DataFrame) -> DataFrame:
+    """(node, component): least node reachable over edges (a, b). Large-star and small-star
+    rounds, until no edge changes; long chains need a number of rounds that grows with their logarithm."""
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).where("node is not null").distinct()
+    now = edges.select("a", "b").where("a <> b").distinct().checkpoint()
+    seen = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        down = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))
+        now = down.join(least, "a").select(F.explode(pairs).alias("e")).select("e.a", "e.b").where("a <> b").distinct().checkpoint()
+        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if sums == seen:
+            return nodes.join(now, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component"))
+        seen = sums

@@ -99,6 +99,13 @@ def test_greedy_and_linkage(spark):
     assert {tuple(r) for r in grouping.complete_linkage(vec, comp, 0.85).collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
 
 
+def test_components_of_a_long_chain(spark):
+    spark.sparkContext.setCheckpointDir("/tmp/quern-test-checkpoint")
+    chain = [(i, i + 1) for i in range(1000, 1060)] + [(1060, 0), (7, 8), (9, 9)]
+    got = {tuple(r) for r in grouping.label_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {(i, 0) for i in [0, *range(1000, 1061)]} | {(7, 7), (8, 7), (9, 9)}
+
+
 def test_vectors_without_a_partner_are_clusters(spark):
     vec = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "id long, vector array<double>")
     comp = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
