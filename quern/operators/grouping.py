@@ -36,13 +36,15 @@ def contradictions(claims: DataFrame) -> DataFrame:
     return g.where("n_plain > 0 and n_negated > 0")
 
 
-def greedy(items: DataFrame, linked: DataFrame, components: DataFrame, most: int = 50) -> DataFrame:
+def greedy(items: DataFrame, linked: DataFrame, components: DataFrame, most: int = 50, key: str | None = None) -> DataFrame:
     """(id, seed): inside each component, items in order of frequency, then id; the first free
-    one is a seed and takes the free items linked to it, ``most`` members at most.
+    one is a seed and takes the free items linked to it, or of its ``key`` (null and empty
+    keys match nothing), in that order, ``most`` members at most.
 
-    items: id, frequency. linked: a, b. components: node, component. The order-dependent part
+    items: id, frequency, key. linked: a, b. components: node, component. The order-dependent part
     runs per component, which no group crosses."""
-    member = components.select(F.col("node").alias("id"), "component").join(items.select("id", "frequency"), "id")
+    member = components.select(F.col("node").alias("id"), "component").join(
+        items.select("id", "frequency", (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key")), "id")
     near = linked.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(linked.select(F.col("b").alias("id"), F.col("a").alias("other")))
     lists = near.groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("near"))
 
@@ -51,18 +53,39 @@ def greedy(items: DataFrame, linked: DataFrame, components: DataFrame, most: int
         seed: dict[int, int] = {}
         around = dict(zip(pdf["id"], pdf["near"]))
         order = {k: n for n, k in enumerate(pdf["id"])}
+        key_of = dict(zip(pdf["id"], pdf["key"]))
+        waiting: dict[str, list[int]] = {}
+        for k in reversed(list(pdf["id"])):
+            if key_of[k]:
+                waiting.setdefault(key_of[k], []).append(k)
         for k in pdf["id"]:
             if k not in seed:
                 seed[k] = k
                 left = most - 1
-                for other in sorted((o for o in around[k] if o in order and o not in seed), key=order.get):
+                free = {o for o in (around[k] if around[k] is not None else ()) if o in order and o not in seed}
+                # Only the first items of a key can be taken. What is taken here never comes back.
+                same, held = waiting.get(key_of[k], []), []
+                while same and len(held) < left:
+                    o = same.pop()
+                    if o not in seed:
+                        held.append(o)
+                chosen = sorted(free.union(held), key=order.get)
+                same.extend(o for o in reversed(held) if order[o] > order[chosen[min(left, len(chosen)) - 1]])
+                for other in chosen:
                     if not left:
                         break
                     seed[other] = k
                     left -= 1
         return pd.DataFrame({"id": list(seed), "seed": list(seed.values())}, dtype="int64")
 
-    return member.join(lists, "id").groupBy("component").applyInPandas(run, "id long, seed long")
+    return member.join(lists, "id", "left").groupBy("component").applyInPandas(run, "id long, seed long")
+
+
+def key_links(items: DataFrame, key: str) -> DataFrame:
+    """(a, b): each item with the first of its key, which makes one component of a key."""
+    held = items.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select("id", F.col(key).alias("key"))
+    first = held.groupBy("key").agg(F.min("id").alias("a"))
+    return held.join(first, "key").select("a", F.col("id").alias("b"))
 
 
 def complete_linkage(vectors: DataFrame, components: DataFrame, threshold: float = 0.8) -> DataFrame:

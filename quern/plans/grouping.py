@@ -24,11 +24,12 @@ def _(spark, sf):
 
 @query("g03_greedy_groups")
 def _(spark, sf):
-    """Order-dependent; SQL has no form for it."""
+    """Items of one knowledge_key or near titles of one brand. Order-dependent; SQL has no form for it."""
     spark = checkpointed(spark)
     items = overlay.candidates(spark, sf)
     linked = g.pairs(items, "brand", 0.5)
-    return g.greedy(items, linked, g.label_components(linked))
+    every = linked.select("a", "b").unionByName(g.key_links(items, "knowledge_key"))
+    return g.greedy(items, linked, g.label_components(every), key="knowledge_key")
 
 
 _CLAIMS = "claims AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'is not ' || p_type ELSE 'is ' || p_type END AS text FROM part)"

@@ -106,6 +106,25 @@ def test_components_of_a_long_chain(spark):
     assert got == {(i, 0) for i in [0, *range(1000, 1061)]} | {(7, 7), (8, 7), (9, 9)}
 
 
+def test_greedy_joins_items_of_one_key(spark):
+    spark.sparkContext.setCheckpointDir("/tmp/quern-test-checkpoint")
+    rng = random.Random(3)
+    data = [(i, rng.randint(0, 9), rng.choice(["x", "y", "z", "", None])) for i in range(60)]
+    near = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(60)) if a < b}
+    items = spark.createDataFrame(data, "id long, frequency long, knowledge_key string")
+    linked = spark.createDataFrame(sorted(near), "a long, b long")
+    comp = grouping.label_components(linked.unionByName(grouping.key_links(items, "knowledge_key")))
+    inside = {r["node"] for r in comp.collect()}
+    for most in (2, 5, 50):
+        free, want = [r for r in sorted(data, key=lambda r: (-r[1], r[0])) if r[0] in inside], set()
+        while free:
+            seed = free.pop(0)
+            taken = [r for r in free if (seed[2] and r[2] == seed[2]) or (min(r[0], seed[0]), max(r[0], seed[0])) in near][: most - 1]
+            free = [r for r in free if r not in taken]
+            want |= {(r[0], seed[0]) for r in [seed, *taken]}
+        assert {tuple(r) for r in grouping.greedy(items, linked, comp, most, "knowledge_key").collect()} == want
+
+
 def test_vectors_without_a_partner_are_clusters(spark):
     vec = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "id long, vector array<double>")
     comp = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
