@@ -151,23 +151,25 @@ def _vbr(data: bytes, at: int, h: Header) -> dict | None:
 
 
 def parse(data: bytes) -> Stream:
-    """All frames of a stream, whatever stands between them."""
+    """All frames of a stream, whatever stands between them. "TAG" at 128 bytes before the end
+    begins an ID3v1 tag only where no frame holds these bytes."""
     out, at, end, ticks = Stream(), 0, len(data), {}
-    if end >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        out.tags["ID3v1"] = data[end:]
+    last = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else -1
     first = True
     while at < end:
+        if at == last:
+            out.tags["ID3v1"] = data[at:]
+            break
         if data[at: at + 3] == b"ID3" and at + 10 <= end:
             at = _tag(data, at, out.tags)
             continue
         h = header(data[at: at + 4])
-        ok = h is not None and at + h.size <= end and (at + h.size == end or header(data[at + h.size: at + h.size + 4]) is not None
+        ok = h is not None and at + h.size <= end and (at + h.size in (end, last) or header(data[at + h.size: at + h.size + 4]) is not None
                                                         or data[at + h.size: at + h.size + 3] == b"ID3")
         if not ok:
             following = data.find(b"\xff", at + 1, end)
             tag = data.find(b"ID3", at + 1, end)
-            following = min([x for x in (following, tag) if x >= 0], default=end)
+            following = min([x for x in (following, tag, last) if x > at], default=end)
             out.skipped += following - at
             at = following
             continue

@@ -152,6 +152,21 @@ def test_audio_resynchronises_and_sees_damage():
     assert mpeg_audio.parse(bytes(broken)).bad == 1
 
 
+def test_payload_may_hold_the_letters_of_an_id3v1_tag():
+    rng, places = random.Random(4), 0
+    for size in range(64, 4096, 64):
+        payload = rng.randbytes(size)
+        at = payload.find(mpeg_audio.pack(payload)[-128:-125])
+        if at >= 0:
+            places += 1
+            payload = payload[:at] + b"TAG" + payload[at + 3:]
+            media = mpeg_audio.pack(payload)
+            assert media[-128:-125] == b"TAG" and mpeg_audio.unpack(media) == payload
+            tagged = mpeg_audio.parse(media + b"TAG" + bytes(125))
+            assert "ID3v1" in tagged.tags and tagged.skipped == 0 and mpeg_audio.unpack(media + b"TAG" + bytes(125)) == payload
+    assert places > 10
+
+
 def test_audio_headers_of_the_standard():
     # Sizes of well-known frames: 128 kbit/s at 44.1 kHz, with and without padding; Layer II; MPEG-2.
     assert mpeg_audio.header(bytes((0xFF, 0xFB, 0x90, 0x00))).size == 417
