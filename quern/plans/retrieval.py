@@ -91,6 +91,15 @@ def _(spark, sf):
     return pairs.where("cosine >= 0.3").withColumn("cosine", F.round("cosine", 6))
 
 
+@query("f50_all_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(-1, least(1, " + _COS + ")), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label=b.label AND b.vec_id > a.vec_id WHERE " + _COS + " >= 0.3")
+def _(spark, sf):
+    """Every pair of a label once."""
+    e = _vectors(spark, sf)[1]
+    q = e.select(F.col("id").alias("a"), "label", F.col("vector").alias("x"))
+    pairs = q.join(e, "label").where("id > a").select("a", F.col("id").alias("b"), v.clamped(F.col("x"), F.col("vector")).alias("cosine"))
+    return pairs.where("cosine >= 0.3").withColumn("cosine", F.round("cosine", 6))
+
+
 @query("f52_unit_vectors", "SELECT vec_id, round(list_sum(list_transform(u, lambda x: x*x)), 6) AS squared, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y*y)))) AS u FROM embeddings)")
 def _(spark, sf):
     u = table(spark, sf, "embeddings").select("vec_id", v.unit(F.col("embedding")).alias("u"))
