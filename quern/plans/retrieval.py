@@ -209,3 +209,38 @@ def _(spark, sf):
     words = r.top(words, ["qid"], [F.col("id") % 17, F.col("id")], 40, "lexical_rank").select("id", "lexical_rank")
     found = F.when(F.col("lexical_rank").isNull(), "embedding").when(F.col("vector_rank").isNull(), "lexical").otherwise("both")
     return words.join(hits, "id", "full").select("id", F.coalesce("lexical_rank", F.lit(0)).alias("lexical_rank"), F.coalesce("vector_rank", F.lit(0)).alias("vector_rank"), found.alias("found_by"))
+
+
+_EMBEDDED = "(SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"
+_LISTS = s.with_("questions AS (SELECT doc_id AS qid, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 12), ' ') AS question FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))",
+                 lexical_sql(_EMBEDDED, "text", None),
+                 "l AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(lexical, 9) DESC, id) AS rank FROM scored)",
+                 f"w AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 9) DESC, id) AS rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.label=b.label WHERE a.vec_id % 50 = 0) WHERE cosine IS NOT NULL)").rstrip()
+
+
+def _lists(spark, sf):
+    """Ranked (qid, id) by vector and by words, for all vectors with an id divisible by 50. A vector's
+    text is the document of its id; the first 12 words of it are the question."""
+    q, e = _vectors(spark, sf)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").join(e.select("id"), "id", "left_semi")
+    asked = d.where("id % 50 = 0").select(F.col("id").alias("qid"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("question"))
+    rank = lambda by: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round(by, 9)), "id"))
+    vector = r.vector_scores(q, e).select("qid", "id", rank("cosine").alias("vector_rank"))
+    return vector, r.lexical_scores(asked, d, F.col("text"), None).select("qid", "id", rank("lexical").alias("lexical_rank"))
+
+
+@query("r16_whole_vector_merge", _LISTS + """, l2 AS (SELECT * FROM l WHERE rank <= 40), w2 AS (SELECT * FROM w WHERE rank <= 40)
+ SELECT coalesce(l2.qid, w2.qid) AS qid, coalesce(l2.id, w2.id) AS id, coalesce(l2.rank, 0) AS lexical_rank, coalesce(w2.rank, 0) AS vector_rank, CASE WHEN l2.rank IS NULL THEN 'embedding' WHEN w2.rank IS NULL THEN 'lexical' ELSE 'both' END AS found_by
+ FROM l2 FULL JOIN w2 ON l2.qid = w2.qid AND l2.id = w2.id""")
+def _(spark, sf):
+    vector, words = _lists(spark, sf)
+    found = F.when(F.col("lexical_rank").isNull(), "embedding").when(F.col("vector_rank").isNull(), "lexical").otherwise("both")
+    both = words.where("lexical_rank <= 40").join(vector.where("vector_rank <= 40"), ["qid", "id"], "full")
+    return both.select("qid", "id", F.coalesce("lexical_rank", F.lit(0)).alias("lexical_rank"), F.coalesce("vector_rank", F.lit(0)).alias("vector_rank"), found.alias("found_by"))
+
+
+@query("r10_whole_running_rank", _LISTS + "SELECT qid, id, kind, row_number() OVER (PARTITION BY qid ORDER BY kind, own) AS rank FROM (SELECT qid, id, 0 AS kind, rank AS own FROM w UNION ALL SELECT qid, id, 1, rank FROM l)")
+def _(spark, sf):
+    vector, words = _lists(spark, sf)
+    both = vector.select("qid", "id", F.lit(0).alias("kind"), F.col("vector_rank").alias("own")).unionByName(words.select("qid", "id", F.lit(1).alias("kind"), F.col("lexical_rank").alias("own")))
+    return both.select("qid", "id", "kind", F.row_number().over(Window.partitionBy("qid").orderBy("kind", "own")).alias("rank"))
