@@ -90,7 +90,8 @@ class _Memory(dict):
                 found = b"".join([four[x.id] for x in self.merges(chunk.encode().decode("latin-1").translate(self.letters))])
         else:
             head = chunk.rstrip(_MARKS)
-            if head != chunk and head.isalpha():
+            # A letter whose normal form ends in a combining mark makes one piece with what follows.
+            if head != chunk and head.isalpha() and (head.isascii() or unicodedata.normalize("NFC", head).lower().isalpha()):
                 found = self[head] + self[chunk[len(head):]]
         if found is None:
             found = _ids(self.tokenizer, chunk)
