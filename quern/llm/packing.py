@@ -3,8 +3,9 @@
 Documents become pieces of at most ``length`` ids. Only the histogram of piece lengths, at
 most ``length`` numbers, reaches the driver. There, all patterns of one to three lengths that
 fill a sequence exactly are enumerated from the lengths that occur; repeat counts are fitted
-to the histogram by non-negative least squares, rounded down to what the histogram still
-has, and the residual histogram is packed best-fit decreasing. The plan is again a table of
+to the histogram by non-negative least squares and rounded down to what the histogram still
+has. The same is done on the residue with patterns of bounded waste, and what is left then
+is packed best-fit decreasing. The plan is again a table of
 a size bounded by ``length``. Each piece finds its place in it by its rank among the pieces
 of its length, counted over salted buckets so that no length is gathered in one task.
 """
@@ -48,25 +49,30 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end: int = 0, with_id
     return doc_columns(docs, "doc_id", "text").mapInPandas(run, shape)
 
 
-def patterns(present: np.ndarray, length: int) -> np.ndarray:
-    """Rows of three lengths (0: none) that add up to length, all of them present."""
+def patterns(present: np.ndarray, length: int, waste: int = 0) -> np.ndarray:
+    """Rows of up to three lengths that occur (0: none), the largest first, that leave at most
+    ``waste`` of a sequence free; for each two of them the largest third that fits."""
     have = np.zeros(length + 1, bool)
     have[present] = True
-    out = [np.array([[length, 0, 0]])] if have[length] else []
-    present = present[present < length]
-    pair = present[have[length - present] & (present >= length - present)]
-    out.append(np.stack([pair, length - pair, np.zeros_like(pair)], axis=1))
+    have[0] = False
+    below = np.maximum.accumulate(np.where(have, np.arange(length + 1), 0))
+    present = np.nonzero(have)[0]
+    out = [np.empty((0, 3), np.int64)]
     for a in present:
-        b = present[(present <= a) & (present < length - a)]
-        c = length - a - b
-        ok = (c <= b) & have[c]
+        b = np.append(present[present <= min(a, length - a)], 0)
+        c = below[np.minimum(b, length - a - b)]
+        ok = length - a - b - c <= waste
         out.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok]], axis=1))
-    return np.concatenate(out).astype(np.int64) if out else np.empty((0, 3), np.int64)
+    return np.concatenate(out).astype(np.int64)
 
 
-def repeats(rows: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
+def repeats(rows: np.ndarray, counts: np.ndarray, most_rounds: int = 600) -> np.ndarray:
     """min |A x - counts|^2 over x >= 0 by accelerated projected gradient; column p of A counts
-    the lengths of pattern p."""
+    the lengths of pattern p.
+
+    Ends when the optimality conditions hold to a thousandth of the largest count, or half a
+    document: no gradient on a positive entry, none that would raise a zero entry. What
+    ``most_rounds`` may leave over is only a less good start for the residual."""
     if not len(rows):
         return np.empty(0)
     size = len(counts)
@@ -76,26 +82,35 @@ def repeats(rows: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarr
     # The squared norm of A is at most the largest column sum times the largest row sum.
     step = 1.0 / (3.0 * max(1.0, float(np.bincount(rows[used], minlength=size).max())))
     scale = np.maximum(1.0, np.bincount(rows[used], minlength=size).astype(float))
+    slack = max(0.5, 1e-3 * float(aim.max()))
+
+    def descent(v: np.ndarray) -> np.ndarray:
+        rest = aim - np.bincount(rows.ravel(), weights=np.repeat(v, 3), minlength=size)
+        rest[0] = 0
+        return rest[rows].sum(axis=1)
+
     x = np.where(used, (aim / scale)[rows], np.inf).min(axis=1)
     y, t = x.copy(), 1.0
-    for _ in range(rounds):
-        rest = aim - np.bincount(rows.ravel(), weights=np.repeat(y, 3), minlength=size)
-        rest[0] = 0
-        new = np.maximum(0, y + step * rest[rows].sum(axis=1))
+    for turn in range(most_rounds):
+        down = descent(y)
+        new = np.maximum(0, y + step * down)
+        if float(down @ (new - x)) < 0:
+            t = 1.0  # the momentum points uphill
         following = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = np.maximum(0, new + (t - 1) / following * (new - x))
         x, t = new, following
+        if turn % 20 == 19:
+            down = descent(x)
+            if np.where(x > 0, np.abs(down), np.maximum(down, 0)).max() <= slack:
+                break
     return x
 
 
-def plan(histogram: dict[int, int], length: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """[(pattern, sequences)]: a pattern is ((piece length, times), ...) from offset 0 on."""
-    counts = np.zeros(length + 1, np.int64)
-    for k, n in histogram.items():
-        counts[k] = n
-    out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    rows = patterns(np.nonzero(counts)[0], length)
-    fitted = repeats(rows, counts)
+def _fitted(counts: np.ndarray, length: int, waste: int) -> tuple[list, np.ndarray]:
+    """Patterns with their fitted repeat counts, rounded down to what counts has, and what is left."""
+    out, left = [], counts.copy()
+    rows = patterns(np.nonzero(left)[0], length, waste)
+    fitted = repeats(rows, left)
     for p in np.argsort(-fitted, kind="stable"):
         n = int(fitted[p])
         if n < 1:
@@ -104,12 +119,26 @@ def plan(histogram: dict[int, int], length: int) -> list[tuple[tuple[tuple[int,
         for k in rows[p]:
             need[int(k)] += int(k > 0)
         need.pop(0, None)
-        n = min([n] + [int(counts[k]) // m for k, m in need.items()])
+        n = min([n] + [int(left[k]) // m for k, m in need.items()])
         if n:
             for k, m in need.items():
-                counts[k] -= n * m
+                left[k] -= n * m
             out.append((tuple(sorted(need.items(), reverse=True)), n))
-    return out + _best_fit(counts, length)
+    return out, left
+
+
+def plan(histogram: dict[int, int], length: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """[(pattern, sequences)]: a pattern is ((piece length, times), ...) from offset 0 on.
+
+    Exact fills come first, then, on what they leave, patterns that waste at most an eighth
+    of a sequence, if that needs fewer sequences than packing it all best-fit."""
+    counts = np.zeros(length + 1, np.int64)
+    for k, n in histogram.items():
+        counts[k] = n
+    out, left = _fitted(counts, length, 0)
+    plain = _best_fit(left, length)
+    loose, rest = _fitted(left, length, length // 8)
+    return out + min((plain, loose + _best_fit(rest, length)), key=lambda found: sum(n for _, n in found))
 
 
 def _best_fit(counts: np.ndarray, length: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
