@@ -1,9 +1,10 @@
 """MPEG audio as a media column: a writer that carries a payload, and a frame parser.
 
-The parser resynchronises on frame headers (a header counts if a second one follows where
-its frame ends, or the stream ends there), parses ID3v2 and ID3v1 tags and Xing / Info
-tables, verifies the CRC-16 of protected frames, and gives exact durations and the byte
-offset of every frame for seeking.
+The parser resynchronises on frame headers (a header counts if it agrees in version, layer
+and sample rate with the frame that ends there, or with the header where its own frame ends,
+or if that is where a tag begins or the stream ends), parses ID3v2 and ID3v1 tags and the variable-bitrate tables (Xing, Info, VBRI), verifies the
+CRC-16 of protected frames of all three layers, and gives the exact duration as a fraction
+and the byte offset of every frame for seeking.
 
 The writer makes a valid variable-bitrate MPEG-1 Layer III stream of silent mono frames at
 48 kHz, with an ID3v2 tag, a Xing frame with its seek table, and a CRC in every frame. The
@@ -17,11 +18,12 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quern.llm.common import doc_columns
+from quern.llm.common import doc_columns, staged
 
 # Fixed values of the MPEG audio standard: kbit/s by (is MPEG-1, layer) and index, Hz by version and index.
 _RATES = {
@@ -33,6 +35,14 @@ _RATES = {
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 _HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Layer II: bits of the allocation of each subband, by table.
+_ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
 _OWNER = b"payload-length"
 
 
@@ -46,12 +56,26 @@ class Header:
     mono: bool
     size: int
     samples: int
+    bound: int  # subbands from here on share their allocation between the channels
 
     @property
     def side(self) -> int:
         """Bytes of Layer III side information."""
         return (17 if self.mono else 32) if self.version == 3 else (9 if self.mono else 17)
 
+    @property
+    def allocation(self) -> tuple[int, ...]:
+        """Layer II: bits of the allocation of each subband."""
+        each = self.kbps // (1 if self.mono else 2)
+        if self.version != 3:
+            return _ALLOCATION["low"]
+        if each < 56:
+            return _ALLOCATION["d" if self.hertz == 32000 else "c"]
+        return _ALLOCATION["a" if self.hertz == 48000 or each <= 80 else "b"]
+
+    def agrees(self, other: Header | None) -> bool:
+        return other is not None and (self.version, self.layer, self.hertz) == (other.version, other.layer, other.hertz)
+
 
 _headers: dict[bytes, Header | None] = {}
 
@@ -75,7 +99,8 @@ def _header(four: bytes) -> Header | None:
     kbps, hertz = _RATES[version == 3, layer][rate], _HERTZ[version][speed]
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     size = (12_000 * kbps // hertz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hertz + pad
-    return Header(version, layer, not four[1] & 1, kbps, hertz, four[3] >> 6 == 3, size, samples)
+    bound = 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, kbps, hertz, four[3] >> 6 == 3, size, samples, bound)
 
 
 def _crc_table() -> list[int]:
@@ -92,32 +117,60 @@ _TABLE = _crc_table()
 _checked: dict[bytes, int] = {}
 
 
-def crc16(data: bytes) -> int:
-    """The standard's CRC (polynomial 0x8005, from 0xFFFF)."""
-    found = _checked.get(data)
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The standard's CRC (polynomial 0x8005, from 0xFFFF) of the first bits, or all, of data."""
+    found = _checked.get((data, bits))
     if found is None:
         found = 0xFFFF
-        for byte in data:
+        whole, rest = divmod(8 * len(data) if bits is None else bits, 8)
+        for byte in data[:whole]:
             found = (found << 8 ^ _TABLE[found >> 8 ^ byte]) & 0xFFFF
+        for k in range(rest):
+            high = found >> 15 ^ data[whole] >> 7 - k & 1
+            found = (found << 1 ^ 0x8005 * high) & 0xFFFF
         if len(_checked) > 10_000:
             _checked.clear()
-        _checked[data] = found
+        _checked[data, bits] = found
     return found
 
 
+def _protected(data: bytes, at: int, h: Header) -> tuple[bytes, int]:
+    """What the CRC of the frame at ``at`` covers, and its number of bits: half the header, then the
+    side information (Layer III), the bit allocation (I), or that and the scale factor selection (II)."""
+    body = at + 6
+    if h.layer == 3:
+        bits = 8 * h.side
+    elif h.layer == 1:
+        bits = 4 * (32 if h.mono else 32 + h.bound)
+    else:
+        word, bits, chosen = int.from_bytes(data[body: body + 64].ljust(64, b"\0"), "big"), 0, 0
+        for band, width in enumerate(h.allocation):
+            shared = band >= h.bound
+            for _ in range(1 if h.mono or shared else 2):
+                bits += width
+                if word >> 512 - bits & (1 << width) - 1:
+                    chosen += 2 if shared and not h.mono else 1
+        bits += 2 * chosen
+    return data[at + 2: at + 4] + data[body: body + -(-bits // 8)], 16 + bits
+
+
 @dataclass
 class Stream:
     offsets: list[int] = field(default_factory=list)  # of each audio frame
     samples: int = 0
-    microseconds: int = 0
+    seconds: Fraction = Fraction(0)
     skipped: int = 0  # bytes that belong to no frame and no tag
     checked: int = 0
     bad: int = 0
     rates: set[int] = field(default_factory=set)
     tags: dict[str, bytes] = field(default_factory=dict)
-    table: dict | None = None  # of the Xing or Info frame
+    table: dict | None = None  # of the Xing, Info or VBRI frame
     ancillary: list[tuple[int, int]] = field(default_factory=list)  # begin and end behind the side information
 
+    @property
+    def microseconds(self) -> int:
+        return int(self.seconds * 1_000_000)
+
 
 def _syncsafe(four: bytes) -> int:
     return four[0] << 21 | four[1] << 14 | four[2] << 7 | four[3]
@@ -136,9 +189,17 @@ def _tag(data: bytes, at: int, tags: dict[str, bytes]) -> int:
 
 
 def _vbr(data: bytes, at: int, h: Header) -> dict | None:
-    """The Xing or Info table of the frame at ``at``, if it is one."""
+    """The Xing, Info or VBRI table of the frame at ``at``, if it is one."""
+    if h.layer != 3:
+        return None
+    place, end = at + 36, at + h.size
+    if data[place: place + 4] == b"VBRI" and place + 26 <= end:
+        _, _, quality, size, frames, entries, scale, width, each = struct.unpack(">HHHIIHHHH", data[place + 4: place + 26])
+        body = data[place + 26: min(end, place + 26 + entries * width)]
+        steps = [scale * int.from_bytes(body[k: k + width], "big") for k in range(0, len(body), width or 1)] if width else []
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "quality": quality, "seek": steps, "frames_per_entry": each}
     place = at + 4 + h.side
-    if h.layer != 3 or data[place: place + 4] not in (b"Xing", b"Info"):
+    if data[place: place + 4] not in (b"Xing", b"Info"):
         return None
     flags = int.from_bytes(data[place + 4: place + 8], "big")
     out: dict = {"kind": data[place: place + 4].decode()}
@@ -155,7 +216,7 @@ def parse(data: bytes) -> Stream:
     begins an ID3v1 tag only where no frame holds these bytes."""
     out, at, end, ticks = Stream(), 0, len(data), {}
     last = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else -1
-    first = True
+    first, before = True, None  # before: the header of a frame that ends here
     while at < end:
         if at == last:
             out.tags["ID3v1"] = data[at:]
@@ -164,14 +225,15 @@ def parse(data: bytes) -> Stream:
             at = _tag(data, at, out.tags)
             continue
         h = header(data[at: at + 4])
-        ok = h is not None and at + h.size <= end and (at + h.size in (end, last) or header(data[at + h.size: at + h.size + 4]) is not None
+        ok = h is not None and at + h.size <= end and (at + h.size in (end, last) or h.agrees(before)
+                                                        or h.agrees(header(data[at + h.size: at + h.size + 4]))
                                                         or data[at + h.size: at + h.size + 3] == b"ID3")
         if not ok:
             following = data.find(b"\xff", at + 1, end)
             tag = data.find(b"ID3", at + 1, end)
             following = min([x for x in (following, tag, last) if x > at], default=end)
             out.skipped += following - at
-            at = following
+            at, before = following, None
             continue
         table = _vbr(data, at, h) if first else None
         first = False
@@ -183,14 +245,13 @@ def parse(data: bytes) -> Stream:
             ticks[h.hertz] = ticks.get(h.hertz, 0) + h.samples
             out.rates.add(h.kbps)
             behind = at + 4 + 2 * h.protected
-            if h.layer == 3:
-                if h.protected:
-                    out.checked += 1
-                    out.bad += crc16(data[at + 2: at + 4] + data[behind: behind + h.side]) != int.from_bytes(data[at + 4: at + 6], "big")
-                behind += h.side
+            if h.protected:
+                out.checked += 1
+                out.bad += crc16(*_protected(data, at, h)) != int.from_bytes(data[at + 4: at + 6], "big")
+            behind += h.side * (h.layer == 3)
             out.ancillary.append((behind, at + h.size))
-        at += h.size
-    out.microseconds = sum(n * 1_000_000 // hertz for hertz, n in ticks.items())
+        at, before = at + h.size, h
+    out.seconds = sum((Fraction(n, hertz) for hertz, n in ticks.items()), Fraction(0))
     return out
 
 
@@ -263,11 +324,16 @@ def stored(docs: DataFrame, block: int = 64) -> DataFrame:
     return doc_columns(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
 
+def written(docs: DataFrame) -> DataFrame:
+    """The streams of ``stored`` as a table in the shared folder, read back from there."""
+    return staged(stored(docs), "media", "zstd")
+
+
 def describe(stream: Stream) -> str:
     """The features of a stream as one line."""
     t = stream.table or {}
     seeks = zlib.crc32(b"".join(o.to_bytes(8, "little") for o in stream.offsets))
-    return (f"frames={len(stream.offsets)};us={stream.microseconds};kbps={','.join(map(str, sorted(stream.rates)))};"
+    return (f"frames={len(stream.offsets)};seconds={stream.seconds};kbps={','.join(map(str, sorted(stream.rates)))};"
             f"table={t.get('kind', '-')}:{t.get('frames', '-')}:{t.get('bytes', '-')};crc={stream.checked - stream.bad}/{stream.checked};"
             f"skipped={stream.skipped};seeks={seeks:08x}")
 

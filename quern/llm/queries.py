@@ -66,8 +66,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = mpeg_audio.stored(table(spark, sf_dir, "documents"))
-    return mpeg_audio.probed(media).drop("frame_offsets")
+    return mpeg_audio.probed(mpeg_audio.written(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
