@@ -12,8 +12,12 @@ Base phrases are plain places of consecutive words and are never suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -197,6 +201,30 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 _FIRST = sorted({k for r in RULES for k in r.keywords})
 
 
+def stay(found: list[tuple[int, int, int, str, Rule]]) -> list[tuple[int, int, Rule]]:
+    """(begin, end, rule) of the detections that stay. found: -priority, -length, begin, label, rule.
+
+    Only the outermost intervals taken so far can contain another. Sorted by begin their ends
+    rise, so one search tells; detections of one priority and length cannot contain each other
+    unless they are the same place, so they join the others together."""
+    kept, begins, ends = [], [], []
+    for (_, minus), group in groupby(sorted(found, key=itemgetter(0, 1, 2, 3)), key=itemgetter(0, 1)):
+        fresh, last = [], -1
+        for _, _, begin, _, rule in group:
+            at = bisect_right(begins, begin) - 1
+            if begin != last and not (at >= 0 and ends[at] >= begin - minus):
+                fresh.append((begin, begin - minus))
+                kept.append((begin, begin - minus, rule))
+                last = begin
+        if fresh:
+            outer, far = [], -1
+            for begin, end in sorted([*zip(begins, ends), *fresh], key=lambda x: (x[0], -x[1])):
+                if end > far:
+                    outer.append((begin, end))
+                    far = end
+            begins, ends = [b for b, _ in outer], [e for _, e in outer]
+    return kept
+
 
 def scan(text: str | None, gated: bool = True) -> dict:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, detections of one
@@ -204,25 +232,27 @@ def scan(text: str | None, gated: bool = True) -> dict:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
     line = b" ".join(words)
     padded = b" " + line + b" "
-    places, base = [], set()
+    spots, base = [], set()
     if b" license " in padded:
         for phrase, label in BASE:
             key, at = b" " + phrase.encode() + b" ", -1
             while (at := padded.find(key, at + 1)) >= 0:
-                places.append(padded.count(b" ", 0, at))
+                spots.append(at)
                 base.add(label)
-    kept: list[tuple[int, int, Rule]] = []
+    hits: list[tuple[int, int, Rule]] = []
     have = {k for k in _FIRST if k in line}
     if have or not gated:
-        found = []
         for rule in RULES:
             if not gated or not have.isdisjoint(rule.keywords):
-                for m in rule.expression.finditer(line):
-                    begin = line.count(b" ", 0, m.start())
-                    found.append((-rule.priority, -(line.count(b" ", m.start(), m.end()) + 1), begin, rule))
-        for priority, length, begin, rule in sorted(found, key=lambda f: (f[:3], f[3].label)):
-            if not any(b <= begin and begin - length <= e for b, e, _ in kept):
-                kept.append((begin, begin - length, rule))
+                hits += [(m.start(), m.end(), rule) for m in rule.expression.finditer(line)]
+    kept: list[tuple[int, int, Rule]] = []
+    places: list[int] = []
+    if spots or hits:
+        # The number of a word is the number of spaces before it.
+        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        places = np.searchsorted(spaces, spots).tolist()
+        begins, lasts = (np.searchsorted(spaces, [h[k] for h in hits]).tolist() for k in (0, 1))
+        kept = stay([(-r.priority, b - e - 1, b, r.label, r) for b, e, (_, _, r) in zip(begins, lasts, hits)])
     labels = base | {r.label for _, _, r in kept}
     score = 0.9 if base else 0.0
     for _, _, r in kept:
