@@ -11,24 +11,60 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a
-    session without that setting (tests on one machine) gets one of its own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one
+    machine (master local) that lacks the setting gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-"))
     return context.getCheckpointDir().rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back. This cuts lineage in
     a way that survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a result of ``staged`` that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_staged"])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_classes(rows: DataFrame, classes: DataFrame, key: list[str], size: str) -> DataFrame:
+    """rows left-joined by key with classes, which has one row a key; ``size`` is its number of rows.
+
+    Classes of a hundred-thousandth of all rows or more, at most 100,000 of them, are
+    broadcast, so that no task gets all rows of one; the others are joined by their key."""
+    total, largest = classes.agg(F.sum(size), F.max(size)).first()
+    hot = max(10_000, (total or 0) // 100_000)
+    if (largest or 0) < hot:
+        return rows.join(classes, key, "left")
+    large = F.broadcast(classes.where(F.col(size) >= hot))
+    rest = rows.join(large, key, "left_anti").join(classes.where(F.col(size) < hot), key, "left")
+    return rows.join(large, key).unionByName(rest)
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -114,7 +150,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = (down.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b"))
-        now = staged(small.where("a <> b").distinct(), "edges")
+        before, now = now, staged(small.where("a <> b").distinct(), "edges")
+        discard(before)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen:
             break
@@ -123,3 +160,23 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+class BitTable:
+    """A bit table of a column of 64-bit hashes, two bits each, of at most 2^most bits, for all executors."""
+
+    def __init__(self, df: DataFrame, column: str, most: int):
+        self.bits = int(min(most, max(20, (16 * df.count()).bit_length())))
+        place = [F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1)),
+                 F.shiftrightunsigned(column, 64 - self.bits).bitwiseAND(F.lit((1 << self.bits) - 1))]
+        # At most 2^bits / 64 rows reach the driver, whatever the input.
+        cells = (df.select(F.explode(F.array(*place)).alias("p")).groupBy(F.shiftright("p", 6).alias("cell"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("set")).toPandas())
+        table = np.zeros(1 << (self.bits - 6), np.uint64)
+        table[cells["cell"].to_numpy()] = cells["set"].to_numpy().astype(np.int64).view(np.uint64)
+        self.spread = df.sparkSession.sparkContext.broadcast(table)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        table, mask = self.spread.value, np.uint64((1 << self.bits) - 1)
+        out = np.ones(len(hashes), bool)
+        for p in (hashes & mask, (hashes >> np.uint64(64 - self.bits)) & mask):
+            out &= ((table[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return out

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_columns, text_batches
+from quern.llm.common import doc_columns, free, text_batches
 from quern.llm.grams import chunks, codes, grams
 
 SIZES = (1, 2, 3, 4)
@@ -129,5 +129,7 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
     def name(text: pd.Series) -> pd.Series:
         return pd.Series(spread.value.predict(text.tolist())[0], dtype=object)
 
-    out = docs.withColumn("__lang", name("text")).where(F.col("__lang") != UNKNOWN)
-    return out.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
+    # A filter on a deterministic function is pushed below its projection, and both would run it.
+    [found] = free(docs, "__lang")
+    out = docs.withColumn(found, name.asNondeterministic()("text")).where(F.col(found) != UNKNOWN)
+    return out.withColumn("lang", F.coalesce("lang", found)).select(docs.columns)

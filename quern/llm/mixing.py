@@ -19,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import staged
+from quern.llm.common import discard, free, staged
 
 WEIGHTS = (5, 2, 1)
 #: Documents of one (source, size) cell that share a bucket when copies are dealt out.
 BUCKET = 128
 MOST_BUCKETS = 4096
+#: Cells of a source that are folded together; the lists that a fold copies stay this short.
+CHUNK = 512
 
 
 def words(text: Column) -> Column:
@@ -50,10 +52,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...], cap: float) -> DataFra
         "source", "source_size", "weight", F.coalesce(F.least(most, F.col("water") * F.col("weight")), most).alias("target"))
 
 
-def tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-9, most_steps: int = 60) -> DataFrame:
+def tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-9) -> DataFrame:
     """source -> tilt, null where every document has the rate cap or the source is empty.
 
-    cells: source, c (size over mean), n. goals: source, goal (target over mean)."""
+    cells: source, c (size over mean), n. goals: source, goal (target over mean). Every third
+    step halves the bracket, so all sources end: at the tolerance, or where no number is
+    left between the ends of the bracket."""
     span = cells.where("c > 0").groupBy("source").agg(F.min("c").alias("least"), F.sum(F.col("n") * F.col("c")).alias("whole"))
     state = (goals.join(span, F.equal_null(goals["source"], span["source"])).drop(span["source"])
              .where((F.col("goal") > 0) & (F.col("goal") < F.col("whole") * cap * (1 - 1e-12)))
@@ -63,7 +67,9 @@ def tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-
     # One small row a source: a file or two, not one for each shuffle partition and step.
     files = max(1, -(-goals.count() // 200_000))
     state = staged(state.coalesce(files), "tilts")
-    for _ in range(most_steps):
+    turn = 0
+    while True:
+        turn += 1
         rate = F.least(F.lit(cap), F.exp(F.least(F.col("tilt") * F.col("c"), F.lit(50.0))))
         keyed = state.select(F.col("source").alias("s"), "tilt")
         sums = (cells.join(keyed, F.equal_null(cells["source"], keyed["s"]))
@@ -72,14 +78,16 @@ def tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-
                 .withColumnRenamed("source", "k"))
         over = F.col("g") > F.col("goal")
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("hi"))
-        done = F.abs(F.col("g") / F.col("goal") - 1) < tolerance
+        narrow = F.col("hi2") - F.col("lo2") <= 4e-16 * F.greatest(F.abs("lo2"), F.abs("hi2"))
+        done = (F.abs(F.col("g") / F.col("goal") - 1) < tolerance) | narrow
+        newton = (F.col("step") > F.col("lo2")) & (F.col("step") < F.col("hi2")) & F.lit(turn % 3 != 0)
         moved = (state.join(sums, F.equal_null(state["source"], sums["k"]))
                  .withColumn("lo2", lo).withColumn("hi2", hi)
                  .withColumn("step", F.col("tilt") + (F.col("goal") - F.col("g")) / F.nullif(F.col("h"), F.lit(0.0)))
                  .select("source", "goal", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"),
-                         F.when(done, F.col("tilt")).when((F.col("step") > F.col("lo2")) & (F.col("step") < F.col("hi2")), F.col("step"))
-                         .otherwise((F.col("lo2") + F.col("hi2")) / 2).alias("tilt"), done.alias("done")))
-        state = staged(moved.coalesce(files), "tilts")
+                         F.when(done, F.col("tilt")).when(newton, F.col("step")).otherwise((F.col("lo2") + F.col("hi2")) / 2).alias("tilt"), done.alias("done")))
+        before, state = state, staged(moved.coalesce(files), "tilts")
+        discard(before)
         if state.where("not done").limit(1).count() == 0:
             break
     return state.select("source", "tilt")
@@ -110,14 +118,18 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) ->
     # One row of a source here stands for all its documents of one size. A cell at a whole
     # rate takes no extra copy, so it does not carry the error either.
     fold = F.sort_array(F.collect_list(F.struct("size", "n", "rate", "whole")), asc=False)
-    step = """aggregate(cells, named_struct('e', 0.0D, 'out', cast(array() as array<struct<size:bigint,extra:bigint>>)),
-        (a, x) -> named_struct(
-          'e', a.e + if(x.size = 0 or x.rate = x.whole, 0.0D, x.n * (x.rate - x.whole) * x.size
-                 - x.size * least(x.n, greatest(0L, cast(round(a.e / x.size + x.n * (x.rate - x.whole)) as bigint)))),
-          'out', concat(a.out, array(named_struct('size', x.size, 'extra',
-                 if(x.size = 0 or x.rate = x.whole, 0L,
-                    least(x.n, greatest(0L, cast(round(a.e / x.size + x.n * (x.rate - x.whole)) as bigint)))))))))"""
-    extra = (rated.groupBy("source").agg(fold.alias("cells")).select("source", F.explode(F.expr(step)["out"]).alias("x"))
+    none = "cast(array() as array<struct<size:bigint,extra:bigint>>)"
+    skip = "x.size = 0 or x.rate = x.whole"
+    more = "least(x.n, greatest(0L, cast(round(a.e / x.size + x.n * (x.rate - x.whole)) as bigint)))"
+    step = f"""aggregate(
+        transform(sequence(0, (size(cells) - 1) div {CHUNK}), k -> slice(cells, k * {CHUNK} + 1, {CHUNK})),
+        named_struct('e', 0.0D, 'out', cast(array() as array<array<struct<size:bigint,extra:bigint>>>)),
+        (b, part) -> aggregate(part, named_struct('e', b.e, 'out', {none}),
+          (a, x) -> named_struct(
+            'e', a.e + if({skip}, 0.0D, x.n * (x.rate - x.whole) * x.size - x.size * {more}),
+            'out', concat(a.out, array(named_struct('size', x.size, 'extra', if({skip}, 0L, {more}))))),
+          r -> named_struct('e', r.e, 'out', concat(b.out, array(r.out)))))"""
+    extra = (rated.groupBy("source").agg(fold.alias("cells")).select("source", F.explode(F.flatten(F.expr(step)["out"])).alias("x"))
              .select(F.col("source").alias("k"), F.col("x.size").alias("z"), "x.extra"))
     plan = staged(rated.join(extra, F.equal_null("source", "k") & (F.col("size") == F.col("z"))).drop("k", "z")
                   .withColumn("buckets", F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("n") / BUCKET)).cast("int"))
@@ -148,9 +160,9 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; the columns stay as they are.
     Rows that repeat both doc_id and text are taken equally often, as the most taken of them."""
-    dealt = copies(docs, weights, cap).groupBy("doc_id", "salt").agg(F.max("copies").alias("__copies"))
-    keyed = docs.withColumn("__salt", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(dealt.select(F.col("doc_id").alias("__id"), F.col("salt").alias("__key"), "__copies"),
-                        F.equal_null("doc_id", "__id") & (F.col("__salt") == F.col("__key")))
-    return (joined.where("__copies > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns))
+    salt, key, doc, times, copy = free(docs, "__salt", "__key", "__id", "__copies", "__copy")
+    dealt = copies(docs, weights, cap).groupBy("doc_id", "salt").agg(F.max("copies").alias(times))
+    joined = docs.withColumn(salt, F.xxhash64("doc_id", "text")).join(
+        dealt.select(F.col("doc_id").alias(doc), F.col("salt").alias(key), times), F.equal_null("doc_id", doc) & (F.col(salt) == F.col(key)))
+    return (joined.where(F.col(times) > 0)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(docs.columns))

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_columns, splitmix, staged
+from quern.llm.common import BitTable, doc_columns, free, splitmix, staged
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _CHUNK = 1 << 18
@@ -135,28 +135,6 @@ class _Suffixes:
         return np.nonzero(within % longest == 0)[0]
 
 
-class _Bits:
-    """A bit table of a column of 64-bit hashes, two bits each, of at most 2^most bits, for all executors."""
-
-    def __init__(self, df: DataFrame, column: str, most: int):
-        self.bits = int(min(most, max(20, (16 * df.count()).bit_length())))
-        place = [F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1)),
-                 F.shiftrightunsigned(column, 64 - self.bits).bitwiseAND(F.lit((1 << self.bits) - 1))]
-        # At most 2^bits / 64 rows reach the driver, whatever the input.
-        cells = (df.select(F.explode(F.array(*place)).alias("p")).groupBy(F.shiftright("p", 6).alias("cell"))
-                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("set")).toPandas())
-        table = np.zeros(1 << (self.bits - 6), np.uint64)
-        table[cells["cell"].to_numpy()] = cells["set"].to_numpy().astype(np.int64).view(np.uint64)
-        self.spread = df.sparkSession.sparkContext.broadcast(table)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        table, mask = self.spread.value, np.uint64((1 << self.bits) - 1)
-        out = np.ones(len(hashes), bool)
-        for p in (hashes & mask, (hashes >> np.uint64(64 - self.bits)) & mask):
-            out &= ((table[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
-        return out
-
-
 def _xxhash64(values: np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of longs."""
     import xxhash
@@ -203,7 +181,7 @@ def removals(docs: DataFrame, window: int = 50, anchor: int = 16, most_bits: int
     live = staged(keyed.select("doc_id", "text").mapInPandas(anchors, "anchor long, doc_id long")
                   .groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
                   .where("low < high").select("anchor"), "prefixes")
-    prefixes = _Bits(live, "anchor", most_bits)
+    prefixes = BitTable(live, "anchor", most_bits)
 
     def cut(batches, keep):
         """Chunks of texts with their suffixes, the stretches that keep(suffixes, begins, ids) marks, and their ends and hashes."""
@@ -234,7 +212,7 @@ def removals(docs: DataFrame, window: int = 50, anchor: int = 16, most_bits: int
     nodes = staged(distinct.join(group, "anchor").select("anchor", "whole", "low", "n", "m"), "subtrees")
     chains = nodes.where("m = 1").select("anchor", "whole", F.array(F.col("low")).alias("least"))
     branching = nodes.where("m > 1")
-    copies = _Bits(branching.select(F.col("whole").bitwiseXOR(F.xxhash64("low")).alias("key")), "key", most_bits)
+    copies = BitTable(branching.select(F.col("whole").bitwiseXOR(F.xxhash64("low")).alias("key")), "key", most_bits)
 
     def spans(batches):
         def chosen(s, at):
@@ -303,12 +281,14 @@ def _covered(n: int, cuts, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _joined(docs: DataFrame, window: int) -> DataFrame:
-    """docs with __cuts; the names of added columns cannot meet those of docs."""
-    cuts = removals(docs, window).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__cut_hash"), F.col("cuts").alias("__cuts"))
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    return keyed.join(cuts.hint("shuffle_hash"), (keyed["doc_id"] == cuts["__id"]) & (keyed["__hash"] == cuts["__cut_hash"]), "left").drop(
-        "__id", "__cut_hash", "__hash")
+def _joined(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """docs with the cuts of each row, and the name of their column, which docs does not have."""
+    doc, cut_hash, cuts, own = free(docs, "__id", "__cut_hash", "__cuts", "__hash")
+    found = removals(docs, window).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(cut_hash), F.col("cuts").alias(cuts))
+    # The hashed side of a partition is a small part of its texts, whose size the shuffle bounds.
+    joined = docs.withColumn(own, F.xxhash64("text")).join(
+        found.hint("shuffle_hash"), (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(cut_hash)), "left")
+    return joined.drop(doc, cut_hash, own), cuts
 
 
 def digests(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -320,10 +300,12 @@ def digests(docs: DataFrame, window: int = 50) -> DataFrame:
     get one result each. A null doc_id loses nothing and takes nothing from others. Extra
     columns are ignored; an empty table gives an empty result."""
 
+    joined, name = _joined(doc_columns(docs, "doc_id", "text"), window)
+
     def run(batches):
         for pdf in batches:
             out = []
-            for text, cuts in zip(pdf["text"], pdf["__cuts"]):
+            for text, cuts in zip(pdf["text"], pdf[name]):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
                 n = len(words)
                 if cuts is not None and len(cuts):
@@ -333,8 +315,7 @@ def digests(docs: DataFrame, window: int = 50) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [x[0] for x in out],
                                 "n_removed": [x[1] for x in out], "kept_sha256": [x[2] for x in out]})
 
-    return _joined(doc_columns(docs, "doc_id", "text"), window).mapInPandas(
-        run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_text(text: str, cuts, window: int) -> str:
@@ -358,14 +339,14 @@ def cut_text(text: str, cuts, window: int) -> str:
 def deduplicated(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs with the repeated words cut from text, and n_chars, if there, brought up to date.
     Every row and column stays. Nulls, ties and repeated rows are as in digests."""
-    joined = _joined(docs, window)
+    joined, name = _joined(docs, window)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([t if c is None or t is None else cut_text(t, c, window) for t, c in zip(text, cuts)], dtype=object)
 
-    text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(cut("text", "__cuts"))
+    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(cut("text", name))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)
