@@ -124,9 +124,9 @@ def write(docs: DataFrame, path: str, end: int = 2, shard_ids: int = 1 << 21, ch
     tail = int(end).to_bytes(4, "little")
     narrow = doc_columns(docs, "doc_id", "text")
 
-    # About four characters make an id; only the number of ranges depends on it.
+    # About four characters make an id; only the number of ranges, which are spread over tasks, depends on it.
     total = (narrow.agg(F.sum(F.length("text"))).first()[0] or 0) // 4
-    count = int(min(1 << 16, max(1, -(-total // shard_ids))))  # larger ranges are written as several parts
+    count = int(min(1 << 16, max(1, -(-total // shard_ids))))  # larger ranges are written in several parts
     bounds = [] if count == 1 else sorted({int(x) for x in narrow.approxQuantile("doc_id", [i / count for i in range(1, count)], 1 / (8 * count))})
     edges = np.array(bounds, np.int64)
 
@@ -142,23 +142,27 @@ def write(docs: DataFrame, path: str, end: int = 2, shard_ids: int = 1 << 21, ch
 
     coded = narrow.mapInPandas(encode, "shard int, doc_id long, width byte, ids binary")
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "ids"], na_position="first", kind="stable")
-        rows, held, docs_, size = [], [], [], 0
-        for doc, ids, width in zip(pdf["doc_id"], pdf["ids"], pdf["width"]):
-            ids = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
-            docs_.append(None if pd.isna(doc) else int(doc))
-            held.append(ids)
-            size += len(ids) // 4
-            if size >= shard_ids:
-                rows.append((docs_, held, size))
-                docs_, held, size = [], [], 0
+    def pack(batches):
+        """Rows of a partition come sorted, so one part of a shard at a time is in memory."""
+        shard, part, docs_, held, size = None, 0, [], [], 0
+
+        def made():
+            return pd.DataFrame([(shard, part, write_shard(docs_, held, chunk), len(docs_), size)], columns=["shard", "part", "file", "documents", "ids"])
+
+        for pdf in batches:
+            for number, doc, ids, width in zip(pdf["shard"].tolist(), pdf["doc_id"], pdf["ids"], pdf["width"]):
+                if number != shard or size >= shard_ids:
+                    if held:
+                        yield made()
+                    shard, part, docs_, held, size = number, part + 1 if number == shard else 0, [], [], 0
+                held.append(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
+                docs_.append(None if pd.isna(doc) else int(doc))
+                size += len(held[-1]) // 4
         if held:
-            rows.append((docs_, held, size))
-        return pd.DataFrame([(int(pdf["shard"].iloc[0]), part, write_shard(d, h, chunk), len(d), n) for part, (d, h, n) in enumerate(rows)],
-                            columns=["shard", "part", "file", "documents", "ids"])
+            yield made()
 
-    return staged(coded.groupBy("shard").applyInPandas(pack, "shard int, part int, file binary, documents long, ids long"), "shards")
+    ordered = coded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    return staged(ordered.mapInPandas(pack, "shard int, part int, file binary, documents long, ids long"), "shards")
 
 
 def read(files: DataFrame) -> DataFrame:
