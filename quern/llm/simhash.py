@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import overlap
-from quern.llm.common import components, doc_columns, staged
+from quern.llm.common import components, doc_columns, staged, with_classes
 
 #: Rows of one bucket that are compared in one task; larger buckets are cut into tiles.
 TILE = 256
@@ -118,11 +118,9 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     classes = table.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     edges = links(classes.where("id is not null").select("id", "fp"), radius)
     found = components(edges)
-    joined = (classes.join(found, classes["id"] == found["node"], "left")
-              .where("n > 1 or component is not null")
-              .select(F.col("fp").alias("class_fp"), F.coalesce("component", "id").alias("component")))
-    return (table.join(joined, table["fp"] == joined["class_fp"], "left")
-            .select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id")))
+    named = classes.join(found, classes["id"] == found["node"], "left").select("fp", "n", F.coalesce("component", "id").alias("component"))
+    return (with_classes(table, staged(named.where("n > 1 or component is not null"), "classes"), ["fp"], "n")
+            .select("doc_id", "fp", F.when(F.col("doc_id").isNull() & F.col("component").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id")))
 
 
 def hex_fingerprint(fp: Column) -> Column:
