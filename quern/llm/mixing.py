@@ -55,8 +55,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...], cap: float) -> DataFra
 def tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-9) -> DataFrame:
     """source -> tilt, null where every document has the rate cap or the source is empty.
 
-    cells: source, c (size over mean), n. goals: source, goal (target over mean). Every third
-    step halves the bracket, so all sources end: at the tolerance, or where no number is
+    cells: source, c (size over mean), n. goals: source, goal (target over mean). After a dozen
+    steps every third one halves the bracket, so all sources end: at the tolerance, or where no number is
     left between the ends of the bracket."""
     span = cells.where("c > 0").groupBy("source").agg(F.min("c").alias("least"), F.sum(F.col("n") * F.col("c")).alias("whole"))
     state = (goals.join(span, F.equal_null(goals["source"], span["source"])).drop(span["source"])
@@ -80,7 +80,7 @@ def tilts(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("hi"))
         narrow = F.col("hi2") - F.col("lo2") <= 4e-16 * F.greatest(F.abs("lo2"), F.abs("hi2"))
         done = (F.abs(F.col("g") / F.col("goal") - 1) < tolerance) | narrow
-        newton = (F.col("step") > F.col("lo2")) & (F.col("step") < F.col("hi2")) & F.lit(turn % 3 != 0)
+        newton = (F.col("step") > F.col("lo2")) & (F.col("step") < F.col("hi2")) & F.lit(turn < 12 or turn % 3 != 0)
         moved = (state.join(sums, F.equal_null(state["source"], sums["k"]))
                  .withColumn("lo2", lo).withColumn("hi2", hi)
                  .withColumn("step", F.col("tilt") + (F.col("goal") - F.col("g")) / F.nullif(F.col("h"), F.lit(0.0)))

@@ -1,33 +1,38 @@
 """Near-duplicate vectors through an inverted multi-index.
 
 Each half of a unit vector has a codebook of its own; the two form a product grid of cells,
-within each label. A vector is filed under its own cell and visits the grid cells around it
-in order of distance (the multi-sequence order): cell (i, j) is as far as the planes that
-part centroid i and j from the vector's own centroids, l1(i)^2 + l2(j)^2, and the traversal
-goes on until the radius that reaches the target recall. That radius is measured when the
-codebooks are fitted: pairs exactly at the threshold are made from sampled vectors, and the
-radius is the largest that ``recall`` of them need. Pairs met in a visited cell are verified
-by their exact cosine.
+within each label. A vector is filed under its own cell and visits the grid cells around it by
+multi-sequence traversal: with both lists of centroids sorted by distance, a queue hands out
+cells (i, j) in order of their distance, which is that to the planes that part centroid i and j
+from the vector's own centroids, l1(i)^2 + l2(j)^2. The traversal stops at the distance where
+the target recall is reached. That is measured when the codebooks are fitted: pairs exactly at
+the threshold are made from sampled vectors, and the distance is the largest that ``recall`` of
+them need from one side. Of a pair in two cells, the vector of the cell with the larger number
+does the visit. Pairs met in a visited cell are verified by their exact cosine.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, doc_columns, forest, staged
+from quern.llm.common import components, doc_columns, forest, staged, with_classes
 
 #: Rows of one cell that are compared in one task with as many visitors; others are tiles of their own.
 TILE = 512
+#: Largest codebook of a half.
+MOST_CENTRES = 2048
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
+        own = np.concatenate([np.argmin((centres**2).sum(1) - 2 * part @ centres.T, axis=1) for part in np.array_split(x, 1 + len(x) // 2000)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         n = np.bincount(own, minlength=len(centres))
@@ -51,70 +56,91 @@ class Grid:
         far[np.arange(len(x)), own] = 0
         return own, np.maximum(far, 0) ** 2
 
-    def own(self, x: np.ndarray) -> np.ndarray:
-        w = self.books[0].shape[1]
-        return self.planes(x[:, :w], 0)[0] * len(self.books[1]) + self.planes(x[:, w:], 1)[0]
-
     def visit(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Own cell, and all cells within the radius, own first, in order of distance."""
+        """Own cell, and the cells of smaller number that each row visits, nearest first."""
         w, n = self.books[0].shape[1], len(self.books[1])
         (a, near), (b, by) = self.planes(x[:, :w], 0), self.planes(x[:, w:], 1)
-        own, cells, limit = a * n + b, [], self.radius**2
+        own, cells = a * n + b, []
         for row in range(len(x)):
-            i, j = np.nonzero(near[row] <= limit)[0], np.nonzero(by[row] <= limit)[0]
-            far = near[row, i][:, None] + by[row, j][None]
-            p, q = np.nonzero(far <= limit)
-            found = (i[p] * n + j[q])[np.argsort(far[p, q], kind="stable")]
-            cells.append(np.concatenate([[own[row]], found[found != own[row]]]))
+            found = traverse(near[row], by[row], self.radius**2)
+            cells.append(np.array([c for i, j in found if (c := i * n + j) < own[row]], np.int64))
         return own, cells
 
 
+def traverse(first: np.ndarray, second: np.ndarray, far: float) -> list[tuple[int, int]]:
+    """Cells (i, j) in order of first[i] + second[j], while that is at most ``far``. A cell
+    enters the queue once its neighbours nearer by one place in either list have left it."""
+    a, b = np.nonzero(first <= far)[0], np.nonzero(second <= far)[0]
+    a, b = a[np.argsort(first[a], kind="stable")], b[np.argsort(second[b], kind="stable")]
+    if not len(a) or not len(b):
+        return []
+    x, y = first[a].tolist(), second[b].tolist()
+    out, queue, left = [], [(x[0] + y[0], 0, 0)], [0] * len(x)  # left[p]: places of row p that have left
+    while queue:
+        d, p, q = heappop(queue)
+        if d > far:
+            break
+        out.append((int(a[p]), int(b[q])))
+        left[p] = q + 1
+        if p + 1 < len(x) and left[p + 1] == q:
+            heappush(queue, (x[p + 1] + y[q], p + 1, q))
+        if q + 1 < len(y) and (p == 0 or left[p - 1] > q + 1):
+            heappush(queue, (x[p] + y[q + 1], p, q + 1))
+    return out
+
+
 def fit(sample: np.ndarray, rows: int, labels: int, threshold: float, recall: float) -> Grid:
     """Codebooks for about TILE / 4 rows a cell and label, and the radius for the recall."""
     w = sample.shape[1] // 2
-    k = int(min(256, max(2, np.ceil(np.sqrt(rows / max(1, labels) / (TILE / 4))))))
+    k = int(min(MOST_CENTRES, max(2, np.ceil(np.sqrt(rows / max(1, labels) / (TILE / 4))))))
     grid = Grid(_kmeans(sample[:, :w], k), _kmeans(sample[:, w:], k))
     rng = np.random.default_rng(11)
-    x = sample[rng.integers(0, len(sample), 20_000)]
-    noise = rng.standard_normal(x.shape)
-    noise -= (noise * x).sum(1, keepdims=True) * x
-    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-    y = threshold * x + np.sqrt(1 - threshold**2) * noise
-    (_, near), (_, by) = grid.planes(x[:, :w], 0), grid.planes(x[:, w:], 1)
-    (a, _), (b, _) = grid.planes(y[:, :w], 0), grid.planes(y[:, w:], 1)
-    each = np.arange(len(x))
-    needed = np.sort(np.sqrt(near[each, a] + by[each, b]))
-    # Either vector of a pair may visit the other's cell; the radius counts one side only.
+    needed = []
+    for _ in range(20):
+        x = sample[rng.integers(0, len(sample), 2000)]
+        noise = rng.standard_normal(x.shape)
+        noise -= (noise * x).sum(1, keepdims=True) * x
+        noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+        y = threshold * x + np.sqrt(1 - threshold**2) * noise
+        (_, near), (_, by) = grid.planes(x[:, :w], 0), grid.planes(x[:, w:], 1)
+        (a, _), (b, _) = grid.planes(y[:, :w], 0), grid.planes(y[:, w:], 1)
+        each = np.arange(len(x))
+        needed.append(np.sqrt(near[each, a] + by[each, b]))
+    needed = np.sort(np.concatenate(needed))
     grid.radius = float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1e-9
     return grid
 
 
-def _units(column) -> np.ndarray:
-    x = np.stack(column.to_numpy()).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _units(rows: np.ndarray) -> np.ndarray:
+    x = rows.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate([x, np.zeros_like(x)], axis=1) if x.shape[1] < 2 else x
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int = 20_000, recall: float = 0.9995) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int = 20_000, recall: float = 0.9999) -> DataFrame:
     """One row for each row of vectors (vec_id, embedding array, label): vec_id, n_links,
     component_id, kept.
 
     Vectors are compared only with vectors of the same label and length. A null label, a
     vector that is null, empty, zero or holds a null or non-finite component links with
-    nothing: no links, a component of its own, kept. Equal vectors are one class and link
+    nothing: no links, a component of its own, kept. So does a row with a null vec_id, which
+    has no component and is not kept. Equal vectors (told by 128 bits) are one class and link
     with one another; classes are compared once, whatever their size. Rows that repeat a
-    vec_id count as vectors of their own. A null vec_id gets a null component and is not
-    kept. Extra columns are ignored; an empty table gives an empty result.
+    vec_id count as vectors of their own. Extra columns are ignored; an empty table gives an
+    empty result.
 
     The codebooks are fitted on at most ``sample_rows`` classes; every class is filed and
-    visits. ``recall`` is the share of pairs at the very threshold that one side must reach."""
-    rows = doc_columns(vectors, "vec_id", "embedding", "label").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    fine = (F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
-            & (norm > 0) & (norm < float("inf")))
+    visits. ``recall`` is the share of pairs at the very threshold that a visit must reach."""
+    rows = doc_columns(vectors, "vec_id", "embedding", "label")
+    value = F.col("embedding").cast("array<double>")
+    norm = F.aggregate(value, F.lit(0.0), lambda a, x: a + x * x)
+    fine = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
+            & ~F.exists(value, lambda x: x.isNull() | F.isnan(x)) & (norm > 0) & (norm < float("inf")))
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    good = rows.where("fine")
-    classes = staged(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-                     .where("id is not null"), "classes")
+    key = ["h1", "h2"]
+    keyed = rows.where("fine").withColumn("h1", F.xxhash64("label", "embedding")).withColumn("h2", F.xxhash64(F.lit(7), "embedding", "label"))
+    classes = staged(keyed.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"),
+                                             F.first("embedding").alias("embedding")), "classes")
     sizes = classes.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).collect()
     parts = [_links(classes.where(F.size("embedding") == s["w"]), s["w"], s["n"], s["labels"], threshold, sample_rows, recall)
              for s in sizes]
@@ -131,20 +157,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int =
         reach = components(edges)
         counts = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
         named = (classes.join(counts, "id", "left").join(reach, F.col("id") == F.col("node"), "left")
-                 .select("label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+                 .select(*key, "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
                          F.coalesce("component", "id").alias("component_id")))
-        out = (good.select("vec_id", "label", "embedding").join(named, ["label", "embedding"], "left")
-               .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id").unionByName(alone))
-    return out.withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.col("component_id"))) \
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+        out = with_classes(keyed.select("vec_id", *key), staged(named, "named"), key, "n").select("vec_id", "n_links", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _links(classes: DataFrame, width: int, rows: int, labels: int, threshold: float, sample_rows: int, recall: float) -> DataFrame:
     """(id, other, links): spanning edges id - other, and, with other null, links to add to id."""
+    # Components travel as they are stored, four bytes each if they are floats.
+    kind = "<f4" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     drawn = classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("embedding").toPandas()
-    sample = _units(drawn["embedding"])
-    if width < 2:
-        sample = np.concatenate([sample, np.zeros_like(sample)], axis=1)
+    sample = _units(np.stack(drawn["embedding"].to_numpy()))
     spread = classes.sparkSession.sparkContext.broadcast(fit(sample, rows, labels, threshold, recall))
 
     def visits(batches):
@@ -152,49 +176,39 @@ def _links(classes: DataFrame, width: int, rows: int, labels: int, threshold: fl
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = _units(pdf["embedding"])
-            if width < 2:
-                x = np.concatenate([x, np.zeros_like(x)], axis=1)
-            own, cells = grid.visit(x)
-            n = np.array([len(c) for c in cells])
-            at = np.repeat(np.arange(len(pdf)), n)
-            cell = np.concatenate(cells)
-            unit = [v.tobytes() for v in x]
-            lists = [c.astype(np.int32).tobytes() for c in cells]
-            yield pd.DataFrame({"label": pdf["label"].to_numpy()[at], "cell": cell.astype(np.int32), "id": pdf["id"].to_numpy()[at],
-                                "n": pdf["n"].to_numpy()[at], "own": own[at].astype(np.int32), "unit": [unit[i] for i in at],
-                                "cells": [lists[i] for i in at]})
+            stored = np.stack(pdf["embedding"].to_numpy()).astype(kind)
+            own, cells = grid.visit(_units(stored))
+            at = np.repeat(np.arange(len(pdf)), [1 + len(c) for c in cells])
+            cell = np.concatenate([part for o, c in zip(own, cells) for part in ([o], c)])
+            held = [v.tobytes() for v in stored]
+            yield pd.DataFrame({"label": pdf["label"].to_numpy()[at], "cell": cell.astype(np.int32), "home": cell == own[at],
+                                "id": pdf["id"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "vector": [held[i] for i in at]})
 
     label_type = classes.schema["label"].dataType.simpleString()
-    shape = f"label {label_type}, cell int, id long, n long, own int, unit binary, cells binary"
-    visited = staged(classes.mapInPandas(visits, shape), "visits")
+    shape = f"label {label_type}, cell int, home boolean, id long, n long, vector binary"
+    visited = staged(classes.select("label", "id", "n", "embedding").mapInPandas(visits, shape), "visits")
     counts = visited.groupBy("label", "cell").agg(
-        F.count_if(F.col("cell") == F.col("own")).alias("filed"), F.count("*").alias("visitors")).where("filed > 0 and visitors > 1")
+        F.count_if("home").alias("filed"), F.count("*").alias("visitors")).where("filed > 0 and visitors > 1")
     tiled = visited.join(counts, ["label", "cell"]).select(
-        "label", "cell", "id", "n", "own", "unit", "cells",
+        "label", "cell", "home", "id", "n", "vector",
         F.ceil(F.col("filed") / TILE).cast("int").alias("cuts"), F.ceil(F.col("visitors") / TILE).cast("int").alias("turns"))
     salt = F.xxhash64("id")
-    filed = (tiled.where("cell = own")
+    filed = (tiled.where("home")
              .withColumn("cut", F.pmod(salt, F.col("cuts")).cast("int"))
              .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("side", F.lit(0)))
     asking = (tiled.withColumn("turn", F.pmod(salt, F.col("turns")).cast("int"))
               .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("side", F.lit(1)))
-    fields = ["label", "cell", "cut", "turn", "side", "id", "n", "own", "unit", "cells"]
+    fields = ["label", "cell", "cut", "turn", "side", "home", "id", "n", "vector"]
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         held, ask = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(held) or not len(ask):
             return pd.DataFrame({"id": [], "other": [], "links": []}).astype("int64")
-        y = np.frombuffer(b"".join(held["unit"]), np.float64).reshape(len(held), -1)
-        x = np.frombuffer(b"".join(ask["unit"]), np.float64).reshape(len(ask), -1)
+        x, y = (_units(np.frombuffer(b"".join(part["vector"]), kind).reshape(len(part), -1)) for part in (ask, held))
         a, b = np.nonzero(x @ y.T >= threshold)
         ia, ib = ask["id"].to_numpy(), held["id"].to_numpy()
-        # A pair may be met from both sides; the larger id counts it only if the smaller one could not.
-        homes, home = np.unique(ask["own"].to_numpy(), return_inverse=True)
-        knows = np.zeros((len(held), len(homes)), bool)
-        for r in np.unique(b):
-            knows[r] = np.isin(homes, np.frombuffer(held["cells"].iloc[r], np.int32))
-        keep = (ia[a] < ib[b]) | ((ia[a] > ib[b]) & ~knows[b, home[a]])
+        # In the cell of both, a pair is met from both sides; elsewhere only one of them visits.
+        keep = ~ask["home"].to_numpy()[a] | (ia[a] < ib[b])
         a, b = a[keep], b[keep]
         ids = np.concatenate([ia[a], ib[b]])
         add = np.concatenate([held["n"].to_numpy()[b], ask["n"].to_numpy()[a]])

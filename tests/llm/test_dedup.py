@@ -176,6 +176,26 @@ def test_lengthened_prefixes_give_the_same_cuts(spark):
     assert len(whole) == 29 and whole == show(substring.removals(df, group_rows=3)) == show(substring.removals(df, most_bits=20, group_rows=1))
 
 
+def test_stages_take_tables_with_names_of_their_own(spark):
+    from quern.llm import language, mixing
+
+    names = "__hash __salt __lang __cuts __id __key __copies __copy __cut_hash ___lang".split()
+    docs = documents(spark)
+    for n in names:
+        docs = docs.withColumn(n, common.F.concat(common.F.lit(n), common.F.col("doc_id").cast("string")))
+    for out in (language.identified(docs, language.fit(docs)), simhash.deduplicated(docs), substring.deduplicated(docs), mixing.mixed(docs)):
+        assert out.columns == docs.columns
+        for r in out.where("doc_id is not null").limit(20).collect():
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
+
+
+def test_long_paths_are_one_component(spark):
+    rng = random.Random(6)
+    ids = rng.sample(range(10_000), 300)
+    got = common.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()
+    assert {r["node"] for r in got} == set(ids) and {r["component"] for r in got} == {min(ids)}
+
+
 def test_substring_text_keeps_the_rest(spark):
     docs = documents(spark)
     out = substring.deduplicated(docs)
@@ -236,9 +256,48 @@ def test_multi_index_against_brute_force(spark):
     assert exact >= 0.9 and all(a[1] <= b[1] for a, b in zip(got, want))
     assert [x for x in got if x[1] == 0] == [x for x in want if x[1] == 0]
     assert sum(a == b for a, b in zip(got, want)) >= 0.9 * len(want)
+    assert [tuple(r) for r in multi_index.near_vectors(df).where("vec_id is null").collect()] == [(None, 0, None, False)]
     assert multi_index.near_vectors(df.where("false")).count() == 0
 
 
+def test_traversal_visits_cells_in_order():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        first, second = rng.random(rng.integers(1, 12)), rng.random(rng.integers(1, 12))
+        first[0] = second[-1] = 0
+        far = rng.random() * 1.5
+        got = multi_index.traverse(first, second, far)
+        want = {(i, j) for i in range(len(first)) for j in range(len(second)) if first[i] + second[j] <= far}
+        assert len(got) == len(set(got)) and set(got) == want
+        sums = [first[i] + second[j] for i, j in got]
+        assert sums == sorted(sums)
+
+
+def test_multi_index_with_tiles_and_real_near_pairs(spark, monkeypatch):
+    """Perturbed vectors around many centres; cells of more rows than a tile holds."""
+    monkeypatch.setattr(multi_index, "TILE", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 24))
+    x = np.concatenate([c + rng.standard_normal((rng.integers(1, 40), 24)) * 0.11 for c in centres] + [rng.standard_normal((300, 24))]).astype(np.float32)
+    label = rng.integers(0, 2, len(x))
+    data = [(int(i), v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r for r in multi_index.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()}
+    links = near.sum(axis=1)
+    assert links.sum() > 1500 and all(got[i]["n_links"] <= links[i] for i in got)
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * links.sum()
+
+
+def test_classes_of_many_rows_are_spread(spark):
+    rows = spark.createDataFrame([(i, 0 if i < 20_000 else i % 50) for i in range(30_000)], "id long, k long")
+    classes = rows.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 2 AS v")
+    out = common.with_classes(rows, classes.where("k <> 7"), ["k"], "n")
+    assert out.count() == 30_000 and out.where("v is null").count() == rows.where("k = 7").count()
+    assert out.where("v <> 2 * k").count() == 0 and "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+
+
 def test_plans_have_no_cross_join(spark):
     plan = simhash.near_duplicates(documents(spark))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

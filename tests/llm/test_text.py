@@ -1,9 +1,15 @@
+import math
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quern.llm import language, licenses, toxicity
+from quern.llm.grams import grams
 from tests.llm.fixtures import documents, empty, prose, rows
 
 
@@ -28,6 +34,52 @@ def test_license_priority_and_containment():
     assert licenses.scan("émit license")["n_base"] == 0
 
 
+def slow_base(text):
+    """Base places by a plain walk over the words."""
+    words, place, now = [], [], ""
+    for c in (text or "") + " ":
+        low = chr(ord(c) + 32) if "A" <= c <= "Z" else c
+        if low in "0123456789abcdefghijklmnopqrstuvwxyz" or ord(c) >= 0x80:
+            now += low
+        elif now:
+            words.append(now)
+            now = ""
+    labels = set()
+    for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):
+        parts = phrase.split()
+        for i in range(len(words)):
+            if words[i: i + len(parts)] == parts:
+                place.append(i)
+                labels.add(label)
+    return len(words), len(place), min(place, default=None), max(place, default=None), ",".join(sorted(labels))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("MIT mit license License, LICENSE; apache-license general public gnu the under é İ {x} \x00 _ 0 version 2.0 é".split(" ")), max_size=25),
+       st.sampled_from([" ", ".", "\n", ""]))
+def test_base_columns_against_a_plain_walk(parts, joint):
+    text = joint.join(parts)
+    got = licenses.scan(text)
+    assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == slow_base(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 15), st.integers(1, 8), st.sampled_from("abc")), max_size=30))
+def test_suppression_against_all_pairs(found):
+    found = [(-p, -n, b, label, (p, label)) for p, b, n, label in found]
+    kept = []
+    for priority, length, begin, _, rule in sorted(found, key=lambda f: f[:4]):
+        if not any(b <= begin and begin - length <= e for b, e, _ in kept):
+            kept.append((begin, begin - length, rule))
+    assert licenses.stay(found) == kept
+
+
+def test_long_texts_are_scanned_in_time_proportional_to_their_length():
+    began = time.process_time()
+    got = licenses.scan("under the mit license and " * 60_000)
+    assert got["n_base"] == 60_000 and time.process_time() - began < 20
+
+
 def test_licenses_table(spark):
     got = {(r["doc_id"], r["n_words"]): r for r in licenses.scanned(documents(spark)).collect()}
     assert len(licenses.scanned(documents(spark)).collect()) == len(rows())
@@ -68,6 +120,38 @@ def test_out_of_place_distance_by_hand():
     assert far.tolist() == [1 + 1 + 3, 3 + 0 + 3]
 
 
+def slow_profile(texts, most):
+    counts = Counter()
+    for text in texts:
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            closed = " " + word + " "
+            counts.update(word)
+            counts.update(closed[i: i + n] for n in (2, 3, 4) for i in range(len(closed) - n + 1) if closed[i: i + n].strip())
+    return counts
+
+
+def test_language_against_plain_counting(spark):
+    """Ranks, distances and the decision by dictionaries of n-grams, ties broken by the same hash."""
+    data = [(i, prose(i, 40), "en") for i in range(12)] + [(50 + i, foreign(i, 40), "de") for i in range(12)]
+    profiles = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+
+    def hash_of(gram):
+        code = np.array([0 if c == " " else ord(c) for c in gram], np.uint32)
+        at, h = grams(code, len(code))
+        return int(h[0])
+
+    def order(counts, most=language.RANKS):
+        return [h for h, _ in sorted(((hash_of(g), n) for g, n in counts.items()), key=lambda x: (-x[1], x[0]))][:most]
+
+    ranks = {lang: order(slow_profile([t for _, t, k in data if k == lang], language.RANKS)) for lang in ("de", "en")}
+    for text in [prose(500, 30), foreign(501, 30), "sch ung", "a", prose(502, 5) + " " + foreign(503, 5)]:
+        own = order(slow_profile([text], language.RANKS))
+        far = {lang: sum(abs(r.index(h) - k) if h in r else language.RANKS for k, h in enumerate(own)) for lang, r in ranks.items()}
+        best = min(sorted(far), key=far.get)
+        name, score = profiles.predict([text])
+        assert name == [best] and abs(score[0] - (1 - far[best] / (language.RANKS * len(own)))) < 1e-12
+
+
 def test_language_of_long_and_plain_tables(spark):
     profiles = language.fit(documents(spark))
     assert language.predicted(documents(spark), profiles).count() == len(rows())
@@ -100,6 +184,51 @@ def test_toxicity_held_out_and_misspelt():
     assert model.score([long])[0] >= 0.7
 
 
+def slow_score(model, text):
+    """Scores by a plain loop: words, segments of four, subwords one at a time."""
+    def mix(h):
+        h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+        h = (h ^ h >> 12) * 0x297A2D39 & 0xFFFFFFFF
+        return h ^ h >> 15
+
+    factors = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x8DA6B343]
+
+    def gram(points):
+        h = len(points) * 0x01000193 & 0xFFFFFFFF
+        for j, p in enumerate(points):
+            h = h + (p + j * 7919 + 1) * factors[j] & 0xFFFFFFFF
+            h ^= h >> 13
+        return mix(h)
+
+    words, now = [], []
+    for c in text.lower() + "\0":
+        if c.isalnum():
+            now.append(ord(c))
+        elif now:
+            words.append(now)
+            now = []
+    if not words:
+        return model.prior
+    best = -math.inf
+    for at in range(0, len(words), 4):
+        values = []
+        for word in words[at: at + 4]:
+            closed = [0, *word, 0]
+            values += [gram(closed[i: i + n]) for n in (3, 4, 5, 6) for i in range(len(closed) - n + 1)]
+            total = sum(mix((p * 0x9E3779B1 + k * 0x85EBCA77) & 0xFFFFFFFF) for k, p in enumerate(word))
+            values.append(mix(total + 77 & 0xFFFFFFFF))
+        logit = sum(float(model.table[v & toxicity.BUCKETS - 1]) for v in values) / len(values) + model.bias
+        best = max(best, logit)
+    return 1 / (1 + math.exp(-max(-30, min(30, best))))
+
+
+def test_toxicity_scores_against_a_plain_loop():
+    model = toxicity.train([r[1] for r in toxic_texts()], np.array([r[2] for r in toxic_texts()]))
+    texts = [r[1] for r in toxic_texts()[:25]] + ["", " .,! ", "a", "x y z", "Ünïcode ŉ 漢字 wörds glumpfy", "é" * 9, "one two three four five"]
+    for text, score in zip(texts, model.score(texts)):
+        assert abs(slow_score(model, text) - score) < 1e-6, text
+
+
 def test_toxicity_table(spark):
     data = toxic_texts()
     docs = spark.createDataFrame([(a, b) for a, b, _ in data] + [(None, "x"), (900, None), (901, "")], "doc_id long, text string")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import struct
@@ -389,6 +390,36 @@ def water(size):
         full |= {s: 3 * size[s] for s in over}
 
 
+def test_rates_are_the_dual_optimum(spark):
+    """The tilt of each source by plain bisection, and the copies' rates from it."""
+    rng = random.Random(12)
+    data = [(i, prose(i, rng.choice([3, 8, 30, 31, 90, 200])), f"s{min(4, i % 9)}") for i in range(500)] + [(1000, prose(1, 3000), "s1")]
+    got = mixing.mixture(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    source = {r[0]: r[2] for r in data}
+    for s in sorted(set(source.values())):
+        rows_ = [r for r in got if source[r["doc_id"]] == s]
+        goal, mean = rows_[0]["target"], sum(r["size"] for r in rows_) / len(rows_)
+        rate = lambda t, size: min(3.0, math.exp(min(50.0, t * size / mean)))
+        if goal >= 3 * sum(r["size"] for r in rows_) * (1 - 1e-12):
+            assert all(r["rate"] == 3 for r in rows_)
+            continue
+        lo, hi = -200.0, 200.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(r["size"] * rate(mid, r["size"]) for r in rows_) < goal else (lo, mid)
+        assert all(abs(r["rate"] - rate(lo, r["size"])) < 1e-5 * max(1, r["rate"]) for r in rows_)
+        assert all(math.floor(r["rate"]) <= r["copies"] <= math.floor(r["rate"]) + 1 for r in rows_)
+
+
+def test_fold_of_many_sizes_is_the_same_in_short_lists(spark, monkeypatch):
+    data = [(i, prose(1, 1).split()[0] + " w" * (i % 90), f"s{i % 2}") for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    show = lambda: sorted((r["doc_id"], r["taken"]) for r in mixing.mixture(docs).collect())
+    whole = show()
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    assert show() == whole
+
+
 def test_mixed_repeats_rows(spark):
     docs = documents(spark)
     out = mixing.mixed(docs)
