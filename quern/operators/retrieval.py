@@ -27,27 +27,35 @@ def contained(texts: DataFrame, key: str, text: str, names: DataFrame, name: str
     return parts.join(wanted, "__p").select(key, name)
 
 
+def matched(held: DataFrame, asked: DataFrame, most: int = 200_000) -> DataFrame:
+    """held (id, token, ...) joined with asked (token, ...). Up to ``most`` asked rows are broadcast:
+    tokens that nobody asks for then never leave their task, and what is left is dealt out by id, so
+    that all pairs of a row meet in one task and are counted without another shuffle."""
+    if asked.limit(most + 1).count() > most:
+        return held.join(asked, "token")
+    wanted = held.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
+    return wanted.repartition("id").join(F.broadcast(asked), "token")
+
+
 def lexical_scores(questions: DataFrame, rows: DataFrame, text: Column, entity: str | None = "entity_name") -> DataFrame:
     """(qid, id, lexical, same_model) of all pairs with a positive score. questions: qid,
     question. rows: id and what text and entity name.
 
     Pairs come from shared tokens (an inverted equality join) and from entities named in the
-    question; no other pair can score."""
+    question, which travel as tokens of a kind of their own; no other pair can score."""
     q = questions.select("qid", "question", t.tokens(F.col("question")).alias("qt"))
     asked = q.select("qid", F.size("qt").alias("n_q"), F.explode("qt").alias("token"))
     # Row sizes travel with the tokens, so that texts are read and tokenised once.
-    held = rows.select("id", t.tokens(text).alias("rt")).select("id", F.size("rt").alias("n_row"), F.explode("rt").alias("token"))
-    pairs = asked.join(held, "token").groupBy("qid", "id", "n_q", "n_row").agg(F.count("*").alias("shared"))
+    held = rows.select("id", t.tokens(text).alias("rt"), (F.col(entity) if entity else F.lit(None).cast("string")).alias("__entity"))
+    tokens = F.col("rt")
     if entity:
+        mark = F.concat(F.lit("\0"), "__entity")
         named = contained(q, "qid", "question", rows.select(F.col(entity).alias("__entity")).distinct(), "__entity")
-        few = rows.join(named.select(F.col("__entity").alias("__e")).distinct(), F.col(entity) == F.col("__e"), "left_semi")
-        few = few.select("id", F.col(entity).alias("__entity"), F.size(t.tokens(text)).alias("__row"))
-        same = named.join(few, "__entity").join(q.select("qid", F.size("qt").alias("__q")), "qid").select("qid", "id", "__q", "__row", F.lit(True).alias("same_model"))
-        pairs = pairs.join(same, ["qid", "id"], "full").select(
-            "qid", "id", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("n_q", "__q").alias("n_q"), F.coalesce("n_row", "__row").alias("n_row"),
-            F.coalesce("same_model", F.lit(False)).alias("same_model"))
-    else:
-        pairs = pairs.withColumn("same_model", F.lit(False))
+        asked = asked.unionByName(named.join(q.select("qid", F.size("qt").alias("n_q")), "qid").select("qid", "n_q", mark.alias("token")))
+        tokens = F.when(F.col("__entity") != "", F.array_append("rt", mark)).otherwise(tokens)
+    held = held.select("id", F.size("rt").alias("n_row"), F.explode(tokens).alias("token"))
+    is_name = F.col("token").startswith("\0")
+    pairs = matched(held, asked).groupBy("qid", "id", "n_q", "n_row").agg(F.count_if(~is_name).alias("shared"), F.bool_or(is_name).alias("same_model"))
     score = v.lexical(F.col("shared"), F.col("n_q"), F.col("n_row"), F.col("same_model"))
     return pairs.select("qid", "id", score.alias("lexical"), "same_model").where("lexical > 0")
 
@@ -91,8 +99,8 @@ def every_term(questions: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     occurrences over words of the row."""
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
     q = questions.select("qid", F.array_distinct(words(F.col("question"))).alias("w")).where(F.size("w") > 0)
-    r = rows.select("id", words(F.col(text)).alias("w")).select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    hit = (q.select("qid", F.size("w").alias("n_q"), F.explode("w").alias("word")).join(r, "word")
-           .groupBy("qid", "id", "n_q", "n", "word").agg(F.count("*").alias("tf"))
+    r = rows.select("id", words(F.col(text)).alias("w")).select("id", F.size("w").alias("n"), F.explode("w").alias("token"))
+    hit = (matched(r, q.select("qid", F.size("w").alias("n_q"), F.explode("w").alias("token")))
+           .groupBy("qid", "id", "n_q", "n", "token").agg(F.count("*").alias("tf"))
            .groupBy("qid", "id", "n_q", "n").agg(F.count("*").alias("m"), F.sum("tf").alias("tf")).where("m = n_q"))
     return hit.select("qid", "id", (F.col("tf") / F.col("n")).alias("rank_value"))

@@ -136,10 +136,10 @@ def _(spark, sf):
     return r.top(both, ["qid"], [F.desc(F.round("rrf", 12)), F.asc("id")], 5).select("qid", "id", "rank", F.round("rrf", 9).alias("rrf"))
 
 
-@query("r05_document_evidence", s.with_(s.BLOCKS, s.QUESTIONS, lexical_sql("(SELECT doc_id * 100000 + block_no AS id, text FROM blocks)", "text", None))
+@query("r05_document_evidence", s.with_(s.BLOCKS, s.QUESTIONS, lexical_sql("(SELECT doc_id * 1000000000 + block_no AS id, text FROM blocks)", "text", None))
        + "SELECT qid, id, rank, round(lexical, 6) AS lexical FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(lexical, 9) DESC, id) AS rank FROM scored) WHERE rank <= 3")
 def _(spark, sf):
-    b = overlay.blocks(spark, sf).select((F.col("doc_id") * 100000 + F.col("block_no")).alias("id"), "text")
+    b = overlay.blocks(spark, sf).select((F.col("doc_id") * 1000000000 + F.col("block_no")).alias("id"), "text")
     scored = r.lexical_scores(overlay.questions(spark, sf), b, F.col("text"), None)
     return r.top(scored, ["qid"], [F.desc(F.round("lexical", 9)), F.asc("id")], 3).select("qid", "id", "rank", F.round("lexical", 6).alias("lexical"))
 
