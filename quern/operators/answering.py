@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACTIONS = {"technical": "retry", "wrong_scope": "fix_scope", "missing_knowledge": "add_knowledge", "retrieval_miss": "tune_retrieval",
@@ -45,3 +45,71 @@ def critical_flags(status: Column, n_citations: Column, text: Column) -> Column:
     """Names of what a finished answer gets wrong."""
     return F.filter(F.array(F.when((status == "answered") & (n_citations == 0), "answer_without_citation"), F.when((status == "failed") & (text != ""), "text_after_failure"),
                             F.when(F.length(text) > 4000, "too_long")), lambda x: x.isNotNull())
+
+
+def evidence_payload(hits: DataFrame) -> DataFrame:
+    """hits (qid, rank, id, title, content, entity_name, sources array<struct<source_kind, excerpt,
+    source_label, source_locator>>) as they go to generation: an index from 0 in order of rank and
+    each field at its length."""
+    from pyspark.sql import Window
+
+    index = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id")) - 1
+    cut = lambda c, n: F.left(F.trim(F.coalesce(c, F.lit(""))), F.lit(n))
+    sources = F.transform(F.coalesce("sources", F.array().cast(hits.schema["sources"].dataType)), lambda x: F.struct(
+        F.coalesce(x["source_kind"], F.lit("")).alias("source_kind"), cut(x["excerpt"], 1000).alias("excerpt"),
+        cut(x["source_label"], 300).alias("source_label"), cut(x["source_locator"], 500).alias("source_locator")))
+    return hits.select("qid", index.alias("index"), F.col("id").alias("knowledge_id"), cut(F.col("title"), 500).alias("title"), cut(F.col("content"), 2000).alias("content"),
+                       cut(F.col("entity_name"), 200).alias("entity"), sources.alias("sources"))
+
+
+def evidence_snapshot(payload: DataFrame, cited: DataFrame) -> DataFrame:
+    """(qid, place, evidence_index, knowledge_id, title, content): copies of what was cited, in order of
+    citation; indexes out of range are left out. cited: qid, indexes array<int>."""
+    wanted = cited.select("qid", F.posexplode("indexes").alias("place", "index"))
+    return wanted.join(payload, ["qid", "index"]).select("qid", "place", F.col("index").alias("evidence_index"), "knowledge_id", "title", "content")
+
+
+def joined_snapshots(first: DataFrame, checked: DataFrame) -> DataFrame:
+    """The snapshot of an answer with that of the originals which verified it behind it; indexes go on.
+    Both: qid, evidence_index, title."""
+    size = first.groupBy("qid").agg(F.count("*").alias("base"))
+    moved = checked.join(size, "qid", "left").select("qid", (F.col("evidence_index") + F.coalesce("base", F.lit(0))).alias("evidence_index"), "title")
+    return first.select("qid", F.col("evidence_index").cast("long").alias("evidence_index"), "title").unionByName(moved)
+
+
+def after_originals(answer_status: Column, n_evidence: Column, too_large: Column, llm_failed: Column, decision: Column, conflict: Column, reason: Column) -> Column:
+    """struct<answer_status, reason_code> after originals were read. An answer is verified or contradicted
+    by them, never lowered by an empty or failed reading; reason_code is null where nothing changes."""
+    out = lambda status, code: F.struct(F.lit(status).alias("answer_status") if isinstance(status, str) else status.alias("answer_status"),
+                                        (code if isinstance(code, Column) else F.lit(code).cast("string")).alias("reason_code"))
+    answered = F.coalesce(answer_status == "answered", F.lit(False))
+    same = out(answer_status, None)
+    return (F.when(n_evidence == 0, same).when(too_large, out("needs_clarification", "document_section_too_large")).when(llm_failed, same)
+            .when(decision == "answered", out("answered", F.when(answered, "document_verified_answer").otherwise("grounded_document_fallback")))
+            .when(conflict, out("unsupported", "knowledge_document_conflict")).when(answered, same)
+            .otherwise(out("unsupported", F.coalesce(F.nullif(reason, F.lit("")), F.lit("document_insufficient")))))
+
+
+def failure_reason(error: Column, status_code: Column, message: Column) -> Column:
+    """The reason code of a failed model call, from its error's name, status and message."""
+    return (F.when(F.contains(F.lower(error), F.lit("timeout")), "llm_timeout").when(status_code == 429, "llm_rate_limited")
+            .when((error == "ValueError") & F.contains(message, F.lit("JSON")), "llm_bad_response").otherwise("llm_error"))
+
+
+def retrieval_trace(questions: DataFrame, eligible: DataFrame, hits: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(qid, models, versions, n_eligible, candidate_ids, excluded): what a retrieval saw. questions: qid, models,
+    versions; eligible: id; hits: qid, id, rank; excluded: qid, id, reason."""
+    n = eligible.agg(F.count("*").alias("n_eligible"))
+    found = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("candidate_ids"))
+    out = excluded.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "reason"))), lambda x: F.concat_ws(":", x["id"].cast("string"), x["reason"])).alias("excluded"))
+    none = F.array()
+    return (questions.crossJoin(F.broadcast(n)).join(found, "qid", "left").join(out, "qid", "left")
+            .select("qid", "models", "versions", "n_eligible", F.coalesce("candidate_ids", none.cast("array<long>")).alias("candidate_ids"),
+                    F.coalesce("excluded", none.cast("array<string>")).alias("excluded")))
+
+
+def ask_for_model(hits: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, scopes): questions that name no model while their hits state two or more different scopes.
+    hits: qid, scope (null or empty: not restricted); questions: qid, models array."""
+    g = hits.where("scope <> ''").groupBy("qid").agg(F.array_sort(F.collect_set(F.upper("scope"))).alias("scopes")).where(F.size("scopes") >= 2)
+    return g.join(questions.where(F.size("models") == 0), "qid", "left_semi")

@@ -11,15 +11,19 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from quern.functions import text as t
 
-# Endings in the order in which they are tried.
-ENDINGS = ("иями ами ями ого ему ому ией иям иях ие ия ью ов ев ах ях ом ем ам ям ой ей ы и а я у ю е о ь").split()
-UNCERTAIN = ("可能", "也许", "大概", "maybe", "probably", "наверное")
+# Endings in the order in which they are tried, and words that make a fact unclear.
+ENDINGS = ("иями", "ами", "ями", "ого", "ему", "ому", "ией", "иям", "иях", "ие", "ия", "ью", "ов", "ев", "ах", "ях", "ом", "ем", "ам", "ям",
+           "ой", "ей", "ы", "и", "а", "я", "у", "ю", "е", "о", "ь")
+UNCERTAIN = ("大概", "可能", "应该", "也许", "看情况", "probably", "maybe")
+VAGUE_VERSION = ("新版", "旧版", "老版", "新版本", "旧版本", "以前")
+VAGUE_DIFFERENCE = ("不一样", "有区别", "有差异", "不同")
 CONFIDENCE = {"very high": 0.95, "high": 0.85, "medium": 0.6, "low": 0.3, "very low": 0.1}
 
 
 def stem(token: Column) -> Column:
-    """Lower case without outer punctuation and without the first ending that leaves more than three letters."""
-    word = F.regexp_replace(F.lower(F.trim(token)), r"^[.,!?;:()\[\]{}\"'«»]+|[.,!?;:()\[\]{}\"'«»]+$", "")
+    """Lower case, ё as е, white space squeezed, without outer punctuation and without the first ending that leaves more than three letters."""
+    folded = F.trim(F.regexp_replace(F.replace(F.lower(token), F.lit("ё"), F.lit("е")), r"(?U)\s+", " "))
+    word = F.regexp_replace(folded, r"^[.,!?;:()\[\]{}\"'«»]+|[.,!?;:()\[\]{}\"'«»]+$", "")
     out = None
     for e in ENDINGS:
         hit = word.endswith(e) & (F.length(word) > len(e) + 3)
@@ -71,8 +75,8 @@ def confirmed_numbers(text: pd.Series, total: pd.Series) -> pd.Series:
 
 def clarity(text: Column) -> Column:
     """Why a fact cannot be stored as it is, or clear."""
-    vague = r"(?i)新版|旧版|new version|old version|нов(?:ая|ой) верси"
-    return F.when(t.mentions(text, list(UNCERTAIN)), "uncertain").when(text.rlike(vague), "vague_version").when(text.rlike("(?i)区别|difference"), "vague_difference").otherwise("clear")
+    return (F.when(t.mentions(text, list(UNCERTAIN)), "uncertain").when(t.mentions(text, list(VAGUE_VERSION)), "vague_version")
+            .when(t.mentions(text, list(VAGUE_DIFFERENCE)), "vague_difference").otherwise("clear"))
 
 
 def model_confidence(value: Column) -> Column:

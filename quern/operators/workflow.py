@@ -59,3 +59,43 @@ def reused_or_new(requests: DataFrame, active: DataFrame, key: str) -> DataFrame
     """The active session of each key, or a new one named by the request."""
     a = active.groupBy(key).agg(F.max("session_id").alias("__active"))
     return requests.join(a, key, "left").select(key, F.coalesce("__active", "request_id").alias("session_id"), F.col("__active").isNull().alias("opened"))
+
+
+def limited_starts(requests: DataFrame, key: str, at: str, order: str, per_minute: float = 30, cooldown: DataFrame | None = None) -> DataFrame:
+    """requests with starts (seconds): each begins no sooner than it comes and 60 / per_minute seconds after the
+    one before it, the first not before its key's cooldown is over. cooldown: key, until.
+
+    The chain start[i] = max(at[i], start[i-1] + step) is a running maximum of at[j] - j * step, so no fold is needed."""
+    step = 60.0 / per_minute
+    rows = requests if cooldown is None else requests.join(cooldown.select(F.col(key).alias("__key"), "until"), F.col(key) == F.col("__key"), "left").drop("__key")
+    w = Window.partitionBy(key).orderBy(at, order)
+    own = F.col(at).cast("double") if cooldown is None else F.greatest(F.col(at).cast("double"), F.coalesce("until", F.lit(0.0)))
+    rows = rows.withColumn("__i", F.row_number().over(w) - 1).withColumn("__own", own - F.col("__i") * step)
+    best = F.max("__own").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("starts", best + F.col("__i") * step).drop("__i", "__own")
+    return out if cooldown is None else out.drop("until")
+
+
+def cooldowns(failures: DataFrame, key: str, at: str, message: str, window: float = 300.0) -> DataFrame:
+    """(key, until): ``window`` seconds after the last failure that was a rate limit."""
+    return failures.where(F.contains(message, F.lit("429"))).groupBy(key).agg((F.max(at).cast("double") + window).alias("until"))
+
+
+def until_limited(results: DataFrame, run: str, order: str, error: str) -> DataFrame:
+    """results with outcome: each run stops at its first rate limit (429). What came before is in the checkpoint
+    (saved) or the list of failures (failed); that one and all later ones wait for the next run (pending)."""
+    limited = F.contains(F.coalesce(error, F.lit("")), F.lit("429"))
+    stopped = F.max(limited).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return results.withColumn("outcome", F.when(stopped, "pending").when(F.col(error).isNotNull(), "failed").otherwise("saved"))
+
+
+def unfinished(rows: DataFrame, checkpoint: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that no record of the checkpoint has with the same key, hash and text; a changed row runs again."""
+    return rows.join(checkpoint.select(*keys).distinct(), keys, "left_anti")
+
+
+def migrations(files: DataFrame, applied: DataFrame) -> DataFrame:
+    """(name, checksum, state) of files (name, sql): to apply, applied, or mismatch if an applied one has changed."""
+    known = applied.select("name", F.col("checksum").alias("__known"))
+    f = files.withColumn("checksum", F.sha2("sql", 256)).join(known, "name", "left")
+    return f.select("name", "checksum", F.when(F.col("__known").isNull(), "apply").when(F.col("__known") == F.col("checksum"), "applied").otherwise("mismatch").alias("state"))

@@ -92,11 +92,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", a.ceiling(kind, scope, F.col("p_size") / 50.0).alias("confidence"))
 
 
-@query("q02_ask_for_model", "SELECT p_brand, count(DISTINCT p_type) >= 2 AS ask FROM part GROUP BY 1")
-def _(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg((F.count_distinct("p_type") >= 2).alias("ask"))
-
-
 @query("q12_golden_integrity", "SELECT item_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN c > 1 THEN 'repeated' ELSE 'ok' END AS state FROM (SELECT item_id, text, count(*) OVER (PARTITION BY text) AS c FROM benchmark)")
 def _(spark, sf):
     from pyspark.sql import Window

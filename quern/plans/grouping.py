@@ -41,19 +41,6 @@ def _(spark, sf):
     return g.contradictions(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), claim.alias("text")))
 
 
-@query("g04_lossless_merge", s.with_(s.CANDIDATES) + "SELECT knowledge_key, arg_max(brand, n * 1000000 - first) AS majority_brand, CAST(sum(n) AS BIGINT) AS members, string_agg(brand, ',' ORDER BY first) AS brands FROM (SELECT knowledge_key, brand, count(*) AS n, min(id) AS first FROM candidates GROUP BY 1, 2) GROUP BY 1")
-def _(spark, sf):
-    b = overlay.candidates(spark, sf).groupBy("knowledge_key", "brand").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    return b.groupBy("knowledge_key").agg(F.max_by("brand", F.struct("n", -F.col("first"))).alias("majority_brand"), F.sum("n").alias("members"),
-                                          F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "brand"))), lambda x: x["brand"]), ",").alias("brands"))
-
-
-@query("g06_negative_pairs", "SELECT l_orderkey, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 10 < 3) GROUP BY 1 HAVING count(*) >= 2")
-def _(spark, sf):
-    x = table(spark, sf, "lineitem").where("l_partkey % 10 < 3").select("l_orderkey", "l_partkey").distinct()
-    return x.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n >= 2")
-
-
 def _vector_pairs(spark, sf):
     e = table(spark, sf, "embeddings")
     a = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
@@ -83,16 +70,3 @@ def _(spark, sf):
     y = c.select(F.col("id").alias("b"), F.col("knowledge_key").alias("kb"), F.col("size").alias("sb"))
     p = g.pairs(c, "brand").join(x, "a").join(y, "b")
     return p.select("a", "b", g.match_score(F.col("ka") == F.col("kb"), F.col("sa") == F.col("sb"), F.lit(True), F.col("jaccard")).alias("score"))
-
-
-@query("g15_fact_cards", "SELECT p_type, p_size, bool_and(p_retailprice > 900) AS included, bool_or(p_retailprice > 2000) AS conflict, count(*) AS sources FROM part GROUP BY 1, 2")
-def _(spark, sf):
-    return table(spark, sf, "part").groupBy("p_type", "p_size").agg(F.bool_and(F.col("p_retailprice") > 900).alias("included"), F.bool_or(F.col("p_retailprice") > 2000).alias("conflict"), F.count("*").alias("sources"))
-
-
-@query("g16_grouping_candidates", s.with_(s.CANDIDATES) + "SELECT id FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = c.id AND l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c.id)")
-def _(spark, sf):
-    returned = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k"))
-    seen = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
-    c = overlay.candidates(spark, sf)
-    return c.join(returned, c["id"] == returned["k"], "left_anti").join(seen, F.col("id") == F.col("k"), "left_anti").select("id")

@@ -60,12 +60,6 @@ def _(spark, sf):
     return overlay.edges(spark, sf).groupBy("child").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("h09_entity_backfill", s.with_(s.EDGES) + "SELECT DISTINCT source AS entity FROM documents WHERE source NOT IN (SELECT parent FROM edges)")
-def _(spark, sf):
-    known = overlay.edges(spark, sf).select(F.col("parent").alias("k"))
-    return table(spark, sf, "documents").select(F.col("source").alias("entity")).distinct().join(known, F.col("entity") == F.col("k"), "left_anti")
-
-
 @query("h11_name_candidates", "SELECT n_name, r_name FROM nation, region WHERE contains(lower(n_name), lower(left(r_name, 1))) QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY r_name) <= 8")
 def _(spark, sf):
     from quern.operators.retrieval import contained, top

@@ -35,7 +35,7 @@ def _(spark, sf):
 
 @query("f34_clarity", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'vague_version' WHEN 2 THEN 'vague_difference' ELSE 'clear' END AS clarity FROM part")
 def _(spark, sf):
-    ending = F.element_at(F.array(*[F.lit(x) for x in (" maybe", " new version", " difference", " ok")]), F.col("p_size") % 4 + 1)
+    ending = F.element_at(F.array(*[F.lit(x) for x in (" maybe", " 老版", " 不同", " ok")]), F.col("p_size") % 4 + 1)
     return table(spark, sf, "part").select("p_partkey", k.clarity(F.concat("p_name", ending)).alias("clarity"))
 
 
@@ -176,26 +176,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.transform(words, lambda x: F.coalesce(same[x], x)))), ",").alias("tokens"))
 
 
-@query("q05_evidence_snapshot", s.with_(s.BLOCKS) + "SELECT doc_id, sha256(string_agg(block_no || '=' || text, chr(10) ORDER BY block_no)) AS snapshot FROM blocks GROUP BY 1")
-def _(spark, sf):
-    g = overlay.blocks(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "text"))).alias("l"))
-    return g.select("doc_id", F.sha2(F.array_join(F.transform("l", lambda x: F.concat_ws("=", x["block_no"], x["text"])), "\n"), 256).alias("snapshot"))
-
-
-@query("q06_fallback_merge", "SELECT run_id, CASE WHEN status = 'answered' THEN 'answered' WHEN run_id % 4 = 0 THEN 'conflict' WHEN run_id % 4 = 1 THEN 'answered' ELSE status END AS merged FROM (SELECT event_id AS run_id, CASE event_type WHEN 'purchase' THEN 'answered' ELSE 'open' END AS status FROM events)")
-def _(spark, sf):
-    fallback = F.when(F.col("event_id") % 4 == 0, "conflict").when(F.col("event_id") % 4 == 1, "answered")
-    status = F.when(F.col("event_type") == "purchase", "answered").otherwise("open")
-    # A fallback never lowers an answer.
-    return table(spark, sf, "events").select(F.col("event_id").alias("run_id"), F.when(status == "answered", status).otherwise(F.coalesce(fallback, status)).alias("merged"))
-
-
-@query("q13_evidence_payload", s.with_(s.BLOCKS) + "SELECT doc_id, block_no, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS item, left(text, 80) AS cut FROM blocks QUALIFY item <= 5")
-def _(spark, sf):
-    w = Window.partitionBy("doc_id").orderBy("block_no")
-    return overlay.blocks(spark, sf).select("doc_id", "block_no", F.row_number().over(w).alias("item"), F.left("text", F.lit(80)).alias("cut")).where("item <= 5")
-
-
 @query("q17_result_scoring", "SELECT event_type, count(*) FILTER (WHERE s = 'pass') AS passed, count(*) AS n FROM (SELECT event_type, CASE WHEN event_type = 'error' THEN 'fail' WHEN value IS NULL THEN 'skip' WHEN value >= 20 THEN 'pass' ELSE 'fail' END AS s FROM events) GROUP BY 1")
 def _(spark, sf):
     score = F.when(F.col("event_type") == "error", "fail").when(F.col("value").isNull(), "skip").when(F.col("value") >= 20, "pass").otherwise("fail")

@@ -18,13 +18,6 @@ def _(spark, sf):
     return lc.published(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey")
 
 
-@query("g14_publication_queue", "SELECT o_custkey, max(o_orderkey) AS version FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' AND c_mktsegment = 'BUILDING' GROUP BY 1")
-def _(spark, sf):
-    ok = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
-    o = table(spark, sf, "orders").where("o_orderstatus = 'O'")
-    return o.join(ok, o["o_custkey"] == ok["c_custkey"], "left_semi").groupBy("o_custkey").agg(F.max("o_orderkey").alias("version"))
-
-
 @query("m06_knowledge_history", s.with_(s.RUNS) + "SELECT knowledge_id, count(*) AS revision, arg_max(status, run_id) AS status, arg_max(value, run_id) AS value FROM runs WHERE knowledge_id IS NOT NULL GROUP BY 1")
 def _(spark, sf):
     r = overlay.runs(spark, sf).where("knowledge_id is not null")
@@ -63,13 +56,6 @@ def _(spark, sf):
     return overlay.runs(spark, sf).groupBy("user_id", "knowledge_id").agg(F.min("run_id").alias("run_id"))
 
 
-@query("t07_resumable_checkpoint", "SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.event_id = e.event_id AND d.event_type IN ('purchase', 'signup'))")
-def _(spark, sf):
-    e = table(spark, sf, "events")
-    done = e.where(F.col("event_type").isin("purchase", "signup")).select("event_id")
-    return e.join(done, "event_id", "left_anti").select("event_id")
-
-
 _TURN = "CASE event_type WHEN 'view' THEN 'ask' WHEN 'click' THEN 'confirm' WHEN 'purchase' THEN 'correct' WHEN 'signup' THEN 'skip' ELSE 'unknown' END"
 
 
@@ -81,13 +67,6 @@ def _(spark, sf):
     return lc.folded_turns(table(spark, sf, "events").withColumn("k", kind), "user_id", "event_id", "k")
 
 
-@query("m08_review_events", "SELECT p_partkey, field, value FROM (SELECT p_partkey, unnest(['brand','type']) AS field, unnest([CASE WHEN p_size > 25 THEN p_brand END, CASE WHEN p_size % 2 = 0 THEN p_type END]) AS value FROM part) WHERE value IS NOT NULL")
-def _(spark, sf):
-    changes = F.array(F.struct(F.lit("brand").alias("field"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("value")),
-                      F.struct(F.lit("type").alias("field"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("value")))
-    return table(spark, sf, "part").select("p_partkey", F.inline(changes)).where("value is not null")
-
-
 @query("m11_session_summary", "SELECT user_id, count(DISTINCT event_type) AS kinds, coalesce(round(sum(value) FILTER (WHERE event_type = 'purchase'), 4), 0) AS confirmed FROM events GROUP BY 1")
 def _(spark, sf):
     paid = F.sum(F.when(F.col("event_type") == "purchase", F.col("value")))

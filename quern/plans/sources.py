@@ -46,8 +46,3 @@ def _(spark, sf):
 @query("s07_markdown_table", "SELECT '| ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation")
 def _(spark, sf):
     return files.markdown(table(spark, sf, "nation"), ["n_name", "n_regionkey"])
-
-
-@query("s02_typed_columns", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, value > 50 AS large FROM events")
-def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), (F.col("value") > 50).alias("large"))

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.plans.common import registry
-from quern.session import checkpointed
+from quern.session import shared_path
 from quern.streaming import queue
 
 QUERIES, SQL, query = registry()
 
 
 def _drained(spark, stream, name, mode="complete"):
-    tag = uuid.uuid4().hex
-    folder = checkpointed(spark).sparkContext.getCheckpointDir()
-    return queue.drained(stream, f"{name}_{tag}", f"{folder}/{name}-{tag}", mode)
+    return queue.drained(stream, shared_path(spark, name), shared_path(spark, f"{name}-state"), mode)
 
 
 @query("t05_stream_latest_state", "SELECT user_id, count(*) AS n, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")

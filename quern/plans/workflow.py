@@ -30,19 +30,6 @@ def _(spark, sf):
     return n.select("n_name", F.array_join(w.explicit_chain(said), "/").alias("chain"))
 
 
-@query("h10_move_parent", s.with_(s.EDGES) + "SELECT child, CASE WHEN child LIKE 'S%' THEN 'N0' ELSE parent END AS parent FROM edges")
-def _(spark, sf):
-    e = overlay.edges(spark, sf)
-    moves = e.where("child like 'S%'").select(F.col("child").alias("k"), F.lit("N0").alias("to"))
-    return e.join(moves, F.col("child") == F.col("k"), "left").select("child", F.coalesce("to", "parent").alias("parent"))
-
-
-@query("h12_h13_proposal_checks", s.with_(s.EDGES) + "SELECT c_custkey, CASE WHEN c_nationkey IS NULL THEN 'no_parent' WHEN c_custkey % 9 = 0 THEN 'self_link' WHEN c_acctbal < 0 THEN 'no_evidence' ELSE 'ok' END AS error FROM customer")
-def _(spark, sf):
-    rules = [("no_parent", F.col("c_nationkey").isNull()), ("self_link", F.col("c_custkey") % 9 == 0), ("no_evidence", F.col("c_acctbal") < 0)]
-    return table(spark, sf, "customer").select("c_custkey", w.first_error(rules).alias("error"))
-
-
 @query("f33_f38_contract_checks", "SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) > 240 THEN 'too_long' WHEN regexp_matches(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}') THEN 'address' ELSE 'ok' END AS error FROM documents")
 def _(spark, sf):
     text = F.col("text")
@@ -69,12 +56,6 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", said.alias("said"))
 
 
-@query("q14_retrieval_trace", s.with_(s.RUNS) + "SELECT user_id, string_agg(CAST(knowledge_id AS VARCHAR), ',' ORDER BY knowledge_id) AS candidates, CASE WHEN bool_or(status='failed') THEN 'technical_failure' ELSE 'ok' END AS reason FROM (SELECT DISTINCT user_id, knowledge_id, status FROM runs) GROUP BY 1")
-def _(spark, sf):
-    x = overlay.runs(spark, sf).select("user_id", "knowledge_id", "status").distinct()
-    return x.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("knowledge_id")), ",").alias("candidates"), F.when(F.bool_or(F.col("status") == "failed"), "technical_failure").otherwise("ok").alias("reason"))
-
-
 @query("c14_cited_ids", "SELECT doc_id, CAST(x AS BIGINT) AS cited FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{2,6}'))) AS x FROM documents)")
 def _(spark, sf):
     found = F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{2,6}"), F.lit(0)))
@@ -87,12 +68,6 @@ def _(spark, sf):
     return m.groupBy("conv_id").agg(F.count_distinct("text").alias("evidence"), F.min(F.left("text", F.lit(60))).alias("first_text"), F.count("*").alias("n")).where("n >= 2").drop("n")
 
 
-@query("c19_case_lookup", "SELECT p_brand, arg_min(p_name, (p_size % 2 = 0)::INT * 1000000000 + p_partkey) AS chosen FROM part GROUP BY 1")
-def _(spark, sf):
-    order = F.struct((F.col("p_size") % 2 == 0).cast("int"), F.col("p_partkey"))
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.min_by("p_name", order).alias("chosen"))
-
-
 @query("c01_customer_turns", THREADS + " SELECT conv_id, count(*) FILTER (WHERE customer) AS customer_turns FROM roles GROUP BY 1")
 def _(spark, sf):
     return spoken(spark, sf).groupBy("conv_id").agg(F.count_if(c.is_customer()).alias("customer_turns"))
@@ -105,19 +80,6 @@ def _(spark, sf):
     return x.where("previous_id is not null and previous_id <> doc_id").join(p, F.col("previous_id") == F.col("pid")).select("doc_id", "previous_id", (F.length("text") - F.col("pn")).alias("grown"))
 
 
-@query("d11_d15_queued_jobs", s.with_(s.BLOCKS) + "SELECT DISTINCT doc_id, block_no // 10 AS context FROM blocks WHERE doc_id * 100 + block_no // 10 NOT IN (SELECT doc_id * 100 FROM labels)")
-def _(spark, sf):
-    b = overlay.blocks(spark, sf).select("doc_id", F.floor(F.col("block_no") / 10).alias("context")).distinct()
-    done = table(spark, sf, "labels").select("doc_id", F.lit(0).cast("long").alias("context"))
-    return b.join(done, ["doc_id", "context"], "left_anti")
-
-
-@query("d13_d14_confirm_units", s.with_(s.BLOCKS) + "SELECT doc_id, count(*) AS blocks, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS moved FROM blocks GROUP BY 1")
-def _(spark, sf):
-    good = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct().withColumn("hit", F.lit(True))
-    return overlay.blocks(spark, sf).join(good, "doc_id", "left").groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count("hit").alias("moved"))
-
-
 @query("m09_pending_proposals", s.with_(s.RUNS) + "SELECT user_id, run_id, knowledge_id FROM runs WHERE status = 'needs_clarification' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY knowledge_id IS NULL, run_id DESC) = 1")
 def _(spark, sf):
     p = overlay.runs(spark, sf).where("status = 'needs_clarification'")
@@ -145,50 +107,18 @@ def _(spark, sf):
     return g.select("doc_id", "n_segments", w.first_error([("none", F.col("n_segments") == 0), ("too_long", F.col("m") > 1500), ("gap", F.col("g") > 0)]).alias("error"))
 
 
-@query("m10_bulk_lists", s.with_(s.BLOCKS) + "SELECT doc_id, count(*) FILTER (WHERE block_no % 3 = 0) AS clear, count(*) FILTER (WHERE block_no % 3 = 1) AS unclear, count(*) FILTER (WHERE block_no % 3 = 2) AS conflict FROM blocks GROUP BY 1")
-def _(spark, sf):
-    kind = F.col("block_no") % 3
-    return overlay.blocks(spark, sf).groupBy("doc_id").agg(*[F.count_if(kind == i).alias(n) for i, n in enumerate(("clear", "unclear", "conflict"))])
-
-
-@query("m16_guarded_links", s.with_(s.SOURCES) + "SELECT knowledge_id, relation FROM sources x WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = x.knowledge_id) AND NOT (relation = 'supports' AND EXISTS (SELECT 1 FROM sources y WHERE y.knowledge_id = x.knowledge_id AND y.relation = 'contradicts'))")
-def _(spark, sf):
-    x = overlay.sources(spark, sf)
-    bad = x.where("relation = 'contradicts'").select(F.col("knowledge_id").alias("k"), F.lit("supports").alias("rel"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("d"))
-    return (x.join(d, F.col("knowledge_id") == F.col("d"), "left_semi").join(bad, (F.col("knowledge_id") == F.col("k")) & (F.col("relation") == F.col("rel")), "left_anti").select("knowledge_id", "relation"))
-
-
-@query("m17_batch_confirm", s.with_(s.BLOCKS) + "SELECT doc_id, block_no, CASE WHEN block_no IN (0, 2) OR doc_id % 2 = 0 THEN 'confirmed' ELSE 'pending' END AS state FROM blocks")
-def _(spark, sf):
-    chosen = F.when(F.col("doc_id") % 2 == 0, F.lit(None).cast("array<int>")).otherwise(F.array(F.lit(0), F.lit(2)))
-    state = F.when(chosen.isNull() | F.array_contains(chosen, F.col("block_no")), "confirmed").otherwise("pending")
-    return overlay.blocks(spark, sf).select("doc_id", "block_no", state.alias("state"))
-
-
 @query("m18_session_reuse", "SELECT c.c_custkey, coalesce(o.m, -c.c_custkey) AS session_id, o.m IS NULL AS opened FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) o ON o.o_custkey = c.c_custkey")
 def _(spark, sf):
     active = table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("session_id"))
     return w.reused_or_new(table(spark, sf, "customer").select("c_custkey", (-F.col("c_custkey")).alias("request_id")), active, "c_custkey")
 
 
-@query("m19_trust_rules", s.with_(s.KNOWLEDGE) + "SELECT id, CASE WHEN trust = 'user_confirmed' AND entity_name IS NULL THEN 'no_entity' WHEN trust = 'conflicted' AND active THEN 'active_conflict' ELSE 'ok' END AS error FROM knowledge")
-def _(spark, sf):
-    rules = [("no_entity", (F.col("trust") == "user_confirmed") & F.col("entity_name").isNull()), ("active_conflict", (F.col("trust") == "conflicted") & F.col("active"))]
-    return overlay.knowledge(spark, sf).select("id", w.first_error(rules).alias("error"))
-
-
 @query("g01_focus_and_families", r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(p_brand, '[A-Za-z]+'), lambda x: lower(x)))), ',') AS families FROM part")
 def _(spark, sf):
     found = F.transform(F.regexp_extract_all("p_brand", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.lower(x))
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("families"))
 
 
-@query("g07_g10_group_recompute", s.with_(s.CANDIDATES) + "SELECT knowledge_key, count(*) AS members, CAST(sum(frequency) AS BIGINT) AS frequency, count(DISTINCT brand) > 1 AS mixed FROM candidates GROUP BY 1")
-def _(spark, sf):
-    return overlay.candidates(spark, sf).groupBy("knowledge_key").agg(F.count("*").alias("members"), F.sum("frequency").alias("frequency"), (F.count_distinct("brand") > 1).alias("mixed"))
-
-
 @query("g17_group_members", s.with_(s.CANDIDATES) + "SELECT id, knowledge_key, first AS canonical, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT c.id, c.knowledge_key, m.first, list_distinct(string_split(c.title, ' ')) AS a, list_distinct(string_split(m.title, ' ')) AS b FROM candidates c JOIN (SELECT knowledge_key, min(id) AS first, arg_min(title, id) AS title FROM candidates GROUP BY 1) m USING (knowledge_key))")
 def _(spark, sf):
     x = overlay.candidates(spark, sf)
@@ -197,11 +127,6 @@ def _(spark, sf):
     return x.join(m, "knowledge_key").select("id", "knowledge_key", "canonical", F.round(v.jaccard(words("title"), words("first_title")), 6).alias("similarity"))
 
 
-@query("g19_event_append", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events")
-def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("seq"))
-
-
 @query("j09_j10_blocked_pairs", "SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, sf):
     x = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a")).distinct()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -25,9 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpointed(spark: SparkSession) -> SparkSession:
     """The session with a checkpoint folder: the shared one that is configured, or, only if
-    none is, a folder of its own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-"))
+    none is and the master is local, a folder of its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="quern-"))
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for ``name`` in the checkpoint folder."""
+    return f"{checkpointed(spark).sparkContext.getCheckpointDir().rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"

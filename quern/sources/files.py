@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str], key: str) -> tuple[DataFrame, DataFrame]:
     """(rows, violations): records with all required fields and an unrepeated key; the others with a reason."""
     rows = spark.read.schema(schema).json(path)
-    from pyspark.sql import Window
-
     n = F.count("*").over(Window.partitionBy(key))
     missing = F.lit(False)
     for c in required:
@@ -60,3 +62,79 @@ def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
 def embedding_backlog(rows: DataFrame, cache: DataFrame, text: str) -> DataFrame:
     """Rows whose text has no cached vector yet. cache: hash."""
     return rows.withColumn("hash", F.sha2(text, 256)).join(cache.select("hash"), "hash", "left_anti")
+
+
+def _values(statement: str) -> list[list[str | None]]:
+    """The rows of one INSERT statement: quoted strings with doubled quotes, numbers, NULL."""
+    at = statement.upper().find("VALUES")
+    rows, row, part, quoted, deep, was = [], [], [], False, 0, False
+    for k, c in enumerate(statement[at + 6:] if at >= 0 else ""):
+        if quoted:
+            part.append(c)
+            quoted = c != "'"
+        elif c == "'":
+            # A quote right behind a closed string is a quote inside it.
+            quoted, was = True, True
+            part.append(c)
+        elif c == "(" and not deep:
+            deep, row, part, was = 1, [], [], False
+        elif c in ",)" and deep == 1:
+            text = "".join(part).strip()
+            if was:
+                row.append(text[1:-1].replace("''", "'"))
+            else:
+                row.append(None if text.upper() == "NULL" else text)
+            part, was = [], False
+            if c == ")":
+                deep = 0
+                rows.append(row)
+        else:
+            part.append(c)
+    return rows
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def inserted_rows(statements: pd.Series) -> pd.Series:
+    """The value lists of INSERT statements as text; null for other statements."""
+    return pd.Series([_values(x) if x and x.lstrip().upper().startswith("INSERT") else None for x in statements], dtype=object)
+
+
+def dump_rows(statements: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """Rows of ``table`` in a dump, one statement a row (statement), as text columns, in any order."""
+    named = statements.where(F.col("statement").rlike(rf"(?i)^\s*INSERT\s+INTO\s+[\"`]?{table}[\"`]?\b"))
+    return named.select(F.explode(inserted_rows("statement")).alias("v")).select(*[F.col("v")[k].alias(c) for k, c in enumerate(columns)])
+
+
+def typed(rows: DataFrame, kinds: dict[str, str], names: dict[str, str] | None = None) -> DataFrame:
+    """Text columns as their kinds (a type, ``json`` or ``bool``: 1, true, yes) under new names; what does not parse is null."""
+    def one(c: str) -> Column:
+        kind, text = kinds.get(c, "string"), F.trim(F.col(c))
+        if kind == "bool":
+            value = F.when(F.lower(text).isin("1", "true", "t", "yes"), True).when(F.lower(text).isin("0", "false", "f", "no"), False)
+        elif kind == "json":
+            value = F.when(F.try_parse_json(text).isNotNull(), text)
+        else:
+            value = F.col(c) if kind == "string" else text.try_cast(kind)
+        return value.alias((names or {}).get(c, c))
+
+    return rows.select(*[one(c) for c in rows.columns])
+
+
+def save_cache(vectors: DataFrame, path: str) -> None:
+    """Writes (key, vector) as Parquet beside ``path`` and renames it into place, so that readers see the old
+    cache or the new one, never a part."""
+    spark = vectors.sparkSession
+    beside = f"{path}-{uuid.uuid4().hex}"
+    vectors.write.parquet(beside)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    files = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(old):
+        files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"could not rename {beside}")
+
+
+def cached(rows: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their vector, rows without one); of a repeated key any vector will do, for keys name texts."""
+    c = cache.groupBy(key).agg(F.first("vector").alias("vector"))
+    return rows.join(c, key), rows.join(c, key, "left_anti")

@@ -29,11 +29,22 @@ def windowed(stream: DataFrame, size: str = "1 hour", delay: str = "2 hours") ->
     return at.groupBy(F.window("at", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs the stream over all that is there and returns the sink's table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs the stream over all that is there and returns what it left under ``out``. Each batch overwrites a
+    folder of its own, so a repeated batch leaves one result; in mode complete the last batch holds all."""
+    spark = stream.sparkSession
+    numbers: list[int] = []
+
+    def work(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        numbers.append(number)
+
+    query = stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    kept = numbers[-1:] if mode == "complete" else numbers
+    return spark.read.schema(stream.schema).parquet(*[f"{out}/batch={n}" for n in kept])
 
 
 def claims(batch: DataFrame, done: DataFrame) -> DataFrame:

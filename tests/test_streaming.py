@@ -25,9 +25,9 @@ def test_stream_state_equals_batch(spark, tmp_path):
     rows = events(50) + events(20)  # the first 20 come twice
     spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/events.parquet")
     stream = queue.event_stream(spark, str(tmp_path))
-    first = queue.drained(queue.deduplicated(stream, ["event_id"], "1 day").select("event_id"), "first_seen", f"{tmp_path}/c1", "append")
+    first = queue.drained(queue.deduplicated(stream, ["event_id"], "1 day").select("event_id"), f"{tmp_path}/first", f"{tmp_path}/c1", "append")
     assert sorted(r["event_id"] for r in first.collect()) == list(range(50))
-    counts = queue.drained(queue.counts_by_key(stream, "user_id"), "per_user", f"{tmp_path}/c2")
+    counts = queue.drained(queue.counts_by_key(stream, "user_id"), f"{tmp_path}/counts", f"{tmp_path}/c2")
     want = {}
     for r in rows:
         want[r[2]] = want.get(r[2], 0) + 1
