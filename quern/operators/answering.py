@@ -99,11 +99,11 @@ def failure_reason(error: Column, status_code: Column, message: Column) -> Colum
 def retrieval_trace(questions: DataFrame, eligible: DataFrame, hits: DataFrame, excluded: DataFrame) -> DataFrame:
     """(qid, models, versions, n_eligible, candidate_ids, excluded): what a retrieval saw. questions: qid, models,
     versions; eligible: id; hits: qid, id, rank; excluded: qid, id, reason."""
-    n = eligible.agg(F.count("*").alias("n_eligible"))
+    n = eligible.agg(F.count("*")).scalar()
     found = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("candidate_ids"))
     out = excluded.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "reason"))), lambda x: F.concat_ws(":", x["id"].cast("string"), x["reason"])).alias("excluded"))
     none = F.array()
-    return (questions.crossJoin(F.broadcast(n)).join(found, "qid", "left").join(out, "qid", "left")
+    return (questions.withColumn("n_eligible", n).join(found, "qid", "left").join(out, "qid", "left")
             .select("qid", "models", "versions", "n_eligible", F.coalesce("candidate_ids", none.cast("array<long>")).alias("candidate_ids"),
                     F.coalesce("excluded", none.cast("array<string>")).alias("excluded")))
 
@@ -113,3 +113,92 @@ def ask_for_model(hits: DataFrame, questions: DataFrame) -> DataFrame:
     hits: qid, scope (null or empty: not restricted); questions: qid, models array."""
     g = hits.where("scope <> ''").groupBy("qid").agg(F.array_sort(F.collect_set(F.upper("scope"))).alias("scopes")).where(F.size("scopes") >= 2)
     return g.join(questions.where(F.size("models") == 0), "qid", "left_semi")
+
+
+# The statuses of answers and the categories of golden cases with their quotas.
+STATUSES = ("answered", "needs_clarification", "unsupported", "service_error")
+QUOTA = {"answerable": 15, "clarify": 5, "unsupported": 5, "boundary": 5}
+
+
+def customer_text(status: Column, answer: Column, question: Column, unsupported: Column, failure: str, unknown: str, service_error: str) -> Column:
+    """The one text that a customer sees for each status, with a standing text where the run has none."""
+    or_ = lambda *c: F.trim(F.coalesce(*[F.nullif(x, F.lit("")) if isinstance(x, Column) else F.lit(x) for x in c]))
+    return (F.when(status == "answered", or_(answer, service_error)).when(status == "needs_clarification", or_(question, unknown))
+            .when(status == "unsupported", or_(unsupported, answer, failure)).otherwise(F.lit(service_error)))
+
+
+def unsupported_status(route: Column) -> Column:
+    """Without support an unknown route asks back; any other says that there is none."""
+    return F.when(route == "unknown", "needs_clarification").otherwise("unsupported")
+
+
+def qualified(answer: Column, asked: Column, found: Column) -> Column:
+    """An answer that holds for one model says so if the question named none. asked, found: arrays of models."""
+    model = F.try_element_at(found, F.lit(1))
+    said = F.concat(F.lit("Если речь о "), model, F.lit(", порядок такой: "), F.rtrim(answer), F.lit(" Если у вас другая модель, укажите её — порядок может отличаться."))
+    return F.when((F.size(asked) == 0) & (F.size(found) > 0), said).otherwise(answer)
+
+
+def golden_errors(samples: DataFrame, required: list[str]) -> DataFrame:
+    """(sample_key, error) for each rule that a golden sample (sample_key, question, expected_answer_status, ...) breaks."""
+    from pyspark.sql import Window
+
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    again = F.count("*").over(Window.partitionBy("sample_key")) > 1
+    rules = [F.when(F.col(c).isNull(), F.concat(F.lit("missing "), F.lit(c))) for c in required]
+    rules += [F.when(blank("sample_key"), "empty_key"), F.when(~blank("sample_key") & F.col("__again"), "repeated_key"),
+              F.when(~F.coalesce(F.col("expected_answer_status").isin(*STATUSES), F.lit(False)), "unexpected_status")]
+    return samples.withColumn("__again", again).select("sample_key", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("error"))
+
+
+def sidecar_errors(cases: DataFrame, samples: DataFrame) -> DataFrame:
+    """(sample_key, error) of cases (sample_key, category, expected_answer_status) against their samples."""
+    from pyspark.sql import Window
+
+    known = samples.select(F.col("sample_key").alias("k"), F.col("expected_answer_status").alias("golden")).distinct()
+    j = cases.withColumn("again", F.count("*").over(Window.partitionBy("sample_key")) > 1).join(known, F.col("sample_key") == F.col("k"), "left")
+    status, there = F.col("expected_answer_status"), F.col("k").isNotNull()
+    label = F.create_map(*[F.lit(x) for kv in {"answerable": "answered", "clarify": "needs_clarification", "unsupported": "unsupported"}.items() for x in kv])[F.col("category")]
+    rules = [F.when(~there, "unknown_sample"), F.when(there & F.col("again"), "repeated_key"), F.when(there & ~F.coalesce(F.col("category").isin(*QUOTA), F.lit(False)), "unknown_category"),
+             F.when(there & ~F.coalesce(status.isin(*STATUSES), F.lit(False)), "unexpected_status").when(there & (status != F.col("golden")), "disagrees"),
+             F.when(there & label.isNotNull() & ~F.equal_null(label, status), "category_and_status")]
+    return j.select("sample_key", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("error"))
+
+
+def quota_errors(cases: DataFrame, quota: dict[str, int] | None = None) -> DataFrame:
+    """(category, n, least) of categories with fewer cases than their quota, those without any included."""
+    spark = cases.sparkSession
+    least = spark.createDataFrame(list((quota or QUOTA).items()), "category string, least int")
+    n = cases.groupBy("category").agg(F.count("*").alias("n"))
+    return least.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"), "least").where("n < least")
+
+
+def source_selection(refuse: Column, clarify: Column, expected_keys: Column, expected_id: Column, ids: Column, keys: Column, scopes: Column) -> Column:
+    """Did an answer choose the right evidence? Refusals choose nothing but conflicts, clarifications nothing,
+    others the expected keys, or the expected row, or anything."""
+    none = F.size(ids) == 0
+    return (F.when(refuse, none | F.forall(scopes, lambda x: x == "conflict")).when(clarify, none)
+            .when(F.size(expected_keys) > 0, F.size(F.array_except(expected_keys, keys)) == 0)
+            .when(expected_id.isNotNull(), F.coalesce(F.array_contains(ids, expected_id), F.lit(False))).otherwise(F.lit(True)))
+
+
+def golden_pass(expected: Column, actual: Column, selected: Column, supported: Column) -> Column:
+    """Status and selection agree; an expected answer must also be supported."""
+    return (actual == expected) & selected & (supported | (expected != "answered"))
+
+
+def scored(results: DataFrame) -> DataFrame:
+    """results (refuse, clarify, expected_status, expected_keys, expected_id, actual_status, ids, keys, scopes, supported) with
+    selection_pass, status_pass, golden_pass and applicability_pass."""
+    c = {n: F.col(n) for n in results.columns}
+    chosen = source_selection(c["refuse"], c["clarify"], c["expected_keys"], c["expected_id"], c["ids"], c["keys"], c["scopes"])
+    r = results.withColumn("selection_pass", chosen).withColumn("status_pass", c["actual_status"] == c["expected_status"])
+    return r.withColumn("golden_pass", golden_pass(c["expected_status"], c["actual_status"], F.col("selection_pass"), c["supported"])) \
+        .withColumn("applicability_pass", (c["actual_status"] == "answered") & F.col("selection_pass") & F.forall("scopes", lambda x: x != "conflict"))
+
+
+def latest_results(results: DataFrame) -> DataFrame:
+    """One row for each (run_id, model_name, sample_key): the last written (seq), as an upsert leaves it."""
+    key = ["run_id", "model_name", "sample_key"]
+    others = [x for x in results.columns if x not in (*key, "seq")]
+    return results.groupBy(*key).agg(F.max(F.struct("seq", *others)).alias("m")).select(*key, "m.*")

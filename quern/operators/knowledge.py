@@ -120,3 +120,82 @@ def guarded_refresh(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def scope_level(models: Column, conditions: Column, answered: Column, brand: Column) -> Column:
     return (F.when(~answered, "single_case").when((F.size(models) > 0) & (F.size(conditions) > 0), "model_condition").when(F.size(models) > 0, "model")
             .when(brand.isNotNull(), "brand").otherwise("generic"))
+
+
+def filled(primary: DataFrame, secondary: DataFrame, key: str) -> DataFrame:
+    """primary with the columns that secondary has too taken from there where they are null, empty text or an empty list."""
+    shared = [c for c in secondary.columns if c != key and c in primary.columns]
+    two = secondary.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in shared])
+
+    def one(c: str) -> Column:
+        kind = primary.schema[c].dataType.typeName()
+        empty = F.col(c).isNull() | (F.trim(F.col(c)) == "" if kind == "string" else F.size(F.col(c)) == 0 if kind == "array" else F.lit(False))
+        return F.when(empty, F.coalesce(F.col(f"__{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
+
+    j = primary.join(two, F.col(key) == F.col("__k"), "left")
+    return j.select(*[one(c) if c in shared else F.col(c) for c in primary.columns])
+
+
+def fallback_candidates(cases: DataFrame, covered: DataFrame) -> DataFrame:
+    """(candidate_id, case_id): a candidate for each case that no row covers, CASE- and six digits or more."""
+    text = F.col("case_id").cast("string")
+    return cases.select("case_id").distinct().join(covered, "case_id", "left_anti").select(
+        F.concat(F.lit("CASE-"), F.lpad(text, F.greatest(F.lit(6), F.length(text)), F.lit("0"))).alias("candidate_id"), "case_id")
+
+
+def manual_relations(requests: DataFrame, messages: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests with error, relations after them). A request (case_id, source, target, relation) needs a known
+    relation and two different messages of its case; accepted ones take the place of known relations of their key,
+    as manual and with confidence 1. messages: case_id, message_id; known: the key, origin, confidence."""
+    key = ["case_id", "source", "target", "relation"]
+    m = messages.select(F.col("case_id").alias("c"), F.col("message_id").alias("m")).distinct()
+    j = requests
+    for side in ("source", "target"):
+        hit = m.withColumn(f"{side}_known", F.lit(True))
+        j = j.join(hit, (F.col("case_id") == F.col("c")) & (F.col(side) == F.col("m")), "left").drop("c", "m")
+    error = (F.when(~F.coalesce(F.col("relation").isin("answers", "confirm_success", "confirm_failure"), F.lit(False)), "unknown_relation")
+             .when(F.coalesce(F.col("source") == F.col("target"), F.lit(True)), "same_message").when(F.col("source_known").isNull() | F.col("target_known").isNull(), "not_of_this_case").otherwise("ok"))
+    checked = j.withColumn("error", error).drop("source_known", "target_known")
+    new = checked.where("error = 'ok'").select(*key).distinct()
+    return checked, known.join(new, key, "left_anti").unionByName(new.select(*key, F.lit("manual").alias("origin"), F.lit(1.0).alias("confidence")))
+
+
+def compacted(analyses: DataFrame, most: int = 8, chars: int = 700) -> DataFrame:
+    """(case_id, question, claims, roles): an analysis cut to the size of a prompt: the first claims, each cut, and how many
+    messages have each role. analyses: case_id, question, claims array<string>, roles array<string>."""
+    roles = F.filter("roles", lambda x: x != "")
+    counts = F.transform(F.array_sort(F.array_distinct(roles)), lambda r: F.concat_ws("=", r, F.size(F.filter(roles, lambda x: x == r)).cast("string")))
+    return analyses.select("case_id", F.left("question", F.lit(chars)).alias("question"), F.transform(F.slice("claims", 1, most), lambda x: F.left(x, F.lit(chars))).alias("claims"), counts.alias("roles"))
+
+
+def corrected_sources(sources: DataFrame, corrections: DataFrame) -> DataFrame:
+    """sources (knowledge_id, evidence_id, relation, active, resolution) with those that a correction names (knowledge_id, evidence_id) rejected."""
+    hit = corrections.select("knowledge_id", "evidence_id").distinct().withColumn("hit", F.lit(True))
+    gone = F.coalesce("hit", F.lit(False)) & F.col("active")
+    return sources.join(hit, ["knowledge_id", "evidence_id"], "left").withColumn("resolution", F.when(gone, "rejected").otherwise(F.col("resolution"))) \
+        .withColumn("active", F.col("active") & ~gone).drop("hit")
+
+
+def retired(knowledge: DataFrame, sources: DataFrame, corrections: DataFrame) -> DataFrame:
+    """knowledge (id, trust, active) where corrected, provisional rows without any active support left are inactive."""
+    after = corrected_sources(sources, corrections)
+    support = after.where("active and relation = 'supports'").select(F.col("knowledge_id").alias("id")).distinct().withColumn("held", F.lit(True))
+    named = corrections.select(F.col("knowledge_id").alias("id")).distinct().withColumn("corrected", F.lit(True))
+    j = knowledge.join(named, "id", "left").join(support, "id", "left")
+    gone = F.coalesce("corrected", F.lit(False)) & F.col("active") & (F.col("trust") == "provisional") & F.col("held").isNull()
+    return j.withColumn("active", F.col("active") & ~gone).drop("corrected", "held")
+
+
+def session_summary(sessions: DataFrame, proposals: DataFrame, batches: DataFrame) -> DataFrame:
+    """(thread_id, learned, corrected, unresolved, total, processed, failed) since each session (thread_id, started_at) began:
+    confirmed facts once each by their squeezed text, in order of their first proposal. proposals: thread_id, proposal_id, status,
+    content, at; batches: thread_id, total, processed, failed, at."""
+    own = sessions.select("thread_id", "started_at")
+    p = proposals.join(own, "thread_id").where("at >= started_at")
+    facts = p.where("status = 'confirmed'").groupBy("thread_id", t.squeezed(F.col("content")).alias("k")).agg(F.min(F.struct("proposal_id", "content")).alias("f"))
+    learned = facts.groupBy("thread_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["content"]).alias("learned"))
+    outcomes = p.groupBy("thread_id").agg(F.count_if(F.col("status") == "corrected").alias("corrected"), F.count_if(F.col("status").isin("unknown", "skipped")).alias("unresolved"))
+    covered = batches.join(own, "thread_id").where("at >= started_at").groupBy("thread_id").agg(*[F.sum(c).alias(c) for c in ("total", "processed", "failed")])
+    j = own.join(learned, "thread_id", "left").join(outcomes, "thread_id", "left").join(covered, "thread_id", "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("corrected", "unresolved", "total", "processed", "failed")]
+    return j.select("thread_id", F.coalesce("learned", F.array().cast("array<string>")).alias("learned"), *numbers)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.phrases import unseen
 from quern.functions.text import squeezed
 from quern.operators.documents import packed_contexts
 from quern.operators.workflow import first_error
@@ -15,6 +16,7 @@ DECISIONS = ("NEW", "CONFIRM", "ENRICH", "CONFLICT", "UNCLEAR")
 OPENING = ("pending_confirmation", "pending_clarification")
 MOST_ATTEMPTS = 5
 TERMINAL = ("DocumentError", "DocumentLearnError")
+KINDS = ("fact", "procedure", "rule", "experience")
 
 
 def learn_contexts(blocks: DataFrame, budget: int = 8000, states: tuple[str, ...] = ("pending",)) -> DataFrame:
@@ -164,3 +166,29 @@ def latest_of_stage(jobs: DataFrame) -> DataFrame:
     """The job of the largest id for each version and stage."""
     w = Window.partitionBy("version_id", "stage").orderBy(F.desc("job_id"))
     return jobs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def unit_errors(units: DataFrame, blocks: DataFrame, headings: DataFrame) -> DataFrame:
+    """units with error: the first rule that a unit breaks, or ok. Sources must be blocks of the unit's version with verbatim
+    excerpts; identifiers and longer numbers must occur in the version's title or blocks.
+
+    units: unit_id, version_id, title, kind, content, steps array, trigger, result, sources array<struct<block_id, excerpt>>.
+    blocks: version_id, block_id, text; headings: version_id, heading (title and key)."""
+    said = units.select("unit_id", "version_id", F.explode("sources").alias("s")).select("unit_id", "version_id", F.col("s.block_id").alias("block_id"), F.col("s.excerpt").alias("excerpt"))
+    held = said.join(blocks.select("version_id", "block_id", "text"), ["version_id", "block_id"], "left")
+    quoted = F.contains(squeezed(F.col("text")), squeezed(F.trim("excerpt")))
+    checks = held.groupBy("unit_id").agg(
+        F.bool_or(F.col("text").isNull()).alias("strange"), F.bool_or(F.trim("excerpt") == "").alias("no_excerpt"), F.bool_or(~F.coalesce(quoted, F.lit(True))).alias("not_verbatim"))
+    # Only the identifiers and numbers of a version's texts are gathered, each once, not the texts.
+    tokens = blocks.select("version_id", "text").unionByName(headings.select("version_id", F.col("heading").alias("text"))).select(
+        "version_id", F.explode(unseen(F.coalesce("text", F.lit("")), F.lit(""))).alias("token")).distinct().groupBy("version_id").agg(F.collect_list("token").alias("known"))
+    j = units.join(checks, "unit_id", "left").join(tokens, "version_id", "left")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    new = F.array_except(unseen(F.concat_ws("\n", "title", "content"), F.lit("")), F.coalesce("known", F.array().cast("array<string>")))
+    steps = F.size(F.filter(F.coalesce("steps", F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
+    error = first_error([
+        ("no_title", blank("title")), ("unknown_kind", ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))), ("no_content", blank("content")),
+        ("no_steps", (F.col("kind") == "procedure") & (steps == 0)), ("incomplete_rule", (F.col("kind") == "rule") & (blank("trigger") | blank("result"))),
+        ("no_source", F.coalesce(F.size("sources"), F.lit(0)) < 1), ("block_of_another_version", F.col("strange")), ("empty_excerpt", F.col("no_excerpt")),
+        ("not_verbatim", F.col("not_verbatim")), ("unseen_identifier", F.size(new) > 0)])
+    return j.withColumn("error", error).select(*units.columns, "error")

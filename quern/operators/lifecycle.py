@@ -47,3 +47,25 @@ def folded_turns(events: DataFrame, key: str, order: str, kind: str) -> DataFram
       'turns', a.turns + 1))"""
     g = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kind).alias("k")))).alias("e"))
     return g.select(key, F.expr(step).alias("s")).select(key, "s.state", F.col("s.turns").alias("turns"))
+
+
+def claimed(inbox: DataFrame, jobs: DataFrame, now: Column, workers: str) -> DataFrame:
+    """(worker, kind, id): what each worker takes next: the oldest queued message of its inbox, and only without one the
+    document job that is longest due. inbox: worker, id, status, at; jobs: worker, id, status, at (when it is due)."""
+    ready = inbox.where("status = 'queued'").select(workers, F.lit(0).alias("p"), F.lit("message").alias("kind"), "id", "at").unionByName(
+        jobs.where("status = 'queued'").where(F.col("at") <= now).select(workers, F.lit(1).alias("p"), F.lit("document").alias("kind"), "id", "at"))
+    first = ready.groupBy(workers).agg(F.min(F.struct("p", "at", "id", "kind")).alias("m"))
+    return first.select(workers, F.col("m.kind").alias("kind"), F.col("m.id").alias("id"))
+
+
+def recovered(jobs: DataFrame, alive: DataFrame) -> DataFrame:
+    """jobs (worker, status) after a crash: what a worker that is not alive was processing is queued again."""
+    there = alive.select("worker").distinct().withColumn("there", F.lit(True))
+    lost = (F.col("status") == "processing") & F.col("there").isNull()
+    return jobs.join(there, "worker", "left").withColumn("status", F.when(lost, "queued").otherwise(F.col("status"))).drop("there")
+
+
+def alive(beats: DataFrame, now: Column, seconds: int = 60) -> DataFrame:
+    """(worker, last, alive): the last heartbeat (worker, at in seconds) of each worker, and whether it is at most ``seconds`` old."""
+    last = beats.groupBy("worker").agg(F.max("at").alias("last"))
+    return last.withColumn("alive", now - F.col("last") <= seconds)

@@ -34,9 +34,9 @@ def entity_links(knowledge: DataFrame, entities: DataFrame) -> tuple[DataFrame,
     bucket = named.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(256)).cast("int"))
     before = F.sum("m").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # one row a bucket
     bases = bucket.groupBy("bucket").agg(F.count("*").alias("m")).select("bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    last = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0)).alias("last"))
-    number = F.row_number().over(Window.partitionBy("bucket").orderBy("key")) + F.col("base") + F.col("last")
-    new = bucket.join(F.broadcast(bases), "bucket").crossJoin(F.broadcast(last)).select(number.cast("long").alias("entity_id"), "name", "key")
+    last = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0))).scalar()
+    number = F.row_number().over(Window.partitionBy("bucket").orderBy("key")) + F.col("base")
+    new = bucket.join(F.broadcast(bases), "bucket").withColumn("r", number).withColumn("last", last).select((F.col("r") + F.col("last")).cast("long").alias("entity_id"), "name", "key")
     links = rows.join(have.unionByName(new.select("key", "entity_id")), "key").select("id", "entity_id")
     return new.select("entity_id", "name"), links
 

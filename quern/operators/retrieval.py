@@ -104,3 +104,20 @@ def every_term(questions: DataFrame, rows: DataFrame, text: str) -> DataFrame:
            .groupBy("qid", "id", "n_q", "n", "token").agg(F.count("*").alias("tf"))
            .groupBy("qid", "id", "n_q", "n").agg(F.count("*").alias("m"), F.sum("tf").alias("tf")).where("m = n_q"))
     return hit.select("qid", "id", (F.col("tf") / F.col("n")).alias("rank_value"))
+
+
+def reranked(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """hits (qid, id, exact, rrf) with rank: exact ones first, then by the reranker's score (-1 without one), then rrf, then id.
+    scores: qid, id, score."""
+    w = Window.partitionBy("qid").orderBy(F.desc("exact"), F.desc(F.coalesce("score", F.lit(-1.0))), F.desc("rrf"), F.asc("id"))
+    return hits.join(scores, ["qid", "id"], "left").withColumn("rank", F.row_number().over(w)).drop("score")
+
+
+def by_title(questions: DataFrame, rows: DataFrame, k: int = 12) -> DataFrame:
+    """(qid, id, hit, rank): the local fallback without vectors: rows whose title occurs in the question, then the
+    others, by id; ``k`` in all. Only the k least ids can follow the hits, so no other pair is formed."""
+    titled = contained(questions, "qid", "question", rows.select("title").distinct(), "title").join(rows.select("id", "title"), "title")
+    found = top(titled.select("qid", "id").distinct(), ["qid"], [F.asc("id")], k).select("qid", "id", F.lit(1).alias("hit"))
+    least = [r["id"] for r in rows.select("id").orderBy("id").limit(k).collect()]
+    rest = questions.select("qid", F.explode(F.array(*[F.lit(x) for x in least]).cast("array<long>")).alias("id")).join(titled, ["qid", "id"], "left_anti").select("qid", "id", F.lit(0).alias("hit"))
+    return top(found.unionByName(rest), ["qid"], [F.desc("hit"), F.asc("id")], k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.functions import vectors as v
+from quern.functions import phrases, vectors as v
 from quern.operators import conversation as c, knowledge as k, overlay, retrieval as r
 from quern.plans import sql as s
 from quern.plans.common import registry
@@ -72,13 +72,6 @@ def _(spark, sf):
     return g.select("conv_id", F.col("l")[0]["t"].alias("question"), context.alias("context"), k.memory_status(quality, F.col("conv_id") % 5 == 1, F.col("conv_id") % 5 == 2).alias("status"))
 
 
-@query("c13_uncovered_cases", "SELECT 'CASE-' || lpad(CAST(conv_id AS VARCHAR), 6, '0') AS candidate_id FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id NOT IN (SELECT doc_id FROM labels)")
-def _(spark, sf):
-    cases = table(spark, sf, "conversations").select("conv_id").distinct()
-    seen = table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"))
-    return cases.join(seen, "conv_id", "left_anti").select(F.concat(F.lit("CASE-"), F.lpad(F.col("conv_id").cast("string"), 6, "0")).alias("candidate_id"))
-
-
 @query("c16_guarded_import", "SELECT o_orderkey, review, state, CASE WHEN review = 'pending' AND state = 'draft' AND o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS value FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'approved' END AS review, CASE WHEN o_totalprice > 50000 THEN 'draft' ELSE 'published' END AS state FROM orders)")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "pending").otherwise("approved").alias("review"),
@@ -92,19 +85,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", k.scope_level(some(F.col("p_size") % 2 == 0), some(F.col("p_size") % 3 == 0), F.col("p_size") % 7 != 0, F.when(F.col("p_size") > 25, F.col("p_brand"))).alias("level"))
 
 
-@query("c10_taxonomy_merge", "SELECT p_partkey, coalesce(nullif(trim(CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END), ''), p_type) AS category FROM part")
-def _(spark, sf):
-    have = F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand"))
-    return table(spark, sf, "part").select("p_partkey", F.coalesce(F.nullif(F.trim(have), F.lit("")), "p_type").alias("category"))
-
-
-@query("c18_manual_relations", "SELECT conv_id, turn, turn + 1 AS target, EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1) AS accepted FROM conversations a")
-def _(spark, sf):
-    m = table(spark, sf, "conversations").select("conv_id", "turn")
-    known = m.select("conv_id", F.col("turn").alias("target")).withColumn("hit", F.lit(True))
-    return m.withColumn("target", F.col("turn") + 1).join(known, ["conv_id", "target"], "left").select("conv_id", "turn", "target", F.coalesce("hit", F.lit(False)).alias("accepted"))
-
-
 @query("r04_candidate_sources", s.with_(s.SOURCES) + "SELECT knowledge_id, string_agg(relation || ':' || resolution, ',' ORDER BY relation, resolution) AS sources FROM sources GROUP BY 1")
 def _(spark, sf):
     g = overlay.sources(spark, sf).groupBy("knowledge_id").agg(F.array_sort(F.collect_list(F.struct("relation", "resolution"))).alias("l"))
@@ -126,14 +106,6 @@ def _(spark, sf):
     return a.unionByName(b).unionByName(d).groupBy("source_kind").agg(F.count("*").alias("n"))
 
 
-@query("r15_title_containment", "SELECT a.p_partkey AS asked, count(*) AS n FROM part a JOIN (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) b ON list_contains(string_split(a.p_type || ' ' || a.p_name, ' '), b.w) WHERE a.p_partkey % 50 = 0 GROUP BY 1")
-def _(spark, sf):
-    p = table(spark, sf, "part")
-    asked = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("asked"), F.explode(F.array_distinct(F.split(F.concat_ws(" ", "p_type", "p_name"), " "))).alias("w"))
-    words = p.select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
-    return asked.join(words, "w").groupBy("asked").agg(F.count("*").alias("n"))
-
-
 @query("f54_f55_lexical_and_jaccard", "SELECT p_partkey, round(len(list_intersect(x, y)) / sqrt(len(x)::DOUBLE * len(y)), 6) AS lexical, round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS x, list_distinct(string_split(p_name || ' ' || p_type, ' ')) AS y FROM part)")
 def _(spark, sf):
     x, y = F.array_distinct(F.split("p_name", " ")), F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " "))
@@ -141,50 +113,15 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(v.lexical(shared, F.size(x), F.size(y), F.lit(False)), 6).alias("lexical"), F.round(v.jaccard(x, y), 6).alias("jaccard"))
 
 
-@query("f31_rendered_units", s.with_(s.BLOCKS) + "SELECT doc_id, block_no, source || ' / ' || block_no || ': ' || left(text, 30) AS line FROM blocks")
-def _(spark, sf):
-    return overlay.blocks(spark, sf).select("doc_id", "block_no", F.concat(F.concat_ws(" / ", "source", "block_no"), F.lit(": "), F.left("text", F.lit(30))).alias("line"))
-
-
 @query("f32_reject_if_longer", "SELECT doc_id, length(text) > 1000 AS rejected FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (F.length("text") > 1000).alias("rejected"))
 
 
-@query("f27_covering_span", "SELECT doc_id, strpos(text, chr(10)) AS first_break, length(text) - strpos(reverse(text), chr(10)) + 1 AS last_break FROM documents WHERE contains(text, chr(10))")
-def _(spark, sf):
-    d = table(spark, sf, "documents").where(F.contains("text", F.lit("\n")))
-    return d.select("doc_id", F.locate("\n", F.col("text")).alias("first_break"), (F.length("text") - F.locate("\n", F.reverse("text")) + 1).alias("last_break"))
-
-
-@query("f36_compose_conditions", "SELECT p_partkey, p_name || CASE WHEN contains(p_name, p_type) THEN '' ELSE '; ' || p_type END || CASE WHEN contains(p_name, p_brand) THEN '' ELSE '; ' || p_brand END AS content FROM part")
-def _(spark, sf):
-    missing = F.filter(F.array("p_type", "p_brand"), lambda x: ~F.contains("p_name", x))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.concat(F.array("p_name"), missing), "; ").alias("content"))
-
-
-@query("f41_f44_f46_fingerprints", "SELECT p_partkey, sha256(p_name || '|' || p_type) AS fingerprint, left(sha1(p_brand), 16) AS short_key FROM part")
-def _(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.sha2(F.concat_ws("|", "p_name", "p_type"), 256).alias("fingerprint"), F.left(F.sha1("p_brand"), F.lit(16)).alias("short_key"))
-
-
 @query("f13_f14_synonym_tokens", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(lower(q), ' '), lambda x: length(x) > 1 AND x NOT IN ('http','https','www','com')), lambda x: CASE x WHEN 'pwd' THEN 'password' WHEN 'pass' THEN 'password' WHEN 'forgot' THEN 'reset' WHEN 'nvr' THEN 'recorder' ELSE x END))), ',') AS tokens FROM (SELECT p_partkey, p_name || CASE p_size % 4 WHEN 0 THEN ' PWD' WHEN 1 THEN ' forgot pass' WHEN 2 THEN ' a www nvr' ELSE '' END AS q FROM part)")
 def _(spark, sf):
-    same = F.create_map(*[F.lit(x) for kv in {"pwd": "password", "pass": "password", "forgot": "reset", "nvr": "recorder"}.items() for x in kv])
     q = F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in (" PWD", " forgot pass", " a www nvr", "")]), F.col("p_size") % 4 + 1))
-    words = F.filter(F.split(F.lower(q), " "), lambda x: (F.length(x) > 1) & ~x.isin("http", "https", "www", "com"))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.transform(words, lambda x: F.coalesce(same[x], x)))), ",").alias("tokens"))
-
-
-@query("q17_result_scoring", "SELECT event_type, count(*) FILTER (WHERE s = 'pass') AS passed, count(*) AS n FROM (SELECT event_type, CASE WHEN event_type = 'error' THEN 'fail' WHEN value IS NULL THEN 'skip' WHEN value >= 20 THEN 'pass' ELSE 'fail' END AS s FROM events) GROUP BY 1")
-def _(spark, sf):
-    score = F.when(F.col("event_type") == "error", "fail").when(F.col("value").isNull(), "skip").when(F.col("value") >= 20, "pass").otherwise("fail")
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count_if(score == "pass").alias("passed"), F.count("*").alias("n"))
-
-
-@query("q15_q18_retest_latest", "SELECT user_id, event_type, arg_max(value, event_id) AS value, count(*) - 1 AS retests FROM events GROUP BY 1, 2")
-def _(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), (F.count("*") - 1).alias("retests"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(phrases.topic_tokens(q), ",").alias("tokens"))
 
 
 @query("q16_golden_preparation", "SELECT item_id, coalesce(a.source, b.source, 'reference') AS origin FROM benchmark LEFT JOIN documents a ON a.doc_id = item_id AND a.lang = 'en' LEFT JOIN documents b ON b.doc_id = item_id + 1 AND b.lang = 'fr'")

@@ -301,7 +301,7 @@ def _(spark, sf):
 
 
 _MOVES = """moves AS (
- SELECT 'S' || s_suppkey AS child, 'N' || (s_suppkey % 25) AS parent, CASE WHEN s_suppkey % 5 = 0 THEN 'unknown_kind' WHEN s_suppkey % 7 = 0 THEN 'untrusted_source' WHEN s_suppkey % 11 = 0 THEN 'needs_a_source' ELSE 'ok' END AS error FROM supplier
+ SELECT 'S' || s_suppkey AS child, 'N' || (s_suppkey % 25) AS parent, CASE WHEN s_suppkey % 5 = 0 THEN 'unknown_kind' WHEN s_suppkey % 11 = 0 THEN 'needs_a_source' WHEN s_suppkey % 7 = 0 THEN 'untrusted_source' ELSE 'ok' END AS error FROM supplier
  UNION ALL SELECT 'N' || c_nationkey, 'C' || min(c_custkey), 'ok' FROM customer GROUP BY c_nationkey
  UNION ALL SELECT 'X' || r_regionkey, 'R' || r_regionkey, 'ok' FROM region)"""
 

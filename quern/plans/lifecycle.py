@@ -45,12 +45,6 @@ def _(spark, sf):
     return f.select("run_id", "attempts", at.alias("next_s"))
 
 
-@query("t01_claim_order", s.with_(s.RUNS) + "SELECT run_id, row_number() OVER (PARTITION BY user_id ORDER BY status <> 'started', created_at, run_id) AS place FROM runs WHERE status IN ('started','failed')")
-def _(spark, sf):
-    w = Window.partitionBy("user_id").orderBy(F.col("status") != "started", "created_at", "run_id")
-    return overlay.runs(spark, sf).where(F.col("status").isin("started", "failed")).select("run_id", F.row_number().over(w).alias("place"))
-
-
 @query("t05_idempotent_enqueue", s.with_(s.RUNS) + "SELECT user_id, knowledge_id, min(run_id) AS run_id FROM runs GROUP BY 1, 2")
 def _(spark, sf):
     return overlay.runs(spark, sf).groupBy("user_id", "knowledge_id").agg(F.min("run_id").alias("run_id"))
@@ -65,16 +59,3 @@ _TURN = "CASE event_type WHEN 'view' THEN 'ask' WHEN 'click' THEN 'confirm' WHEN
 def _(spark, sf):
     kind = F.when(F.col("event_type") == "view", "ask").when(F.col("event_type") == "click", "confirm").when(F.col("event_type") == "purchase", "correct").when(F.col("event_type") == "signup", "skip").otherwise("unknown")
     return lc.folded_turns(table(spark, sf, "events").withColumn("k", kind), "user_id", "event_id", "k")
-
-
-@query("m11_session_summary", "SELECT user_id, count(DISTINCT event_type) AS kinds, coalesce(round(sum(value) FILTER (WHERE event_type = 'purchase'), 4), 0) AS confirmed FROM events GROUP BY 1")
-def _(spark, sf):
-    paid = F.sum(F.when(F.col("event_type") == "purchase", F.col("value")))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), F.coalesce(F.round(paid, 4), F.lit(0.0)).alias("confirmed"))
-
-
-@query("m14_retire_knowledge", s.with_(s.SOURCES) + "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM sources x WHERE x.knowledge_id = d.doc_id AND x.relation = 'supports' AND x.resolution = 'accepted')")
-def _(spark, sf):
-    support = overlay.sources(spark, sf).where("relation = 'supports' and resolution = 'accepted'")
-    d = table(spark, sf, "documents").select("doc_id")
-    return d.join(support, F.col("doc_id") == F.col("knowledge_id"), "left_anti")

@@ -162,13 +162,6 @@ def _(spark, sf):
     return r.scoped(_hits(spark, sf)).select("qid", "id", "scope")
 
 
-@query("r14_rerank_merge", s.with_(_SCOPED) + "SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY scope='exact' DESC, coalesce(score, -1) DESC, rrf DESC, id) AS rank FROM hits LEFT JOIN (SELECT s_suppkey AS sid, s_acctbal AS score FROM supplier) z ON z.sid = hits.id")
-def _(spark, sf):
-    score = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sid"), F.col("s_acctbal").alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc(F.col("scope") == "exact"), F.desc(F.coalesce("score", F.lit(-1.0))), F.desc("rrf"), "id")
-    return _hits(spark, sf).join(score, F.col("sid") == F.col("id"), "left").select("qid", "id", F.row_number().over(w).alias("rank"))
-
-
 @query("r03_exclusion_reasons", f"""SELECT p_partkey, CASE WHEN len(u) > 0 AND len(d) > 0 AND NOT list_has_any(list_transform(u, lambda x: regexp_replace(x,'[^A-Z0-9]','','g')), list_transform(d, lambda x: regexp_replace(x,'[^A-Z0-9]','','g'))) THEN 'model_conflict' ELSE 'ok' END AS reason
  FROM (SELECT p_partkey, {scope_models("'XK' || p_size || 'A ' || p_type")} AS u, {scope_models("'XK' || (p_size - p_partkey % 2) || 'A H.265'")} AS d FROM part)""")
 def _(spark, sf):

@@ -76,11 +76,11 @@ def _(spark, sf):
 
 
 @query("g15_fact_cards", """
-SELECT l_suppkey AS group_id, l_returnflag AS fact_type, l_linestatus AS fact_key, arg_min(CAST(l_partkey AS VARCHAR), l_orderkey * 10 + l_linenumber) AS text,
+SELECT l_suppkey AS group_id, l_returnflag AS fact_type, l_linestatus AS fact_key, arg_min(CAST(l_partkey AS VARCHAR), (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey) AS text,
  bool_and(l_quantity > 1) AS included, bool_or(l_tax > 0.07) AS conflict, count(*) AS sources FROM lineitem GROUP BY 1, 2, 3""")
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("group_id"), F.col("l_returnflag").alias("fact_type"), F.col("l_linestatus").alias("fact_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"),
+        F.col("l_suppkey").alias("group_id"), F.col("l_returnflag").alias("fact_type"), F.col("l_linestatus").alias("fact_key"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000000 + F.col("l_partkey")).alias("fact_id"),
         F.col("l_partkey").cast("string").alias("value"), (F.col("l_quantity") > 1).alias("selected"), (F.col("l_tax") > 0.07).alias("conflict"), F.col("l_orderkey").alias("source_id"))
     return rv.fact_cards(rows).withColumn("sources", F.size("sources"))
 

@@ -132,12 +132,6 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.contains(t.squeezed(F.col("text")), t.squeezed(F.substring("text", 5, 40))).alias("verbatim"))
 
 
-@query("f29_unseen_numbers", r"SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]{3,}')), lambda x: NOT list_contains(seen, x))) AS n_unseen FROM (SELECT doc_id, text, regexp_extract_all(substr(text, 1, 500), '[0-9]{3,}') AS seen FROM documents)")
-def _(spark, sf):
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[0-9]{3,}"), F.lit(0)))
-    return table(spark, sf, "documents").select("doc_id", F.size(F.array_except(numbers(F.col("text")), numbers(F.substring("text", 1, 500)))).cast("long").alias("n_unseen"))
-
-
 @query("f30_redact_secrets", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '/bot[0-9]+:[A-Za-z0-9_-]+', '/bot[REDACTED]', 'g'), 'AKIA[0-9A-Z]{16}', '[REDACTED]', 'g')) AS digest FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(t.redacted(F.col("text"))).alias("digest"))

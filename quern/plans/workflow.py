@@ -30,19 +30,6 @@ def _(spark, sf):
     return n.select("n_name", F.array_join(w.explicit_chain(said), "/").alias("chain"))
 
 
-@query("f33_f38_contract_checks", "SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) > 240 THEN 'too_long' WHEN regexp_matches(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}') THEN 'address' ELSE 'ok' END AS error FROM documents")
-def _(spark, sf):
-    text = F.col("text")
-    rules = [("empty", text.isNull() | (F.trim(text) == "")), ("too_long", F.length(text) > 240), ("address", text.rlike(r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"))]
-    return table(spark, sf, "documents").select("doc_id", w.first_error(rules).alias("error"))
-
-
-@query("f39_claim_normalisation", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'fact:' || p_name ELSE 'procedure:' || p_name END AS claim FROM part WHERE p_size % 5 <> 0")
-def _(spark, sf):
-    claims = F.filter(F.array(F.struct(F.when(F.col("p_size") % 5 != 0, F.col("p_name")).otherwise(" ").alias("claim"), F.when(F.col("p_size") % 2 != 0, "procedure").alias("kind"))), lambda x: F.trim(x["claim"]) != "")
-    return table(spark, sf, "part").select("p_partkey", F.explode(F.transform(claims, lambda x: F.concat(F.coalesce(x["kind"], F.lit("fact")), F.lit(":"), F.trim(x["claim"])))).alias("claim"))
-
-
 @query("f08_retrieved_models", f"SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN {ids('p_brand')}[1] ELSE {ids('p_name || chr(32) || p_brand')}[1] END AS model FROM part")
 def _(spark, sf):
     stated = F.when(F.col("p_size") % 3 == 0, F.try_element_at(t.identifiers(F.col("p_brand")), F.lit(1)))
@@ -50,12 +37,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.coalesce(stated, title).alias("model"))
 
 
-@query("q08_customer_text", "SELECT event_id, CASE event_type WHEN 'error' THEN 'unsupported' WHEN 'view' THEN 'needs_clarification' ELSE 'If it is about model ' || user_id || ': ok' END AS said FROM events")
-def _(spark, sf):
-    said = F.when(F.col("event_type") == "error", "unsupported").when(F.col("event_type") == "view", "needs_clarification").otherwise(F.concat(F.lit("If it is about model "), "user_id", F.lit(": ok")))
-    return table(spark, sf, "events").select("event_id", said.alias("said"))
-
-
 @query("c14_cited_ids", "SELECT doc_id, CAST(x AS BIGINT) AS cited FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{2,6}'))) AS x FROM documents)")
 def _(spark, sf):
     found = F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{2,6}"), F.lit(0)))
@@ -113,12 +94,6 @@ def _(spark, sf):
     return w.reused_or_new(table(spark, sf, "customer").select("c_custkey", (-F.col("c_custkey")).alias("request_id")), active, "c_custkey")
 
 
-@query("g01_focus_and_families", r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(p_brand, '[A-Za-z]+'), lambda x: lower(x)))), ',') AS families FROM part")
-def _(spark, sf):
-    found = F.transform(F.regexp_extract_all("p_brand", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.lower(x))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("families"))
-
-
 @query("g17_group_members", s.with_(s.CANDIDATES) + "SELECT id, knowledge_key, first AS canonical, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT c.id, c.knowledge_key, m.first, list_distinct(string_split(c.title, ' ')) AS a, list_distinct(string_split(m.title, ' ')) AS b FROM candidates c JOIN (SELECT knowledge_key, min(id) AS first, arg_min(title, id) AS title FROM candidates GROUP BY 1) m USING (knowledge_key))")
 def _(spark, sf):
     x = overlay.candidates(spark, sf)
@@ -185,11 +160,6 @@ def _(spark, sf):
     return r.top(x, ["source"], [F.desc("version_no")], 5).select("source", "doc_id")
 
 
-@query("t03_crash_recovery", s.with_(s.RUNS) + "SELECT run_id, CASE WHEN status = 'started' THEN 'queued' ELSE status END AS status FROM runs")
-def _(spark, sf):
-    return overlay.runs(spark, sf).select("run_id", F.when(F.col("status") == "started", "queued").otherwise(F.col("status")).alias("status"))
-
-
 @query("w03_question_segments", THREADS + " SELECT conv_id, idx, (SELECT min(n.idx) FROM roles n WHERE n.conv_id = q.conv_id AND n.idx > q.idx AND n.customer AND n.asks) AS next_question FROM roles q WHERE customer AND asks")
 def _(spark, sf):
     win = Window.partitionBy("conv_id").orderBy("idx")
@@ -212,11 +182,6 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(latin, 6).alias("latin"), F.contains(F.lower("text"), F.lit("how")).alias("asks"))
 
 
-@query("f25_split_conjunctions", "SELECT p_partkey, unnest(string_split(p_name || ' and ' || p_type, ' and ')) AS part FROM part")
-def _(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.explode(F.split(F.concat_ws(" and ", "p_name", "p_type"), " and ")).alias("part"))
-
-
 @query("f23_f35_individual_confirmation", "SELECT doc_id, (contains(lower(text), 'etc') OR contains(lower(text), 'for example')) AS open_list FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.mentions(F.col("text"), ["etc", "for example"]).alias("open_list"))

@@ -6,7 +6,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quern.operators import answering, documents, grouping, hierarchy, knowledge, learning, organization, review, workflow
+from quern.functions import phrases
+from quern.operators import answering, documents, grouping, hierarchy, knowledge, learning, lifecycle, organization, retrieval, review, workflow
 from quern.sources import files, slides
 
 
@@ -353,3 +354,147 @@ def test_slides_tables_notes_and_damage(spark):
         ("other", "", None, None, [], None, "unexplained_graphic"), ("table", "head\nx | y", 2, 2, ["0,0:1x2"], 1, None), ("image", "", None, None, [], None, None)]
     bad = slides.slide_blocks(spark.createDataFrame([(1, b"no zip"), (2, None)], "key long, content binary")).collect()
     assert [r["review_reason"] for r in bad] == ["unreadable_file"] * 2
+
+
+def texts(*values):
+    return F.array(*[F.lit(x) for x in values]).cast("array<string>")
+
+
+def test_topic_tokens_and_families(spark):
+    ask = lambda x: one(spark, phrases.topic_tokens(F.lit(x)))
+    assert ask("Добрый день! Как сбросить пароль на камере? https://x.ru/камера") == ["password", "reset", "камере"]
+    assert ask("NVR pwd forgot, a www") == ["password", "recorder", "reset"] and ask("") == []
+    assert one(spark, phrases.focus_tokens(F.lit("DS K1 reset camera"), texts("DS-K1"))) == ["camera", "reset"]
+    assert one(spark, phrases.model_families(texts("DS-K1T320", "7", "Панель 2"))) == ["ds k t", "панель"]
+    both = lambda a, b: one(spark, phrases.families_compatible(texts(*a), texts(*b)))
+    assert both([], ["x"]) and both(["x", "y"], ["y"]) and not both(["x"], ["y"])
+    assert one(spark, phrases.stable_markers(F.lit("PoE, onvif DS-K1. Wi-Fi H.265!"))) == ["ds-k1", "h.265", "poe", "wi-fi"]
+
+
+def test_prose_and_context(spark):
+    good = lambda x: one(spark, phrases.russian_qualifier(F.lit(x)))
+    assert [good(x) for x in ("при питании по PoE", "with PoE", "при питании with PoE", "при 供电", "PoE", "")] == [True, False, False, False, False, False]
+    needs = lambda x, *m: one(spark, phrases.needs_context(F.lit(x), texts(*m)))
+    assert needs("Сервер настроить может помочь?") and needs("Подойдёт ли для этого блок?") and not needs("Подойдёт ли для этого блок?", "DS-1")
+    assert not needs("Как настроить камеру?") and not needs("Эталон")
+
+
+def test_sentences_spans_and_conditions(spark):
+    split = lambda x: one(spark, phrases.conjoined_parts(F.lit(x)))
+    assert split("DS-1 supports PoE and has a speaker.") == ["DS-1 supports PoE.", "DS-1 has a speaker."]
+    assert split("Камера поддерживает PoE и не поддерживает Wi-Fi") == ["Камера поддерживает PoE.", "Камера не поддерживает Wi-Fi."]
+    assert split("red and blue") == ["red and blue"] and split("DS-1 supports PoE and Wi-Fi.") == ["DS-1 supports PoE and Wi-Fi."]
+    span = lambda source, *said: one(spark, phrases.covering_span(F.lit(source), texts(*said)))
+    assert span("one two three four", "three", " two ") == "two three" and span("one two", "two", "x") == "" and span("one", " ") == ""
+    assert one(spark, phrases.composed_conditions(texts(" On  site ", "b"), texts("on site", "", "c"))) == ["On  site", "b", "c"]
+    full = lambda c, s, *v: one(spark, phrases.composed_content(F.lit(c), F.lit(s), texts(*v)))
+    assert full("Works on site.", "DS-1", "On  Site", "at night", "At night") == "Works on site — DS-1; at night"
+    assert full("Works with DS-1", "ds-1") == "Works with DS-1"
+
+
+def test_unseen_and_rendered(spark):
+    missing = lambda x, pool: one(spark, phrases.unseen(F.lit(x), F.lit(pool)))
+    assert missing("DS-K2 holds 4000 and 12", "ds-k2 holds 500") == ["4000", "4000"] and missing("ds-k2", "DS-K2") == []
+    d = {"models": texts("A", "B"), "conditions": texts("cold"), "ordered_steps": texts(" open ", "", "close"), "expected_result": F.lit(" ok "), "warnings": texts("hot")}
+    assert one(spark, phrases.rendered_unit(F.lit("T"), F.lit("procedure"), d)) == "T\n适用范围：models: A, B；conditions: cold\n警告：hot\n1. open\n2. close\n预期结果：ok"
+    assert one(spark, phrases.rendered_unit(F.lit("T"), F.lit("rule"), {"trigger": F.lit("t"), "result": F.lit("r")})) == "T\n触发条件：t\n结论：r"
+    assert one(spark, phrases.rendered_unit(F.lit("T"), F.lit("fact"), d | {"warnings": texts()})) == "T\n适用范围：models: A, B；conditions: cold"
+
+
+def test_contracts_and_hashes(spark):
+    import hashlib
+    import json
+
+    error = lambda x, *m: one(spark, phrases.signature_error(F.lit(x), texts(*m)))
+    assert [error("  ", "a"), error("x" * 241), error("reset DS-K1 panel", "ds-k1"), error("open 10.0.0.1 page"), error("reset  a panel", "", "DS-K1"), error("v1.2.3")] == [
+        "empty", "too_long", "model", "address", "ok", "ok"]
+    said = json.dumps(["a ", " ", {"claim": " b", "claim_type": "limit", "evidence": [{"x": 1}]}, {"claim": ""}, {"claim": "c", "claim_type": " "}])
+    assert [tuple(r) for r in one(spark, phrases.claims(F.lit(said)))] == [("a", "other"), ("b", "limit"), ("c", "other")]
+    assert one(spark, phrases.claims(F.lit("no json"))) == [] and one(spark, phrases.claims(F.lit(None).cast("string"))) == []
+    text, layout = 'a "quote"\n\tТекст', {"b": 1, "a": [2]}
+    want = hashlib.sha256(json.dumps({"text": text, "layout": layout}, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    assert one(spark, phrases.content_hash(F.lit(text), F.lit(json.dumps(layout, sort_keys=True)))) == want
+    assert one(spark, phrases.fingerprint(F.lit(" A  b"), F.lit("C\n"))) == hashlib.sha256(b"a b\nc").hexdigest()
+
+
+def test_units_are_checked_against_their_blocks(spark):
+    b = spark.createDataFrame([(1, 10, "The DS-K1 panel holds 4000 cards."), (2, 20, "Other")], "version_id long, block_id long, text string")
+    heads = spark.createDataFrame([(1, "Manual 2024 for DS-K9")], "version_id long, heading string")
+    schema = "unit_id int, version_id long, title string, kind string, content string, steps array<string>, trigger string, result string, sources array<struct<block_id:long,excerpt:string>>"
+    ok = [(10, "holds  4000 CARDS")]
+    units = spark.createDataFrame([
+        (1, 1, "T", "fact", "DS-K1 holds 4000, as in 2024 for ds-k9", None, None, None, ok), (2, 1, " ", "fact", "c", None, None, None, ok), (3, 1, "T", "guess", "c", None, None, None, ok),
+        (4, 1, "T", "procedure", "c", [" "], None, None, ok), (5, 1, "T", "rule", "c", None, "t", " ", ok), (6, 1, "T", "fact", "c", None, None, None, []), (7, 1, "T", "fact", "c", None, None, None, [(20, "Other")]),
+        (8, 1, "T", "fact", "c", None, None, None, [(10, " ")]), (9, 1, "T", "fact", "c", None, None, None, [(10, "holds 5000")]), (10, 1, "T", "fact", "holds 9999", None, None, None, ok),
+        (11, 1, "DS-X2", "fact", "c", None, None, None, ok), (12, 1, "T", "fact", None, None, None, None, ok)], schema)
+    got = {r["unit_id"]: r["error"] for r in learning.unit_errors(units, b, heads).collect()}
+    assert got == {1: "ok", 2: "no_title", 3: "unknown_kind", 4: "no_steps", 5: "incomplete_rule", 6: "no_source", 7: "block_of_another_version", 8: "empty_excerpt", 9: "not_verbatim",
+                   10: "unseen_identifier", 11: "unseen_identifier", 12: "no_content"}
+
+
+def test_answers_and_scores(spark):
+    said = lambda s, a, q, u: one(spark, answering.customer_text(*[F.lit(x).cast("string") for x in (s, a, q, u)], "F", "U", "E"))
+    assert [said("answered", " a ", None, None), said("answered", "", None, None), said("needs_clarification", "", None, None), said("unsupported", "", "", ""), said("unsupported", "a", "", "u"), said("x", "a", "", "")] == [
+        "a", "E", "U", "F", "u", "E"]
+    assert one(spark, answering.qualified(F.lit("do it "), texts(), texts("DS-1", "DS-2"))) == "Если речь о DS-1, порядок такой: do it Если у вас другая модель, укажите её — порядок может отличаться."
+    assert one(spark, answering.qualified(F.lit("do it"), texts("DS-1"), texts("DS-1"))) == "do it"
+    rows_ = [(False, False, "answered", ["k"], None, "answered", [1], ["k", "z"], ["exact"], True), (False, False, "answered", [], 2, "answered", [1], [], ["exact"], True),
+             (True, False, "unsupported", [], None, "unsupported", [1], [], ["conflict"], False), (False, True, "needs_clarification", [], None, "needs_clarification", [1], [], ["exact"], False),
+             (False, False, "answered", [], None, "answered", [1], [], ["conflict"], False)]
+    df = spark.createDataFrame(rows_, "refuse boolean, clarify boolean, expected_status string, expected_keys array<string>, expected_id long, actual_status string, ids array<long>, keys array<string>, scopes array<string>, supported boolean")
+    assert [(r["selection_pass"], r["golden_pass"], r["applicability_pass"]) for r in answering.scored(df).collect()] == [
+        (True, True, True), (False, False, False), (True, True, False), (False, False, False), (True, False, False)]
+
+
+def test_golden_sets_and_quotas(spark):
+    samples = spark.createDataFrame([("a", "q", "answered"), ("a", "q", "answered"), (" ", "q", "maybe"), ("b", None, "unsupported")], "sample_key string, question string, expected_answer_status string")
+    assert rows(answering.golden_errors(samples, ["question"])) == [(" ", "empty_key"), (" ", "unexpected_status"), ("a", "repeated_key"), ("a", "repeated_key"), ("b", "missing question")]
+    cases = spark.createDataFrame([("a", "answerable", "unsupported"), ("z", "clarify", "x"), ("b", "odd", "unsupported")], "sample_key string, category string, expected_answer_status string")
+    assert rows(answering.sidecar_errors(cases, samples)) == [("a", "category_and_status"), ("a", "disagrees"), ("b", "unknown_category"), ("z", "unknown_sample")]
+    assert rows(answering.quota_errors(cases, {"answerable": 1, "clarify": 2, "boundary": 1})) == [("boundary", 0, 1), ("clarify", 1, 2)]
+
+
+def test_cases_relations_and_retirement(spark):
+    have = spark.createDataFrame([(1, "", None, []), (2, "x", 5, ["m"])], "k int, t string, n int, l array<string>")
+    more = spark.createDataFrame([(1, "new", 7, ["z"]), (2, "new", 7, ["z"])], "k int, t string, n int, l array<string>")
+    assert rows(knowledge.filled(have, more, "k")) == [(1, "new", 7, ["z"]), (2, "x", 5, ["m"])]
+    cases = spark.createDataFrame([(7,), (7,), (12345678,), (9,)], "case_id long")
+    assert rows(knowledge.fallback_candidates(cases, spark.createDataFrame([(9,)], "case_id long"))) == [("CASE-000007", 7), ("CASE-12345678", 12345678)]
+    m = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "case_id long, message_id string")
+    requests = spark.createDataFrame([(1, "a", "b", "answers"), (1, "a", "a", "answers"), (1, "a", "c", "answers"), (1, "a", "b", "likes")], "case_id long, source string, target string, relation string")
+    known = spark.createDataFrame([(1, "a", "b", "answers", "inferred", 0.5), (2, "c", "d", "answers", "inferred", 0.5)], "case_id long, source string, target string, relation string, origin string, confidence double")
+    checked, after = knowledge.manual_relations(requests, m, known)
+    assert sorted(r["error"] for r in checked.collect()) == ["not_of_this_case", "ok", "same_message", "unknown_relation"]
+    assert rows(after) == [(1, "a", "b", "answers", "manual", 1.0), (2, "c", "d", "answers", "inferred", 0.5)]
+    kn = spark.createDataFrame([(1, "provisional", True), (2, "provisional", True), (3, "user_confirmed", True), (4, "provisional", True)], "id long, trust string, active boolean")
+    sources = spark.createDataFrame([(1, 11, "supports", True, "unresolved"), (2, 12, "supports", True, "unresolved"), (2, 13, "supports", True, "accepted"), (3, 14, "supports", True, "unresolved")],
+                                    "knowledge_id long, evidence_id long, relation string, active boolean, resolution string")
+    corrections = spark.createDataFrame([(1, 11), (2, 12), (3, 14)], "knowledge_id long, evidence_id long")
+    assert rows(knowledge.retired(kn, sources, corrections)) == [(1, "provisional", False), (2, "provisional", True), (3, "user_confirmed", True), (4, "provisional", True)]
+    assert {(r["evidence_id"], r["resolution"]) for r in knowledge.corrected_sources(sources, corrections).collect()} == {(11, "rejected"), (12, "rejected"), (13, "accepted"), (14, "rejected")}
+
+
+def test_sessions_claims_and_recovery(spark):
+    s = spark.createDataFrame([(1, 10), (2, 0)], "thread_id int, started_at int")
+    p = spark.createDataFrame([(1, 5, "confirmed", "old", 9), (1, 7, "confirmed", "A  b", 11), (1, 6, "confirmed", "second", 12), (1, 8, "confirmed", "a B", 13), (1, 9, "skipped", "", 14), (1, 10, "corrected", "", 15)],
+                              "thread_id int, proposal_id int, status string, content string, at int")
+    b = spark.createDataFrame([(1, 4, 3, 1, 12), (1, 9, 9, 0, 1)], "thread_id int, total int, processed int, failed int, at int")
+    assert rows(knowledge.session_summary(s, p, b)) == [(1, ["second", "A  b"], 1, 1, 4, 3, 1), (2, [], 0, 0, 0, 0, 0)]
+    inbox = spark.createDataFrame([("w", 1, "done", 1), ("w", 3, "queued", 5), ("w", 2, "queued", 5), ("x", 4, "done", 1)], "worker string, id int, status string, at int")
+    jobs = spark.createDataFrame([("w", 9, "queued", 0), ("x", 8, "queued", 90), ("x", 7, "queued", 30), ("y", 6, "queued", 99)], "worker string, id int, status string, at int")
+    assert rows(lifecycle.claimed(inbox, jobs, F.lit(50), "worker")) == [("w", "message", 2), ("x", "document", 7)]
+    beats = spark.createDataFrame([("w", 10), ("w", 100), ("x", 30)], "worker string, at int")
+    up = lifecycle.alive(beats, F.lit(120), 60)
+    assert rows(up) == [("w", 100, True), ("x", 30, False)]
+    work = spark.createDataFrame([("w", "processing"), ("x", "processing"), ("x", "done"), (None, "processing")], "worker string, status string")
+    assert sorted((r["worker"] or "", r["status"]) for r in lifecycle.recovered(work, up.where("alive")).collect()) == [("", "queued"), ("w", "processing"), ("x", "done"), ("x", "queued")]
+
+
+def test_reranking_and_title_fallback(spark):
+    hits = spark.createDataFrame([(1, 1, False, 0.9), (1, 2, True, 0.1), (1, 3, False, 0.2), (1, 4, False, 0.9)], "qid int, id long, exact boolean, rrf double")
+    scores = spark.createDataFrame([(1, 3, 0.5)], "qid int, id long, score double")
+    assert [r["id"] for r in retrieval.reranked(hits, scores).orderBy("rank").collect()] == [2, 3, 1, 4]
+    q = spark.createDataFrame([(1, "how to RESET a panel"), (2, "nothing")], "qid int, question string")
+    known = spark.createDataFrame([(5, "Reset"), (3, "Panel"), (1, "Door"), (2, ""), (4, "Gate")], "id long, title string")
+    got = retrieval.by_title(q, known, 3)
+    assert [(r["qid"], r["id"], r["hit"]) for r in got.orderBy("qid", "rank").collect()] == [(1, 3, 1), (1, 5, 1), (1, 1, 0), (2, 1, 0), (2, 2, 0), (2, 3, 0)]
