@@ -92,8 +92,10 @@ FROM embeddings e JOIN (SELECT vec_id, min(r) AS m FROM reach GROUP BY 1) c ON c
     "op9_substring": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 k AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 48))) AS i FROM d)),
 cut AS (SELECT k.doc_id, k.i FROM k JOIN (SELECT h, min(doc_id) AS least FROM k GROUP BY 1) m ON m.h = k.h WHERE least < k.doc_id),
+runs AS (SELECT doc_id, count(*) AS n FROM cut a WHERE NOT EXISTS (SELECT 1 FROM cut b WHERE b.doc_id = a.doc_id AND b.i = a.i - 1) GROUP BY 1),
 gone AS (SELECT DISTINCT doc_id, i + o AS p FROM (SELECT doc_id, i, unnest(range(0, 50)) AS o FROM cut)),
 words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
 kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p WHERE gone.p IS NULL GROUP BY 1)
-SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(runs.n, 0) AS n_repeats
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN runs ON runs.doc_id = d.doc_id""",
 }

@@ -18,8 +18,8 @@ travels as one row.
    ... and ``window``; each node of full depth takes the least document below it.
 4. A prefix with more stretches than a group may hold is lengthened to full depth: its suffixes
    are grouped by all their words, and the least document is a pre-aggregated minimum.
-5. Neighbouring deep nodes of one document form its maximal repeats; documents join what must
-   go, and words are cut.
+5. Neighbouring deep nodes of one document form its maximal repeats (``repeats``); documents join
+   what must go, and words are cut.
 
 Words are told apart by 64 bits, stretches and lengthened prefixes by 128.
 """
@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BitTable, doc_columns, free, splitmix, staged
+from quern.llm.common import BitTable, doc_columns, free, splitmix, staged, with_classes
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _CHUNK = 1 << 18
@@ -207,10 +207,10 @@ def removals(docs: DataFrame, window: int = 50, anchor: int = 16, most_bits: int
                                 "place": s.place[at].astype(np.int32), "n": (ends - at).astype(np.int32)})
 
     found = staged(keyed.mapInPandas(stretches, "anchor long, whole long, doc_id long, text_hash long, place int, n int"), "stretches")
-    distinct = found.groupBy("anchor", "whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n").alias("n"))
+    distinct = found.groupBy("anchor", "whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n").alias("n"), F.count("*").alias("held"))
     group = distinct.groupBy("anchor").agg(F.min("low").alias("g_low"), F.max("high").alias("g_high"), F.count("*").alias("m")).where("g_low < g_high")
-    nodes = staged(distinct.join(group, "anchor").select("anchor", "whole", "low", "n", "m"), "subtrees")
-    chains = nodes.where("m = 1").select("anchor", "whole", F.array(F.col("low")).alias("least"))
+    nodes = staged(distinct.join(group, "anchor").select("anchor", "whole", "low", "n", "m", "held"), "subtrees")
+    chains = nodes.where("m = 1").select("anchor", "whole", "held", F.array(F.col("low")).alias("least"))
     branching = nodes.where("m > 1")
     copies = BitTable(branching.select(F.col("whole").bitwiseXOR(F.xxhash64("low")).alias("key")), "key", most_bits)
 
@@ -243,44 +243,76 @@ def removals(docs: DataFrame, window: int = 50, anchor: int = 16, most_bits: int
         least = np.full(node.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, node, low)
         parts = np.split(least[node], np.cumsum(n)[:-1])
-        return pd.DataFrame({"anchor": pdf["anchor"], "whole": pdf["whole"], "least": parts})
+        return pd.DataFrame({"anchor": pdf["anchor"], "whole": pdf["whole"], "held": pdf["held"], "least": parts})
 
     branches = (fits.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(groups))).groupBy("bucket")
-                .applyInPandas(subtree, "anchor long, whole long, least array<long>"))
+                .applyInPandas(subtree, "anchor long, whole long, held long, least array<long>"))
 
     def leaves(batches):
         for pdf in batches:
-            for anchor_, whole, low, words in zip(pdf["anchor"], pdf["whole"], pdf["low"], pdf["words"]):
+            for anchor_, whole, low, held, words in zip(pdf["anchor"], pdf["whole"], pdf["low"], pdf["held"], pdf["words"]):
                 deep = _rolling(np.frombuffer(words, np.uint64), window, _DEEP)
-                yield pd.DataFrame({"anchor": anchor_, "whole": whole, "low": low, "deep": deep.view(np.int64), "i": np.arange(len(deep), dtype=np.int32)})
-
-    leaf = trees.where(F.col("m") > group_rows).mapInPandas(leaves, "anchor long, whole long, low long, deep long, i int")
-    least = leaf.groupBy("anchor", "deep").agg(F.min("low").alias("least"))
-    lengthened = (leaf.join(least, ["anchor", "deep"]).groupBy("anchor", "whole")
-                  .agg(F.sort_array(F.collect_list(F.struct("i", "least"))).alias("l")).select("anchor", "whole", F.col("l.least").alias("least")))
-    verdict = chains.unionByName(branches).unionByName(lengthened)
+                yield pd.DataFrame({"anchor": anchor_, "whole": whole, "low": low, "held": held, "deep": deep.view(np.int64), "i": np.arange(len(deep), dtype=np.int32)})
+
+    leaf = staged(trees.where(F.col("m") > group_rows).mapInPandas(leaves, "anchor long, whole long, low long, held long, deep long, i int"), "leaves")
+    least = staged(leaf.groupBy("anchor", "deep").agg(F.min("low").alias("least"), F.count("*").alias("rows")), "least")
+    lengthened = (with_classes(leaf, least, ["anchor", "deep"], "rows").groupBy("anchor", "whole")
+                  .agg(F.first("held").alias("held"), F.sort_array(F.collect_list(F.struct("i", "least"))).alias("l"))
+                  .select("anchor", "whole", "held", F.col("l.least").alias("least")))
+    verdict = staged(chains.unionByName(branches).unionByName(lengthened), "verdict")
     mask = F.when(F.size("least") == 1, F.when(F.col("least")[0] < F.col("doc_id"),
                                                F.expr("shiftleft(1L, n) - 1")).otherwise(F.lit(0).cast("long"))) \
         .otherwise(F.expr("aggregate(transform(least, (x, i) -> if(x < doc_id, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)"))
-    return (found.select("anchor", "whole", "doc_id", "text_hash", "place", "n")
-            .join(verdict, ["anchor", "whole"])
-            .select("doc_id", "text_hash", "place", mask.alias("mask")).where("mask <> 0").distinct()
+    # A stretch that very many documents hold is broadcast with its verdict, not dealt to one task.
+    return (with_classes(found.select("anchor", "whole", "doc_id", "text_hash", "place", "n"), verdict, ["anchor", "whole"], "held")
+            .where("least is not null").select("doc_id", "text_hash", "place", mask.alias("mask")).where("mask <> 0").distinct()
             .groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "mask")).alias("cuts")))
 
 
-def _covered(n: int, cuts, window: int) -> np.ndarray:
-    """Which of n words lie in a window that goes."""
-    edge = np.zeros(n + 1, np.int64)
+def _starts(cuts) -> np.ndarray:
+    """The places where a window that goes starts, sorted."""
+    out = set()
     for cut in cuts:
         place, bits = cut["place"], cut["mask"]
         while bits:
-            i = (bits & -bits).bit_length() - 1
-            edge[place + i] += 1
-            edge[place + i + window] -= 1
+            out.add(place + (bits & -bits).bit_length() - 1)
             bits &= bits - 1
+    return np.array(sorted(out), np.int64)
+
+
+def _runs(starts: np.ndarray) -> np.ndarray:
+    """Rows (first, last) of the runs of neighbouring starts: with the window behind the last one, the maximal repeats."""
+    if not len(starts):
+        return np.empty((0, 2), np.int64)
+    breaks = np.nonzero(np.diff(starts) > 1)[0]
+    return np.stack([starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)]], axis=1)
+
+
+def _covered(n: int, cuts, window: int) -> np.ndarray:
+    """Which of n words lie in a window that goes."""
+    edge = np.zeros(n + 1, np.int64)
+    for first, last in _runs(_starts(cuts)).tolist():
+        edge[first] += 1
+        edge[last + window] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
+def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(doc_id, text_hash, begin, n_words): the maximal repeats of each document with earlier ones, the longest
+    runs of words all of whose windows start in a document with a smaller doc_id. Two of them may overlap. Rows that
+    repeat both doc_id and text are one; nulls are as in digests."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [_runs(_starts(c)) for c in pdf["cuts"]]
+            sizes = [len(f) for f in found]
+            flat = np.concatenate([np.empty((0, 2), np.int64), *found])
+            yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), sizes), "text_hash": np.repeat(pdf["text_hash"].to_numpy(), sizes),
+                                "begin": flat[:, 0], "n_words": flat[:, 1] - flat[:, 0] + window})
+
+    return removals(docs, window).mapInPandas(run, "doc_id long, text_hash long, begin long, n_words long")
+
+
 def _joined(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
     """docs with the cuts of each row, and the name of their column, which docs does not have."""
     doc, cut_hash, cuts, own = free(docs, "__id", "__cut_hash", "__cuts", "__hash")
@@ -292,7 +324,8 @@ def _joined(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
 
 
 def digests(docs: DataFrame, window: int = 50) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256.
+    """For each row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and n_repeats, the number of
+    its maximal repeats.
 
     A word goes if a window of ``window`` words that covers it also starts in a document
     with a smaller doc_id. Null and empty texts have no words. A text with fewer words than
@@ -307,15 +340,16 @@ def digests(docs: DataFrame, window: int = 50) -> DataFrame:
             out = []
             for text, cuts in zip(pdf["text"], pdf[name]):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
-                n = len(words)
+                n, runs = len(words), 0
                 if cuts is not None and len(cuts):
+                    runs = len(_runs(_starts(cuts)))
                     gone = _covered(n, cuts, window)
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
-                out.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
+                out.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), runs))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [x[0] for x in out],
-                                "n_removed": [x[1] for x in out], "kept_sha256": [x[2] for x in out]})
+                                "n_removed": [x[1] for x in out], "kept_sha256": [x[2] for x in out], "n_repeats": [x[3] for x in out]})
 
-    return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_repeats long")
 
 
 def cut_text(text: str, cuts, window: int) -> str:

@@ -125,13 +125,14 @@ def brute_substring(data, window=50):
                 first[s] = min(first.get(s, r[0]), r[0])
     out = []
     for r, w in zip(data, words):
-        gone = [False] * len(w)
+        gone, starts = [False] * len(w), set()
         if r[0] is not None:
             for k in range(len(w) - window + 1):
                 if first[tuple(w[k: k + window])] < r[0]:
+                    starts.add(k)
                     gone[k: k + window] = [True] * window
         kept = [x for x, g in zip(w, gone) if not g]
-        out.append((r[0], len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        out.append((r[0], len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), sum(k - 1 not in starts for k in starts)))
     return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0, x[1:]))
 
 
@@ -155,6 +156,27 @@ def test_substring_random_repeats(spark):
     assert got == brute_substring(data)
 
 
+def test_maximal_repeats(spark):
+    shared, other = prose(1, 80).split(), prose(2, 60).split()
+    data = [(1, " ".join(shared)), (2, " ".join(other)), (5, " ".join(prose(3, 7).split() + shared[5:75] + ["x"] + other)), (6, " ".join(shared[:49]))]
+    got = substring.repeats(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "begin", "n_words")
+    assert sorted(tuple(r) for r in got.collect()) == [(5, 7, 70), (5, 78, 60)]
+
+
+def test_hot_stretches_are_broadcast(spark, monkeypatch):
+    """Stretches of very many documents take another way to the same result."""
+    real = common.with_classes
+    data = [(i, prose(100 + i % 3, 15) + " " + prose(1, 70)) for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted(tuple(r) for r in substring.digests(df).collect())
+
+    def all_hot(rows_, classes, key, size):
+        return real(rows_, classes.withColumn(size, common.F.col(size) * 1_000_000), key, size)
+
+    monkeypatch.setattr(substring, "with_classes", all_hot)
+    assert sorted(tuple(r) for r in substring.digests(df).collect()) == want == brute_substring(data)
+
+
 def test_full_depth_nodes_by_hand():
     rng = np.random.default_rng(1)
     for depth in (1, 2, 3, 5, 8, 50):
