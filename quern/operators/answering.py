@@ -202,3 +202,25 @@ def latest_results(results: DataFrame) -> DataFrame:
     key = ["run_id", "model_name", "sample_key"]
     others = [x for x in results.columns if x not in (*key, "seq")]
     return results.groupBy(*key).agg(F.max(F.struct("seq", *others)).alias("m")).select(*key, "m.*")
+
+
+def recent_failures(runs: DataFrame, feedback: DataFrame, now: Column, days: int = 7, limit: int = 50) -> DataFrame:
+    """The latest runs that failed and were not judged good, within ``days`` (1 to 90), at most ``limit`` (1 to 200), with their latest
+    open feedback, category and default action. runs: run_id, status, answer_status, verdict, at, n_candidates; feedback:
+    feedback_id, run_id, kind, status."""
+    days, limit = max(1, min(days, 90)), max(1, min(limit, 200))
+    bad = (F.col("answer_status").isin("unsupported", "service_error") | (F.col("status") == "failed")) & F.coalesce(F.col("verdict") == "fail", F.lit(True))
+    latest = runs.where(bad).where(F.col("at") >= now - F.make_interval(days=F.lit(days))).orderBy(F.desc("run_id")).limit(limit)
+    open_ = feedback.where("status = 'open'").groupBy("run_id").agg(F.max(F.struct("feedback_id", "kind")).alias("f"))
+    j = latest.join(open_, "run_id", "left")
+    category = failure_category(F.col("f.kind"), F.col("status"), F.col("n_candidates"))
+    return j.select("run_id", "status", "answer_status", F.col("f.feedback_id").alias("feedback_id"), category.alias("category"), action(category).alias("action"))
+
+
+def retests(feedback: DataFrame, runs: DataFrame) -> DataFrame:
+    """The runs to start again (question, context, retest_of, feedback_id) for feedback (feedback_id, run_id, correction): the old
+    question in its old context; the correction is no part of them. Feedback on unknown runs has none. runs: run_id, question, context map."""
+    j = feedback.select("feedback_id", "run_id").join(runs.select("run_id", "question", "context"), "run_id")
+    link = F.create_map(F.lit("retest_of"), F.col("run_id").cast("string"), F.lit("feedback_id"), F.col("feedback_id").cast("string"))
+    kept = F.map_filter(F.coalesce("context", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("retest_of", "feedback_id"))
+    return j.select("question", F.map_concat(kept, link).alias("context"), F.col("run_id").alias("retest_of"), "feedback_id")

@@ -154,3 +154,11 @@ def label_components(edges: DataFrame) -> DataFrame:
         if sums == seen:
             return nodes.join(now, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component"))
         seen = sums
+
+
+def vote_errors(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, error): each row must be in exactly one cluster, once: repeated, missing or unknown ids. members: cluster, id; rows: id."""
+    n = members.groupBy("id").agg(F.count("*").alias("n"))
+    j = n.join(rows.select("id").distinct().withColumn("known", F.lit(True)), "id", "full")
+    error = F.when(F.col("n").isNull(), "missing").when(F.col("known").isNull(), "unknown").when(F.col("n") > 1, "repeated")
+    return j.select("id", error.alias("error")).where("error is not null")

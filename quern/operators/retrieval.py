@@ -121,3 +121,28 @@ def by_title(questions: DataFrame, rows: DataFrame, k: int = 12) -> DataFrame:
     least = [r["id"] for r in rows.select("id").orderBy("id").limit(k).collect()]
     rest = questions.select("qid", F.explode(F.array(*[F.lit(x) for x in least]).cast("array<long>")).alias("id")).join(titled, ["qid", "id"], "left_anti").select("qid", "id", F.lit(0).alias("hit"))
     return top(found.unionByName(rest), ["qid"], [F.desc("hit"), F.asc("id")], k)
+
+
+def answer_sources(sources: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(knowledge_id, sources): the active, accepted supports of each row whose raw evidence is active too, by id; what was
+    superseded or redacted never shows. sources: source_id, knowledge_id, evidence_id, source_kind, excerpt, relation,
+    resolution, active; evidence: evidence_id, status, label, locator."""
+    live = evidence.where("status = 'active'").select("evidence_id", "label", "locator")
+    kept = sources.where("active and relation = 'supports' and resolution = 'accepted'").join(live, "evidence_id")
+    return kept.groupBy("knowledge_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "source_kind", "excerpt", "label", "locator"))).alias("sources"))
+
+
+def usable_knowledge(rows: DataFrame) -> DataFrame:
+    """Published rows that may answer customers (publication, answer_allowed)."""
+    return rows.where("publication = 'published' and answer_allowed")
+
+
+def usable_memory(rows: DataFrame) -> DataFrame:
+    """Case memory that may answer customers: verified and allowed (source_status, answer_allowed)."""
+    return rows.where("source_status = 'verified' and answer_allowed")
+
+
+def alias_keys(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(qid, knowledge_key): the keys of approved aliases (alias, knowledge_key, approved) that a question names."""
+    ok = aliases.where("approved and knowledge_key <> ''").select("alias", "knowledge_key")
+    return contained(questions, "qid", "question", ok.select("alias").distinct(), "alias").join(ok, "alias").select("qid", "knowledge_key").distinct()

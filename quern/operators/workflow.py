@@ -99,3 +99,12 @@ def migrations(files: DataFrame, applied: DataFrame) -> DataFrame:
     known = applied.select("name", F.col("checksum").alias("__known"))
     f = files.withColumn("checksum", F.sha2("sql", 256)).join(known, "name", "left")
     return f.select("name", "checksum", F.when(F.col("__known").isNull(), "apply").when(F.col("__known") == F.col("checksum"), "applied").otherwise("mismatch").alias("state"))
+
+
+def imported_roles(entries: DataFrame, known: tuple[str, ...], default: str = "unconfirmed_claim") -> DataFrame:
+    """(case_id, message_index, role, reason): one role for each message of a case, the last stated (seq); words outside the
+    vocabulary become the default, indexes that are no numbers -1, reasons are cut to 400 characters."""
+    index = F.coalesce(F.trim("message_index").try_cast("int"), F.lit(-1))
+    role = F.when(F.col("role").isin(*known), F.col("role")).otherwise(default)
+    rows = entries.where(F.col("case_id").isNotNull()).select("case_id", index.alias("message_index"), "seq", role.alias("role"), F.left(F.coalesce("reason", F.lit("")), F.lit(400)).alias("reason"))
+    return rows.groupBy("case_id", "message_index").agg(F.max(F.struct("seq", "role", "reason")).alias("m")).select("case_id", "message_index", "m.role", "m.reason")

@@ -68,11 +68,6 @@ def _(spark, sf):
     return _failures(spark, sf).where("category <> 'none'").groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("q11_recent_failures", s.with_(s.RUNS) + f"SELECT user_id, arg_max(run_id, run_id) AS run_id, arg_max(category, run_id) AS category FROM (SELECT *, {_CATEGORY} AS category FROM runs) WHERE category <> 'none' GROUP BY 1")
-def _(spark, sf):
-    return _failures(spark, sf).where("category <> 'none'").groupBy("user_id").agg(F.max("run_id").alias("run_id"), F.max_by("category", "run_id").alias("category"))
-
-
 @query("q03_citation_validation", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_filter(list(l_linenumber), lambda i: i >= 1 AND i <= 3))), ',') AS cited FROM lineitem GROUP BY 1")
 def _(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("c"))

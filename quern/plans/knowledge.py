@@ -85,12 +85,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", k.scope_level(some(F.col("p_size") % 2 == 0), some(F.col("p_size") % 3 == 0), F.col("p_size") % 7 != 0, F.when(F.col("p_size") > 25, F.col("p_brand"))).alias("level"))
 
 
-@query("r04_candidate_sources", s.with_(s.SOURCES) + "SELECT knowledge_id, string_agg(relation || ':' || resolution, ',' ORDER BY relation, resolution) AS sources FROM sources GROUP BY 1")
-def _(spark, sf):
-    g = overlay.sources(spark, sf).groupBy("knowledge_id").agg(F.array_sort(F.collect_list(F.struct("relation", "resolution"))).alias("l"))
-    return g.select("knowledge_id", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["relation"], x["resolution"])), ",").alias("sources"))
-
-
 @query("r10_one_running_rank", "SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY kind, vec_id) AS rank FROM (SELECT vec_id, label, 0 AS kind FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, label, 1 FROM embeddings WHERE vec_id % 3 = 1)")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")

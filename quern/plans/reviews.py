@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as v
-from quern.operators import documents as d, grouping as g, hierarchy as h, overlay, review as rv, workflow as w
+from quern.operators import answering as a, documents as d, grouping as g, hierarchy as h, overlay, retrieval as r, review as rv, workflow as w
 from quern.plans import sql as s
 from quern.plans.common import registry
 from quern.session import checkpointed, shared_path, table
@@ -249,3 +249,107 @@ def _(spark, sf):
     body = F.concat(F.lit("in "), "r_name", F.lit("\n<&> "), "n_regionkey")
     decks = n.select(F.col("n_nationkey").cast("long").alias("key"), made("n_name", body).alias("content"))
     return slides.slide_blocks(decks).select("key", "block_no", "slide_no", "block_type", "section", "text")
+
+
+@query("r04_candidate_sources", """
+SELECT doc_id AS knowledge_id, string_agg(CAST(source_id AS VARCHAR), ',' ORDER BY source_id) AS sources FROM (
+ SELECT doc_id, doc_id * 10 AS source_id FROM labels WHERE quality = 1 AND doc_id % 4 <> 0 AND doc_id % 3 <> 0
+ UNION ALL SELECT doc_id, doc_id * 10 + 1 FROM labels WHERE doc_id % 3 <> 0) GROUP BY 1""")
+def _(spark, sf):
+    la = table(spark, sf, "labels").withColumnRenamed("doc_id", "knowledge_id").withColumn("evidence_id", F.col("knowledge_id"))
+    made = lambda n, resolution, on: la.select((F.col("knowledge_id") * 10 + n).alias("source_id"), "knowledge_id", "evidence_id", F.lit("manual").alias("source_kind"), F.lit("x").alias("excerpt"),
+                                               F.lit("supports").alias("relation"), resolution.alias("resolution"), on.alias("active"))
+    sources = made(0, F.when(F.col("quality") == 1, "accepted").otherwise("unresolved"), F.col("knowledge_id") % 4 != 0).unionByName(
+        made(1, F.lit("accepted"), F.lit(True))).unionByName(made(2, F.lit("accepted"), F.lit(True)).withColumn("relation", F.lit("contradicts")))
+    evidence = la.select("evidence_id", F.when(F.col("evidence_id") % 3 == 0, "redacted").otherwise("active").alias("status"), F.lit("l").alias("label"), F.lit("p").alias("locator")).distinct()
+    out = r.answer_sources(sources, evidence)
+    return out.select("knowledge_id", F.array_join(F.transform("sources", lambda x: x["source_id"].cast("string")), ",").alias("sources"))
+
+
+@query("r08_published_knowledge", s.with_(s.KNOWLEDGE) + "SELECT id, entity_name FROM knowledge WHERE trust = 'user_confirmed' AND id % 3 <> 0")
+def _(spark, sf):
+    rows = overlay.knowledge(spark, sf).withColumn("publication", F.when(F.col("trust") == "user_confirmed", "published").otherwise("draft"))
+    return r.usable_knowledge(rows.withColumn("answer_allowed", F.col("id") % 3 != 0)).select("id", "entity_name")
+
+
+@query("r09_usable_memory", "SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 3 AND conv_id % 2 = 0")
+def _(spark, sf):
+    m = table(spark, sf, "conversations").groupBy("conv_id").agg(F.when(F.count("*") >= 3, "verified").otherwise("ai_derived").alias("source_status"))
+    return r.usable_memory(m.withColumn("answer_allowed", F.col("conv_id") % 2 == 0)).select("conv_id")
+
+
+@query("r17_alias_keys", """
+SELECT DISTINCT c_custkey AS qid, 'K' || (n_nationkey % 7) AS knowledge_key FROM customer JOIN nation ON contains(lower(c_mktsegment || ' in ' || (SELECT x.n_name FROM nation x WHERE x.n_nationkey = c_nationkey)), lower(n_name))
+WHERE n_regionkey <> 2""")
+def _(spark, sf):
+    n = table(spark, sf, "nation")
+    q = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("qid"), F.concat("c_mktsegment", F.lit(" in "), "n_name").alias("question"))
+    aliases = n.select(F.col("n_name").alias("alias"), F.concat(F.lit("K"), F.col("n_nationkey") % 7).alias("knowledge_key"), (F.col("n_regionkey") != 2).alias("approved"))
+    return r.alias_keys(q, aliases)
+
+
+@query("d10_stored_diffs", s.with_(s.VERSIONS) + """
+SELECT doc_id AS version_id, previous, CASE WHEN doc_id = previous THEN 'itself' WHEN NOT found THEN 'not_found' WHEN other THEN 'another_document' ELSE 'ok' END AS error,
+ CASE WHEN doc_id <> previous AND found AND NOT other THEN 'lang,text' END AS changed FROM (
+ SELECT v.doc_id, p.doc_id IS NOT NULL AS found, coalesce(p.source <> v.source, false) AS other, v.previous FROM (
+  SELECT *, CASE WHEN doc_id % 5 = 0 THEN doc_id WHEN doc_id % 5 = 1 THEN -1 WHEN doc_id % 5 = 2 THEN doc_id - 1 ELSE previous_id END AS previous FROM versions WHERE previous_id IS NOT NULL) v
+ LEFT JOIN documents p ON p.doc_id = v.previous)""")
+def _(spark, sf):
+    x = overlay.versions(spark, sf)
+    i = F.col("doc_id")
+    previous = F.when(i % 5 == 0, i).when(i % 5 == 1, F.lit(-1).cast("long")).when(i % 5 == 2, i - 1).otherwise(F.col("previous_id"))
+    links = x.where("previous_id is not null").select(i.alias("version_id"), previous.alias("previous_id"))
+    changes = x.select(i.alias("version_id"), F.explode(F.array(F.lit("text"), F.lit("lang"))).alias("section")).withColumn("change", F.lit("changed"))
+    touched = x.select(i.alias("version_id"), i.alias("knowledge_id"))
+    out = d.stored_diffs(x.select(i.alias("version_id"), F.col("source").alias("document_key")), links, changes, touched)
+    return out.select("version_id", F.col("previous_id").alias("previous"), "error", F.array_join("changed", ",").alias("changed"))
+
+
+@query("s12_persisted_counts", s.with_(s.BLOCKS) + """
+SELECT doc_id AS version_id, count(DISTINCT md5(text)) AS blocks, count(DISTINCT CASE WHEN length(text) > 20 THEN md5(text) END) AS evidence, CAST(count(DISTINCT md5(text)) * 2 AS BIGINT) AS assets,
+ count(DISTINCT CASE WHEN length(text) <= 5 THEN md5(text) END) AS needs_review FROM blocks GROUP BY 1""")
+def _(spark, sf):
+    b = overlay.blocks(spark, sf)
+    rows = b.select(F.col("doc_id").alias("version_id"), F.md5("text").alias("block_key"), F.col("block_no").alias("ord"), F.lit(None).cast("int").alias("page_no"), F.col("block_no").alias("slide_no"),
+                    F.when(F.length("text") > 20, F.col("text")).otherwise("").alias("text"), F.lit(2).cast("long").alias("n_assets"), F.when(F.length("text") <= 5, "short").otherwise("").alias("review_reason"))
+    return d.persisted(rows)[1]
+
+
+@query("q11_recent_failures", s.with_(s.RUNS) + """
+SELECT run_id, CASE WHEN run_id % 4 = 0 THEN run_id + 7 END AS feedback_id, CASE WHEN run_id % 4 = 0 THEN 'wrong_scope' ELSE 'technical' END AS category FROM runs
+WHERE status = 'failed' AND run_id % 3 <> 0 AND created_at >= (SELECT max(created_at) FROM runs) - INTERVAL 90 DAY ORDER BY run_id DESC LIMIT 200""")
+def _(spark, sf):
+    x = overlay.runs(spark, sf)
+    runs = x.select("run_id", "status", F.when(F.col("status") == "failed", "service_error").otherwise("answered").alias("answer_status"), F.when(F.col("run_id") % 3 == 0, "pass").alias("verdict"),
+                    F.col("created_at").alias("at"), F.lit(0).alias("n_candidates"))
+    feedback = x.where("run_id % 4 = 0").select((F.col("run_id") + 7).alias("feedback_id"), "run_id", F.lit("wrong_scope").alias("kind"), F.lit("open").alias("status")).unionByName(
+        x.select((F.col("run_id") + 9).alias("feedback_id"), "run_id", F.lit("missing").alias("kind"), F.lit("closed").alias("status"))).unionByName(
+        x.where("run_id % 4 = 0").select((F.col("run_id") + 1).alias("feedback_id"), "run_id", F.lit("missing").alias("kind"), F.lit("open").alias("status")))
+    return a.recent_failures(runs, feedback, x.agg(F.max("created_at")).scalar(), 365, 5000).select("run_id", "feedback_id", "category")
+
+
+@query("q15_retests", "SELECT event_id AS retest_of, event_id + 1 AS feedback_id, 'asked ' || event_type AS question, 'feedback_id,lang,retest_of' AS keys FROM events WHERE event_id % 6 = 0")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    runs = e.where("event_id % 2 = 0").select(F.col("event_id").alias("run_id"), F.concat(F.lit("asked "), "event_type").alias("question"), F.create_map(F.lit("lang"), F.lit("en"), F.lit("retest_of"), F.lit("0")).alias("context"))
+    feedback = e.where("event_id % 3 = 0").select((F.col("event_id") + 1).alias("feedback_id"), F.col("event_id").alias("run_id"), F.lit("no, it is 7").alias("correction"))
+    out = a.retests(feedback, runs)
+    return out.select("retest_of", "feedback_id", "question", F.array_join(F.array_sort(F.map_keys("context")), ",").alias("keys"))
+
+
+@query("g10_vote_errors", """
+SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'missing' ELSE 'repeated' END AS error FROM part WHERE p_size % 5 = 0 OR p_size % 7 = 0 UNION ALL SELECT -s_suppkey - 1, 'unknown' FROM supplier""")
+def _(spark, sf):
+    x = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("cluster"), "p_size")
+    once = x.where("p_size % 5 <> 0").select("cluster", "id")
+    more = x.where("p_size % 7 = 0 and p_size % 5 <> 0").select(F.lit("again").alias("cluster"), "id")
+    strange = table(spark, sf, "supplier").select(F.lit("odd").alias("cluster"), (-F.col("s_suppkey") - 1).alias("id"))
+    return g.vote_errors(once.unionByName(more).unionByName(strange), x.select("id"))
+
+
+@query("c14_imported_roles", """
+SELECT conv_id AS case_id, CASE WHEN turn % 4 = 3 THEN -1 ELSE turn END AS message_index, arg_max(CASE WHEN role = 'system' THEN 'unconfirmed_claim' ELSE role END, turn) AS role FROM conversations GROUP BY 1, 2""")
+def _(spark, sf):
+    m = table(spark, sf, "conversations")
+    rows = m.select(F.col("conv_id").alias("case_id"), F.when(F.col("turn") % 4 == 3, "x").otherwise(F.col("turn").cast("string")).alias("message_index"), F.col("turn").alias("seq"), "role", F.lit("r" * 500).alias("reason"))
+    return w.imported_roles(rows, ("user", "assistant")).select("case_id", "message_index", "role")

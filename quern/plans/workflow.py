@@ -37,12 +37,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.coalesce(stated, title).alias("model"))
 
 
-@query("c14_cited_ids", "SELECT doc_id, CAST(x AS BIGINT) AS cited FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{2,6}'))) AS x FROM documents)")
-def _(spark, sf):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{2,6}"), F.lit(0)))
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.transform(found, lambda x: x.cast("long"))).alias("cited"))
-
-
 @query("c15_c17_packages", THREADS + " SELECT conv_id, count(DISTINCT text) AS evidence, min(left(text, 60)) AS first_text FROM roles WHERE trim(text) <> '' GROUP BY 1 HAVING count(*) >= 2")
 def _(spark, sf):
     m = spoken(spark, sf).where(F.trim("text") != "")
@@ -54,13 +48,6 @@ def _(spark, sf):
     return spoken(spark, sf).groupBy("conv_id").agg(F.count_if(c.is_customer()).alias("customer_turns"))
 
 
-@query("d10_stored_diff", s.with_(s.VERSIONS) + "SELECT doc_id, previous_id, length(text) - (SELECT length(p.text) FROM versions p WHERE p.doc_id = v.previous_id) AS grown FROM versions v WHERE previous_id IS NOT NULL AND previous_id <> doc_id")
-def _(spark, sf):
-    x = overlay.versions(spark, sf)
-    p = x.select(F.col("doc_id").alias("pid"), F.length("text").alias("pn"))
-    return x.where("previous_id is not null and previous_id <> doc_id").join(p, F.col("previous_id") == F.col("pid")).select("doc_id", "previous_id", (F.length("text") - F.col("pn")).alias("grown"))
-
-
 @query("m09_pending_proposals", s.with_(s.RUNS) + "SELECT user_id, run_id, knowledge_id FROM runs WHERE status = 'needs_clarification' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY knowledge_id IS NULL, run_id DESC) = 1")
 def _(spark, sf):
     p = overlay.runs(spark, sf).where("status = 'needs_clarification'")
@@ -138,16 +125,6 @@ def _(spark, sf):
     return overlay.blocks(spark, sf).where(F.trim("text") != "").join(ok.select("doc_id"), "doc_id").select("doc_id", "block_no")
 
 
-@query("r08_r09_published_only", s.with_(s.KNOWLEDGE) + "SELECT entity_name, count(*) FILTER (WHERE trust = 'user_confirmed') AS published, count(*) FILTER (WHERE trust = 'provisional' AND active) AS memory FROM knowledge GROUP BY 1")
-def _(spark, sf):
-    return overlay.knowledge(spark, sf).groupBy("entity_name").agg(F.count_if(F.col("trust") == "user_confirmed").alias("published"), F.count_if((F.col("trust") == "provisional") & F.col("active")).alias("memory"))
-
-
-@query("r17_approved_aliases", "SELECT n_name AS alias, 'N' || n_nationkey AS knowledge_key FROM nation WHERE n_regionkey <> 2")
-def _(spark, sf):
-    return table(spark, sf, "nation").where("n_regionkey <> 2").select(F.col("n_name").alias("alias"), F.concat(F.lit("N"), "n_nationkey").alias("knowledge_key"))
-
-
 @query("s04_record_checks", "SELECT event_id, CASE WHEN props IS NULL THEN 'missing_field' WHEN c > 1 THEN 'repeated_key' ELSE 'ok' END AS state FROM (SELECT event_id, props, count(*) OVER (PARTITION BY event_id) AS c FROM events)")
 def _(spark, sf):
     e = table(spark, sf, "events").withColumn("c", F.count("*").over(Window.partitionBy("event_id")))

@@ -498,3 +498,48 @@ def test_reranking_and_title_fallback(spark):
     known = spark.createDataFrame([(5, "Reset"), (3, "Panel"), (1, "Door"), (2, ""), (4, "Gate")], "id long, title string")
     got = retrieval.by_title(q, known, 3)
     assert [(r["qid"], r["id"], r["hit"]) for r in got.orderBy("qid", "rank").collect()] == [(1, 3, 1), (1, 5, 1), (1, 1, 0), (2, 1, 0), (2, 2, 0), (2, 3, 0)]
+
+
+def test_sources_aliases_and_usable_rows(spark):
+    sources = spark.createDataFrame([(2, 1, 9, "k", "b", "supports", "accepted", True), (1, 1, 8, "k", "a", "supports", "accepted", True), (3, 1, 7, "k", "c", "supports", "accepted", True),
+                                     (4, 1, 8, "k", "d", "contradicts", "accepted", True), (5, 1, 8, "k", "e", "supports", "rejected", True), (6, 2, 8, "k", "f", "supports", "accepted", False)],
+                                    "source_id long, knowledge_id long, evidence_id long, source_kind string, excerpt string, relation string, resolution string, active boolean")
+    evidence = spark.createDataFrame([(9, "active", "l", "p1"), (8, "active", "l", "p2"), (7, "redacted", "l", "p3")], "evidence_id long, status string, label string, locator string")
+    got = retrieval.answer_sources(sources, evidence).collect()
+    assert [(r["knowledge_id"], [x["source_id"] for x in r["sources"]]) for r in got] == [(1, [1, 2])]
+    q = spark.createDataFrame([(1, "my HIK connect app"), (2, "other")], "qid int, question string")
+    aliases = spark.createDataFrame([("hik Connect", "k1", True), ("app", "k2", False), ("my", "", True), ("oth", "k3", True)], "alias string, knowledge_key string, approved boolean")
+    assert rows(retrieval.alias_keys(q, aliases)) == [(1, "k1"), (2, "k3")]
+
+
+def test_failures_retests_and_votes(spark):
+    import datetime as dt
+
+    now = dt.datetime(2024, 5, 10)
+    runs = spark.createDataFrame([(1, "completed", "unsupported", None, now, 3), (2, "failed", "", "fail", now, 0), (3, "failed", "", "pass", now, 0), (4, "completed", "answered", None, now, 1),
+                                  (5, "completed", "service_error", None, now - dt.timedelta(days=9), 0)], "run_id int, status string, answer_status string, verdict string, at timestamp_ntz, n_candidates int")
+    feedback = spark.createDataFrame([(8, 1, "missing", "open"), (7, 1, "wrong_scope", "open"), (9, 2, "missing", "closed")], "feedback_id int, run_id int, kind string, status string")
+    got = answering.recent_failures(runs, feedback, F.lit(now), 7)
+    assert rows(got.select("run_id", "feedback_id", "category", "action")) == [(1, 8, "missing_knowledge", "add_knowledge"), (2, None, "technical", "retry")]
+    asked = spark.createDataFrame([(1, "q", {"a": "b", "feedback_id": "0"}), (2, "r", None)], "run_id int, question string, context map<string,string>")
+    again = answering.retests(spark.createDataFrame([(5, 1, "it is 7"), (6, 2, "x"), (7, 99, "y")], "feedback_id int, run_id int, correction string"), asked)
+    assert [(r["question"], r["context"], r["retest_of"]) for r in again.orderBy("feedback_id").collect()] == [
+        ("q", {"a": "b", "retest_of": "1", "feedback_id": "5"}, 1), ("r", {"retest_of": "2", "feedback_id": "6"}, 2)]
+    members = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 9)], "cluster string, id long")
+    assert rows(grouping.vote_errors(members, spark.createDataFrame([(1,), (2,), (3,)], "id long"))) == [(1, "repeated"), (3, "missing"), (9, "unknown")]
+
+
+def test_versions_blocks_and_roles(spark):
+    versions = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B")], "version_id long, document_key string")
+    links = spark.createDataFrame([(2, 1), (3, 1), (1, 1), (2, 9)], "version_id long, previous_id long")
+    changes = spark.createDataFrame([(2, "Use", "changed"), (2, "New", "added")], "version_id long, section string, change string")
+    touched = spark.createDataFrame([(2, 70)], "version_id long, knowledge_id long")
+    got = {(r["version_id"], r["previous_id"]): r for r in documents.stored_diffs(versions, links, changes, touched).collect()}
+    assert {k: r["error"] for k, r in got.items()} == {(2, 1): "ok", (3, 1): "another_document", (1, 1): "itself", (2, 9): "not_found"}
+    assert (got[2, 1]["added"], got[2, 1]["changed"], got[2, 1]["removed"], got[2, 1]["affected"]) == (["New"], ["Use"], [], [70]) and got[3, 1]["added"] is None
+    b = spark.createDataFrame([(1, "k", 2, None, 4, "later", 1, ""), (1, "k", 1, 7, None, "first", 0, ""), (1, "m", 3, None, None, "", 2, "unexplained")],
+                              "version_id long, block_key string, ord int, page_no int, slide_no int, text string, n_assets int, review_reason string")
+    kept, counts = documents.persisted(b)
+    assert rows(kept.select("block_key", "text", "locator")) == [("k", "first", "doc:1:page 7"), ("m", "", "doc:1:unknown position")] and rows(counts) == [(1, 2, 1, 2, 1)]
+    entries = spark.createDataFrame([(1, "2", 1, "guess", "r" * 500), (1, "2", 2, "user_report", None), (1, "x", 3, "user_report", ""), (None, "1", 4, "user_report", "")], "case_id long, message_index string, seq int, role string, reason string")
+    assert rows(workflow.imported_roles(entries, ("user_report",))) == [(1, -1, "user_report", ""), (1, 2, "user_report", "")]
