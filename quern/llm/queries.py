@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bitplane, language, licenses, mixing, mpeg_audio, multi_index, packing, simhash, substring, toxicity
+from quern.llm import bitplane, collocations, divergence, language, licenses, mixing, mpeg_audio, multi_index, packing, quality, simhash, substring, toxicity
+from quern.llm.sql import COLLOCATIONS, DIVERGENCE
 from quern.session import table
 
 
@@ -15,13 +16,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def remainder(doc_id: str = "doc_id"):
-    """crc32 of doc_id as text, mod 3; null for a null doc_id."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
+def remainder(by: int = 3):
+    """crc32 of doc_id as text, mod ``by``; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
 
 
-def held_out(df: DataFrame) -> DataFrame:
-    return df.withColumn("held_out", F.coalesce(remainder() == 1, F.lit(False)))
+def held_out(df: DataFrame, by: int = 3, kept: int = 1) -> DataFrame:
+    return df.withColumn("held_out", F.coalesce(remainder(by) == kept, F.lit(False)))
 
 
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,20 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.probed(mpeg_audio.written(table(spark, sf_dir, "documents")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(remainder(4) != 2))
+    return held_out(quality.scored(docs, model), 4, 2).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_toxicity": op2_toxicity,
@@ -80,9 +95,14 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
     "op10_mpeg_audio": op10_mpeg_audio,
+    "op11_divergence": op11_divergence,
+    "op12_collocations": op12_collocations,
+    "op13_quality": op13_quality,
 }
 
 SQL: dict[str, str] = {
+    "op11_divergence": DIVERGENCE,
+    "op12_collocations": COLLOCATIONS,
     "op1_multi_index": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
