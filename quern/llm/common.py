@@ -67,12 +67,13 @@ def with_classes(rows: DataFrame, classes: DataFrame, key: list[str], size: str)
     return rows.join(large, key).unionByName(rest)
 
 
-def text_batches(spark: SparkSession, rows: int = 1000, size: str = "64m") -> None:
-    """Arrow batches of fewer rows than Spark's 10,000 and of bounded size, unless the session says
-    otherwise: a row here is a whole text, and batches bound the memory of JVM and Python workers alike."""
-    for key, most in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", size)):
-        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows than Spark's 10,000, unless the session says otherwise: a
+    row here is a whole text, and batches bound the memory of JVM and Python workers alike (so do the
+    64 MB of a batch that Spark sets by default)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(rows))
 
 
 def ascii_lower(text: str) -> str:
