@@ -1,6 +1,6 @@
 """Divergence of sources: how far the term distribution of each source lies from the others of its language.
 
-Tasks count terms, and the documents that hold them, for each (lang, source). A kept term
+Tasks count terms, and the documents that hold them, for each language and source. A kept term
 becomes one row with a vector that is indexed by the sources of its language; higher-order
 functions on that vector emit what the term adds to each pair of sources, and a map-side
 aggregation sums it. A pair in which neither source holds a term gets the same amount from
@@ -13,7 +13,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from quern.llm.common import ascii_lower, staged, text_batches
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Entries of a task's tables after which they are handed on.
-MOST_ENTRIES = 400_000
+MOST_ENTRIES = 800_000
 #: Characters of a text whose terms are listed at a time.
 SLICE = 1 << 20
 #: Language rows are copied so often when they are joined by a shuffle, so that no task gets all terms of one.
@@ -43,23 +44,26 @@ def _terms(text: str):
 
 
 def _counted(batches):
-    """(lang, source, term, n, docs) of the rows of a task, summed as far as memory allows."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    """(gid, term, n, docs) of the rows of a task, summed as far as memory allows."""
+    held: dict[int, tuple[Counter, Counter]] = {}
 
     def out():
-        for (lang, source), (n, docs) in held.items():
+        for gid, (n, docs) in held.items():
             terms = list(n)
             for i in range(0, len(terms), 50_000):
                 part = terms[i: i + 50_000]
-                yield pd.DataFrame({"lang": lang, "source": source, "term": part, "n": [n[t] for t in part], "docs": [docs[t] for t in part]})
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(part), gid, np.int64)), pa.array(part, pa.string()),
+                    pa.array(np.fromiter(map(n.__getitem__, part), np.int64, len(part))),
+                    pa.array(np.fromiter(map(docs.__getitem__, part), np.int64, len(part)))], ["gid", "term", "n", "docs"])
         held.clear()
 
     size = 0
-    for pdf in batches:
-        for text, lang, source in zip(pdf["text"], pdf["lang"], pdf["source"]):
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+    for batch in batches:
+        for text, gid in zip(batch.column("text"), batch.column("gid").to_pylist()):
+            n, docs = held.setdefault(gid, (Counter(), Counter()))
             before, seen = len(n), set()
-            for terms in _terms(text):
+            for terms in _terms(text.as_py()):
                 n.update(terms)
                 seen.update(terms)
             docs.update(seen)
@@ -70,12 +74,18 @@ def _counted(batches):
     yield from out()
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term in each group, and the documents that hold it."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(gid, lang, source, text): null is '', and gid is a hash that stands for lang and source."""
     text_batches(docs.sparkSession)
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    found = rows.mapInPandas(_counted, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.withColumn("gid", F.xxhash64("lang", "source"))
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(gid, term, n, docs): occurrences of each term in each group, and the documents that hold it.
+    Tasks have summed before rows move; they are dealt by term, which also brings a term's groups together."""
+    found = _grouped(docs).select("text", "gid").mapInArrow(_counted, "gid long, term string, n long, docs long")
+    return found.repartition("term").groupBy("gid", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _part(count: str, total: str, kept: str) -> str:
@@ -91,13 +101,13 @@ def _gap(p: str, q: str) -> str:
 
 def _languages(groups: DataFrame, kept: DataFrame) -> DataFrame:
     """One row a language: its number of kept terms, their count, and its sources in order,
-    each with its count and with the part of a term that it lacks."""
-    held = kept.select("lang", F.explode("cells").alias("cell")).groupBy("lang", F.col("cell.source").alias("source")).agg(F.sum("cell.n").alias("n"))
+    each with its place, its count and the part of a term that it lacks."""
+    held = kept.select("lang", F.explode("cells").alias("cell")).groupBy("lang", F.col("cell.i").alias("i")).agg(F.sum("cell.n").alias("n"))
     totals = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))
-    counts = groups.join(held, ["lang", "source"], "left").join(totals, "lang", "left").select(
-        "lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("all", F.lit(0)).alias("all"))
+    counts = groups.join(held, ["lang", "i"], "left").join(totals, "lang", "left").select(
+        "lang", "i", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("all", F.lit(0)).alias("all"))
     lacking = F.when(F.col("v") > 0, F.expr(_part("0L", "n", "v")))
-    return counts.groupBy("lang", "v", "all").agg(F.array_sort(F.collect_list(F.struct("source", "n", lacking.alias("p0")))).alias("sources"))
+    return counts.groupBy("lang", "v", "all").agg(F.array_sort(F.collect_list(F.struct("i", "source", "n", lacking.alias("p0")))).alias("sources"))
 
 
 def _with_language(rows: DataFrame, languages: DataFrame, groups: int) -> DataFrame:
@@ -110,22 +120,21 @@ def _with_language(rows: DataFrame, languages: DataFrame, groups: int) -> DataFr
 
 
 def vectors(kept: DataFrame, languages: DataFrame, groups: int) -> DataFrame:
-    """Each kept term with its language's sources, ``wide`` (its part in each source, in their
-    order) and ``holders`` (the places of the sources that hold it)."""
-    rows = _with_language(kept, languages, groups)
-    count = F.map_from_entries("cells")
-    dense = rows.withColumn("held", count).withColumn("wide_n", F.expr("transform(sources, s -> coalesce(held[s.source], 0L))"))
+    """Each kept term with ``wide``, its vector over the sources of its language: place, count and part in each."""
+    rows = _with_language(kept, languages, groups).withColumn("held", F.map_from_entries("cells"))
+    counted = rows.withColumn("wide_n", F.expr("transform(sources, s -> coalesce(held[s.i], 0L))"))
     part = _part("wide_n[i]", "s.n", "v")
-    return (dense.withColumn("wide", F.expr(f"transform(sources, (s, i) -> if(wide_n[i] = 0, s.p0, {part}))"))
-            .withColumn("holders", F.expr("filter(sequence(0, size(sources) - 1), i -> wide_n[i] > 0)")))
+    return counted.withColumn("wide", F.expr(f"transform(sources, (s, i) -> struct(i, wide_n[i] as n, if(wide_n[i] = 0, s.p0, {part}) as p))"))
 
 
 def _pairs(wide: DataFrame, languages: DataFrame) -> DataFrame:
-    """(lang, source, item, value): both directions of each pair of sources."""
-    add = _gap("wide[i]", "wide[j]")
-    others = "filter(sequence(0, size(sources) - 1), j -> j > i or j < i and wide_n[j] = 0)"
-    emitted = F.expr(f"flatten(transform(holders, i -> transform({others}, j -> struct(least(i, j) as a, greatest(i, j) as b, {add} as f))))")
-    terms = wide.select("lang", F.explode(emitted).alias("e")).select("lang", "e.a", "e.b", "e.f")
+    """(lang, source, item, value): both directions of each pair of sources. A source that holds a term meets
+    those behind it, and those before it that lack the term."""
+    rows = wide.select("lang", "wide", F.expr("filter(wide, x -> x.n > 0)").alias("holders"), F.expr("filter(wide, x -> x.n = 0)").alias("lackers"))
+    behind = f"transform(slice(wide, x.i + 2, size(wide)), y -> struct(x.i as a, y.i as b, {_gap('x.p', 'y.p')} as f))"
+    before = f"transform(filter(lackers, y -> y.i < x.i), y -> struct(y.i as a, x.i as b, {_gap('x.p', 'y.p')} as f))"
+    emitted = F.expr(f"flatten(transform(holders, x -> if(size(lackers) = 0, {behind}, concat({behind}, {before}))))")
+    terms = rows.select("lang", F.explode(emitted).alias("e")).select("lang", "e.a", "e.b", "e.f")
     summed = terms.groupBy("lang", "a", "b").agg(F.sum("f").alias("f"), F.count("*").alias("seen"))
     first = languages.select("lang", "v", F.posexplode("sources").alias("a", "x"), "sources")
     every = first.select("lang", "v", "a", "x", F.posexplode("sources").alias("b", "y")).where("b > a")
@@ -140,8 +149,8 @@ def _pairs(wide: DataFrame, languages: DataFrame) -> DataFrame:
 def _terms_above(wide: DataFrame) -> DataFrame:
     """(lang, source, item, value): terms that a source holds, and more of than its language."""
     cells = wide.withColumn("q", F.expr(_part("total", "all", "v"))).select(
-        "lang", "term", "q", F.explode(F.expr("transform(holders, i -> struct(sources[i].source as source, wide[i] as p))")).alias("e"))
-    return cells.where("e.p > q").select("lang", F.col("e.source").alias("source"), F.col("term").alias("item"), F.expr(_gap("e.p", "q")).alias("value"))
+        "lang", "term", "q", F.explode(F.expr("filter(wide, x -> x.n > 0)")).alias("e"), "sources")
+    return cells.where("e.p > q").select("lang", F.expr("sources[e.i].source").alias("source"), F.col("term").alias("item"), F.expr(_gap("e.p", "q")).alias("value"))
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -160,14 +169,17 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
     alone in its language has no pairs; an empty table gives an empty result. Rows that repeat
     count each time. Long texts are read to their end. Ties go by the bytes of the item. Extra
     columns are ignored."""
-    counts = term_counts(docs)
-    kept = staged(counts.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells"))
+    place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("i")
+    groups = staged(_grouped(docs).select("gid", "lang", "source").distinct().select("gid", "lang", "source", place), "groups")
+    n, hashes = groups.agg(F.count("*"), F.count_distinct("gid")).first()
+    if n != hashes:
+        raise ValueError("two groups of language and source have one hash")
+    ids = groups.select("gid", "lang", "i")
+    kept = staged(term_counts(docs).join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "gid").groupBy("lang", "term").agg(
+        F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("i", "n")).alias("cells"))
         .where(F.col("docs") >= least_docs), "terms")
-    groups = staged(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-                                F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).distinct(), "groups")
     languages = staged(_languages(groups, kept), "languages")
-    wide = vectors(kept, languages, groups.count())
+    wide = vectors(kept, languages, n)
     out = "lang", "source", "part", "item", "value", "rank"
     pairs = _ranked(_pairs(wide, languages)).withColumn("part", F.lit("pair"))
     terms = _ranked(_terms_above(wide)).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
