@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,11 +28,10 @@ WORD = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+")
 TOKEN = re.compile(r"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
 DELIMITERS = frozenset(".,;:!?\n\x0b\x0c\r")
 #: Characters of a text, and words of a block, that a task looks at together.
-SLICE, BLOCK = 1 << 20, 400_000
-MOST_WORDS = 400_000
+SLICE, BLOCK = 1 << 20, 1_000_000
+MOST_WORDS = 800_000
 #: Slots of one array that tasks hand on.
 CHUNK = 4096
-_STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 class Hashes(dict):
@@ -68,16 +68,14 @@ class Block:
         self.size = len(self.words)
 
     def phrases(self, longest: int, words: BitTable | None = None, pairs: BitTable | None = None):
-        """(n, start, g, c) of the phrases of n words: g and c are the two parts of their keys.
-        Phrases with a word that is not in ``words``, or a pair not in ``pairs``, are left out."""
+        """(n, start, key) of the phrases of n words. Phrases with a word that is not in ``words``, or a pair not in ``pairs``, are left out."""
         if not self.size:
             return
         h, fresh = np.concatenate(self.hashes), np.concatenate(self.fresh)
         inside = h != 0
         if words is not None:
             inside[inside] = words.has(h[inside])
-        g, poly, ok = h, h.copy(), inside
-        linked = None
+        g, ok, linked = h, inside, None
         with np.errstate(over="ignore"):
             for n in range(1, longest + 1):
                 if n > 1:
@@ -86,23 +84,22 @@ class Block:
                     last = h[n - 1:]
                     ok = ok[:-1] & inside[n - 1:]
                     g = splitmix(g[:-1] * np.uint64(3) + last)
-                    poly = poly[:-1] * _STEP + last
                     if n == 2 and pairs is not None:
                         ok[ok] = pairs.has(g[ok])
                         linked = ok
                     elif linked is not None:
                         ok &= linked[n - 2:]
                 at = np.nonzero(ok & fresh[n - 1:])[0]
-                yield n, at, g[at], (poly[at] >> np.uint64(32)).astype(np.uint32)
+                yield n, at, g[at]
 
 
 def _blocks(batches):
     """Blocks of the rows (text, lang) of a task; long texts come in slices that repeat three tokens."""
     tables: dict[str, Hashes] = {}
     block = Block()
-    for pdf in batches:
-        for text, lang in zip(pdf["text"], pdf["lang"]):
-            table = tables.setdefault(lang, Hashes(lang))
+    for batch in batches:
+        for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
+            table, text = tables.setdefault(lang, Hashes(lang)), text.as_py()
             at, carried = 0, []
             while at < len(text):
                 end = at + SLICE
@@ -127,13 +124,14 @@ def _words_of(batches):
             words = list(n)
             for i in range(0, len(words), 50_000):
                 part = words[i: i + 50_000]
-                yield pd.DataFrame({"lang": lang, "word": part, "n": [n[w] for w in part]})
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()),
+                                                  pa.array(np.fromiter(map(n.__getitem__, part), np.int64, len(part)))], ["lang", "word", "n"])
         held.clear()
 
     size = 0
-    for pdf in batches:
-        for text, lang in zip(pdf["text"], pdf["lang"]):
-            n = held.setdefault(lang, Counter())
+    for batch in batches:
+        for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
+            n, text = held.setdefault(lang, Counter()), text.as_py()
             before, at = len(n), 0
             while at < len(text):
                 end = at + SLICE
@@ -152,51 +150,57 @@ def _words_of(batches):
 def _keys_of(lengths: tuple[int, ...], words: BitTable, pairs: BitTable | None):
     def run(batches):
         for block in _blocks(batches):
-            g, c = [], []
-            for n, _, one, two in block.phrases(max(lengths), words, pairs):
-                if n in lengths:
-                    g.append(one)
-                    c.append(two)
+            g = [key for n, _, key in block.phrases(max(lengths), words, pairs) if n in lengths]
             if g and sum(map(len, g)):
-                found, first, n = np.unique(np.concatenate(g), return_index=True, return_counts=True)
-                yield pd.DataFrame({"g": found.view(np.int64), "c": np.concatenate(c)[first].view(np.int32), "n": n})
+                found, n = np.unique(np.concatenate(g), return_counts=True)
+                for i in range(0, len(found), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[i: i + 100_000].view(np.int64)), pa.array(n[i: i + 100_000])], ["g", "n"])
 
     return run
 
 
 def _word_keys(batches):
     tables: dict[str, Hashes] = {}
-    for pdf in batches:
-        h = np.array([tables.setdefault(lang, Hashes(lang))[word] for lang, word in zip(pdf["lang"], pdf["word"])], np.uint64)
-        yield pd.DataFrame({"g": h.view(np.int64), "c": (h >> np.uint64(32)).astype(np.uint32).view(np.int32)})
+    for batch in batches:
+        h = np.array([tables.setdefault(lang, Hashes(lang))[word] for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist())], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("n")], ["g", "n"])
+
+
+_COUNTS = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("slot", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())])
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _COUNTS], schema=_COUNTS)
 
 
 def _counted(look, words: BitTable, pairs: BitTable):
-    """Counts by slot, in chunks, and the language and words of the slots of phrases."""
+    """Counts by slot, in chunks, and the language and words of the slots of phrases. Single words
+    are counted already."""
     def run(batches):
         table = look.value
         counts, named = np.zeros(table.n, np.int64), np.zeros(table.n, bool)
         for block in _blocks(batches):
             begins = np.array([b for b, _ in block.langs])
-            for n, at, g, c in block.phrases(LONGEST, words, pairs):
-                slot = table.find(g, c)
+            for n, at, g in block.phrases(LONGEST, words, pairs):
+                if n == 1:
+                    continue
+                slot = table.find(g)
                 at, slot = at[slot >= 0], slot[slot >= 0]
                 counts += np.bincount(slot, minlength=table.n)
-                if n > 1:
-                    fresh = ~named[slot]
-                    new, first = np.unique(slot[fresh], return_index=True)
-                    named[new] = True
-                    if len(new):
-                        start = at[fresh][first]
-                        owner = np.searchsorted(begins, start, "right") - 1
-                        yield pd.DataFrame({"chunk": None, "part": None, "counts": None, "slot": new, "lang": [block.langs[o][1] for o in owner],
-                                            "phrase": [" ".join(block.words[i: i + n]) for i in start]})
+                fresh = ~named[slot]
+                new, first = np.unique(slot[fresh], return_index=True)
+                named[new] = True
+                for i in range(0, len(new), 50_000):
+                    start = at[fresh][first[i: i + 50_000]]
+                    owner = np.searchsorted(begins, start, "right") - 1
+                    yield _rows(len(start), slot=new[i: i + 50_000], lang=[block.langs[o][1] for o in owner.tolist()],
+                                phrase=[" ".join(block.words[k: k + n]) for k in start.tolist()])
         part = TaskContext.get().partitionId()
         for chunk in range(0, table.n, CHUNK):
             here = counts[chunk: chunk + CHUNK]
             if here.any():
                 narrow = here.astype(np.uint32) if here.max() < 1 << 32 else here
-                yield pd.DataFrame({"chunk": [chunk // CHUNK], "part": [part], "counts": [narrow.tobytes()], "slot": None, "lang": None, "phrase": None})
+                yield _rows(1, chunk=[chunk // CHUNK], part=[part], counts=[narrow.tobytes()])
 
     return run
 
@@ -223,7 +227,8 @@ def _tree_sum(rows: DataFrame, n: int) -> np.ndarray:
     once = part.withColumn("part", F.expr(f"part % {fan}")).groupBy("chunk", "part").applyInPandas(_summed(n), three)
     twice = once.withColumn("part", F.lit(0)).groupBy("chunk", "part").applyInPandas(_summed(n), three)
     total = np.zeros(n, np.int64)
-    for chunk, counts in twice.select("chunk", "counts").toPandas().itertuples(index=False):
+    found = twice.select("chunk", "counts").toArrow()
+    for chunk, counts in zip(found["chunk"].to_pylist(), found["counts"].to_pylist()):
         total[chunk * CHUNK: chunk * CHUNK + len(counts) // 8] = np.frombuffer(counts, np.int64)
     return total
 
@@ -241,8 +246,8 @@ def _sides(look):
                 sizes.append(len(words))
             begins, sizes = np.array([b for b, _ in block.langs]), np.array(sizes)
             found = {}
-            for n, at, g, c in block.phrases(LONGEST - 1):
-                slot = table.find(g, c)
+            for n, at, g in block.phrases(LONGEST - 1):
+                slot = table.find(g)
                 found[n] = np.full(block.size, -1, np.int64)
                 found[n][at[slot >= 0]] = total[slot[slot >= 0]]
             left, right = [list(x) for x in pdf["l"]], [list(x) for x in pdf["r"]]
@@ -266,49 +271,54 @@ def mined(docs: DataFrame, least: int = 30, covered: int = 80, top: int = 2000,
     Then the first ``top`` of each language stay, n being the language's words.
 
     At most ``most_keys`` candidates are counted in one pass over the texts; more take more passes,
-    so that no task or driver holds more. Keys are hashes of 96 bits. A null text is empty, a null
+    so that no task or driver holds more. Keys are hashes of 64 bits. A null text is empty, a null
     lang ``und``; repeated rows count each time; long texts are read to their end; empty tables give
     an empty result; extra columns are ignored."""
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    words = staged(rows.mapInPandas(_words_of, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    single = staged(words.where(F.col("n") >= least).mapInPandas(_word_keys, "g long, c int"), "keys")
+    words = staged(rows.mapInArrow(_words_of, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    single = staged(words.where(F.col("n") >= least).mapInArrow(_word_keys, "g long, n long"), "keys")
     frequent = BitTable(single, "g", 28)
     double = _frequent_keys(rows, (2,), frequent, None, least)
     pairs = BitTable(double, "g", 28)
-    keys = single.unionByName(double).unionByName(_frequent_keys(rows, (3, 4), frequent, pairs, least))
+    none = F.lit(0).cast("long").alias("n")
+    keys = single.unionByName(double.select("g", none)).unionByName(_frequent_keys(rows, (3, 4), frequent, pairs, least).select("g", none))
     groups = max(1, -(-keys.count() // most_keys))
     tables, found = [], None
     for group in range(groups):
-        mine = keys.where(F.expr(f"pmod(g, {groups}) = {group}")).toPandas()
-        look = PerfectHash(mine["g"].to_numpy(np.int64).view(np.uint64), mine["c"].to_numpy(np.int32).view(np.uint32))
+        look, total = _table(keys.where(F.expr(f"pmod(g, {groups}) = {group}")))
         spread = spark.sparkContext.broadcast(look)
-        out = staged(rows.mapInPandas(_counted(spread, frequent, pairs), "chunk int, part int, counts binary, slot long, lang string, phrase string"), "counts")
-        total = _tree_sum(out, look.n)
+        out = staged(rows.mapInArrow(_counted(spread, frequent, pairs), "chunk int, part int, counts binary, slot long, lang string, phrase string"), "counts")
+        total += _tree_sum(out, look.n)
         spread.unpersist()
-        path = staged(spark.createDataFrame(pd.DataFrame({"slot": np.arange(look.n), "g": look.g.view(np.int64), "c": look.c.view(np.int32), "a": total}),
-                                            "slot long, g long, c int, a long"), "slots")
-        tables.append(path)
+        slots = staged(spark.createDataFrame(pa.table({"slot": np.arange(look.n), "g": look.keys.view(np.int64), "n": total})), "slots")
+        tables.append(slots)
         named = out.where("slot is not null").groupBy("slot").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
-        named = staged(named.join(path.where(F.col("a") >= least).select("slot", "a"), "slot").select("lang", "phrase", "a"), "phrases")
+        named = staged(named.join(slots.where(F.col("n") >= least).select("slot", F.col("n").alias("a")), "slot").select("lang", "phrase", "a"), "phrases")
         discard(out)
         found = named if found is None else found.unionByName(named)
     cuts = F.expr("transform(sequence(2, size(split(phrase, ' '))), x -> 0L)")
     scored = found.select("lang", "phrase", "a", cuts.alias("l"), cuts.alias("r"))
     for slots in tables:
-        mine = slots.orderBy("slot").toPandas()
-        look = PerfectHash(mine["g"].to_numpy(np.int64).view(np.uint64), mine["c"].to_numpy(np.int32).view(np.uint32))
-        total = np.zeros(look.n, np.int64)
-        total[look.find(mine["g"].to_numpy(np.int64).view(np.uint64), mine["c"].to_numpy(np.int32).view(np.uint32))] = mine["a"].to_numpy()
-        scored = staged(scored.mapInPandas(_sides(spark.sparkContext.broadcast((look, total))), "lang string, phrase string, a long, l array<long>, r array<long>"), "sides")
+        scored = staged(scored.mapInPandas(_sides(spark.sparkContext.broadcast(_table(slots))), "lang string, phrase string, a long, l array<long>, r array<long>"), "sides")
     return _ranked(scored, words, covered, top)
 
 
+def _table(keys: DataFrame) -> tuple[PerfectHash, np.ndarray]:
+    """The perfect hash of keys (g, n), and n by slot."""
+    held = keys.select("g", "n").toArrow()
+    g = held["g"].to_numpy().view(np.uint64)
+    look, total = PerfectHash(g), np.zeros(len(g), np.int64)
+    total[look.find(g)] = held["n"].to_numpy()
+    return look, total
+
+
 def _frequent_keys(rows: DataFrame, lengths: tuple[int, ...], words: BitTable, pairs: BitTable | None, least: int) -> DataFrame:
     """Keys of the phrases of these lengths that occur ``least`` times or more."""
-    seen = rows.mapInPandas(_keys_of(lengths, words, pairs), "g long, c int, n long")
-    return staged(seen.groupBy("g", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("g", "c"), "keys")
+    seen = rows.mapInArrow(_keys_of(lengths, words, pairs), "g long, n long")
+    # Tasks have summed already, so rows are dealt as they are.
+    return staged(seen.repartition("g").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("g"), "keys")
 
 
 def _ranked(scored: DataFrame, words: DataFrame, covered: int, top: int) -> DataFrame:

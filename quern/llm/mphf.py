@@ -11,14 +11,14 @@ SPREAD = 2
 
 
 class PerfectHash:
-    """Maps each of n distinct keys (g: uint64, c: uint32) to a slot of its own in 0..n-1.
+    """Maps each of n distinct keys to a slot of its own in 0..n-1.
 
     Each level has a bit for every place that exactly one remaining key hashes to; the others
     go to the next level, and a slot is the rank of its bit. Any other key gets some slot too,
     so the keys are kept in slot order and compared."""
 
-    def __init__(self, g: np.ndarray, c: np.ndarray):
-        self.n, self.levels, rest, base = len(g), [], self._joined(g, c), 0
+    def __init__(self, keys: np.ndarray):
+        self.n, self.levels, rest, base = len(keys), [], keys, 0
         while len(rest):
             size = 64 * -(-SPREAD * len(rest) // 64)
             place = self._places(rest, len(self.levels), size)
@@ -27,13 +27,8 @@ class PerfectHash:
             ranks = base + np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
             self.levels.append((size, words, ranks[:-1]))
             base, rest = int(ranks[-1]), rest[~once[place]]
-        self.g, self.c = np.empty(self.n, np.uint64), np.empty(self.n, np.uint32)
-        at = self._slots(self._joined(g, c))
-        self.g[at], self.c[at] = g, c
-
-    @staticmethod
-    def _joined(g: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return g ^ splitmix(c.astype(np.uint64))
+        self.keys = np.empty(self.n, np.uint64)
+        self.keys[self._slots(keys)] = keys
 
     @staticmethod
     def _places(g: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -53,10 +48,9 @@ class PerfectHash:
                 break
         return out
 
-    def find(self, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for keys that were not given."""
         if not self.n:
-            return np.full(len(g), -1, np.int64)
-        at = self._slots(self._joined(g, c))
-        same = (at >= 0) & (self.g[at] == g) & (self.c[at] == c)
-        return np.where(same, at, -1)
+            return np.full(len(keys), -1, np.int64)
+        at = self._slots(keys)
+        return np.where((at >= 0) & (self.keys[at] == keys), at, -1)
