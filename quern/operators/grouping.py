@@ -1,9 +1,7 @@
-"""Similarity grouping: blocked pairs, greedy seeds, complete linkage, contradictions."""
+"""Similarity grouping: blocked pairs, contradictions, medoids, components; linkage.py has greedy groups and complete linkage."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,92 +34,6 @@ def contradictions(claims: DataFrame) -> DataFrame:
     return g.where("n_plain > 0 and n_negated > 0")
 
 
-def greedy(items: DataFrame, linked: DataFrame, components: DataFrame, most: int = 50, key: str | None = None) -> DataFrame:
-    """(id, seed): inside each component, items in order of frequency, then id; the first free
-    one is a seed and takes the free items linked to it, or of its ``key`` (null and empty
-    keys match nothing), in that order, ``most`` members at most.
-
-    items: id, frequency, key. linked: a, b. components: node, component. The order-dependent part
-    runs per component, which no group crosses."""
-    member = components.select(F.col("node").alias("id"), "component").join(
-        items.select("id", "frequency", (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key")), "id")
-    near = linked.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(linked.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    lists = near.groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("near"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frequency", "id"], ascending=[False, True])
-        seed: dict[int, int] = {}
-        around = dict(zip(pdf["id"], pdf["near"]))
-        order = {k: n for n, k in enumerate(pdf["id"])}
-        key_of = dict(zip(pdf["id"], pdf["key"]))
-        waiting: dict[str, list[int]] = {}
-        for k in reversed(list(pdf["id"])):
-            if key_of[k]:
-                waiting.setdefault(key_of[k], []).append(k)
-        for k in pdf["id"]:
-            if k not in seed:
-                seed[k] = k
-                left = most - 1
-                free = {o for o in (around[k] if around[k] is not None else ()) if o in order and o not in seed}
-                # Only the first items of a key can be taken. What is taken here never comes back.
-                same, held = waiting.get(key_of[k], []), []
-                while same and len(held) < left:
-                    o = same.pop()
-                    if o not in seed:
-                        held.append(o)
-                chosen = sorted(free.union(held), key=order.get)
-                same.extend(o for o in reversed(held) if order[o] > order[chosen[min(left, len(chosen)) - 1]])
-                for other in chosen:
-                    if not left:
-                        break
-                    seed[other] = k
-                    left -= 1
-        return pd.DataFrame({"id": list(seed), "seed": list(seed.values())}, dtype="int64")
-
-    return member.join(lists, "id", "left").groupBy("component").applyInPandas(run, "id long, seed long")
-
-
-def key_links(items: DataFrame, key: str) -> DataFrame:
-    """(a, b): each item with the first of its key, which makes one component of a key."""
-    held = items.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select("id", F.col(key).alias("key"))
-    first = held.groupBy("key").agg(F.min("id").alias("a"))
-    return held.join(first, "key").select("a", F.col("id").alias("b"))
-
-
-def complete_linkage(vectors: DataFrame, components: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(id, cluster): clusters merge while every cross pair has a cosine of the threshold; the
-    closest pair first, ties by id; a cluster is named by its least id. vectors: id, vector.
-    components: node, component of the pair graph, which bounds each group; a vector in none
-    is a cluster of its own."""
-    alone = vectors.join(components, F.col("id") == F.col("node"), "left_anti").select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("cluster"))
-    member = components.select(F.col("node").alias("id"), "component").join(vectors.select("id", "vector"), "id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.stack(pdf["vector"].to_numpy()).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        near = x @ x.T
-        np.fill_diagonal(near, -2)
-        groups = [[i] for i in range(len(x))]
-        alive = np.ones(len(x), bool)
-        while alive.sum() > 1:
-            i, j = divmod(int(np.argmax(np.round(near, 9))), len(x))
-            if near[i, j] < threshold:
-                break
-            i, j = min(i, j), max(i, j)
-            groups[i] += groups[j]
-            low = np.minimum(near[i], near[j])
-            near[i], near[:, i] = low, low
-            near[i, i] = -2
-            near[j], near[:, j] = -2, -2
-            alive[j] = False
-        ids = pdf["id"].to_numpy()
-        rows = [(ids[k], ids[min(g)]) for g, ok in zip(groups, alive) if ok for k in g]
-        return pd.DataFrame(rows, columns=["id", "cluster"]).astype("int64")
-
-    return member.groupBy("component").applyInPandas(run, "id long, cluster long").unionByName(alone)
-
-
 def medoids(members: DataFrame, vectors: DataFrame) -> DataFrame:
     """(cluster, medoid, size): the member with the largest sum of cosines to its cluster,
     which is its dot product with the sum of the cluster's unit vectors. vectors: id, vector."""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as v
-from quern.operators import grouping as g, overlay
+from quern.operators import grouping as g, linkage, overlay, pivots
 from quern.plans import sql as s
 from quern.plans.common import registry
-from quern.session import checkpointed, table
+from quern.session import table
 
 QUERIES, SQL, query = registry()
 
@@ -25,11 +25,8 @@ def _(spark, sf):
 @query("g03_greedy_groups")
 def _(spark, sf):
     """Items of one knowledge_key or near titles of one brand. Order-dependent; SQL has no form for it."""
-    spark = checkpointed(spark)
     items = overlay.candidates(spark, sf)
-    linked = g.pairs(items, "brand", 0.5)
-    every = linked.select("a", "b").unionByName(g.key_links(items, "knowledge_key"))
-    return g.greedy(items, linked, g.label_components(every), key="knowledge_key")
+    return linkage.greedy(items, g.pairs(items, "brand", 0.5), key="knowledge_key")
 
 
 _CLAIMS = "claims AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'is not ' || p_type ELSE 'is ' || p_type END AS text FROM part)"
@@ -41,20 +38,23 @@ def _(spark, sf):
     return g.contradictions(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), claim.alias("text")))
 
 
-def _vector_pairs(spark, sf):
-    e = table(spark, sf, "embeddings")
-    a = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    return a.join(b, "label").where(F.col("a") < F.col("b")).where(v.cosine(F.col("x"), F.col("y")) >= 0.8).select("a", "b")
+@query("g08_complete_linkage")
+def _(spark, sf):
+    """Clusters of near vectors of a label; the pairs come from the pruned join."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    near = pivots.NearVectors(e, 0.8).pairs().withColumnRenamed("cosine", "similarity")
+    return linkage.complete(e.select("id"), near)
 
 
-@query("g08_complete_linkage")
+_COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+@query("f53_pruned_cosine_pairs", f"""SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(-1, least(1, {_COS})), 6) AS cosine
+ FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id WHERE {_COS} >= 0.4""")
 def _(spark, sf):
-    """Clusters of near vectors; the pairs come from the exact scan by label."""
-    spark = checkpointed(spark)
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    linked = _vector_pairs(spark, sf)
-    return g.complete_linkage(e, g.label_components(linked), 0.8)
+    """Every near pair of a label, by pivots; f50_all_cosine_pairs is the exact scan."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return pivots.NearVectors(e, 0.4).pairs().withColumn("cosine", F.round("cosine", 6))
 
 
 @query("g09_medoids", "SELECT label AS cluster, arg_max(vec_id, d * 1e6 - vec_id * 1e-6) AS medoid, count(*) AS size FROM (SELECT a.label, a.vec_id, round(sum(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 9) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY 1, 2) GROUP BY 1")

@@ -7,10 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as v
-from quern.operators import answering as a, documents as d, grouping as g, hierarchy as h, overlay, retrieval as r, review as rv, workflow as w
+from quern.operators import answering as a, documents as d, grouping as g, hierarchy as h, linkage, overlay, retrieval as r, review as rv, workflow as w
 from quern.plans import sql as s
 from quern.plans.common import registry
-from quern.session import checkpointed, shared_path, table
+from quern.session import shared_path, table
 from quern.sources import files, slides
 
 QUERIES, SQL, query = registry()
@@ -172,10 +172,9 @@ def _(spark, sf):
 SELECT id, first_value(id) OVER (PARTITION BY knowledge_key, (r - 1) // 50 ORDER BY r) AS seed FROM (
  SELECT id, knowledge_key, row_number() OVER (PARTITION BY knowledge_key ORDER BY frequency DESC, id) AS r FROM candidates)""")
 def _(spark, sf):
-    items = overlay.candidates(checkpointed(spark), sf)
-    links = g.key_links(items, "knowledge_key")
-    none = links.where("false").select("a", "b")
-    return g.greedy(items, none, g.label_components(links), 50, "knowledge_key")
+    items = overlay.candidates(spark, sf)
+    none = items.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    return linkage.greedy(items, none, 50, "knowledge_key")
 
 
 @query("w07_packed_turns", """

@@ -41,3 +41,20 @@ def checkpointed(spark: SparkSession) -> SparkSession:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path of its own for ``name`` in the checkpoint folder."""
     return f"{checkpointed(spark).sparkContext.getCheckpointDir().rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the checkpoint folder and read again, which cuts its lineage in a way that
+    survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._kept = path
+    return found
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table behind a result of ``kept`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_kept"])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

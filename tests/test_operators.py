@@ -285,13 +285,6 @@ def test_runs_stop_at_the_first_rate_limit(spark):
     assert [x[2] for x in rows(workflow.migrations(spark.createDataFrame([("001", "a;"), ("002", "b;"), ("003", "c;")], "name string, sql string"), known))] == ["applied", "mismatch", "apply"]
 
 
-def test_groups_hold_at_most_fifty(spark):
-    items = spark.createDataFrame([(i, 1, "same") for i in range(120)], "id long, frequency int, knowledge_key string")
-    links = grouping.key_links(items, "knowledge_key")
-    seeds = [r["seed"] for r in grouping.greedy(items, links.where("false"), grouping.label_components(links), 50, "knowledge_key").collect()]
-    assert sorted({s: seeds.count(s) for s in seeds}.items()) == [(0, 50), (50, 50), (100, 20)]
-
-
 def test_long_paths_trees_and_cycles(spark):
     from quern.session import checkpointed
 

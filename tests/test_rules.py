@@ -3,7 +3,6 @@
 import math
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from quern.functions import scope, text as t, vectors as v
@@ -86,19 +85,6 @@ def test_vectors(spark):
     assert one(spark, v.cosine(a, F.array(F.lit(1.0)))) is None and one(spark, v.cosine(a, F.array(F.lit(0.0), F.lit(0.0)))) is None
 
 
-def test_greedy_and_linkage(spark):
-    items = spark.createDataFrame([(1, 9), (2, 1), (3, 5), (4, 4)], "id long, frequency long")
-    linked = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
-    spark.sparkContext.setCheckpointDir("/tmp/quern-test-checkpoint")
-    comp = grouping.label_components(linked)
-    assert {tuple(r) for r in grouping.greedy(items, linked, comp).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
-    assert {r["seed"] for r in grouping.greedy(items, linked, comp, most=1).collect()} == {1, 2, 3, 4}
-    x = np.array([[1, 0], [0.99, 0.1], [0.8, 0.6], [0, 1]])
-    vec = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
-    comp = spark.createDataFrame([(i, 0) for i in range(4)], "node long, component long")
-    assert {tuple(r) for r in grouping.complete_linkage(vec, comp, 0.85).collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
-
-
 def test_components_of_a_long_chain(spark):
     spark.sparkContext.setCheckpointDir("/tmp/quern-test-checkpoint")
     chain = [(i, i + 1) for i in range(1000, 1060)] + [(1060, 0), (7, 8), (9, 9)]
@@ -106,31 +92,6 @@ def test_components_of_a_long_chain(spark):
     assert got == {(i, 0) for i in [0, *range(1000, 1061)]} | {(7, 7), (8, 7), (9, 9)}
 
 
-def test_greedy_joins_items_of_one_key(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/quern-test-checkpoint")
-    rng = random.Random(3)
-    data = [(i, rng.randint(0, 9), rng.choice(["x", "y", "z", "", None])) for i in range(60)]
-    near = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(60)) if a < b}
-    items = spark.createDataFrame(data, "id long, frequency long, knowledge_key string")
-    linked = spark.createDataFrame(sorted(near), "a long, b long")
-    comp = grouping.label_components(linked.unionByName(grouping.key_links(items, "knowledge_key")))
-    inside = {r["node"] for r in comp.collect()}
-    for most in (2, 5, 50):
-        free, want = [r for r in sorted(data, key=lambda r: (-r[1], r[0])) if r[0] in inside], set()
-        while free:
-            seed = free.pop(0)
-            taken = [r for r in free if (seed[2] and r[2] == seed[2]) or (min(r[0], seed[0]), max(r[0], seed[0])) in near][: most - 1]
-            free = [r for r in free if r not in taken]
-            want |= {(r[0], seed[0]) for r in [seed, *taken]}
-        assert {tuple(r) for r in grouping.greedy(items, linked, comp, most, "knowledge_key").collect()} == want
-
-
-def test_vectors_without_a_partner_are_clusters(spark):
-    vec = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "id long, vector array<double>")
-    comp = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
-    assert {tuple(r) for r in grouping.complete_linkage(vec, comp).collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
-
-
 def test_contexts_reset_at_the_budget(spark):
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate([4, 4, 4, 20, 1, 9])], "g long, o long, n long")
     assert [tuple(r) for r in documents.packed_contexts(df, "g", "o", "n", 10).orderBy("o").select("o", "part").collect()] == [(0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4)]
