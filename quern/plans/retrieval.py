@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import scope, text as t, vectors as v
-from quern.operators import overlay, retrieval as r
+from quern.operators import overlay, postings, retrieval as r
 from quern.plans import sql as s
 from quern.plans.common import registry
 from quern.plans.text import scope_models
-from quern.session import table
+from quern.session import kept, shared_path, table
 
 QUERIES, SQL, query = registry()
 
@@ -237,3 +237,75 @@ def _(spark, sf):
     vector, words = _lists(spark, sf)
     both = vector.select("qid", "id", F.lit(0).alias("kind"), F.col("vector_rank").alias("own")).unionByName(words.select("qid", "id", F.lit(1).alias("kind"), F.col("lexical_rank").alias("own")))
     return both.select("qid", "id", "kind", F.row_number().over(Window.partitionBy("qid").orderBy("kind", "own")).alias("rank"))
+
+
+def _index(spark, sf, name, rows):
+    """The stored index of a table: built once for a folder of tables in a session's shared folder, then read."""
+    key = spark.sparkContext.applicationId, sf, name
+    if key not in _INDEXES:
+        _INDEXES[key] = shared_path(spark, f"postings-{name}")
+        return postings.build(rows(), _INDEXES[key])
+    return postings.Index(spark, _INDEXES[key])
+
+
+_INDEXES: dict = {}
+
+
+def _asked(questions, tokens):
+    """(qid, token, boost, n): the distinct tokens of each question; all count once."""
+    q = questions.select("qid", F.array_distinct(tokens).alias("t"))
+    return q.select("qid", F.explode("t").alias("token"), F.lit(1.0).alias("boost"), F.size("t").alias("n"))
+
+
+#: A row of the asked entity comes before all others, so its mark counts more than words can.
+_MARK = 1000.0
+
+
+def _parts(n_q):
+    """The parts of a sum in which an entity's mark counts _MARK: same_model, and the lexical score."""
+    same = F.col("score") >= _MARK
+    shared = F.when(same, F.col("score") - _MARK).otherwise(F.col("score"))
+    return same, F.least(F.lit(2.0), shared / F.sqrt(n_q.cast("double")) + F.when(same, 1.0).otherwise(0.0))
+
+
+@query("r02_indexed_retrieval", SQL["r02_answer_retrieval"])
+def _(spark, sf):
+    """r02 from the stored index: only segments whose block maxima reach the fifth best score are scored."""
+    ok = r.eligible(overlay.knowledge(spark, sf), overlay.sources(spark, sf))
+    index = _index(spark, sf, "knowledge", lambda: postings.lexical_rows(ok, t.tokens(_knowledge_text()), F.lit(None).cast("string"), F.col("entity_name")))
+    q = overlay.questions(spark, sf)
+    asked = _asked(q, t.tokens(F.col("question")))
+    named = r.contained(q, "qid", "question", ok.select("entity_name").distinct(), "entity_name").select(
+        "qid", F.concat(F.lit("\0"), "entity_name").alias("token"), F.lit(_MARK).alias("boost"), F.lit(0).alias("n"))
+    sizes = kept(q.select("qid", F.size(t.tokens(F.col("question"))).alias("n_q")), "sizes")
+    hits = index.best(asked.unionByName(named).join(sizes, "qid").select("qid", "token", "boost", F.col("n_q").alias("n")), 5).join(sizes, "qid")
+    same, lexical = _parts(F.col("n_q"))
+    scored = hits.select("qid", "id", same.alias("same_model"), lexical.alias("lexical"))
+    order = [F.desc("same_model"), F.desc(F.round("lexical", 9)), F.asc("id")]
+    return r.top(scored, ["qid"], order, 5).select("qid", "id", "rank", F.round("lexical", 6).alias("lexical"))
+
+
+@query("r05_indexed_evidence", SQL["r05_document_evidence"])
+def _(spark, sf):
+    def rows():
+        b = overlay.blocks(spark, sf).select((F.col("doc_id") * 1000000000 + F.col("block_no")).alias("id"), "text")
+        return postings.lexical_rows(b, t.tokens(F.col("text")), F.lit(None).cast("string"))
+
+    asked = _asked(overlay.questions(spark, sf), t.tokens(F.col("question")))
+    hits = _index(spark, sf, "blocks", rows).best(asked, 3).join(asked.select("qid", "n").distinct(), "qid")
+    scored = hits.select("qid", "id", F.least(F.lit(2.0), F.col("score") / F.sqrt(F.col("n").cast("double"))).alias("lexical"))
+    return r.top(scored, ["qid"], [F.desc(F.round("lexical", 9)), F.asc("id")], 3).select("qid", "id", "rank", F.round("lexical", 6).alias("lexical"))
+
+
+@query("r07_indexed_fusion", SQL["r07_rrf_fusion"])
+def _(spark, sf):
+    k = overlay.knowledge(spark, sf)
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    lexical = _index(spark, sf, "content", lambda: postings.lexical_rows(k, t.tokens(F.col("content")), F.lit(None).cast("string")))
+    terms = _index(spark, sf, "terms", lambda: postings.term_rows(k, words(F.col("content")), F.lit(None).cast("string")))
+    asked = _asked(overlay.questions(spark, sf), t.tokens(F.col("question")))
+    first = lexical.best(asked, 20).join(asked.select("qid", "n").distinct(), "qid")
+    first = first.select("qid", "id", (F.col("score") / F.sqrt(F.col("n").cast("double"))).alias("lexical"))
+    second = terms.best(_asked(_short(spark, sf), words(F.col("question"))), 20, every=True).withColumnRenamed("score", "rank_value")
+    both = r.fused([r.top(first, ["qid"], [F.desc(F.round("lexical", 9)), F.asc("id")], 20), r.top(second, ["qid"], [F.desc(F.round("rank_value", 9)), F.asc("id")], 20)])
+    return r.top(both, ["qid"], [F.desc(F.round("rrf", 12)), F.asc("id")], 5).select("qid", "id", "rank", F.round("rrf", 9).alias("rrf"))
