@@ -2,7 +2,7 @@
 
 Rows are dealt into segments of similar length (and cluster); a posting block is what one
 segment holds of one token, with the largest weight in it. Blocks are Parquet rows under a
-bucket of their token, so a question reads the buckets of its tokens only, and bounds are
+bucket of their token, so questions read the buckets of their tokens only, and bounds are
 computed from the small columns before any posting is read. A segment is scored only if the
 sum of its blocks' maxima can reach the k-th best score found so far; nothing is lost.
 """
@@ -44,11 +44,13 @@ class Index:
         self.blocks, self.buckets = spark.read.parquet(path), buckets
 
     def _joined(self, asked: DataFrame, columns: list[str], on: list[str]) -> DataFrame:
-        """Blocks of asked tokens: the join is on bucket and token, so other buckets are pruned when it runs."""
+        """Blocks of asked tokens, from the buckets of those tokens: their numbers, ``buckets`` at most, go into the scan."""
         wanted = asked.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(token), {self.buckets}) as int)"))
-        if wanted.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
+        n, found = wanted.agg(F.count("*"), F.collect_set("bucket")).first()
+        if n <= MOST_ASKED:
             wanted = F.broadcast(wanted)
-        return self.blocks.select("bucket", "token", "segment", *columns).join(wanted, ["bucket", "token", *on]).drop("bucket")
+        read = self.blocks.where(F.col("bucket").isin(found) if found else F.lit(False))
+        return read.select("bucket", "token", "segment", *columns).join(wanted, ["bucket", "token", *on]).drop("bucket")
 
     def bounds(self, asked: DataFrame, every: bool = False) -> DataFrame:
         """(qid, segment, bound, held): what a row of a segment can reach at most, and how many asked tokens the segment holds.

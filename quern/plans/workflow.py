@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.functions import text as t, vectors as v
+from quern.functions import claims, text as t, vectors as v
 from quern.operators import conversation as c, overlay, retrieval as r, workflow as w
 from quern.plans import sql as s
 from quern.plans.common import registry
@@ -69,10 +69,25 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", w.transition(state, F.col("event_type"), _MOVES).alias("state"))
 
 
-@query("m05_m15_extraction_coverage", s.with_(s.BLOCKS) + "SELECT doc_id, count(*) AS n_segments, CASE WHEN count(*) = 0 THEN 'none' WHEN max(length(text)) > 1500 THEN 'too_long' WHEN count(*) FILTER (WHERE length(text) < 3) > 0 THEN 'gap' ELSE 'ok' END AS error FROM blocks GROUP BY 1")
+_LEAST = r"""CASE WHEN trim(text, E' \t\n\r\f') = '' THEN 0 ELSE greatest(1,
+ len(regexp_extract_all(trim(text, E' \t\n\r\f'), '(?:^|[;；\n])\s*[^;；\n:：]{1,80}[：:]\s*[^;；\n]+')),
+ len(list_filter(regexp_split_to_array(trim(text, E' \t\n\r\f'), '[;；\n]+'), lambda p: trim(p) <> '')),
+ len(regexp_extract_all(text, '[。！？!?]'))) END"""
+
+
+@query("f23_least_claims", f"SELECT doc_id, {_LEAST} AS n FROM documents")
 def _(spark, sf):
-    g = overlay.blocks(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.max(F.length("text")).alias("m"), F.count_if(F.length("text") < 3).alias("g"))
-    return g.select("doc_id", "n_segments", w.first_error([("none", F.col("n_segments") == 0), ("too_long", F.col("m") > 1500), ("gap", F.col("g") > 0)]).alias("error"))
+    return table(spark, sf, "documents").select("doc_id", claims.least_claims(F.col("text")).alias("n"))
+
+
+@query("m05_m15_extraction_coverage", f"""SELECT doc_id, CASE WHEN n_lines = 0 THEN NULL WHEN n_lines < least THEN 'too_few_claims' END AS error FROM (
+ SELECT doc_id, {_LEAST} AS least, len(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '')) AS n_lines FROM documents)""")
+def _(spark, sf):
+    """Each line as a claim with a fact of its own: right unless a text shows more claims than lines."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "").alias("lines"))
+    said = F.transform("lines", lambda x, i: F.struct(x.alias("text"), F.array(i).alias("units"), F.lit("knowledge").alias("disposition")))
+    error = claims.coverage_error(F.col("text"), F.col("lines"), F.lit(True), F.array().cast("array<string>"), said)
+    return d.select("doc_id", F.when(F.size("lines") > 0, error).alias("error"))
 
 
 @query("m18_session_reuse", "SELECT c.c_custkey, coalesce(o.m, -c.c_custkey) AS session_id, o.m IS NULL AS opened FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) o ON o.o_custkey = c.c_custkey")
@@ -159,9 +174,13 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(latin, 6).alias("latin"), F.contains(F.lower("text"), F.lit("how")).alias("asks"))
 
 
-@query("f23_f35_individual_confirmation", "SELECT doc_id, (contains(lower(text), 'etc') OR contains(lower(text), 'for example')) AS open_list FROM documents")
+_OPEN, _INDIVIDUAL = (" OR ".join(f"contains(lower(text), '{w}')" for w in words) for words in (claims.OPEN_LIST, claims.INDIVIDUAL))
+
+
+@query("f35_individual_confirmation", f"SELECT doc_id, ({_OPEN}) AS open_list, ({_INDIVIDUAL}) AS individual FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.mentions(F.col("text"), ["etc", "for example"]).alias("open_list"))
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", claims.open_list(F.col("text")).alias("open_list"), claims.needs_individual(F.col("text")).alias("individual"))
 
 
 @query("f51_dot_or_lexical", "SELECT vec_id, round(coalesce(CASE WHEN vec_id % 4 > 0 THEN list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) END, 0.25), 6) AS score FROM embeddings")

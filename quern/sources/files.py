@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -33,25 +35,101 @@ def file_type(content: Column, name: Column) -> Column:
             .when(head.startswith("89504E47"), "png").when(head.startswith("FFD8FF"), "jpeg").otherwise("unknown"))
 
 
-def intake(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Decision for each file (key, label, content) against known versions (key, label, hash):
-    created, duplicate (same bytes) or conflict (other bytes under a taken label)."""
-    k = known.select(F.col("key").alias("k"), F.col("label").alias("l"), F.col("hash").alias("known_hash"))
+def intake(files: DataFrame, known: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """Decision for each file (key, label, content) against known versions (key, label, hash) and those before it
+    in the same batch: created, duplicate (same bytes) or conflict (other bytes under a taken label). The
+    first file of a label, by ``order`` (else by its hash), is the one that takes it."""
+    k = known.select(F.col("key").alias("k"), F.col("label").alias("l"), F.col("hash").alias("known_hash")).distinct()
     h = files.withColumn("hash", F.sha2("content", 256))
-    j = h.join(k, (F.col("key") == F.col("k")) & (F.col("label") == F.col("l")), "left")
-    return j.select("key", "label", "hash", F.when(F.col("known_hash").isNull(), "created").when(F.col("known_hash") == F.col("hash"), "duplicate").otherwise("conflict").alias("decision"))
-
-
-def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of new replace those of current with their key."""
-    return current.join(new.select(key), key, "left_anti").unionByName(new)
-
-
-def last_json(text: Column) -> Column:
-    """The last flat JSON object in a chatty reply, as text; null without one."""
-    found = F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0))
-    good = F.filter(found, lambda x: F.try_parse_json(x).isNotNull())
-    return F.when(F.size(good) > 0, F.element_at(good, -1))
+    w = Window.partitionBy("key", "label").orderBy(*(order or []), F.asc("hash"))
+    h = h.select("key", "label", "hash", F.row_number().over(w).alias("place"), F.first("hash").over(w).alias("first_hash"))
+    j = h.join(k, F.col("key").eqNullSafe(F.col("k")) & F.col("label").eqNullSafe(F.col("l")), "left")
+    taken = F.coalesce("known_hash", F.when(F.col("place") > 1, F.col("first_hash")))
+    return j.select("key", "label", "hash", F.when(taken.isNull(), "created").when(taken == F.col("hash"), "duplicate").otherwise("conflict").alias("decision"))
+
+
+class Versions:
+    """Immutable document versions under a folder. A batch's rows become visible with its marker, a numbered file that
+    is created, at most once, when they are all written: a job that fails leaves nothing that a reader sees, and
+    of two writers that take the same number one decides anew. A marker without a name belongs to a
+    writer that died in between, and counts for nothing."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _committed(self) -> list[str]:
+        """The names in the markers, in their order; there is one for each batch."""
+        marks = self._path(f"{self.folder}/committed")
+        self._fs.mkdirs(marks)
+        found = sorted((f.getPath().getName(), f.getPath()) for f in self._fs.listStatus(marks))
+        names = []
+        for _, path in found:
+            stream = self._fs.open(path)
+            names.append(bytes(stream.readAllBytes()).decode())
+            stream.close()
+        return names
+
+    def table(self) -> DataFrame:
+        """(key, label, hash, content) of all visible versions."""
+        folders = [f"{self.folder}/data/{n}" for n in self._committed() if n]
+        schema = "key string, label string, hash string, content binary"
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def admit(self, files: DataFrame, order: list[Column] | None = None) -> DataFrame:
+        """Stores the created ones of files (key, label, content) and returns all decisions, as in ``intake``."""
+        while True:
+            number, name = len(self._committed()), uuid.uuid4().hex
+            intake(files, self.table().select("key", "label", "hash"), order).write.parquet(f"{self.folder}/decisions/{name}")
+            found, same = self.spark.read.parquet(f"{self.folder}/decisions/{name}"), ["key", "label", "hash"]
+            new = found.where("decision = 'created'").select(*same).distinct()
+            content = files.withColumn("hash", F.sha2("content", 256)).dropDuplicates(same)
+            content.join(new, same, "left_semi").select(*same, "content").write.parquet(f"{self.folder}/data/{name}")
+            if self._commit(number, name):
+                return found
+
+    def _commit(self, number: int, name: str) -> bool:
+        """Creates marker ``number``; False if another writer has it."""
+        try:
+            marker = self._fs.create(self._path(f"{self.folder}/committed/{number:09d}"), False)
+        except Py4JJavaError:  # it is there
+            return False
+        marker.write(bytearray(name.encode()))
+        marker.close()
+        return True
+
+
+def upsert(current: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Rows of new replace those of current with their key. Of several new rows of a key the last by ``order``
+    stays (else the largest by all columns). A null key replaces nothing and is replaced by nothing."""
+    by = F.struct(*(order or []), *[c for c in new.columns if c not in (order or [])])
+    last = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(by).alias("_row")).select(*[(F.col(key) if c == key else F.col(f"_row.{c}").alias(c)) for c in new.columns])
+    whole = last.unionByName(new.where(F.col(key).isNull()))
+    return current.join(last.select(key), key, "left_anti").unionByName(whole)
+
+
+def _last_value(text: str | None) -> str | None:
+    text = (text or "").strip()
+    decoder = json.JSONDecoder()
+    try:
+        json.loads(text)
+        return text
+    except (ValueError, RecursionError):
+        for at in range(len(text) - 1, -1, -1):
+            if text[at] in "[{":
+                try:
+                    return text[at: decoder.raw_decode(text, at)[1]]
+                except (ValueError, RecursionError):
+                    continue
+    return None
+
+
+@F.pandas_udf(StringType())
+def last_json(texts: pd.Series) -> pd.Series:
+    """The JSON value of a reply, as it stands there: all of it if it is one, else the object or array that
+    begins last among those that can be read; null without one."""
+    return texts.map(_last_value)
 
 
 def markdown(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -33,14 +33,17 @@ def drained(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete"
     """Runs the stream over all that is there and returns what it left under ``out``. Each batch overwrites a
     folder of its own, so a repeated batch leaves one result; in mode complete the last batch holds all."""
     spark = stream.sparkSession
-    numbers: list[int] = []
 
     def work(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        numbers.append(number)
 
     query = stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    # The folders tell which batches there are, those of earlier runs from the same checkpoint included.
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path(out))] if files.exists(path(out)) else []
+    numbers = sorted(int(n[6:]) for n in names if n.startswith("batch=") and files.exists(path(f"{out}/{n}/_SUCCESS")))
     if not numbers:
         return spark.createDataFrame([], stream.schema)
     kept = numbers[-1:] if mode == "complete" else numbers
