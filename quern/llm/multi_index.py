@@ -9,6 +9,10 @@ the target recall is reached. That is measured when the codebooks are fitted: pa
 the threshold are made from sampled vectors, and the distance is the largest that ``recall`` of
 them need from one side. Of a pair in two cells, the vector of the cell with the larger number
 does the visit. Pairs met in a visited cell are verified by their exact cosine.
+
+Labels of like size share codebooks, which the largest of them sizes; a label that fits a tile is
+one cell. So neither one hot label nor very many small ones make cells too full or too fine.
+Visits travel as ids until it is known which cells hold somebody to meet; vectors follow then.
 """
 
 from __future__ import annotations
@@ -89,10 +93,10 @@ def traverse(first: np.ndarray, second: np.ndarray, far: float) -> list[tuple[in
     return out
 
 
-def fit(sample: np.ndarray, rows: int, labels: int, threshold: float, recall: float) -> Grid:
-    """Codebooks for about TILE / 4 rows a cell and label, and the radius for the recall."""
+def fit(sample: np.ndarray, rows: int, threshold: float, recall: float) -> Grid:
+    """Codebooks for about TILE rows a cell in a label of ``rows``, and the radius for the recall."""
     w = sample.shape[1] // 2
-    k = int(min(MOST_CENTRES, max(2, np.ceil(np.sqrt(rows / max(1, labels) / (TILE / 4))))))
+    k = int(min(MOST_CENTRES, max(2, np.ceil(np.sqrt(rows / TILE)))))
     grid = Grid(_kmeans(sample[:, :w], k), _kmeans(sample[:, w:], k))
     rng = np.random.default_rng(11)
     needed = []
@@ -141,9 +145,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int =
     keyed = rows.where("fine").withColumn("h1", F.xxhash64("label", "embedding")).withColumn("h2", F.xxhash64(F.lit(7), "embedding", "label"))
     classes = staged(keyed.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"),
                                              F.first("embedding").alias("embedding")), "classes")
-    sizes = classes.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).collect()
-    parts = [_links(classes.where(F.size("embedding") == s["w"]), s["w"], s["n"], s["labels"], threshold, sample_rows, recall)
-             for s in sizes]
+    widths = [r["w"] for r in classes.select(F.size("embedding").alias("w")).distinct().collect()]
+    parts = [_links(classes.where(F.size("embedding") == w), threshold, sample_rows, recall) for w in widths]
     alone = (rows.where(~F.col("fine"))
              .select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     if not parts:
@@ -154,7 +157,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int =
             found = found.unionByName(p)
         found = staged(found, "links")
         edges = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        reach = components(edges)
+        reach = components(edges) if edges.limit(1).count() else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         counts = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
         named = (classes.join(counts, "id", "left").join(reach, F.col("id") == F.col("node"), "left")
                  .select(*key, "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
@@ -163,48 +166,60 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int =
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(classes: DataFrame, width: int, rows: int, labels: int, threshold: float, sample_rows: int, recall: float) -> DataFrame:
+def _tiers(classes: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """classes with ``tier``, null for labels that fit a tile, else the same for labels whose sizes
+    are within a factor of four; and the largest label of each tier."""
+    sizes = staged(classes.groupBy("label").agg(F.count("*").alias("rows")).where(F.col("rows") > TILE)
+                   .withColumn("tier", F.floor(F.log(4.0, F.col("rows") / TILE)).cast("int")), "sizes")
+    largest = {r["tier"]: r["rows"] for r in sizes.groupBy("tier").agg(F.max("rows").alias("rows")).collect()}
+    return with_classes(classes, sizes, ["label"], "rows").drop("rows"), largest
+
+
+def _links(classes: DataFrame, threshold: float, sample_rows: int, recall: float) -> DataFrame:
     """(id, other, links): spanning edges id - other, and, with other null, links to add to id."""
     # Components travel as they are stored, four bytes each if they are floats.
     kind = "<f4" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
-    drawn = classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("embedding").toPandas()
-    sample = _units(np.stack(drawn["embedding"].to_numpy()))
-    spread = classes.sparkSession.sparkContext.broadcast(fit(sample, rows, labels, threshold, recall))
+    label_type = classes.schema["label"].dataType.simpleString()
+    classes, largest = _tiers(classes)
+    grids = {}
+    for tier, rows in largest.items():
+        drawn = classes.where(F.col("tier") == tier).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("embedding").toPandas()
+        grids[tier] = fit(_units(np.stack(drawn["embedding"].to_numpy())), rows, threshold, recall)
+    spread = classes.sparkSession.sparkContext.broadcast(grids)
 
     def visits(batches):
-        grid = spread.value
+        grids = spread.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            stored = np.stack(pdf["embedding"].to_numpy()).astype(kind)
-            own, cells = grid.visit(_units(stored))
-            at = np.repeat(np.arange(len(pdf)), [1 + len(c) for c in cells])
-            cell = np.concatenate([part for o, c in zip(own, cells) for part in ([o], c)])
-            held = [v.tobytes() for v in stored]
-            yield pd.DataFrame({"label": pdf["label"].to_numpy()[at], "cell": cell.astype(np.int32), "home": cell == own[at],
-                                "id": pdf["id"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "vector": [held[i] for i in at]})
-
-    label_type = classes.schema["label"].dataType.simpleString()
-    shape = f"label {label_type}, cell int, home boolean, id long, n long, vector binary"
-    visited = staged(classes.select("label", "id", "n", "embedding").mapInPandas(visits, shape), "visits")
+            for tier, part in pdf.groupby("tier"):
+                own, cells = np.zeros(len(part), np.int64), [np.empty(0, np.int64)] * len(part)
+                if tier >= 0:
+                    own, cells = grids[tier].visit(_units(np.stack(part["embedding"].to_numpy()).astype(kind)))
+                at = np.repeat(np.arange(len(part)), [1 + len(c) for c in cells])
+                cell = np.concatenate([x for o, c in zip(own, cells) for x in ([o], c)])
+                held = part[["label", "h1", "h2"]].iloc[at]
+                yield held.assign(cell=cell.astype(np.int32), home=cell == own[at])
+
+    visited = staged(classes.select("label", "h1", "h2", F.coalesce("tier", F.lit(-1)).alias("tier"), "embedding")
+                     .mapInPandas(visits, f"label {label_type}, h1 long, h2 long, cell int, home boolean"), "visits")
     counts = visited.groupBy("label", "cell").agg(
         F.count_if("home").alias("filed"), F.count("*").alias("visitors")).where("filed > 0 and visitors > 1")
     tiled = visited.join(counts, ["label", "cell"]).select(
-        "label", "cell", "home", "id", "n", "vector",
+        "label", "cell", "home", "h1", "h2",
         F.ceil(F.col("filed") / TILE).cast("int").alias("cuts"), F.ceil(F.col("visitors") / TILE).cast("int").alias("turns"))
-    salt = F.xxhash64("id")
     filed = (tiled.where("home")
-             .withColumn("cut", F.pmod(salt, F.col("cuts")).cast("int"))
+             .withColumn("cut", F.pmod("h1", F.col("cuts")).cast("int"))
              .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("side", F.lit(0)))
-    asking = (tiled.withColumn("turn", F.pmod(salt, F.col("turns")).cast("int"))
+    asking = (tiled.withColumn("turn", F.pmod("h2", F.col("turns")).cast("int"))
               .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("side", F.lit(1)))
-    fields = ["label", "cell", "cut", "turn", "side", "home", "id", "n", "vector"]
+    fields = ["label", "cell", "cut", "turn", "side", "home", "h1", "h2"]
+    placed = filed.select(fields).unionByName(asking.select(fields))
+    held = classes.select("h1", "h2", "id", "n", F.col("embedding").alias("vector"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         held, ask = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(held) or not len(ask):
             return pd.DataFrame({"id": [], "other": [], "links": []}).astype("int64")
-        x, y = (_units(np.frombuffer(b"".join(part["vector"]), kind).reshape(len(part), -1)) for part in (ask, held))
+        x, y = (_units(np.stack(part["vector"].to_numpy()).astype(kind)) for part in (ask, held))
         a, b = np.nonzero(x @ y.T >= threshold)
         ia, ib = ask["id"].to_numpy(), held["id"].to_numpy()
         # In the cell of both, a pair is met from both sides; elsewhere only one of them visits.
@@ -218,5 +233,5 @@ def _links(classes: DataFrame, width: int, rows: int, labels: int, threshold: fl
         return pd.DataFrame({"id": np.concatenate([node, p]), "other": pd.array([None] * len(node) + q.tolist(), dtype="Int64"),
                              "links": np.concatenate([total, np.zeros(len(p), np.int64)])})
 
-    return (filed.select(fields).unionByName(asking.select(fields))
-            .groupBy("label", "cell", "cut", "turn").applyInPandas(verify, "id long, other long, links long"))
+    return (placed.join(held, ["h1", "h2"]).groupBy("label", "cell", "cut", "turn")
+            .applyInPandas(verify, "id long, other long, links long"))
