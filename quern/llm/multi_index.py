@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import components, doc_columns, forest, staged, with_classes
 
-#: Rows of one cell that are compared in one task with as many visitors; others are tiles of their own.
+#: Rows that a cell should hold.
 TILE = 512
+#: Cells of more than this many times TILE rows or visitors are cut into tiles, each compared in a task of its own.
+CUT = 4
 #: Largest codebook of a half.
 MOST_CENTRES = 2048
 
@@ -205,18 +207,20 @@ def _links(classes: DataFrame, threshold: float, sample_rows: int, recall: float
         F.count_if("home").alias("filed"), F.count("*").alias("visitors")).where("filed > 0 and visitors > 1")
     tiled = visited.join(counts, ["label", "cell"]).select(
         "label", "cell", "home", "h1", "h2",
-        F.ceil(F.col("filed") / TILE).cast("int").alias("cuts"), F.ceil(F.col("visitors") / TILE).cast("int").alias("turns"))
+        F.ceil(F.col("filed") / (CUT * TILE)).cast("int").alias("cuts"), F.ceil(F.col("visitors") / (CUT * TILE)).cast("int").alias("turns"))
+    # In a cell of one tile, a row at home is there once for both sides.
+    single = (F.col("cuts") == 1) & (F.col("turns") == 1)
     filed = (tiled.where("home")
              .withColumn("cut", F.pmod("h1", F.col("cuts")).cast("int"))
-             .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("side", F.lit(0)))
-    asking = (tiled.withColumn("turn", F.pmod("h2", F.col("turns")).cast("int"))
+             .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("side", F.when(single, 2).otherwise(0)))
+    asking = (tiled.where(~(F.col("home") & single)).withColumn("turn", F.pmod("h2", F.col("turns")).cast("int"))
               .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("side", F.lit(1)))
     fields = ["label", "cell", "cut", "turn", "side", "home", "h1", "h2"]
     placed = filed.select(fields).unionByName(asking.select(fields))
     held = classes.select("h1", "h2", "id", "n", F.col("embedding").alias("vector"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, ask = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        held, ask = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
         if not len(held) or not len(ask):
             return pd.DataFrame({"id": [], "other": [], "links": []}).astype("int64")
         x, y = (_units(np.stack(part["vector"].to_numpy()).astype(kind)) for part in (ask, held))

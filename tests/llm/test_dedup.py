@@ -298,6 +298,7 @@ def test_traversal_visits_cells_in_order():
 def test_multi_index_with_tiles_and_real_near_pairs(spark, monkeypatch):
     """Perturbed vectors around many centres; cells of more rows than a tile holds."""
     monkeypatch.setattr(multi_index, "TILE", 16)
+    monkeypatch.setattr(multi_index, "CUT", 1)
     rng = np.random.default_rng(8)
     centres = rng.standard_normal((60, 24))
     x = np.concatenate([c + rng.standard_normal((rng.integers(1, 40), 24)) * 0.11 for c in centres] + [rng.standard_normal((300, 24))]).astype(np.float32)
