@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import phrases as p
-from quern.operators import answering as a, knowledge as k, learning as le, lifecycle as lc, overlay, retrieval as r
+from quern.operators import answering as a, knowledge as k, learning as le, lifecycle as lc, names, overlay, retrieval as r
 from quern.plans import sql as s
 from quern.plans.common import registry
 from quern.session import table
@@ -297,3 +297,14 @@ def _(spark, sf):
         F.when(n != 5, F.array(source)).alias("sources"))
     heads = b.select("version_id").distinct().withColumn("heading", F.lit("manual 2024"))
     return le.unit_errors(units, b.select("version_id", "block_id", "text"), heads).select("unit_id", "error")
+
+
+@query("j05_names_in_documents", """
+WITH names AS (SELECT DISTINCT array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS name FROM benchmark)
+SELECT doc_id, name, CAST((length(lower(text)) - length(replace(lower(text), lower(name), ''))) / length(lower(name)) AS BIGINT) AS places
+FROM documents JOIN names ON name <> '' AND contains(lower(text), lower(name))""")
+def _(spark, sf):
+    """The first three words of each benchmark item as names, in whole documents."""
+    opening = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    wanted = table(spark, sf, "benchmark").select(opening.alias("name")).distinct()
+    return names.found(table(spark, sf, "documents"), "doc_id", "text", wanted, "name")
