@@ -67,3 +67,21 @@ def _(spark, sf):
     r = table(spark, sf, "region").select("r_name", F.lower(F.left("r_name", F.lit(1))).alias("initial"))
     found = contained(table(spark, sf, "nation"), "n_name", "n_name", r.select("initial").distinct(), "initial")
     return top(found.join(r, "initial"), ["n_name"], [F.asc("r_name")], 8).select("n_name", "r_name")
+
+
+_CHANGES = """changes AS (SELECT 'N'||n_nationkey AS node, 'R'||((n_regionkey + 1) % 5) AS parent FROM nation WHERE n_nationkey % 3 = 0
+ UNION ALL SELECT 'C'||c_custkey, 'N'||((c_nationkey + 7) % 25) FROM customer WHERE c_acctbal < 0
+ UNION ALL SELECT 'S'||s_suppkey, 'C'||s_suppkey FROM supplier WHERE s_acctbal > 5000)"""
+_AFTER = """after AS (SELECT coalesce(c.parent, e.parent) AS parent, child FROM edges e LEFT JOIN changes c ON c.node = e.child),
+walk AS (SELECT node AS ancestor, node, 0 AS depth FROM (SELECT parent AS node FROM edges UNION SELECT child FROM edges)
+ UNION ALL SELECT w.ancestor, a.child, w.depth + 1 FROM walk w JOIN after a ON a.parent = w.node)"""
+
+
+@query("h10_closure_after_moves", s.with_(s.EDGES, _CHANGES, _AFTER, recursive=True) + "SELECT ancestor, node, depth FROM walk")
+def _(spark, sf):
+    """Nations change region, customers in debt change nation, and richer suppliers come under a customer."""
+    n, c, u = (table(spark, sf, name) for name in ("nation", "customer", "supplier"))
+    moves = (n.where("n_nationkey % 3 = 0").selectExpr("concat('N', n_nationkey) AS node", "concat('R', (n_regionkey + 1) % 5) AS parent")
+             .unionByName(c.where("c_acctbal < 0").selectExpr("concat('C', c_custkey) AS node", "concat('N', (c_nationkey + 7) % 25) AS parent"))
+             .unionByName(u.where("s_acctbal > 5000").selectExpr("concat('S', s_suppkey) AS node", "concat('C', s_suppkey) AS parent")))
+    return h.moved(h.closure(overlay.edges(spark, sf)), moves)
