@@ -24,12 +24,9 @@ def stem(token: Column) -> Column:
     """Lower case, ё as е, white space squeezed, without outer punctuation and without the first ending that leaves more than three letters."""
     folded = F.trim(F.regexp_replace(F.replace(F.lower(token), F.lit("ё"), F.lit("е")), r"(?U)\s+", " "))
     word = F.regexp_replace(folded, r"^[.,!?;:()\[\]{}\"'«»]+|[.,!?;:()\[\]{}\"'«»]+$", "")
-    out = None
-    for e in ENDINGS:
-        hit = word.endswith(e) & (F.length(word) > len(e) + 3)
-        cut = F.left(word, F.length(word) - len(e))
-        out = F.when(hit, cut) if out is None else out.when(hit, cut)
-    return out.otherwise(word)
+    endings = F.expr("array(" + ", ".join(f"'{e}'" for e in ENDINGS) + ")")
+    ending = F.try_element_at(F.filter(endings, lambda e: F.endswith(word, e) & (F.length(word) > F.length(e) + 3)), F.lit(1))
+    return F.left(word, F.length(word) - F.coalesce(F.length(ending), F.lit(0)))
 
 
 def segments(text: Column) -> Column:

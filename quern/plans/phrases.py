@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import phrases as p
-from quern.operators import answering as a, knowledge as k, learning as le, lifecycle as lc, names, overlay, retrieval as r
+from quern.operators import answering as a, intents, knowledge as k, learning as le, lifecycle as lc, names, overlay, retrieval as r
 from quern.plans import sql as s
 from quern.plans.common import registry
 from quern.session import table
@@ -308,3 +308,21 @@ def _(spark, sf):
     opening = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     wanted = table(spark, sf, "benchmark").select(opening.alias("name")).distinct()
     return names.found(table(spark, sf, "documents"), "doc_id", "text", wanted, "name")
+
+
+@query("f38_intent_contract", """
+WITH said AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS first, lower(p_type) AS kind, p_size % 4 AS turn FROM part)
+SELECT p_partkey, CASE WHEN turn = 3 THEN 'family is unknown' WHEN turn = 2 AND NOT contains(lower(first), kind) THEN 'feature is not in the question' END AS error,
+ CASE WHEN turn < 2 OR (turn = 2 AND contains(lower(first), kind)) THEN 'capacity_limit.check_limit' || CASE turn WHEN 1 THEN '' ELSE '.' || first END END AS knowledge_key
+FROM said""")
+def _(spark, sf):
+    """Replies about parts: grounded, without a feature, with words of another column as evidence, of an unknown family."""
+    turn, first = F.col("p_size") % 4, F.split_part("p_name", F.lit(" "), F.lit(1))
+    said = {"family": F.when(turn == 3, "parts").otherwise("Capacity Limit"), "action": F.lit("check-limit"),
+            "feature": F.when(turn != 1, first), "feature_evidence": F.when(turn == 2, F.col("p_type")).when(turn != 1, F.upper(first)),
+            "object_type": F.lit("accessory"), "context_status": F.lit("standalone"), "key_specificity": F.lit("specific")}
+    fields = F.struct(*[said.get(f, F.lit(None).cast("string")).alias(f) for f in intents.FIELDS])
+    reply = F.to_json(fields, {"ignoreNullFields": "false"})
+    rows = table(spark, sf, "part").select("p_partkey", reply.alias("reply"), F.concat(F.lit("How many of "), first, F.lit("?")).alias("question"),
+                                           F.array("p_brand").alias("models"))
+    return intents.intents(rows).select("p_partkey", "error", "intent.knowledge_key")
