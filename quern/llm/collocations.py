@@ -153,8 +153,10 @@ def _keys_of(lengths: tuple[int, ...], words: BitTable, pairs: BitTable | None):
             g = [key for n, _, key in block.phrases(max(lengths), words, pairs) if n in lengths]
             if g and sum(map(len, g)):
                 found, n = np.unique(np.concatenate(g), return_counts=True)
+                part = TaskContext.get().partitionId()
                 for i in range(0, len(found), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[i: i + 100_000].view(np.int64)), pa.array(n[i: i + 100_000])], ["g", "n"])
+                    keys = found[i: i + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n[i: i + 100_000]), pa.array(np.full(len(keys), part, np.int32))], ["g", "n", "part"])
 
     return run
 
@@ -166,6 +168,8 @@ def _word_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("n")], ["g", "n"])
 
 
+#: Rows of a counting pass: arrays of counts, and names of phrases.
+SHAPE = "chunk int, part int, counts binary, slot long, lang string, phrase string"
 _COUNTS = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("slot", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())])
 
 
@@ -173,12 +177,22 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _COUNTS], schema=_COUNTS)
 
 
+def _named(block: Block, begins: np.ndarray, n: int, slots: np.ndarray, starts: np.ndarray):
+    """Rows of the language and words of the phrases of n words at ``starts``."""
+    for i in range(0, len(slots), 50_000):
+        start = starts[i: i + 50_000]
+        owner = np.searchsorted(begins, start, "right") - 1
+        yield _rows(len(start), slot=slots[i: i + 50_000], lang=[block.langs[o][1] for o in owner.tolist()],
+                    phrase=[" ".join(block.words[k: k + n]) for k in start.tolist()])
+
+
 def _counted(look, words: BitTable, pairs: BitTable):
-    """Counts by slot, in chunks, and the language and words of the slots of phrases. Single words
-    are counted already."""
+    """Counts by slot, in chunks, and the language and words of the phrases that this task is to name.
+    Single words are counted already."""
     def run(batches):
-        table = look.value
-        counts, named = np.zeros(table.n, np.int64), np.zeros(table.n, bool)
+        table, namer = look.value
+        part = TaskContext.get().partitionId()
+        counts, named = np.zeros(table.n, np.int64), namer != part
         for block in _blocks(batches):
             begins = np.array([b for b, _ in block.langs])
             for n, at, g in block.phrases(LONGEST, words, pairs):
@@ -190,12 +204,7 @@ def _counted(look, words: BitTable, pairs: BitTable):
                 fresh = ~named[slot]
                 new, first = np.unique(slot[fresh], return_index=True)
                 named[new] = True
-                for i in range(0, len(new), 50_000):
-                    start = at[fresh][first[i: i + 50_000]]
-                    owner = np.searchsorted(begins, start, "right") - 1
-                    yield _rows(len(start), slot=new[i: i + 50_000], lang=[block.langs[o][1] for o in owner.tolist()],
-                                phrase=[" ".join(block.words[k: k + n]) for k in start.tolist()])
-        part = TaskContext.get().partitionId()
+                yield from _named(block, begins, n, new, at[fresh][first])
         for chunk in range(0, table.n, CHUNK):
             here = counts[chunk: chunk + CHUNK]
             if here.any():
@@ -205,6 +214,24 @@ def _counted(look, words: BitTable, pairs: BitTable):
     return run
 
 
+def _names(look, words: BitTable, pairs: BitTable):
+    """(slot, lang, phrase) of the phrases in ``look``, once for each task that holds them."""
+    def run(batches):
+        table = look.value
+        named = np.zeros(table.n, bool)
+        for block in _blocks(batches):
+            begins = np.array([b for b, _ in block.langs])
+            for n, at, g in block.phrases(LONGEST, words, pairs):
+                slot = table.find(g) if n > 1 else np.full(len(g), -1)
+                at, slot = at[slot >= 0], slot[slot >= 0]
+                fresh = ~named[slot]
+                new, first = np.unique(slot[fresh], return_index=True)
+                named[new] = True
+                yield from _named(block, begins, n, new, at[fresh][first])
+
+    return run
+
+
 def _array(blob: bytes, size: int) -> np.ndarray:
     return np.frombuffer(blob, np.uint32 if len(blob) == 4 * size else np.int64).astype(np.int64)
 
@@ -283,42 +310,62 @@ def mined(docs: DataFrame, least: int = 30, covered: int = 80, top: int = 2000,
     double = _frequent_keys(rows, (2,), frequent, None, least)
     pairs = BitTable(double, "g", 28)
     none = F.lit(0).cast("long").alias("n")
-    keys = single.unionByName(double.select("g", none)).unionByName(_frequent_keys(rows, (3, 4), frequent, pairs, least).select("g", none))
+    keys = (single.withColumn("part", F.lit(-1)).unionByName(double.withColumn("n", none))
+            .unionByName(_frequent_keys(rows, (3, 4), frequent, pairs, least).withColumn("n", none)))
     groups = max(1, -(-keys.count() // most_keys))
     tables, found = [], None
     for group in range(groups):
-        look, total = _table(keys.where(F.expr(f"pmod(g, {groups}) = {group}")))
-        spread = spark.sparkContext.broadcast(look)
-        out = staged(rows.mapInArrow(_counted(spread, frequent, pairs), "chunk int, part int, counts binary, slot long, lang string, phrase string"), "counts")
+        look, total, namer = _table(keys.where(F.expr(f"pmod(g, {groups}) = {group}")), "n", "part")
+        spread = spark.sparkContext.broadcast((look, namer))
+        out = staged(rows.mapInArrow(_counted(spread, frequent, pairs), SHAPE), "counts")
         total += _tree_sum(out, look.n)
         spread.unpersist()
-        slots = staged(spark.createDataFrame(pa.table({"slot": np.arange(look.n), "g": look.keys.view(np.int64), "n": total})), "slots")
+        slots = staged(spark.createDataFrame(pa.table({"slot": np.arange(look.n), "g": look.keys.view(np.int64), "n": total, "part": namer})), "slots")
         tables.append(slots)
-        named = out.where("slot is not null").groupBy("slot").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
-        named = staged(named.join(slots.where(F.col("n") >= least).select("slot", F.col("n").alias("a")), "slot").select("lang", "phrase", "a"), "phrases")
+        phrases = slots.where((F.col("n") >= least) & (F.col("part") >= 0)).select("slot", "g", F.col("n").alias("a"))
+        named = out.where("slot is not null").select("slot", "lang", "phrase")
+        named = staged(phrases.join(named, "slot", "left").select("g", "lang", "phrase", "a"), "phrases")
         discard(out)
+        named = named.where("phrase is not null").drop("g").unionByName(_late(rows, named.where("phrase is null"), frequent, pairs))
         found = named if found is None else found.unionByName(named)
     cuts = F.expr("transform(sequence(2, size(split(phrase, ' '))), x -> 0L)")
     scored = found.select("lang", "phrase", "a", cuts.alias("l"), cuts.alias("r"))
     for slots in tables:
-        scored = staged(scored.mapInPandas(_sides(spark.sparkContext.broadcast(_table(slots))), "lang string, phrase string, a long, l array<long>, r array<long>"), "sides")
+        scored = staged(scored.mapInPandas(_sides(spark.sparkContext.broadcast(_table(slots, "n"))), "lang string, phrase string, a long, l array<long>, r array<long>"), "sides")
     return _ranked(scored, words, covered, top)
 
 
-def _table(keys: DataFrame) -> tuple[PerfectHash, np.ndarray]:
-    """The perfect hash of keys (g, n), and n by slot."""
-    held = keys.select("g", "n").toArrow()
+def _late(rows: DataFrame, unnamed: DataFrame, words: BitTable, pairs: BitTable) -> DataFrame:
+    """Names for phrases (g, a) whose task did not meet them when it counted, as can be when rows
+    are dealt to other tasks than before: each task names what it sees, in a pass of its own."""
+    if unnamed.isEmpty():
+        return unnamed.select("lang", "phrase", "a")
+    look, a = _table(unnamed, "a")
+    out = rows.mapInArrow(_names(rows.sparkSession.sparkContext.broadcast(look), words, pairs), SHAPE)
+    once = out.groupBy("slot").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
+    return staged(once.join(rows.sparkSession.createDataFrame(pa.table({"slot": np.arange(look.n), "a": a})), "slot").select("lang", "phrase", "a"), "late")
+
+
+def _table(keys: DataFrame, *values: str) -> tuple:
+    """The perfect hash of the keys g, and each of the values by slot."""
+    held = keys.select("g", *values).toArrow()
     g = held["g"].to_numpy().view(np.uint64)
-    look, total = PerfectHash(g), np.zeros(len(g), np.int64)
-    total[look.find(g)] = held["n"].to_numpy()
-    return look, total
+    look = PerfectHash(g)
+    order, found = look.find(g), [look]
+    for name in values:
+        column = held[name].to_numpy()
+        found.append(np.empty(len(g), column.dtype))
+        found[-1][order] = column
+    return tuple(found)
 
 
 def _frequent_keys(rows: DataFrame, lengths: tuple[int, ...], words: BitTable, pairs: BitTable | None, least: int) -> DataFrame:
-    """Keys of the phrases of these lengths that occur ``least`` times or more."""
-    seen = rows.mapInArrow(_keys_of(lengths, words, pairs), "g long, n long")
+    """(g, part): keys of the phrases of these lengths that occur ``least`` times or more, and the
+    first task that holds each, which will name it."""
+    seen = rows.mapInArrow(_keys_of(lengths, words, pairs), "g long, n long, part int")
     # Tasks have summed already, so rows are dealt as they are.
-    return staged(seen.repartition("g").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("g"), "keys")
+    return staged(seen.repartition("g").groupBy("g").agg(F.sum("n").alias("n"), F.min("part").alias("part"))
+                  .where(F.col("n") >= least).select("g", "part"), "keys")
 
 
 def _ranked(scored: DataFrame, words: DataFrame, covered: int, top: int) -> DataFrame:

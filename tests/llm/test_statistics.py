@@ -6,6 +6,8 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from quern.llm import collocations, divergence, quality, queries, sql
 from quern.llm.mphf import PerfectHash
 from quern.session import table
@@ -75,6 +77,14 @@ def test_collocations_equal_sql(spark):
         assert not rows or len(got[1]) > 20 and {r[got[0].index("lang")] for r in got[1]} >= {"en", "und", ""}
 
 
+def test_collocations_when_rows_reach_other_tasks(spark, monkeypatch):
+    """A phrase whose task is not the one that saw it first is named by a pass of its own."""
+    keys = collocations._frequent_keys
+    monkeypatch.setattr(collocations, "_frequent_keys", lambda *given: keys(*given).withColumn("part", F.expr("part + 1000 * pmod(g, 2)")))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert spark_rows(collocations.mined(docs)) == duck_rows(connection(SMALL), sql.COLLOCATIONS)
+
+
 def test_collocations_in_several_passes(spark):
     """Three passes, each with a third of the keys, against SQL."""
     docs = table(spark, SMALL, "documents")
