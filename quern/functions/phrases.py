@@ -18,25 +18,25 @@ STOP_WORDS = (
     "http", "https", "www", "ru", "com", "org", "net",
 )
 SYNONYMS = {
-    "password": "пароль пароля паролей паролю pwd pass",
-    "reset": "сброс сбросить сбрасывать восстановить восстановления forgot forgotten change",
-    "admin": "админ администратор administrator",
-    "device": "устройство устройстве устройства аппарат",
-    "connect": "подключение подключить подключается соединить connection",
-    "firmware": "прошивка прошивки прошивку прошивкой",
-    "error": "ошибка ошибки ошибку",
-    "failure": "неработает",
-    "work": "работает",
-    "recorder": "регистратор регистратора регистратору регистраторы nvr",
-    "camera": "камера камеры камеру камерой",
-    "panel": "панель панели панелью",
-    "monitor": "монитор монитора мониторы",
-    "resolution": "разрешение разрешения разрешении",
-    "power": "питание питания",
-    "download": "скачать скачивания скачивать скачивание",
-    "current": "актуальная актуальную последняя последнюю latest",
-    "alarm": "тревога тревоги тревог",
-    "network": "сеть сети сетевой",
+    "пароль": "password", "пароля": "password", "паролей": "password", "паролю": "password", "pwd": "password", "pass": "password",
+    "сброс": "reset", "сбросить": "reset", "сбрасывать": "reset", "восстановить": "reset", "восстановления": "reset", "forgot": "reset", "forgotten": "reset", "change": "reset",
+    "админ": "admin", "администратор": "admin", "administrator": "admin",
+    "устройство": "device", "устройстве": "device", "устройства": "device", "аппарат": "device",
+    "подключение": "connect", "подключить": "connect", "подключается": "connect", "соединить": "connect", "connection": "connect",
+    "прошивка": "firmware", "прошивки": "firmware", "прошивку": "firmware", "прошивкой": "firmware",
+    "ошибка": "error", "ошибки": "error", "ошибку": "error",
+    "неработает": "failure",
+    "работает": "work",
+    "регистратор": "recorder", "регистратора": "recorder", "регистратору": "recorder", "регистраторы": "recorder", "nvr": "recorder",
+    "камера": "camera", "камеры": "camera", "камеру": "camera", "камерой": "camera",
+    "панель": "panel", "панели": "panel", "панелью": "panel",
+    "монитор": "monitor", "монитора": "monitor", "мониторы": "monitor",
+    "разрешение": "resolution", "разрешения": "resolution", "разрешении": "resolution",
+    "питание": "power", "питания": "power",
+    "скачать": "download", "скачивания": "download", "скачивать": "download", "скачивание": "download",
+    "актуальная": "current", "актуальную": "current", "последняя": "current", "последнюю": "current", "latest": "current",
+    "тревога": "alarm", "тревоги": "alarm", "тревог": "alarm",
+    "сеть": "network", "сети": "network", "сетевой": "network",
 }
 ENGLISH_PROSE = (
     "a", "an", "the", "when", "if", "used", "use", "using", "with", "for", "from", "compatible", "compatibility", "source", "sourcing", "power", "device",
@@ -68,7 +68,7 @@ def _strings(values) -> Column:
 
 def topic_tokens(text: Column) -> Column:
     """Distinct tokens that name a topic, synonyms as one, sorted; addresses of pages are left out."""
-    same = F.create_map(*[F.lit(x) for name, words in SYNONYMS.items() for word in words.split() for x in (word, name)])
+    same = F.create_map(*[F.lit(x) for word, name in SYNONYMS.items() for x in (word, name)])
     words = F.split(normalised(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)https?://\S+", " ")), " ")
     kept = F.filter(words, lambda x: (F.length(x) > 1) & ~x.isin(*STOP_WORDS))
     return F.array_sort(F.array_distinct(F.filter(F.transform(kept, lambda x: F.coalesce(same[x], x)), lambda x: ~x.isin(*STOP_WORDS))))

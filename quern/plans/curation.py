@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import phrases
-from quern.operators import curation as c, overlay, review
+from quern.operators import curation as c, overlay, packages as p, review
 from quern.plans import sql as s
 from quern.plans.common import registry
 from quern.session import table
@@ -15,7 +15,7 @@ QUERIES, SQL, query = registry()
 
 _WORDS = r"regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''), '(?i)https?://\S+', ' ', 'g')), '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s]+', ' ', 'g'), '\s+', ' ', 'g')"
 _STOP = "(" + ", ".join(f"'{w}'" for w in phrases.STOP_WORDS) + ")"
-_SAME = "CASE x " + " ".join(f"WHEN '{w}' THEN '{name}'" for name, words in phrases.SYNONYMS.items() for w in words.split()) + " ELSE x END"
+_SAME = "CASE x " + " ".join(f"WHEN '{w}' THEN '{name}'" for w, name in phrases.SYNONYMS.items()) + " ELSE x END"
 
 
 @query("f13_topic_tokens", f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(
@@ -55,10 +55,10 @@ def _(spark, sf):
  FROM d LEFT JOIN e a ON a.vec_id = p_partkey LEFT JOIN e b ON b.vec_id = previous WHERE previous IS NOT NULL""")
 def _(spark, sf):
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", phrases.topic_tokens(F.col("p_name")).alias("t"))
-    p = p.select("p_partkey", "t", F.lag("p_partkey").over(w).alias("previous"), F.lag("t").over(w).alias("u")).where("previous is not null")
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand", phrases.topic_tokens(F.col("p_name")).alias("t"))
+    parts = parts.select("p_partkey", "t", F.lag("p_partkey").over(w).alias("previous"), F.lag("t").over(w).alias("u")).where("previous is not null")
     e = table(spark, sf, "embeddings").where("label % 2 = 0").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    rows = p.join(e.select(F.col("vec_id").alias("p_partkey"), F.col("v").alias("x")), "p_partkey", "left").join(e.select(F.col("vec_id").alias("previous"), F.col("v").alias("y")), "previous", "left")
+    rows = parts.join(e.select(F.col("vec_id").alias("p_partkey"), F.col("v").alias("x")), "p_partkey", "left").join(e.select(F.col("vec_id").alias("previous"), F.col("v").alias("y")), "previous", "left")
     return rows.select("p_partkey", "previous", F.round(c.similarity(F.col("x"), F.col("y"), F.col("t"), F.col("u")), 6).alias("similarity"))
 
 
@@ -111,11 +111,11 @@ _MERGES = """asked AS (SELECT 'P' || p_partkey AS candidate_id, CASE WHEN p_size
 
 def _merge(spark, sf):
     """Parts are candidates with one version each; each asks to join the first of its brand."""
-    p = table(spark, sf, "part").withColumn("id", F.concat(F.lit("P"), F.col("p_partkey")))
+    parts = table(spark, sf, "part").withColumn("id", F.concat(F.lit("P"), F.col("p_partkey")))
     first = F.concat(F.lit("P"), F.min("p_partkey").over(Window.partitionBy("p_brand")))
-    asked = p.select(F.col("id").alias("candidate_id"), F.when(F.col("p_size") % 5 != 0, first).alias("target_id"))
-    candidates = p.select(F.col("id").alias("candidate_id"), F.lit("approved").alias("status"), F.lit(None).cast("string").alias("duplicate_of"))
-    knowledge = p.select(F.col("id").alias("candidate_id"), F.lit(1).alias("version_no"), F.when(F.col("p_partkey") % 3 == 2, "draft").otherwise("published").alias("status"), (F.col("p_partkey") % 3 == 0).alias("allowed"))
+    asked = parts.select(F.col("id").alias("candidate_id"), F.when(F.col("p_size") % 5 != 0, first).alias("target_id"))
+    candidates = parts.select(F.col("id").alias("candidate_id"), F.lit("approved").alias("status"), F.lit(None).cast("string").alias("duplicate_of"))
+    knowledge = parts.select(F.col("id").alias("candidate_id"), F.lit(1).alias("version_no"), F.when(F.col("p_partkey") % 3 == 2, "draft").otherwise("published").alias("status"), (F.col("p_partkey") % 3 == 0).alias("allowed"))
     return c.merge(candidates, knowledge, asked)
 
 
@@ -153,3 +153,36 @@ def _(spark, sf):
     shown = F.expr("transform(evidence, e -> concat(e.block_no, ':', e.before is not null, ':', e.after is not null))")
     return b.select("candidate_id", F.array_join(said, " ").alias("messages"), F.array_join(links, " ").alias("relations"),
                     F.array_join(shown, " ").alias("evidence"), F.array_join(F.expr("transform(events, e -> string(e.event_id))"), " ").alias("events"))
+
+
+PACKAGES = {
+    "metal": p.Package("Metals", "part.metal", words=("steel", "brass", "copper"), kind="support_process"),
+    "first": p.Package("Brands", "part.first", prefix="Brand#1"),
+    "named": p.Package("Named", "Brand#22", keys=("Brand#22", "Brand#23")),
+}
+
+
+@query("c15_package_cases", """SELECT package, case_id, row_number() OVER (PARTITION BY package ORDER BY case_id) - 1 AS position FROM (
+ SELECT 'metal' AS package, p_partkey AS case_id FROM part WHERE regexp_matches(lower(p_brand || '|' || p_type || ' ' || p_name), 'steel|brass|copper')
+ UNION ALL SELECT 'first', p_partkey FROM part WHERE starts_with(p_brand, 'Brand#1') UNION ALL SELECT 'named', p_partkey FROM part WHERE p_brand IN ('Brand#22', 'Brand#23')) x""")
+def _(spark, sf):
+    items = table(spark, sf, "part").select(F.col("p_partkey").alias("case_id"), F.col("p_brand").alias("knowledge_key"), F.concat_ws(" ", "p_type", "p_name").alias("question"))
+    return p.selected(items, PACKAGES)
+
+
+@query("c15_thread_payloads", """SELECT conv_id AS case_id, string_agg(turn || ':' || CASE WHEN role = root THEN 'user' ELSE 'engineer' END || ':' || length(coalesce(text, '')), ' ' ORDER BY turn) AS payload
+ FROM (SELECT *, (SELECT arg_min(b.role, b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.role <> 'system') AS root FROM conversations a) GROUP BY 1""")
+def _(spark, sf):
+    m = table(spark, sf, "conversations").where("conv_id is not null")
+    root = F.min_by("role", F.when(F.col("role") != "system", F.col("turn")))
+    cases = m.groupBy(F.col("conv_id").alias("case_id")).agg(root.alias("root_author"), F.min_by("text", "turn").alias("root_question"))
+    none = F.lit(None).cast("string")
+    messages = m.select(F.col("conv_id").alias("case_id"), F.col("turn").cast("int").alias("message_index"), F.col("role").alias("author"), "text", none.alias("file"), none.alias("photo"))
+    told = F.expr("transform(messages, m -> concat(m.message_index, ':', m.actor, ':', length(m.text)))")
+    return p.thread_payloads(cases, messages).select("case_id", F.array_join(told, " ").alias("payload"))
+
+
+@query("c17_forced_keys", """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'part.metal' WHEN 1 THEN CASE WHEN p_brand IN ('Brand#22', 'Brand#23') THEN p_brand ELSE 'Brand#22' END ELSE p_brand END AS knowledge_key FROM part""")
+def _(spark, sf):
+    package = F.element_at(F.array(F.lit("metal"), F.lit("named"), F.lit("other")), F.col("p_size") % 3 + 1)
+    return table(spark, sf, "part").select("p_partkey", p.forced_key(package, F.col("p_brand"), PACKAGES).alias("knowledge_key"))
