@@ -145,3 +145,15 @@ def test_files(spark, tmp_path):
     good, bad = files.read_jsonl(spark, str(tmp_path / "a.jsonl"), "id long, q string", ["q"], "id")
     assert [r["id"] for r in good.collect()] == [3] and sorted(r["reason"] for r in bad.collect()) == ["missing_field", "repeated_key", "repeated_key"]
     assert one(spark, files.last_json(F.lit('x {"a": 1} then {"b": 2} {no}'))) == '{"b": 2}'
+
+
+def test_long_lineages_are_not_stored(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "STRETCH", 4)
+    monkeypatch.setattr(documents, "reachable", None)  # the closure, which holds every pair, is not needed
+    links = [(i, i - 1 if i else None) for i in range(11)] + [(20, 21), (40, None), (30, 31), (31, 32)]
+    versions = spark.createDataFrame(links, "doc_id long, previous_id long")
+    want = {(i, j, i - j) for i in range(11) for j in range(i + 1)} | {(20, 20, 0), (20, 21, 1), (40, 40, 0), (30, 30, 0), (30, 31, 1), (30, 32, 2), (31, 31, 0), (31, 32, 1)}
+    got = [tuple(r) for r in documents.lineage(versions).collect()]
+    assert len(got) == len(want) and set(got) == want
+    fork = spark.createDataFrame([(1, 0), (2, 0)], "node long, previous long")
+    assert hierarchy.places(fork) is None
