@@ -20,6 +20,8 @@ from quern.session import kept
 
 #: Rows of a side that a task compares at a time.
 TILE = 1024
+#: Rows of a side that are multiplied at a time.
+ROWS = 128
 #: Rounding of angles, which must lose no pair at the threshold.
 SLACK = 1e-6
 
@@ -74,18 +76,20 @@ def _compared(threshold: float, angle: float):
         out = []
         if len(homes) and len(guests):
             x, y = np.stack(homes["u"].to_numpy()), np.stack(guests["u"].to_numpy())
-            wanted = np.ones((len(x), len(y)), bool)
-            if homes["angles"].iloc[0] is not None:
-                p, q = np.stack(homes["angles"].to_numpy()), np.stack(guests["angles"].to_numpy())
-                for k in range(p.shape[1]):
-                    wanted &= np.abs(p[:, k][:, None] - q[:, k]) <= angle + SLACK
             a, b = homes["id"].to_numpy(), guests["id"].to_numpy()
-            wanted &= (guests["own"].to_numpy() == 0) | (a[:, None] < b)
-            i, j = np.nonzero(wanted)
-            s = np.clip(np.einsum("ij,ij->i", x[i], y[j]), -1, 1)
-            ok = s >= threshold
-            out = list(zip(np.minimum(a[i], b[j])[ok], np.maximum(a[i], b[j])[ok], s[ok]))
-        return pd.DataFrame(out, columns=["a", "b", "cosine"]).astype({"a": "int64", "b": "int64", "cosine": "float64"})
+            placed = homes["angles"].iloc[0] is not None
+            p, q = (np.stack(homes["angles"].to_numpy()), np.stack(guests["angles"].to_numpy())) if placed else (None, None)
+            # A few rows at a time, so that no matrix of all pairs of the tile is held.
+            for at in range(0, len(x), ROWS):
+                some = slice(at, at + ROWS)
+                wanted = (guests["own"].to_numpy() == 0) | (a[some, None] < b)
+                for k in range(p.shape[1] if placed else 0):
+                    wanted &= np.abs(p[some, k][:, None] - q[:, k]) <= angle + SLACK
+                s = np.clip(x[some] @ y.T, -1, 1)
+                i, j = np.nonzero(wanted & (s >= threshold))
+                out.append((np.minimum(a[at + i], b[j]), np.maximum(a[at + i], b[j]), s[i, j]))
+        low, high, s = map(np.concatenate, zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pd.DataFrame({"a": low, "b": high, "cosine": s})
 
     return run
 
