@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as v
+from quern.session import kept
 
+#: Members of a class that are paired in one task; others are tiles of their own.
+TILE = 256
 NEGATION = r"\b(?:not|no|never|cannot|без|не|нет)\b"
 
 
@@ -14,16 +17,37 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != ""))
 
 
-def pairs(items: DataFrame, block: str, threshold: float = 0.3, shared: int = 2) -> DataFrame:
-    """(a, b, jaccard, n_shared) for a < b in one block with enough shared terms. items: id,
-    block, title. Pairs come from an equality join on block and term, counted."""
-    t = items.select("id", F.col(block).alias("block"), tokens(F.col("title")).alias("t"))
-    terms = t.select("id", "block", F.size("t").alias("n"), F.explode("t").alias("term"))
-    a = terms.select(F.col("id").alias("a"), "block", "term", F.col("n").alias("na"))
-    b = terms.select(F.col("id").alias("b"), "block", "term", F.col("n").alias("nb"))
-    both = a.join(b, ["block", "term"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n_shared"))
+def pairs(items: DataFrame, block: str, threshold: float = 0.3, shared: int = 2, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, n_shared, jaccard) for a < b in one block with enough shared terms, and of both sides the columns
+    ``carried``, as a_name and b_name. items: id (unique), block, title.
+
+    Titles of equal terms in a block are one class. Pairs of classes come from an equality join on block and term,
+    counted; their members are dealt into tiles and paired as the result is read, never shuffled as pairs."""
+    t = items.select(F.struct("id", *carried).alias("item"), F.col(block).alias("block"), F.array_sort(tokens(F.col("title"))).alias("t")).where("block is not null and size(t) > 0")
+    dealt = t.groupBy("block", "t").agg(F.expr(f"cast(ceil(count(*) / {TILE}) as int)").alias("tiles"), F.count("*").alias("members"))
+    classes = kept(dealt.withColumn("class", F.struct("block", "t")).select(F.xxhash64("block", "t").alias("h"), "class", "tiles", "members"), "classes")
+    terms = classes.select("class", "h", "tiles", "members", F.col("class.block").alias("block"), F.size("class.t").alias("n"), F.explode("class.t").alias("term"))
+    x = terms.select("block", "term", F.col("class").alias("ca"), F.col("h").alias("ha"), F.col("tiles").alias("ia"), F.col("members").alias("ma"), F.col("n").alias("na"))
+    y = terms.select("block", "term", F.col("class").alias("cb"), F.col("h").alias("hb"), F.col("tiles").alias("ib"), F.col("n").alias("nb"))
+    # Every two classes once; a class of one member has no pair of its own.
+    both = x.join(y, ["block", "term"]).where("ha < hb or (ha = hb and (ca < cb or (ca = cb and ma > 1)))")
+    both = both.groupBy("ca", "cb", "ia", "ib", "na", "nb").agg(F.count("*").alias("n_shared"))
     j = F.col("n_shared") / (F.col("na") + F.col("nb") - F.col("n_shared"))
-    return both.where(F.col("n_shared") >= shared).select("a", "b", "n_shared", j.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    near = both.where(F.col("n_shared") >= shared).withColumn("jaccard", j).where(F.col("jaccard") >= threshold)
+    near = kept(near.select("ca", "cb", "ia", "ib", "n_shared", "jaccard"), "near")
+    tile = (t.join(dealt.select("block", "t", "tiles"), ["block", "t"]).groupBy(F.struct("block", "t").alias("class"), F.expr("pmod(xxhash64(item.id), tiles)").alias("tile"))
+            .agg(F.collect_list("item").alias("items")))
+    tile = kept(tile, "tiles")
+    side = lambda c, i, as_: tile.select(F.col("class").alias(c), F.col("tile").alias(i), F.col("items").alias(as_))
+    met = near.select("ca", "cb", "n_shared", "jaccard", F.explode(F.expr("sequence(0L, ia - 1L)")).alias("i"), "ib").withColumn("j", F.explode(F.expr("sequence(0L, ib - 1L)"))).where("ca <> cb or i <= j")
+    n = met.count()
+    met = met.join(side("ca", "i", "xs"), ["ca", "i"]).join(side("cb", "j", "ys"), ["cb", "j"]).withColumn("own", F.expr("ca = cb and i = j"))
+    met = met.select("n_shared", "jaccard", "own", "xs", "ys").repartition(max(8, min(4096, n // 8)))
+    one = met.select("n_shared", "jaccard", "own", "ys", F.explode("xs").alias("x")).select("n_shared", "jaccard", "own", "x", F.explode("ys").alias("y"))
+    one = one.where("x.id <> y.id and (not own or x.id < y.id)").withColumn("swap", F.expr("x.id > y.id"))
+    low, high = (lambda c: F.when(F.col("swap"), F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))), (lambda c: F.when(F.col("swap"), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")))
+    extra = [f(c).alias(f"{name}_{c}") for c in carried for name, f in (("a", low), ("b", high))]
+    return one.select(low("id").alias("a"), high("id").alias("b"), "n_shared", "jaccard", *extra)
 
 
 def contradictions(claims: DataFrame) -> DataFrame:

@@ -66,7 +66,6 @@ def _(spark, sf):
 @query("g11_match_scores", f"SELECT a, b, round(CASE WHEN ka = kb THEN 0.5 ELSE 0.0 END + CASE WHEN sa = sb THEN 0.28 ELSE -0.18 END + 0.12 + 0.4 * jaccard, 4) AS score FROM ({s.with_(s.CANDIDATES, _PAIRS)} SELECT prs.*, x.knowledge_key AS ka, y.knowledge_key AS kb, x.size AS sa, y.size AS sb FROM prs JOIN candidates x ON x.id = a JOIN candidates y ON y.id = b)")
 def _(spark, sf):
     c = overlay.candidates(spark, sf)
-    x = c.select(F.col("id").alias("a"), F.col("knowledge_key").alias("ka"), F.col("size").alias("sa"))
-    y = c.select(F.col("id").alias("b"), F.col("knowledge_key").alias("kb"), F.col("size").alias("sb"))
-    p = g.pairs(c, "brand").join(x, "a").join(y, "b")
-    return p.select("a", "b", g.match_score(F.col("ka") == F.col("kb"), F.col("sa") == F.col("sb"), F.lit(True), F.col("jaccard")).alias("score"))
+    p = g.pairs(c, "brand", carried=("knowledge_key", "size"))
+    same = lambda name: F.col(f"a_{name}") == F.col(f"b_{name}")
+    return p.select("a", "b", g.match_score(same("knowledge_key"), same("size"), F.lit(True), F.col("jaccard")).alias("score"))

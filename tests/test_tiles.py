@@ -57,3 +57,20 @@ def test_tile_of_pivots_keeps_no_gathered_vectors(monkeypatch):
     s = u @ u.T
     assert len(got) == int(((s >= 0.2) & (np.arange(n)[:, None] < np.arange(n))).sum())
     assert most < 20e6  # all pairs' vectors side by side were 180 MB
+
+
+def test_copies_of_a_title_are_paired_by_class(spark, monkeypatch):
+    from quern.operators import grouping
+
+    monkeypatch.setattr(grouping, "TILE", 3)
+    words = ["red ring", "ring, RED", "red ring big", "bolt", "blue bolt big", "", None, "red ring big new"]
+    rows = [(i, "xy"[i % 2] if i % 11 else None, words[i % len(words)], i % 3) for i in range(60)]
+    t = {i: set(w.lower().replace(",", "").split()) for i, _, w, _ in rows if w}
+    want = set()
+    for a, x, _, ka in rows:
+        for b, y, _, kb in rows:
+            if a < b and x is not None and x == y and len(t.get(a, set()) & t.get(b, set())) >= 2 and len(t[a] & t[b]) / len(t[a] | t[b]) >= 0.3:
+                want.add((a, b, len(t[a] & t[b]), round(len(t[a] & t[b]) / len(t[a] | t[b]), 9), ka, kb))
+    found = grouping.pairs(spark.createDataFrame(rows, "id long, brand string, title string, k int"), "brand", carried=("k",))
+    got = [(r["a"], r["b"], r["n_shared"], round(r["jaccard"], 9), r["a_k"], r["b_k"]) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
