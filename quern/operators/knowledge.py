@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from quern.session import dealt
 from quern.functions import text as t
 
 # Endings in the order in which they are tried, and words that make a fact unclear.
@@ -188,11 +189,11 @@ def session_summary(sessions: DataFrame, proposals: DataFrame, batches: DataFram
     confirmed facts once each by their squeezed text, in order of their first proposal. proposals: thread_id, proposal_id, status,
     content, at; batches: thread_id, total, processed, failed, at."""
     own = sessions.select("thread_id", "started_at")
-    p = proposals.join(own, "thread_id").where("at >= started_at")
+    p = dealt(proposals, proposals.count(), "thread_id").join(own, "thread_id").where("at >= started_at")
     facts = p.where("status = 'confirmed'").groupBy("thread_id", t.squeezed(F.col("content")).alias("k")).agg(F.min(F.struct("proposal_id", "content")).alias("f"))
     learned = facts.groupBy("thread_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["content"]).alias("learned"))
     outcomes = p.groupBy("thread_id").agg(F.count_if(F.col("status") == "corrected").alias("corrected"), F.count_if(F.col("status").isin("unknown", "skipped")).alias("unresolved"))
-    covered = batches.join(own, "thread_id").where("at >= started_at").groupBy("thread_id").agg(*[F.sum(c).alias(c) for c in ("total", "processed", "failed")])
+    covered = dealt(batches, batches.count(), "thread_id").join(own, "thread_id").where("at >= started_at").groupBy("thread_id").agg(*[F.sum(c).alias(c) for c in ("total", "processed", "failed")])
     j = own.join(learned, "thread_id", "left").join(outcomes, "thread_id", "left").join(covered, "thread_id", "left")
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("corrected", "unresolved", "total", "processed", "failed")]
     return j.select("thread_id", F.coalesce("learned", F.array().cast("array<string>")).alias("learned"), *numbers)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from quern.session import dealt
+
 
 @F.pandas_udf(StringType())
 def nfkc_name(text: pd.Series) -> pd.Series:
@@ -108,3 +110,12 @@ def imported_roles(entries: DataFrame, known: tuple[str, ...], default: str = "u
     role = F.when(F.col("role").isin(*known), F.col("role")).otherwise(default)
     rows = entries.where(F.col("case_id").isNotNull()).select("case_id", index.alias("message_index"), "seq", role.alias("role"), F.left(F.coalesce("reason", F.lit("")), F.lit(400)).alias("reason"))
     return rows.groupBy("case_id", "message_index").agg(F.max(F.struct("seq", "role", "reason")).alias("m")).select("case_id", "message_index", "m.role", "m.reason")
+
+
+def repeated_pairs(rows: DataFrame, by: str, item: str, least: int = 2) -> DataFrame:
+    """(a, b, n): pairs a < b of items that ``least`` groups or more hold. rows: by, item; repeated rows count once.
+    Rows and pairs are dealt over as many tasks as their numbers need."""
+    x = dealt(rows.select(F.col(by).alias("g"), F.col(item).alias("a")).where("g is not null and a is not null"), rows.count(), "g").distinct()
+    n = x.groupBy("g").agg(F.count("*").alias("n")).agg(F.expr("cast(sum(n * (n - 1) / 2) as long)")).first()[0] or 0
+    pairs = x.join(x.withColumnRenamed("a", "b"), "g").where("a < b").select("a", "b")
+    return dealt(pairs, n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)

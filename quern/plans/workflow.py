@@ -106,8 +106,7 @@ def _(spark, sf):
 
 @query("j09_j10_blocked_pairs", "SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, sf):
-    x = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a")).distinct()
-    return x.join(x.withColumnRenamed("a", "b"), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+    return w.repeated_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @query("j13_p06_key_lookup", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
