@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quern.operators import names
 
 
@@ -32,3 +34,24 @@ def test_a_hundred_thousand_names_with_one_beginning(spark):
     assert {(r["name"], r["places"]) for r in got.collect()} == {(f"Model Number {i * 7 % 100_000:05d}", 1) for i in range(5000)}
     plan = got._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("characters", [7, 64, 1 << 18])
+def test_few_names_are_found_where_texts_are_read(spark, monkeypatch, characters):
+    """Texts lie one behind the other in a task; no name goes over their borders or is lost at a piece's."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé界 ") for _ in range(rng.choice([0, 1, 3, 9, 90]))) for _ in range(60)]
+    wanted = sorted({t[i: i + n] for t in texts for n in (1, 2, 3, 5, 8, 20) for i in (0, 4) if len(t) >= i + n})
+    df = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "k long, t string").repartition(2)
+    n = spark.createDataFrame([(x.upper(),) for x in wanted], "name string")
+    monkeypatch.setattr(names, "CHARACTERS", characters)
+    got = names.found(df, "k", "t", n, "name")
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, t in enumerate(texts):
+        for x in wanted:
+            if c := places(t, x):
+                want[i % 50, x.upper()] = want.get((i % 50, x.upper()), 0) + c
+    assert {(r["k"], r["name"]): r["places"] for r in got.collect()} == want
+    monkeypatch.setattr(names, "FEW", 0)
+    assert {(r["k"], r["name"]): r["places"] for r in names.found(df, "k", "t", n, "name").collect()} == want
