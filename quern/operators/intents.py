@@ -55,6 +55,8 @@ PAIRS = ((r"(?U)камер|\bcamera\b", r"(?U)регистратор|\bnvr\b"),
 NOTHING = ("null", "none")
 WORD = r"(?U)[^\W_]+"
 LONGEST = 48
+#: Replies of a task: a reply takes about a millisecond, so files of small rows hold too many.
+REPLIES = 20_000
 
 
 def _sql(values) -> str:
@@ -127,7 +129,8 @@ def intents(replies: DataFrame, reply: str = "reply", question: str = "question"
     the question holds, if only inflected, and what it holds replaces it; none may name a model or an address. A relation needs
     two objects; without one they are dropped. Questions that only point need context whatever the reply says. An intent is
     specific if it has a feature, problem or relation; a generic one is refused if the question names one. Null questions hold
-    nothing, null models are none."""
+    nothing, null models are none. Replies are dealt anew, REPLIES a task."""
+    replies = replies.repartition(max(1, -(-replies.count() // REPLIES)))
     v = F.try_parse_json("__json")
     out = (replies.withColumn("__json", last_json(F.col(reply))).withColumn("__v", v)
            .withColumn("__q", F.coalesce(F.col(question), F.lit(""))).withColumn("__m", F.coalesce(F.col(models).cast("array<string>"), _array(())))

@@ -1,5 +1,5 @@
 from quern import session
-from quern.operators import retrieval, workflow
+from quern.operators import intents, retrieval, workflow
 
 
 def test_tasks_follow_the_rows(spark, monkeypatch):
@@ -18,3 +18,10 @@ def test_substrings_meet_names_before_they_are_grouped(spark):
     lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     aggregates, join = [i for i, x in enumerate(lines) if "Aggregate" in x], next(i for i, x in enumerate(lines) if "Join" in x)
     assert min(aggregates) < join and not [x for i, x in enumerate(lines) if i > join and "Aggregate [qid" in x]
+
+
+def test_replies_of_one_file_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(intents, "REPLIES", 10)
+    replies = spark.range(95).coalesce(1).selectExpr("id", "'{}' AS reply", "'What?' AS question", "array('x') AS models")
+    found = intents.intents(replies)
+    assert found.rdd.getNumPartitions() == 10 and found.count() == 95
