@@ -2,12 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.numbering import numbered
 from quern.session import dropped, kept
 
+#: The first free items of the order that one task settles by the sequential rule, and settled items below which a round of joins goes further.
+BATCH, FEW = 50_000, 1_000
+
+
+def _in_turn(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame | None:
+    """(seed, r) of the groups that the first BATCH free items decide alone: seeds in turn, until one could take an item
+    behind them. None if that settles few, as with many small keys."""
+    first = nodes.select("r").orderBy("r").limit(BATCH + 1).agg(F.count("*"), F.max("r")).first()
+    whole, last = first[0] <= BATCH, first[1]
+    held = nodes if whole else nodes.where(F.col("r") < last)
+    ends = nodes.where("key is not null").groupBy("key").agg(F.max("r").alias("key_end"))
+    held = held.join(ends, "key", "left").join(edges.groupBy("r").agg(F.max("o").alias("link_end")), "r", "left").select(F.lit(0).alias("g"), "r", "key", "key_end", "link_end")
+    links = edges.where((F.col("r") <= last) & (F.col("o") <= last)).select(F.lit(0).alias("g"), "r", "o")
+
+    def run(items: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values("r")
+        r, end = items["r"].to_numpy(), items[["key_end", "link_end"]].max(axis=1).fillna(-1).to_numpy()
+        links = links[links["r"].isin(r) & links["o"].isin(r)].sort_values(["r", "o"])
+        x, y = np.searchsorted(r, links["r"]), np.searchsorted(r, links["o"])
+        at = np.searchsorted(x, np.arange(len(r) + 1))
+        code = pd.factorize(items["key"])[0]
+        lists = {c: places.tolist() for c, places in pd.Series(np.arange(len(r))).groupby(code) if c >= 0}
+        head, free, found = dict.fromkeys(lists, 0), np.ones(len(r), bool), []
+        for seed in range(len(r)):
+            if not free[seed]:
+                continue
+            near = y[at[seed]: at[seed + 1]]
+            near = {int(o) for o in near[free[near]][:most]} - {seed}
+            if code[seed] >= 0:
+                same, k = lists[code[seed]], head[code[seed]]
+                while not free[same[k]]:
+                    k += 1
+                head[code[seed]], n = k, 0
+                while k < len(same) and n < most:
+                    if free[same[k]] and same[k] != seed:
+                        near.add(same[k])
+                        n += 1
+                    k += 1
+            if len(near) < most - 1 and not whole and end[seed] >= last:
+                break
+            group = [seed, *sorted(near)[: most - 1]]
+            free[group] = False
+            found += [(r[seed], r[i]) for i in group]
+        return pd.DataFrame(found, columns=["seed", "r"])
+
+    got = kept(held.groupBy("g").cogroup(links.groupBy("g")).applyInPandas(run, "seed long, r long"), "taken")
+    return got if whole or got.count() >= FEW else None
+
 
 def _least_around(nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """nodes (r, key, value) with the least value among each node, its linked nodes and those of its key."""
@@ -39,7 +89,8 @@ def greedy(items: DataFrame, linked: DataFrame, most: int = 50, key: str | None
     items: id, frequency, key; linked: a, b (self links and unknown ids count for nothing). In each round the
     items without an earlier free item among their neighbours' neighbours become seeds: no two of them share a
     neighbour, so they can take theirs side by side. There are as many rounds as the longest such chain;
-    keys of many unlinked items are cut into groups at once."""
+    keys of many unlinked items are cut into groups at once. Where keys and links tie items together, so that groups wait for
+    one another, the first BATCH free items are settled in turn by one task, as far as they decide alone."""
     name = F.when(F.col(key).cast("string") != "", F.col(key).cast("string")) if key else F.lit(None).cast("string")
     order = numbered(items.select("id", "frequency", name.alias("key")), [F.desc("frequency"), F.asc("id")], name="r")
     order = kept(order.select("id", "key", "r"), "order")
@@ -49,7 +100,8 @@ def greedy(items: DataFrame, linked: DataFrame, most: int = 50, key: str | None
     edges = kept(one.select(F.col("x").alias("r"), F.col("y").alias("o")).unionByName(one.select(F.col("y").alias("r"), F.col("x").alias("o"))).distinct(), "links")
     nodes, found = kept(order.select("r", "key"), "free"), None
     while not nodes.isEmpty():
-        taken = _whole_chunks(nodes, edges, most)
+        taken = _in_turn(nodes, edges, most)
+        taken = _whole_chunks(nodes, edges, most) if taken is None else taken
         if taken is None:
             once = _least_around(nodes.withColumn("m", F.col("r")), edges, "m")
             seeds = _least_around(kept(once, "least"), edges, "m").where("m = r").select(F.col("r").alias("seed"), "key")

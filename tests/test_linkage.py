@@ -85,3 +85,15 @@ def test_numbers_without_one_task(spark):
     assert every.agg(F.min("number"), F.max("number"), F.count_distinct("number")).first() == (1, 5000, 5000)
     assert numbering.page(every, 3, 100).count() == 100 and "Window [row_number" not in plan
     assert [r["id"] for r in numbering.following(rows, "id", 41, 3).collect()] == [42, 43, 44]
+
+
+def test_groups_that_wait_for_one_another_are_settled_in_turn(spark, monkeypatch):
+    """Whole tables, leading items with enough behind them, and batches that settle too little give the same groups."""
+    for turn, (batch, few) in enumerate([(10**6, 0), (40, 1), (40, 20)]):
+        monkeypatch.setattr(linkage, "BATCH", batch)
+        monkeypatch.setattr(linkage, "FEW", few)
+        rng = random.Random(turn + 20)
+        items = [(i, rng.randint(0, 5), rng.choice([None, "", "a", "a", "b", "b", "c"])) for i in range(100)]
+        links = [(rng.randrange(100), rng.randrange(100)) for _ in range(60)]
+        got = linkage.greedy(spark.createDataFrame(items, "id long, frequency long, key string"), spark.createDataFrame(links, "a long, b long"), 6, "key").collect()
+        assert {r["id"]: r["seed"] for r in got} == sequential(items, links, 6)
