@@ -1,4 +1,5 @@
 from quern import session
+from quern.plans import registry
 from quern.operators import intents, retrieval, workflow
 
 
@@ -25,3 +26,11 @@ def test_replies_of_one_file_are_dealt(spark, monkeypatch):
     replies = spark.range(95).coalesce(1).selectExpr("id", "'{}' AS reply", "'What?' AS question", "array('x') AS models")
     found = intents.intents(replies)
     assert found.rdd.getNumPartitions() == 10 and found.count() == 95
+
+
+def test_a_task_sorts_the_list_of_a_question(spark):
+    """Both lists of a question are ranked by one sort, dealt over as many tasks as there are questions."""
+    found = registry.QUERIES["r10_whole_running_rank"](spark, "/root/testdata/sf0.001")
+    asked = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 50 = 0").count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert asked > 4 and "hashpartitioning(qid#" in plan and f", {asked})" in plan and plan.count("Window [") == 1
