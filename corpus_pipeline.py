@@ -19,9 +19,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least doc_id; copies
-    have a Jaccard similarity of 0.8 or more in shingles of five words."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies stays, the one with the least doc_id. Near copies are
+    those whose SimHash fingerprints are connected over at most 3 differing bits, confirmed by a Jaccard
+    similarity of 0.5 or more in shingles of five words, and those of 0.8 or more by any fingerprint."""
+    return simhash.deduplicated(docs, radius=3)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

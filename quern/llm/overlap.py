@@ -11,10 +11,15 @@ them, the hub, whose shingles are the most widely held; then pairs that are not
 component. Pairs never leave that join unless their parity sketches allow a link: bit i of a
 sketch says whether an odd number of shingles hash to i, so two sketches differ in no more
 bits than the sets differ in shingles, and linked sets differ in few.
+
+With fingerprints, sets whose fingerprints are connected meet too, in the same two steps: they
+share the component of their fingerprints as a key, and a lower similarity confirms them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,8 +88,8 @@ def _common(docs: DataFrame, size: int, most_bits: int = 26) -> list[BitTable]:
     return [BitTable(held.where(F.col("n") >= least), "key", most_bits) for least in COMMON]
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) of classes whose Jaccard similarity reaches the threshold, exactly."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b, percent) of classes whose Jaccard similarity reaches percent / 100, exactly."""
     ids = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = staged(classes.join(ids, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "wanted")
     few = wanted.select("doc_id").distinct()
@@ -100,7 +105,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     x = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
     shared, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    enough = shared * 100 >= (both - shared) * percent
+    enough = shared * 100 >= (both - shared) * F.col("percent")
     return staged(pairs.join(x, "a").join(y, "b").where(enough).select("a", "b"), "links")
 
 
@@ -129,11 +134,40 @@ def _likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
         .where(F.size(F.array_intersect("x", "y")) >= overlap - larger + 1).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+def _hubs(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each key's members (key, id) and the one of the largest weight (id, weight), once each."""
+    hubs = members.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
+    pair = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
+    return staged(members.join(hubs, "key").where("id <> hub").select(*pair).distinct(), "pairs")
+
+
+def _apart(members: DataFrame, sizes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a key's members (key, id) in different components whose sketches allow a link, tile by tile. sizes: id, n, sketch."""
+    member = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    open_keys = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    member = staged(member.join(open_keys.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "key")
+                    .join(sizes, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")), "open")
+
+    def side(name: str, own: str, other: str) -> DataFrame:
+        return member.select("key", F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("c").alias(f"c{name}"), F.col("tile").alias(own),
+                             F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias(other),
+                             *[F.col(f).alias(g) for f, g in zip(_sketch("f"), _sketch(f"f{name}"))])
+
+    left, right = side("a", "i", "j"), side("b", "j", "i")
+    where = ["key", "i", "j"]
+    near = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _allowed(percent, [F.col(c) for c in _sketch("fa")], [F.col(c) for c in _sketch("fb")])
+    return left.join(right, [left[c] == right[c] for c in where] + [near]).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, prints: Callable | None = None, near: Callable | None = None, confirmed: int = 50) -> DataFrame:
     """(doc_id, component_id) for each row of docs (doc_id, text) whose doc_id is not null:
     the least doc_id reachable over links of a Jaccard similarity of at least ``percent`` / 100
     between sets of ``size``-word shingles, itself included.
 
+    With ``prints``, which gives the 64-bit fingerprints of texts, and ``near``, which gives the pairs (a, b) of rows
+    (id, fp) with near fingerprints, documents whose fingerprints are connected over such pairs are linked as well,
+    if their similarity is ``confirmed`` / 100 at least.
+
     Texts without words have equal (empty) sets. An empty table gives an empty result."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     common = _common(docs, size)
@@ -145,10 +179,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
             level = sum((table.has(flat).astype(np.int8) for table in common), np.zeros(len(flat), np.int8))
             levels = np.split(level, np.cumsum([len(s) for s in sets])[:-1]) if sets else []
             bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
+            fp = {"fp": prints(pdf["text"].tolist()).view(np.int64)} if prints else {}
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "sig": [signature(s) for s in sets], "n": [len(s) for s in sets],
-                                "keys": [prefix(s, percent, v) for s, v in zip(sets, levels)]} | {f: bits[:, k] for k, f in enumerate(_sketch("f"))})
+                                "keys": [prefix(s, percent, v) for s, v in zip(sets, levels)]} | {f: bits[:, k] for k, f in enumerate(_sketch("f"))} | fp)
 
-    shape = "doc_id long, sig long, n long, keys array<long>, " + ", ".join(f"{f} long" for f in _sketch("f"))
+    shape = "doc_id long, sig long, n long, keys array<long>, " + ", ".join(f"{f} long" for f in _sketch("f")) + (", fp long" if prints else "")
     table = staged(doc_columns(docs, "doc_id", "text").mapInPandas(run, shape), "prefixes")
     classes = table.select("doc_id", "sig")
     # One row of each class gives the keys. Rows of a class have the same ones, so any will do.
@@ -163,27 +198,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     lists = members.groupBy("id").agg(weight.alias("weight"), F.max("n").alias("n"), F.collect_list("key").alias("keys"))
     sketches = single.groupBy(F.col("sig").alias("id")).agg(*[F.first(f).alias(f) for f in _sketch("f")])
     held = staged(lists.join(sketches, "id"), "held")
-    hubs = members.join(held.select("id", "weight"), "id").groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
-    pair = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
-    first = staged(members.join(hubs, "key").where("id <> hub").select(*pair).distinct(), "pairs")
-    links = _verified(docs, classes, staged(_likely(first, held, percent), "likely"), percent, size)
+    likely = staged(_likely(_hubs(members, held.select("id", "weight")), held, percent).withColumn("percent", F.lit(percent)), "likely")
+    if prints:
+        marked = _marked(table.select("sig", "fp"), near)
+        sizes = single.select(F.col("sig").alias("id"), "n", *_sketch("f")).join(marked.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        sizes = staged(sizes, "sizes")
+        weights = sizes.select("id").join(held.select("id", "weight"), "id", "left").select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        likely = _with(likely, _hubs(marked, weights), confirmed)
+    links = _verified(docs, classes, likely, size)
     found = components(links)
-    member = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    open_keys = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    member = staged(member.join(open_keys.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "key")
-                    .join(held.drop("weight", "keys"), "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")), "open")
-
-    def side(name: str, own: str, other: str) -> DataFrame:
-        return member.select("key", F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("c").alias(f"c{name}"), F.col("tile").alias(own),
-                             F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias(other),
-                             *[F.col(f).alias(g) for f, g in zip(_sketch("f"), _sketch(f"f{name}"))])
-
-    left, right = side("a", "i", "j"), side("b", "j", "i")
-    where = ["key", "i", "j"]
-    near = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _allowed(percent, [F.col(c) for c in _sketch("fa")], [F.col(c) for c in _sketch("fb")])
-    met = left.join(right, [left[c] == right[c] for c in where] + [near]).select("a", "b").distinct()
-    rest = staged(_likely(met, held, percent), "likely")
-    found = components(links.unionByName(_verified(docs, classes, rest, percent, size)))
+    rest = staged(_likely(_apart(members, held.drop("weight", "keys"), found, percent), held, percent).withColumn("percent", F.lit(percent)), "likely")
+    if prints:
+        rest = _with(rest, _apart(marked, sizes, found, confirmed), confirmed)
+    found = components(links.unionByName(_verified(docs, classes, rest, size)))
     joined = classes.join(found, F.col("sig") == F.col("node"), "left").select("doc_id", F.coalesce("component", "sig").alias("c"))
     least = joined.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return joined.join(least, "c").select("doc_id", "component_id")
+
+
+def _marked(prints: DataFrame, near: Callable) -> DataFrame:
+    """(key, id) of the classes (sig, fp) whose fingerprints are connected, for keys of two classes or more."""
+    prints = staged(prints.distinct(), "prints")
+    found = components(near(prints.select("fp").distinct().select(F.col("fp").alias("id"), "fp")))
+    keyed = prints.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("key"), F.col("sig").alias("id")).distinct()
+    full = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    return staged(keyed.join(full.select("key"), "key"), "marked")
+
+
+def _with(pairs: DataFrame, more: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, percent) and more (a, b), each pair once with the lesser percent."""
+    return staged(pairs.unionByName(more.withColumn("percent", F.lit(percent))).groupBy("a", "b").agg(F.min("percent").alias("percent")), "likely")

@@ -127,14 +127,18 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, radius: int | None = None) -> DataFrame:
     """docs without the rows whose doc_id is not the least of its group; the columns of
     docs are kept as they are. Rows with a null doc_id stay, for they name no document.
 
     Groups are those of overlap.near_duplicates: shingles of five words, Jaccard similarity of
-    0.8 or more. Fingerprints of such pairs differ in ten bits on average and in twenty at
-    times, too many for 64 bits to be a join key, so candidates come from shared shingles."""
-    gone = staged(overlap.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    0.8 or more. With ``radius`` documents are near copies also if their fingerprints are connected
+    over pairs that differ in at most so many bits and this similarity is 0.5 or more: a few words
+    changed in a long text leave the fingerprint, though many shingles go; texts that mostly repeat
+    one shingle have its fingerprint, though the rest may differ. Fingerprints alone do not find
+    all pairs of 0.8, so shared shingles make candidates beside them."""
+    prints = {} if radius is None else {"prints": fingerprints, "near": lambda rows: links(rows, radius)}
+    gone = staged(overlap.near_duplicates(docs, **prints).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     # Up to a million ids (some 20 MB) are broadcast, so that texts need no shuffle; more are not.
     gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

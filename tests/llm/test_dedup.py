@@ -115,6 +115,42 @@ def test_deduplicated_against_brute_force(spark):
     assert {r["doc_id"] for r in simhash.deduplicated(docs).collect()} == set(want.values())
 
 
+def test_stage_links_confirmed_fingerprints(spark):
+    """Near copies of the pipeline's stage: fingerprints connected over 3 bits and a similarity of 0.5, or one of 0.8."""
+    import corpus_pipeline
+
+    rng, data = random.Random(3), []
+    for group in range(8):
+        base, often = prose(500 + group, 100).split(), (prose(600 + group, 60) + " ") * 6
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randint(0, 14)):
+                words[rng.randrange(len(words))] = "changed" + str(rng.randrange(1000))
+            data.append((len(data), often + " ".join(words)))
+    hollow = [prose(900 + i % 4, 60) + " same" * 200 + (" more" if i > 3 else "") for i in range(6)]  # one fingerprint, four texts
+    data += [(len(data) + i, t) for i, t in enumerate([None, "", "a b", "A  b", "a b c", *hollow])]
+    words = {i: (t or "").encode().lower().split() for i, t in data}
+    sets = {i: {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    prints = {i: brute_fingerprint(t) for i, t in data}
+
+    def least(linked):
+        low, pairs = {i: i for i in sets}, [(a, b) for a in sets for b in sets if a < b and linked(a, b)]
+        for _ in sets:
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    alike = lambda a, b, percent: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    connected = least(lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    want = set(least(lambda a, b: alike(a, b, 80) or connected[a] == connected[b] and alike(a, b, 50)).values())
+    by_shingles = set(brute_near_copies(data).values())
+    first = len(data) - 6
+    assert want < by_shingles and len(by_shingles) - len(want) > 2 and len({connected[first + i] for i in range(6)}) == 1 and {first + i for i in range(4)} <= want
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+    assert {r["doc_id"] for r in simhash.deduplicated(docs).collect()} == by_shingles
+
+
 def brute_substring(data, window=50):
     first = {}
     words = [(r[1] or "").encode().split() for r in data]
