@@ -37,3 +37,12 @@ def test_no_pair_is_grouped_or_shuffled(spark):
     for name in ("r05_document_evidence", "r01_lexical_same_model_first", "fts_every_term", "r07_rrf_fusion"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "n_row" not in "".join(x for x in plan.splitlines() if "HashAggregate" in x)
+
+
+def test_merge_of_lists_counts_pairs_in_tasks(spark):
+    """Word scores of r16_whole_vector_merge: no pair of a question and a document is grouped, and a task passes on 40 of a question."""
+    plan = registry.QUERIES["r16_whole_vector_merge"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CartesianProduct" not in plan and "n_row" not in "".join(x for x in plan.splitlines() if "HashAggregate" in x)
+    rows = spark.range(400).selectExpr("id", "'bolt nut' AS text").repartition(3)
+    asked = spark.createDataFrame([(0, "bolt"), (1, "nut bolt")], "qid long, question string")
+    assert r.lexical_scores(asked, rows, F.col("text"), None, 40).count() == 3 * 2 * 40
