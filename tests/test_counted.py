@@ -46,3 +46,20 @@ def test_merge_of_lists_counts_pairs_in_tasks(spark):
     rows = spark.range(400).selectExpr("id", "'bolt nut' AS text").repartition(3)
     asked = spark.createDataFrame([(0, "bolt"), (1, "nut bolt")], "qid long, question string")
     assert r.lexical_scores(asked, rows, F.col("text"), None, 40).count() == 3 * 2 * 40
+
+
+def test_rank_value_is_rounded_as_in_sql(spark, tmp_path):
+    """41 of 640 words are 0.0640625, whose double times a million lies below the half."""
+    import duckdb
+
+    from tests.parity import duck_rows, spark_rows
+
+    texts = [(i, " ".join(["bolt"] * hits + ["nut"] * (640 - hits)), "s") for i, hits in enumerate(range(1, 641, 2))]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "one bolt bolt")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = spark_rows(registry.QUERIES["fts_every_term"](spark, str(tmp_path)))
+    assert len(got[1]) == 320 and got == duck_rows(con, registry.SQL["fts_every_term"])
