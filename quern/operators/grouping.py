@@ -17,13 +17,9 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != ""))
 
 
-def pairs(items: DataFrame, block: str, threshold: float = 0.3, shared: int = 2, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, n_shared, jaccard) for a < b in one block with enough shared terms, and of both sides the columns
-    ``carried``, as a_name and b_name. items: id (unique), block, title.
-
-    Titles of equal terms in a block are one class. Pairs of classes come from an equality join on block and term,
-    counted; their members are dealt into tiles and paired as the result is read, never shuffled as pairs."""
-    t = items.select(F.struct("id", *carried).alias("item"), F.col(block).alias("block"), F.array_sort(tokens(F.col("title"))).alias("t")).where("block is not null and size(t) > 0")
+def _near(t: DataFrame, threshold: float, shared: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of items with ``block`` and ``t``, the sorted terms: the classes (h, class, tiles, members) of equal block and terms, how their members
+    are dealt, and the near ones (ca, cb, ia, ib, n_shared, jaccard), each two once, with itself if it has two members."""
     dealt = t.groupBy("block", "t").agg(F.expr(f"cast(ceil(count(*) / {TILE}) as int)").alias("tiles"), F.count("*").alias("members"))
     classes = kept(dealt.withColumn("class", F.struct("block", "t")).select(F.xxhash64("block", "t").alias("h"), "class", "tiles", "members"), "classes")
     terms = classes.select("class", "h", "tiles", "members", F.col("class.block").alias("block"), F.size("class.t").alias("n"), F.explode("class.t").alias("term"))
@@ -34,7 +30,33 @@ def pairs(items: DataFrame, block: str, threshold: float = 0.3, shared: int = 2,
     both = both.groupBy("ca", "cb", "ia", "ib", "na", "nb").agg(F.count("*").alias("n_shared"))
     j = F.col("n_shared") / (F.col("na") + F.col("nb") - F.col("n_shared"))
     near = both.where(F.col("n_shared") >= shared).withColumn("jaccard", j).where(F.col("jaccard") >= threshold)
-    near = kept(near.select("ca", "cb", "ia", "ib", "n_shared", "jaccard"), "near")
+    return classes, dealt, kept(near.select("ca", "cb", "ia", "ib", "n_shared", "jaccard"), "near")
+
+
+def _termed(items: DataFrame, block: str, *columns) -> DataFrame:
+    return items.select(*columns, F.col(block).alias("block"), F.array_sort(tokens(F.col("title"))).alias("t"))
+
+
+def alike(items: DataFrame, block: str, threshold: float = 0.3, shared: int = 2) -> tuple[DataFrame, DataFrame]:
+    """What ``pairs`` says of items, by classes: items with ``class``, the number of their block and terms (null without either), and the
+    near classes (a, b), once each; a class is in a pair with itself if its members are pairs. No pair of items is formed."""
+    t = _termed(items, block, F.struct(*items.columns).alias("item"))
+    classes, _, near = _near(t.where("block is not null and size(t) > 0"), threshold, shared)
+    number = kept(classes.select("class", F.monotonically_increasing_id().alias("number")), "numbers")
+    side = lambda c, as_: number.select(F.col("class").alias(c), F.col("number").alias(as_))
+    linked = near.join(side("ca", "a"), "ca").join(side("cb", "b"), "cb").select("a", "b")
+    held = number.select(F.col("class.block").alias("block"), F.col("class.t").alias("t"), F.col("number").alias("class"))
+    return t.join(held, ["block", "t"], "left").select("item.*", "class"), linked
+
+
+def pairs(items: DataFrame, block: str, threshold: float = 0.3, shared: int = 2, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, n_shared, jaccard) for a < b in one block with enough shared terms, and of both sides the columns
+    ``carried``, as a_name and b_name. items: id (unique), block, title.
+
+    Titles of equal terms in a block are one class. Pairs of classes come from an equality join on block and term,
+    counted; their members are dealt into tiles and paired as the result is read, never shuffled as pairs."""
+    t = _termed(items, block, F.struct("id", *carried).alias("item")).where("block is not null and size(t) > 0")
+    _, dealt, near = _near(t, threshold, shared)
     tile = (t.join(dealt.select("block", "t", "tiles"), ["block", "t"]).groupBy(F.struct("block", "t").alias("class"), F.expr("pmod(xxhash64(item.id), tiles)").alias("tile"))
             .agg(F.collect_list("item").alias("items")))
     tile = kept(tile, "tiles")

@@ -1,126 +1,111 @@
-"""Greedy groups and complete linkage in rounds of joins, so that no group of items has to fit in a task."""
+"""Greedy groups in one reading of the items, and complete linkage in rounds of joins, so that no group of items has to fit in a task."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.grouping import label_components
 from quern.operators.numbering import numbered
-from quern.session import dropped, kept
-
-#: The first free items of the order that one task settles by the sequential rule, and settled items below which a round of joins goes further.
-BATCH, FEW = 50_000, 1_000
-
-
-def _in_turn(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame | None:
-    """(seed, r) of the groups that the first BATCH free items decide alone: seeds in turn, until one could take an item
-    behind them. None if that settles few, as with many small keys."""
-    first = nodes.select("r").orderBy("r").limit(BATCH + 1).agg(F.count("*"), F.max("r")).first()
-    whole, last = first[0] <= BATCH, first[1]
-    held = nodes if whole else nodes.where(F.col("r") < last)
-    ends = nodes.where("key is not null").groupBy("key").agg(F.max("r").alias("key_end"))
-    held = held.join(ends, "key", "left").join(edges.groupBy("r").agg(F.max("o").alias("link_end")), "r", "left").select(F.lit(0).alias("g"), "r", "key", "key_end", "link_end")
-    links = edges.where((F.col("r") <= last) & (F.col("o") <= last)).select(F.lit(0).alias("g"), "r", "o")
-
-    def run(items: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values("r")
-        r, end = items["r"].to_numpy(), items[["key_end", "link_end"]].max(axis=1).fillna(-1).to_numpy()
-        links = links[links["r"].isin(r) & links["o"].isin(r)].sort_values(["r", "o"])
-        x, y = np.searchsorted(r, links["r"]), np.searchsorted(r, links["o"])
-        at = np.searchsorted(x, np.arange(len(r) + 1))
-        code = pd.factorize(items["key"])[0]
-        lists = {c: places.tolist() for c, places in pd.Series(np.arange(len(r))).groupby(code) if c >= 0}
-        head, free, found = dict.fromkeys(lists, 0), np.ones(len(r), bool), []
-        for seed in range(len(r)):
-            if not free[seed]:
-                continue
-            near = y[at[seed]: at[seed + 1]]
-            near = {int(o) for o in near[free[near]][:most]} - {seed}
-            if code[seed] >= 0:
-                same, k = lists[code[seed]], head[code[seed]]
-                while not free[same[k]]:
-                    k += 1
-                head[code[seed]], n = k, 0
-                while k < len(same) and n < most:
-                    if free[same[k]] and same[k] != seed:
-                        near.add(same[k])
-                        n += 1
-                    k += 1
-            if len(near) < most - 1 and not whole and end[seed] >= last:
-                break
-            group = [seed, *sorted(near)[: most - 1]]
-            free[group] = False
-            found += [(r[seed], r[i]) for i in group]
-        return pd.DataFrame(found, columns=["seed", "r"])
-
-    got = kept(held.groupBy("g").cogroup(links.groupBy("g")).applyInPandas(run, "seed long, r long"), "taken")
-    return got if whole or got.count() >= FEW else None
-
-
-def _least_around(nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
-    """nodes (r, key, value) with the least value among each node, its linked nodes and those of its key."""
-    same = nodes.where("key is not null").groupBy("key").agg(F.min(value).alias("_k"))
-    near = edges.join(nodes.select(F.col("r").alias("o"), F.col(value).alias("_v")), "o").groupBy("r").agg(F.min("_v").alias("_e"))
-    return nodes.join(same, "key", "left").join(near, "r", "left").select("r", "key", F.least(value, "_k", "_e").alias(value))
-
-
-def _whole_chunks(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame | None:
-    """(seed, r): the leading items of a key that nothing links form groups at once, ``most`` at a time;
-    None if no key has more of them than one group."""
-    first = nodes.join(edges.select("r").distinct(), "r", "left_semi").groupBy("key").agg(F.min("r").alias("stop"))
-    lead = nodes.where("key is not null").join(first, "key", "left").where("stop is null or r < stop")
-    long = lead.groupBy("key", "stop").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    if long.isEmpty():
-        return None
-    chunk = numbered(lead.join(long.select("key", "n"), "key"), [F.col("r")], ["key"]).withColumn("chunk", F.expr(f"(number - 1) div {most}"))
-    # A last group that is not full may still take what comes behind the first linked item.
-    full = chunk.where(F.expr(f"stop is null or (chunk + 1) * {most} <= n"))
-    seeds = full.groupBy("key", "chunk").agg(F.min("r").alias("seed"))
-    return full.join(seeds, ["key", "chunk"]).select("seed", "r")
-
-
-def greedy(items: DataFrame, linked: DataFrame, most: int = 50, key: str | None = None) -> DataFrame:
+from quern.session import checkpointed, dealt, dropped, kept
+
+#: Items that one task reads without asking which belong together, and links of classes and keys whose components the driver finds.
+BATCH, FEW = 50_000, 100_000
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (a, b), up to FEW of them without rounds of joins."""
+    few = edges.limit(FEW + 1).collect()
+    if len(few) > FEW:
+        checkpointed(edges.sparkSession)
+        return label_components(edges)
+    up = {x: x for e in few for x in e}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in few:
+        up[top(a)] = top(b)
+    return edges.sparkSession.createDataFrame([(x, top(x)) for x in up], "node long, component long")
+
+
+def _in_order(most: int):
+    """Of rows (g, r, id, key, class, near) in the order of (g, r), the group of each. An item goes to the earliest seed that is linked to it
+    and still open, and without one is a seed itself, which is what seeds that choose in turn come to: nothing before a
+    seed is free, and it takes what is free in the order of ``r``. What a task holds is the open seeds of a g."""
+
+    def run(batches):
+        now = None
+        for batch in batches:
+            found = []
+            for g, r, i, key, own, near in zip(*(batch.column(c).to_pylist() for c in ("g", "r", "id", "key", "class", "near"))):
+                if g != now:
+                    now, of_key, of_class, left = g, {}, {}, {}
+                seed = of_key.get(key) if key is not None else None
+                for c in near or ():
+                    if (other := of_class.get(c)) and (seed is None or other[0] < seed):
+                        seed = other[0]
+                if seed is None:
+                    found.append(i)
+                    if most > 1 and (near or key is not None):
+                        left[r] = [most - 1, i, key, own]
+                        if key is not None:
+                            of_key[key] = r
+                        if near:
+                            of_class.setdefault(own, []).append(r)
+                    continue
+                held = left[seed]
+                found.append(held[1])
+                held[0] -= 1
+                if not held[0]:
+                    del left[seed]
+                    if of_key.get(held[2]) == seed:
+                        del of_key[held[2]]
+                    if seed in (mine := of_class.get(held[3], [])):
+                        mine.remove(seed)
+                        if not mine:
+                            del of_class[held[3]]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, batch.schema.field("id").type)], ["id", "seed"])
+
+    return run
+
+
+def greedy(items: DataFrame, linked: DataFrame, most: int = 50, key: str | None = None, by: str | None = None) -> DataFrame:
     """(id, seed): items in order of frequency, largest first, then id; the first free one is a seed and takes
     the free items linked to it, or of its ``key`` (null and empty keys match nothing), in that order,
     ``most`` members at most.
 
-    items: id, frequency, key; linked: a, b (self links and unknown ids count for nothing). In each round the
-    items without an earlier free item among their neighbours' neighbours become seeds: no two of them share a
-    neighbour, so they can take theirs side by side. There are as many rounds as the longest such chain;
-    keys of many unlinked items are cut into groups at once. Where keys and links tie items together, so that groups wait for
-    one another, the first BATCH free items are settled in turn by one task, as far as they decide alone."""
+    items: id, frequency, key; linked: a, b (self links and unknown ids count for nothing). With ``by`` linked are pairs of
+    classes, values of that column of items: all members of the two are linked, and those of a class with one another if it is in a pair with
+    itself. No link of items is then formed or stored.
+
+    Items that links and keys join, over any number of steps, are read by one task in their order; others by other tasks."""
     name = F.when(F.col(key).cast("string") != "", F.col(key).cast("string")) if key else F.lit(None).cast("string")
-    order = numbered(items.select("id", "frequency", name.alias("key")), [F.desc("frequency"), F.asc("id")], name="r")
-    order = kept(order.select("id", "key", "r"), "order")
-    ranks = order.select("id", "r")
-    one = linked.select("a", "b").where("a <> b").join(ranks.select(F.col("id").alias("a"), F.col("r").alias("x")), "a") \
-        .join(ranks.select(F.col("id").alias("b"), F.col("r").alias("y")), "b").select("x", "y")
-    edges = kept(one.select(F.col("x").alias("r"), F.col("y").alias("o")).unionByName(one.select(F.col("y").alias("r"), F.col("x").alias("o"))).distinct(), "links")
-    nodes, found = kept(order.select("r", "key"), "free"), None
-    while not nodes.isEmpty():
-        taken = _in_turn(nodes, edges, most)
-        taken = _whole_chunks(nodes, edges, most) if taken is None else taken
-        if taken is None:
-            once = _least_around(nodes.withColumn("m", F.col("r")), edges, "m")
-            seeds = _least_around(kept(once, "least"), edges, "m").where("m = r").select(F.col("r").alias("seed"), "key")
-            seeds = kept(seeds, "seeds")
-            first = nodes.where("key is not null").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("r"))).where(F.col("place") <= most)
-            wanted = seeds.join(edges, F.col("seed") == F.col("r")).select("seed", "o").unionByName(
-                seeds.join(first.select("key", F.col("r").alias("o")), "key").where("o <> seed").select("seed", "o")).distinct()
-            got = wanted.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("o"))).where(F.col("place") < most)
-            taken = seeds.select("seed", F.col("seed").alias("r")).unionByName(got.select("seed", F.col("o").alias("r")))
-        taken = kept(taken, "taken")
-        found = taken if found is None else found.unionByName(taken)
-        gone, before = taken.select("r"), (nodes, edges)
-        nodes = kept(nodes.join(gone, "r", "left_anti"), "free")
-        edges = kept(edges.join(gone, "r", "left_anti").join(gone.select(F.col("r").alias("o")), "o", "left_anti").select("r", "o"), "links")
-        for old in before:
-            dropped(old)
-    if found is None:
-        return order.select("id", F.col("id").alias("seed"))
-    return found.join(ranks, "r").join(ranks.select(F.col("id").alias("first"), F.col("r").alias("seed")), "seed").select("id", F.col("first").alias("seed"))
+    own = [F.col(by).alias("class")] if by else []
+    order = kept(numbered(items.select("id", "frequency", name.alias("key"), *own), [F.desc("frequency"), F.asc("id")], name="r").drop("frequency"), "order")
+    one = linked.select("a", "b")
+    if not by:
+        order, ranks = order.withColumn("class", F.col("r")), order.select("id", "r")
+        one = one.where("a <> b").join(ranks.select(F.col("id").alias("a"), F.col("r").alias("x")), "a") \
+            .join(ranks.select(F.col("id").alias("b"), F.col("r").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = kept(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    near = links.groupBy(F.col("a").alias("class")).agg(F.collect_list("b").alias("near"))
+    node = lambda kind, c: F.xxhash64(F.lit(kind), c)
+    rows = order.join(near, "class", "left").withColumn("node", F.when(F.col("near").isNotNull(), node("class", "class")).when(F.col("key").isNotNull(), node("key", "key")).otherwise(node("r", "r")))
+    n = order.count()
+    if n <= BATCH:
+        rows = rows.withColumn("g", F.lit(0))
+    else:
+        # Equal hashes only let two components take turns in one task.
+        edges = (rows.where("near is not null and key is not null").select(F.col("node").alias("a"), node("key", "key").alias("b"))
+                 .unionByName(links.where("a <> b").select(node("class", "a").alias("a"), node("class", "b").alias("b"))).distinct())
+        rows = rows.join(_components(edges), "node", "left").withColumn("g", F.coalesce("component", "node"))
+    rows = dealt(rows.select("g", "r", "id", "key", "class", "near"), n, "g").sortWithinPartitions("g", "r")
+    kind = items.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_in_order(most), f"id {kind}, seed {kind}")
 
 
 def complete(ids: DataFrame, pairs: DataFrame) -> DataFrame:

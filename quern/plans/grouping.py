@@ -25,8 +25,8 @@ def _(spark, sf):
 @query("g03_greedy_groups")
 def _(spark, sf):
     """Items of one knowledge_key or near titles of one brand. Order-dependent; SQL has no form for it."""
-    items = overlay.candidates(spark, sf)
-    return linkage.greedy(items, g.pairs(items, "brand", 0.5), key="knowledge_key")
+    items, linked = g.alike(overlay.candidates(spark, sf), "brand", 0.5)
+    return linkage.greedy(items, linked, key="knowledge_key", by="class")
 
 
 _CLAIMS = "claims AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'is not ' || p_type ELSE 'is ' || p_type END AS text FROM part)"

@@ -97,3 +97,24 @@ def test_groups_that_wait_for_one_another_are_settled_in_turn(spark, monkeypatch
         links = [(rng.randrange(100), rng.randrange(100)) for _ in range(60)]
         got = linkage.greedy(spark.createDataFrame(items, "id long, frequency long, key string"), spark.createDataFrame(links, "a long, b long"), 6, "key").collect()
         assert {r["id"]: r["seed"] for r in got} == sequential(items, links, 6)
+
+
+def test_greedy_groups_of_near_titles_need_no_pair_of_items(spark, monkeypatch):
+    """Classes of like titles give the groups of their pairs, in one task and dealt by component, and no pair is stored."""
+    from quern.operators import grouping
+
+    words = ["red ring", "ring RED", "red ring big", "bolt", "blue bolt big", "blue bolt", "", None]
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 3), rng.choice([None, "", *"abcdefgh"]) if i % 3 else None, rng.choice("xyz") if i % 11 else None, rng.choice(words)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, frequency long, key string, brand string, title string")
+    pairs = [(r["a"], r["b"]) for r in grouping.pairs(df, "brand", 0.5).collect()]
+    want = sequential([r[:3] for r in rows], pairs, 5)
+    stored = []
+    monkeypatch.setattr(linkage, "kept", lambda df, name, kept=linkage.kept: (found := kept(df, name), stored.append(found.count()))[0])
+    for batch, few in ((10**6, 0), (10, 10**6), (10, 3)):
+        monkeypatch.setattr(linkage, "BATCH", batch)
+        monkeypatch.setattr(linkage, "FEW", few)
+        items, linked = grouping.alike(df, "brand", 0.5)
+        got = linkage.greedy(items, linked, 5, "key", by="class").collect()
+        assert {r["id"]: r["seed"] for r in got} == want and len(got) == 240
+    assert len(pairs) > 1500 and max(stored) <= 240
