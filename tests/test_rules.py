@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scope, text as t, vectors as v
 from quern.operators import answering, conversation, documents, grouping, hierarchy, lifecycle, retrieval
+from quern.plans import registry
 from quern.sources import files
 
 
@@ -157,3 +158,20 @@ def test_long_lineages_are_not_stored(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
     fork = spark.createDataFrame([(1, 0), (2, 0)], "node long, previous long")
     assert hierarchy.places(fork) is None
+
+
+def test_numbered_lineages_take_no_rounds(spark, monkeypatch):
+    """Numbers that are the links' own save the numbering; wrong ones, gaps, forks and nulls do not pass."""
+    monkeypatch.setattr(hierarchy, "STRETCH", 4)
+    good = [(i * 3 % 31, (i * 3 - 3) % 31 if i else None, "a", i + 1) for i in range(11)] + [(100, None, "b", 1), (99, 100, "b", 2)]
+    wrong = {"turned": [(1, 2, "a", 1), (2, None, "a", 2)], "gap": [(1, None, "a", 1), (2, None, "a", 3)], "from 2": [(1, None, "a", 2)], "null root": [(1, None, None, 1)],
+             "twice": [(1, None, "a", 1), (1, None, "b", 1)], "no version": [(1, 7, "a", 1)], "same number": [(1, None, "a", 1), (2, None, "a", 1)], "null": [(None, None, "a", 1)]}
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, previous_id long, source string, version_no int")
+    links = lambda rows: frame(rows).selectExpr("doc_id node", "previous_id previous", "source root", "version_no number")
+    assert [name for name, rows in wrong.items() if hierarchy.numbered_places(links(rows)) is not None] == []
+    want = sorted(tuple(r) for r in documents.lineage(frame(good)).collect())
+    turned = sorted(tuple(r) for r in documents.lineage(frame(wrong["turned"]), numbered=("source", "version_no")).collect())
+    assert turned == [(1, 1, 0), (1, 2, 1), (2, 2, 0)]
+    monkeypatch.setattr(documents, "places", None)  # rounds of joins are not needed
+    assert sorted(tuple(r) for r in documents.lineage(frame(good), numbered=("source", "version_no")).collect()) == want and len(want) == 69
+    assert registry.QUERIES["d08_whole_lineage"](spark, "/root/testdata/sf0.001").count() > 200
