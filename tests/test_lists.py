@@ -47,3 +47,16 @@ def test_vector_lists_put_nan_first_and_skip_what_has_no_cosine(spark):
     found, n = lists.by_vector(e.where("id in (1, 5, 8)").selectExpr("id qid", "label", "vector q_vector"), e)
     assert sorted((tuple(r) for r in found.collect()), key=lambda r: r[2]) == [(5, 4, 1), (5, 3, 2), (5, 5, 3), (5, 0, 4)]
     assert [tuple(r) for r in n.collect()] == [(5, 4)]
+
+
+def test_null_and_repeated_ids_are_ranked_as_before(spark, monkeypatch, tmp_path):
+    docs = [(0, "red ring"), (50, "red bolt"), (3, "ring"), (3, "red"), (4, "blue")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for more in ([(None, [1.0, 1.0], 1)], [(50, [0.0, 1.0], 1)], [(3, [1.0, 2.0], 1)]):
+        rows = [(0, [1.0, 0.0], 1), (50, [1.0, 2.0], 1), (3, [2.0, 1.0], 1), (4, [2.0, 1.0], 2), *more]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+        found = []
+        for pairs in (0, 10**9):
+            monkeypatch.setattr(retrieval, "PAIRS", pairs)
+            found.append(sorted((tuple(r) for r in registry.QUERIES["r10_whole_running_rank"](spark, str(tmp_path)).collect()), key=repr))
+        assert found[0] == found[1] and len(found[0]) > 12
